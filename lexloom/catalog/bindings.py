@@ -12,6 +12,7 @@ from lexloom import config as C
 from lexloom.functions.text import sentences_of
 from lexloom.operators import questions as Q
 from lexloom.operators import strength as S
+from lexloom.sources import store
 
 SPACES = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -21,7 +22,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     times = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"}
-    return df.withColumns(times) if times else df
+    df = df.withColumns(times) if times else df
+    return store.spread(df) if name in ("documents", "conversations", "pages") else df
 
 
 # ------------------------------------------------------------ learner log
@@ -261,12 +263,12 @@ ROLES = {
           SELECT item_id, unnest(l) AS s, CAST(unnest(range(len(l))) AS INTEGER) AS pos
           FROM (SELECT *, {_SENTENCES} AS l FROM benchmark)))""",
     "phrases": f"""tokens AS (
-        SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS at FROM (SELECT item_id, {sql_words('text')} AS w FROM benchmark)),
+        SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS idx FROM (SELECT item_id, {sql_words('text')} AS w FROM benchmark)),
       seen AS (
-        SELECT item_id, word, at * 2 AS place FROM tokens
+        SELECT item_id, word, idx * 2 AS place FROM tokens
         UNION ALL
-        SELECT a.item_id, a.word || ' ' || b.word, a.at * 2 + 1 FROM tokens a JOIN tokens b
-          ON a.item_id = b.item_id AND b.at = a.at + 1),
+        SELECT a.item_id, a.word || ' ' || b.word, a.idx * 2 + 1 FROM tokens a JOIN tokens b
+          ON a.item_id = b.item_id AND b.idx = a.idx + 1),
       phrases AS (
         SELECT word, regexp_replace(word, '[^a-z]', '', 'g') || (length(word) % 5 + 1) AS reading,
                CAST(3 + min(item_id) % 13 AS INTEGER) AS unit, min(item_id * 1000000 + place) AS seq,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom import config as C
@@ -78,13 +78,18 @@ def sandhi_syllables(syllables: Column) -> Column:
     return _with_next(syllables, bend)
 
 
-def tones_match(given: Column, expected: Column) -> Column:
-    """Same syllables and tones as spoken; an expected neutral tone accepts any."""
-    g, e = sandhi_syllables(split_syllables(given)), sandhi_syllables(split_syllables(expected))
+def with_tones_match(df: DataFrame, given: Column, expected: Column, out: str) -> DataFrame:
+    """Add ``out``: same syllables and tones as spoken; an expected neutral tone accepts any.
+
+    The syllables are columns of their own, so each reading is taken apart once.
+    """
+    both = df.withColumns({"_g": split_syllables(given), "_e": split_syllables(expected)})
+    both = both.withColumns({"_g": sandhi_syllables(F.col("_g")), "_e": sandhi_syllables(F.col("_e"))})
     same = F.zip_with(
-        g, e, lambda a, b: (a["base"] == b["base"]) & ((b["tone"] == "5") | (a["tone"] == b["tone"]))
+        "_g", "_e", lambda g, e: (g["base"] == e["base"]) & ((e["tone"] == "5") | (g["tone"] == e["tone"]))
     )
-    return (F.size(g) == F.size(e)) & F.forall(same, lambda ok: F.coalesce(ok, F.lit(False)))
+    alike = (F.size("_g") == F.size("_e")) & F.forall(same, lambda ok: F.coalesce(ok, F.lit(False)))
+    return both.withColumn(out, alike).drop("_g", "_e")
 
 
 def render_syllables(syllables: Column) -> Column:

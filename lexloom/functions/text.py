@@ -10,18 +10,14 @@ from pyspark.sql import functions as F
 from lexloom import config as C
 
 BLANK = "___"
-_SPACE = r"[\s\x1c-\x1f]"
+# Every kind of white space, the ideographic one included.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # A word edge as browsers see it: only ASCII letters, digits and _ are word characters.
 _EDGE_L, _EDGE_R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
-def _class_of(chars: str) -> str:
-    return "[" + "".join("\\" + c if c in r"\^-[]&" else c for c in chars) + "]"
-
-
 def strip(text: Column) -> Column:
-    """Trim every kind of Unicode white space, the ideographic space included."""
-    return F.regexp_replace(text, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.trim(text, F.lit(SPACE))
 
 
 def blank_to_empty(text: Column) -> Column:
@@ -30,7 +26,7 @@ def blank_to_empty(text: Column) -> Column:
 
 def normalize_punct(text: Column, punct: str = C.PUNCT_BANK) -> Column:
     """Delete a punctuation class, then strip."""
-    return strip(F.regexp_replace(text, _class_of(punct), ""))
+    return strip(F.translate(text, punct, ""))
 
 
 def normalize_width(text: Column) -> Column:
@@ -52,8 +48,8 @@ def script_units(text: Column, script: C.Script = C.CJK) -> Column:
 
 
 def has_paren_hint(text: Column, script: C.Script = C.CJK) -> Column:
-    """A run of the script followed by a Latin name in brackets."""
-    return text.rlike(rf"[{script.chars}]+[（(][A-Za-z][A-Za-z\s]*[）)]")
+    """Text of the script followed by a Latin name in brackets."""
+    return text.rlike(rf"[{script.chars}][（(][A-Za-z][A-Za-z\s]*[）)]")
 
 
 def is_template(text: Column, script: C.Script = C.CJK) -> Column:
@@ -73,16 +69,17 @@ def strip_bullet(text: Column) -> Column:
 
 def is_truncated(text: Column, gloss: Column) -> Column:
     """The text breaks off at a comma, or its gloss does."""
-    def tail(col: Column, marks: str) -> Column:
-        return F.coalesce(col, F.lit("")).rlike(rf"(?U)[{marks}]{_SPACE}*\z")
+    def last(col: Column) -> Column:
+        return F.right(F.rtrim(F.coalesce(col, F.lit("")), F.lit(SPACE)), F.lit(1))
 
-    return tail(text, "，,") | tail(gloss, ",")
+    return last(text).isin("，", ",") | (last(gloss) == ",")
 
 
 def cloze_restore(question: Column, answer: Column) -> Column:
     """The full sentence of a cloze question: gloss cut off, blanks filled."""
-    core = strip(F.regexp_replace(question, r"(?s)\([^(]*\z", ""))
-    return F.replace(core, F.lit(BLANK), answer)
+    note = F.length(F.substring_index(question, "(", -1)) + 1
+    core = F.when(question.contains("("), F.left(question, F.length(question) - note)).otherwise(question)
+    return F.replace(strip(core), F.lit(BLANK), answer)
 
 
 def cloze_questions(blanked: Column, answers: Column, gloss: Column) -> Column:
@@ -115,7 +112,7 @@ def cloze_questions(blanked: Column, answers: Column, gloss: Column) -> Column:
 
 def clean_answer(text: Column) -> Column:
     """A typed answer without case, punctuation, articles or contractions."""
-    out = F.regexp_replace(F.lower(text), _class_of(C.PUNCT_ANSWER), "")
+    out = F.translate(F.lower(text), C.PUNCT_ANSWER, "")
     out = F.regexp_replace(out, r"(?U)([\x{4e00}-\x{9fff}])\s+([\x{4e00}-\x{9fff}])", "$1$2")
     for short, full in [("im", "i am"), ("youre", "you are"), ("hes", "he is"), ("shes", "she is")]:
         out = F.regexp_replace(out, f"{_EDGE_L}{short}{_EDGE_R}", full)
@@ -163,10 +160,19 @@ def contains_any(text: Column, values: list[str]) -> Column:
     return text.rlike(any_of(values))
 
 
-def sentences_of(text: Column) -> Column:
-    """Runs of text up to a full stop, question or exclamation mark, stripped."""
-    found = F.regexp_extract_all(text, F.lit(r"[^.!?。？！\n]+[.!?。？！]"), F.lit(0))
-    return F.transform(found, strip)
+def runs_of(text: Column, stops: str = ".!?。？！") -> Column:
+    """The text cut at line breaks and behind each stop.
+
+    A run without a stop is matched as well, so the search never goes back over
+    it: the time is linear however long a line without stops is.
+    """
+    return F.regexp_extract_all(text, F.lit(rf"[^{stops}\n]++[{stops}]?"), F.lit(0))
+
+
+def sentences_of(text: Column, stops: str = ".!?。？！") -> Column:
+    """Runs of text that end in a full stop, question or exclamation mark, stripped."""
+    ended = F.filter(runs_of(text, stops), lambda r: F.lit(stops).contains(F.right(r, F.lit(1))))
+    return F.transform(ended, strip)
 
 
 def json_block(text: Column) -> Column:

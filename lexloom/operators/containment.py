@@ -26,9 +26,11 @@ def flag_verbatim_cloze(items: DataFrame, docs: DataFrame, keys: list[str], blan
     """Add ``verbatim``: the text around the blanks stands, in order, in one line."""
     texts = docs.select(*keys, normalize_width(F.col("doc_text")).alias("_doc"))
     parts = F.filter(F.transform(F.split(blanked, BLANK), normalize_width), lambda p: p != "")
-    pattern = F.array_join(F.transform(parts, quote), r"[^\n]*?")
+    # Each gap is settled once, on the nearest occurrence, and never tried again.
+    gaps = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(0))), lambda p: F.concat(F.lit(r"(?>[^\n]*?"), quote(p), F.lit(")")))
+    pattern = F.concat(F.coalesce(quote(F.get(parts, F.lit(0))), F.lit("")), F.array_join(gaps, ""))
     whole = ~F.exists(parts, lambda p: p.contains("\n"))
-    hit = F.col("_doc").rlike(pattern) & whole
+    hit = F.rlike("_doc", pattern) & whole
     joined = items.join(texts, keys, "left")
     return joined.withColumn("verbatim", F.coalesce(hit, F.lit(False))).drop("_doc")
 
@@ -57,15 +59,15 @@ def apply_blocklist(questions: DataFrame, blocklist: DataFrame, punct: str = C.P
 
 def ngrams(texts: DataFrame, text: str, lengths: DataFrame, keep: list[str]) -> DataFrame:
     """Distinct substrings of each text, of the lengths that occur in the lexicon."""
-    sizes = lengths.agg(F.collect_set("length").alias("_sizes")).scalar()
+    sized = texts.withColumn("_sizes", lengths.agg(F.collect_set("length")).scalar())
 
     def of_length(n: Column) -> Column:
         last = F.length(text) - n + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(F.col(text), i, n))
 
-    grams = F.array_distinct(F.flatten(F.transform(sizes, of_length)))
-    return texts.select(*keep, F.explode(grams).alias("word"))
+    grams = F.array_distinct(F.flatten(F.transform("_sizes", of_length)))
+    return sized.select(*keep, F.explode(grams).alias("word"))
 
 
 def contained_words(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom import config as C
-from lexloom.functions.romanise import tones_match
+from lexloom.functions.romanise import with_tones_match
 from lexloom.functions.scalars import content_key
 from lexloom.functions.text import hallucination_flag, has_script, strip, variant_match
 
@@ -53,8 +53,8 @@ def homophone_match(rows: DataFrame, readings: DataFrame, given: str = "given",
     """Add ``same_sound``: both are not empty and sound alike."""
     read = with_readings(rows, readings, [given, expected], **kw)
     some = (strip(F.col(given)) != "") & (strip(F.col(expected)) != "")
-    alike = tones_match(F.col(f"{given}_reading"), F.col(f"{expected}_reading"))
-    return read.withColumn("same_sound", F.coalesce(some & alike, F.lit(False)))
+    heard = with_tones_match(read, F.col(f"{given}_reading"), F.col(f"{expected}_reading"), "same_sound")
+    return heard.withColumn("same_sound", F.coalesce(some & F.col("same_sound"), F.lit(False)))
 
 
 def grade_answers(attempts: DataFrame, readings: DataFrame, **kw) -> DataFrame:
@@ -75,8 +75,8 @@ def grade_speech(transcripts: DataFrame, readings: DataFrame, script: C.Script =
     out = read.withColumn("hallucination", flag).withColumn("expected_reading", wanted)
     heard = F.when(F.col("hallucination"), F.lit("")).otherwise(F.col("transcript_reading"))
     out = out.withColumn("transcript_reading", heard)
-    right = ~F.col("hallucination") & tones_match(F.col("transcript_reading"), F.col("expected_reading"))
-    return out.withColumn("is_correct", right)
+    out = with_tones_match(out, F.col("transcript_reading"), F.col("expected_reading"), "is_correct")
+    return out.withColumn("is_correct", ~F.col("hallucination") & F.col("is_correct"))
 
 
 def audio_worklist(requests: DataFrame, done: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from lexloom.functions.text import (
     has_script,
     is_template,
     normalize_blanks,
+    runs_of,
     sentences_of,
     strip,
     strip_bullet,
@@ -96,7 +97,7 @@ def drop_sections(
     """Leave out the sections whose heading names a skipped kind; text before any heading stays."""
     marked = _marked_lines(docs, text, lambda line: F.when(line.rlike(heading), ~contains_any(line, skipped)))
     before = F.when(F.size("marks") == 0, F.col("lines")).otherwise(
-        F.slice("lines", F.lit(1), F.col("marks")[0]["i"])
+        F.slice("lines", F.lit(1), F.get("marks", F.lit(0))["i"])
     )
     runs = F.flatten(F.transform(F.filter("marks", lambda m: m["mark"]), _line_run))
     return marked.withColumn("kept", F.concat(before, runs)).drop("lines", "marks")
@@ -112,10 +113,10 @@ def table_rows(docs: DataFrame, text: str = "text", proper: list[str] = ("Proper
     )
     # The text before the first and after the last bar is no cell.
     split = F.split(strip(F.col("line")), r"\|")
-    cells = rows.withColumn("cells", F.transform(F.slice(split, F.lit(2), F.size(split) - 2), strip))
+    cells = rows.withColumn("cells", F.transform(F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))), strip))
     body = cells.where(
-        ~F.col("cells")[0].isin("Word", "词语")
-        & ~(F.col("cells")[0].rlike("^[A-Z]$") & F.forall(F.slice("cells", 2, 99), lambda c: c == ""))
+        ~F.get("cells", F.lit(0)).isin("Word", "词语")
+        & ~(F.get("cells", F.lit(0)).rlike("^[A-Z]$") & F.forall(F.slice("cells", 2, 99), lambda c: c == ""))
     )
 
     def cell(vocab: int, proper_at: int) -> Column:
@@ -142,9 +143,7 @@ def table_rows(docs: DataFrame, text: str = "text", proper: list[str] = ("Proper
 def find_cloze(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every sentence with a printed blank, all blank shapes as ``___``."""
     keep = [c for c in docs.columns if c != text]
-    found = F.regexp_extract_all(
-        normalize_blanks(F.col(text)), F.lit(r"[^.!?。？！\n]*___[^.!?。？！\n]*[.!?。？！]?"), F.lit(0)
-    )
+    found = F.filter(runs_of(normalize_blanks(F.col(text))), lambda r: r.contains(BLANK))
     return docs.select(*keep, F.posexplode(F.transform(found, strip)).alias("seq", "blanked"))
 
 

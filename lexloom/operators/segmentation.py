@@ -28,20 +28,15 @@ def first_units(lexicon: DataFrame, script: C.Script = C.CJK) -> DataFrame:
 
 def known_chars(lexicon: DataFrame, units: DataFrame, script: C.Script = C.CJK) -> DataFrame:
     """Per unit, all characters taught up to it, as one sorted string."""
-    taught = first_units(lexicon, script).agg(
-        F.collect_list(F.struct("unit", "ch")).alias("taught")
-    ).scalar()
-    upto = F.transform(
-        F.array_sort(F.filter(taught, lambda t: t["unit"] <= F.col("unit"))), lambda t: t["ch"]
-    )
-    return units.select("unit").distinct().select(
-        "unit", F.array_join(F.array_sort(upto), "").alias("known")
-    )
+    taught = first_units(lexicon, script).agg(F.collect_list(F.struct("unit", "ch"))).scalar()
+    rows = units.select("unit").distinct().withColumn("taught", taught)
+    upto = F.transform(F.filter("taught", lambda t: t["unit"] <= F.col("unit")), lambda t: t["ch"])
+    return rows.select("unit", F.array_join(F.array_sort(upto), "").alias("known"))
 
 
 def passes_gate(text: Column, known: Column, script: C.Script = C.CJK) -> Column:
     """No character of the script is left once the known ones are taken out."""
-    return F.length(F.translate(script_only(text, script), known, F.lit(""))) == 0
+    return F.length(F.call_function("translate", script_only(text, script), known, F.lit(""))) == 0
 
 
 def flag_vocab_gate(
@@ -76,11 +71,15 @@ def segment(texts: DataFrame, lexicon: DataFrame, key: str, script: C.Script = C
     There is no going back: a dead end is null even if another split exists.
     """
     words = phrase_lexicon(lexicon, script)
-    sizes = words.agg(F.collect_set("length")).scalar()
-    units = texts.select(key, F.col("unit").alias("text_unit"), script_units(F.col("text"), script).alias("units"))
+    units = texts.select(
+        key,
+        F.col("unit").alias("text_unit"),
+        script_units(F.col("text"), script).alias("units"),
+        words.agg(F.collect_set("length")).scalar().alias("sizes"),
+    )
 
     def runs(i: Column) -> Column:
-        fitting = F.filter(sizes, lambda n: i + n <= F.size("units"))
+        fitting = F.filter("sizes", lambda n: i + n <= F.size("units"))
         return F.transform(
             fitting,
             lambda n: F.struct(

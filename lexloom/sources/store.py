@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table stored in fewer splits than there are cores.
+
+    Text work is bound by the processor; large tables have splits enough and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def strength_of(strength: DataFrame, users: DataFrame) -> DataFrame:
     """Strength rows of the given users."""
     return strength.join(users.select("user_id").distinct(), "user_id", "left_semi")
