@@ -6,19 +6,15 @@ from pyspark.sql import functions as F
 
 from lexloom import config as C
 from lexloom.catalog import bindings as B
-from lexloom.catalog.bindings import sql, sql_spoken, sql_strip, sql_words
+from lexloom.catalog.bindings import sql, sql_spoken, sql_words
 from lexloom.catalog.matching import (
     SQL_CANDIDATES,
     SQL_SEGMENT,
-    _CHARS,
-    _recursive,
     candidates,
     documents,
-    gate_lexicon,
 )
 from lexloom.catalog.registry import query
 from lexloom.catalog.structure import _RAW, raw_entries
-from lexloom.operators import containment as K
 from lexloom.operators import dedup
 from lexloom.operators import progress as P
 from lexloom.operators import questions as Q
@@ -186,7 +182,7 @@ def type_counts(spark, sf):
         r"""usable AS (SELECT trim(word) AS word, reading, p_name AS gloss, TRY_CAST(trim(unit) AS INTEGER) AS unit, seq,
               CASE WHEN p_partkey % 3 = 2 THEN 'proper_noun' WHEN p_type = 'PROMO' THEN 'grammar' ELSE 'vocab' END AS type
             FROM raw WHERE trim(coalesce(word, '')) <> '' AND NOT contains(word, '[unclear]') AND reading <> '[unclear]' AND TRY_CAST(trim(unit) AS INTEGER) IS NOT NULL)""",
-    ).replace("reading || '5'", "CASE reading WHEN 'st' THEN 'st5' WHEN 'pr' THEN 'pr5' ELSE reading || '5' END"),
+    ).replace("reading || '5'", "CASE reading WHEN 'ec' THEN 'e5c5' ELSE reading || '5' END"),
 )
 def build_lexicon(spark, sf):
     raw = raw_entries(spark, sf)
@@ -233,28 +229,27 @@ def validate_bank(spark, sf):
     return kept.select("unit", "seq", F.md5("text").alias("text"), F.md5("reading").alias("reading"))
 
 
-_STAGES = _recursive(
-    sql(
-        ["doc_lines", "phrases"],
-        "{body}",
-        SQL_CANDIDATES, _CHARS,
-        "doc_flat AS (SELECT doc_id, replace(text, ' ', '') AS body FROM documents)",
-        """checked AS (SELECT c.key, c.doc_id, c.source, c.lang, CAST(3 + c.doc_id % 13 AS INTEGER) AS unit, c.text, coalesce(contains(d.body, replace(c.text, ' ', '')), false) AS verbatim
-           FROM candidates c LEFT JOIN doc_flat d ON d.doc_id = c.doc_id)""",
-        """gate AS (SELECT k.*, NOT EXISTS (SELECT 1 FROM (SELECT unnest(string_split(regexp_replace(lower(k.text), '[^a-zà-ÿ]', '', 'g'), '')) AS ch) x
-             LEFT JOIN chars c ON c.ch = x.ch WHERE x.ch <> '' AND (c.ch IS NULL OR c.unit > k.unit)) AS known FROM checked k)""",
-        "seg_rows AS (SELECT key, unit, lower(text) AS text FROM gate WHERE verbatim AND known)",
-        SQL_SEGMENT,
-        """flagged AS (SELECT g.*, s.tags, coalesce(len(s.tags) > 0, false) AS tagged FROM gate g LEFT JOIN segmented s ON s.key = g.key)""",
-    )
-)
+_STAGES = [
+    SQL_CANDIDATES,
+    "chars AS (SELECT ch, min(unit) AS unit FROM (SELECT unit, unnest(string_split(regexp_replace(word, '[^a-zà-ÿ]', '', 'g'), '')) AS ch FROM phrases) GROUP BY ch)",
+    "doc_flat AS (SELECT doc_id, replace(text, ' ', '') AS body FROM documents)",
+    """checked AS (SELECT c.key, c.doc_id, c.source, c.lang, CAST(3 + c.doc_id % 13 AS INTEGER) AS unit, c.text, coalesce(contains(d.body, replace(c.text, ' ', '')), false) AS verbatim
+       FROM candidates c LEFT JOIN doc_flat d ON d.doc_id = c.doc_id)""",
+    """foreign_rows AS (SELECT DISTINCT key FROM (SELECT key, unit, unnest(string_split(regexp_replace(lower(text), '[^a-zà-ÿ]', '', 'g'), '')) AS ch FROM checked) x
+         LEFT JOIN chars c ON c.ch = x.ch WHERE x.ch <> '' AND (c.ch IS NULL OR c.unit > x.unit))""",
+    "gate AS (SELECT k.*, key NOT IN (SELECT key FROM foreign_rows) AS known FROM checked k)",
+    "seg_rows AS (SELECT key, unit, lower(text) AS text FROM gate WHERE verbatim AND known)",
+    SQL_SEGMENT,
+    "flagged AS (SELECT g.*, s.tags, coalesce(len(s.tags) > 0, false) AS tagged FROM gate g LEFT JOIN segmented s ON s.key = g.key)",
+]
 
 
 def _flagged(spark, sf):
+    """Candidate sentences with the outcome of every stage."""
     rows = candidates(spark, sf).withColumn("unit", (3 + F.col("doc_id") % 13).cast("int"))
     return sentence_bank.flag_stages(
-        rows, documents(spark, sf), gate_lexicon(spark, sf).unionByName(B.phrase_lexicon(spark, sf).select("word", "unit").where("false"))
-        if False else gate_lexicon(spark, sf), ["doc_id"], "key", C.LATIN, F.lower("text"),
+        rows, documents(spark, sf), B.phrase_lexicon(spark, sf), ["doc_id"], "key", C.LATIN, F.lower("text"),
+        negation="the", one="and",
     )
 
 
@@ -297,4 +292,31 @@ def build_question_bank(spark, sf):
     return bank.select("id", "question_type", F.md5("question").alias("question"), "answer", "unit", F.md5(F.array_join("tags", " ")).alias("tags"))
 
 
-__all__ = ["K", "P", "sentence_bank", "sql_strip", "_flagged", "_STAGES"]
+@query(
+    "build_sentence_bank",
+    sql(
+        ["doc_lines", "phrases"],
+        f"SELECT unit, key, md5(content) AS content, array_to_string(tags, '|') AS tags FROM ({_first('passed', 'unit, content', 'source_rank, key', '*')})",
+        *_STAGES,
+        f"passed AS (SELECT *, {_RANK} AS source_rank, regexp_replace(lower(text), '[^a-zà-ÿ]', '', 'g') AS content FROM flagged WHERE verbatim AND known AND tagged)",
+    ),
+)
+def build_sentence_bank(spark, sf):
+    flagged = _flagged(spark, sf)
+    ranked = flagged.withColumn("source_rank", dedup.source_rank(F.col("source"), ("src0", "src1"))).withColumn("seq", F.col("key"))
+    built = sentence_bank.build(ranked, C.LATIN, F.lower("text"))
+    return built.select("unit", "key", F.md5("content").alias("content"), F.array_join("found_tags", "|").alias("tags"))
+
+
+@query(
+    "quality_counts",
+    sql(
+        ["doc_lines", "phrases"],
+        """SELECT source, unit, count(*) AS extracted, count(*) FILTER (NOT verbatim) AS dropped_verbatim, count(*) FILTER (verbatim AND NOT known) AS dropped_known,
+             count(*) FILTER (verbatim AND known AND NOT tagged) AS dropped_tagged, count(*) FILTER (verbatim AND known AND tagged) AS final
+           FROM flagged GROUP BY GROUPING SETS ((source, unit), (unit), ())""",
+        *_STAGES,
+    ),
+)
+def quality_counts(spark, sf):
+    return P.quality_counts(_flagged(spark, sf), ["verbatim", "known", "tagged"])

@@ -174,26 +174,24 @@ def dictionary_lookup(spark, sf):
 # ------------------------------------------------------------ segmentation
 SQL_SEGMENT = f"""toks AS (SELECT key, unit AS text_unit, {sql_words('text')} AS u FROM seg_rows),
   grams AS (SELECT key, text_unit, unnest(range(len(u))) AS idx, u FROM toks),
-  hits AS (SELECT key, idx, p.word, p.n, row_number() OVER (PARTITION BY key, idx ORDER BY length(p.word) DESC, p.seq) AS r FROM grams g
-    JOIN phrases p ON p.unit <= g.text_unit AND (p.word = g.u[g.idx + 1] OR p.word = g.u[g.idx + 1] || ' ' || g.u[g.idx + 2])),
+  runs AS (SELECT key, text_unit, idx, u[idx + 1] AS w FROM grams UNION ALL SELECT key, text_unit, idx, u[idx + 1] || ' ' || u[idx + 2] FROM grams WHERE idx + 2 <= len(u)),
+  hits AS (SELECT key, idx, p.word, p.n, row_number() OVER (PARTITION BY key, idx ORDER BY length(p.word) DESC, p.seq) AS r FROM runs g
+    JOIN phrases p ON p.word = g.w AND p.unit <= g.text_unit),
   best AS (SELECT key, idx, word, n FROM hits WHERE r = 1),
-  walk(key, idx, tags) AS (SELECT key, 0::BIGINT, []::VARCHAR[] FROM toks
-    UNION ALL SELECT w.key, w.idx + b.n, list_append(w.tags, b.word) FROM walk w JOIN best b ON b.key = w.key AND b.idx = w.idx),
-  segmented AS (SELECT t.key, w.tags FROM toks t LEFT JOIN walk w ON w.key = t.key AND w.idx = len(t.u))"""
+  walked AS (SELECT key, list_reduce(list({{'pos': idx, 'n': n, 'tags': [word]}} ORDER BY idx),
+      lambda s, x: CASE WHEN x.pos = s.pos THEN {{'pos': x.pos + x.n, 'n': 0::BIGINT, 'tags': list_concat(s.tags, x.tags)}} ELSE s END,
+      {{'pos': 0::BIGINT, 'n': 0::BIGINT, 'tags': []::VARCHAR[]}}) AS r FROM best GROUP BY key),
+  segmented AS (SELECT t.key, CASE WHEN len(t.u) = 0 THEN []::VARCHAR[] WHEN w.r.pos = len(t.u) THEN w.r.tags END AS tags FROM toks t LEFT JOIN walked w ON w.key = t.key)"""
 _SEG_ROWS = "seg_rows AS (SELECT doc_id || ':' || pos AS key, CAST(3 + doc_id % 13 AS INTEGER) AS unit, lower(text) AS text FROM doc_sentences)"
 
 
-def _recursive(statement: str) -> str:
-    return statement.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 def seg_rows(spark, sf):
     return B.doc_sentences(spark, sf).select(
         F.concat_ws(":", "doc_id", "pos").alias("key"), (3 + F.col("doc_id") % 13).cast("int").alias("unit"), F.lower("text").alias("text")
     )
 
 
-@query("segment_text", _recursive(sql(["doc_sentences", "phrases"], "SELECT key, array_to_string(tags, '|') AS tags FROM segmented", _SEG_ROWS, SQL_SEGMENT)))
+@query("segment_text", (sql(["doc_sentences", "phrases"], "SELECT key, array_to_string(tags, '|') AS tags FROM segmented", _SEG_ROWS, SQL_SEGMENT)))
 def segment_text(spark, sf):
     return G.segment(seg_rows(spark, sf), B.phrase_lexicon(spark, sf), "key", C.LATIN).select("key", F.array_join("tags", "|").alias("tags"))
 
@@ -201,7 +199,7 @@ def segment_text(spark, sf):
 # Tags as given by the extractor: right, reversed, or none.
 SQL_GIVEN = f"""given AS (SELECT key, unit, text, CASE length(key) % 3 WHEN 0 THEN {sql_words('text')} WHEN 1 THEN list_reverse({sql_words('text')}) ELSE []::VARCHAR[] END AS tags FROM seg_rows),
   judged AS (SELECT g.*, len(tags) > 0 AND array_to_string(tags, ' ') = array_to_string({sql_words('text')}, ' ')
-      AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(g.tags) AS t) x LEFT JOIN phrases p ON p.word = x.t WHERE p.word IS NULL OR p.unit > g.unit) AS valid FROM given g)"""
+      AND g.key NOT IN (SELECT key FROM (SELECT key, unit, unnest(tags) AS t FROM given) x LEFT JOIN phrases p ON p.word = x.t WHERE p.word IS NULL OR p.unit > x.unit) AS valid FROM given g)"""
 
 
 def given_tags(spark, sf):
@@ -225,7 +223,7 @@ SQL_SPOKEN = r"""chosen AS (SELECT j.key, CASE WHEN valid THEN j.tags ELSE s.tag
         ELSE reading END, ' ' ORDER BY idx) AS romanised FROM read GROUP BY key)"""
 
 
-@query("tag_and_romanise", _recursive(sql(["doc_sentences", "phrases"], "SELECT * FROM spoken", _SEG_ROWS, SQL_SEGMENT, SQL_GIVEN, SQL_SPOKEN)))
+@query("tag_and_romanise", (sql(["doc_sentences", "phrases"], "SELECT * FROM spoken", _SEG_ROWS, SQL_SEGMENT, SQL_GIVEN, SQL_SPOKEN)))
 def tag_and_romanise(spark, sf):
     rows = G.tag_and_romanise(given_tags(spark, sf), B.phrase_lexicon(spark, sf), "key", C.LATIN, negation="the", one="and")
     return rows.select("key", F.array_join("tags", "|").alias("tags"), "romanised")
