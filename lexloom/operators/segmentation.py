@@ -64,12 +64,8 @@ def phrase_lexicon(lexicon: DataFrame, script: C.Script = C.CJK) -> DataFrame:
     ).where("length > 0")
 
 
-def segment(texts: DataFrame, lexicon: DataFrame, key: str, script: C.Script = C.CJK) -> DataFrame:
-    """Longest-match segmentation with the words known by the text's unit.
-
-    Adds ``tags``: the words in order, or null if any position has no match.
-    There is no going back: a dead end is null even if another split exists.
-    """
+def _matches(texts: DataFrame, lexicon: DataFrame, key: str, script: C.Script) -> DataFrame:
+    """Per text all words that match somewhere, ordered by place and preference."""
     words = phrase_lexicon(lexicon, script)
     units = texts.select(
         key,
@@ -90,43 +86,64 @@ def segment(texts: DataFrame, lexicon: DataFrame, key: str, script: C.Script = C
     positions = F.transform("units", lambda _, i: i)
     grams = units.select(key, "text_unit", F.explode(F.flatten(F.transform(positions, runs))).alias("g"))
     hits = grams.select(key, "text_unit", "g.*").join(words, "phrase").where("unit <= text_unit")
-    order = F.struct(F.length("word"), -F.col("seq"))
-    best = hits.groupBy(key, "at").agg(F.max_by(F.struct("word", "length"), order).alias("best"))
-    matches = best.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("at", "best.word", "best.length"))).alias("matches")
+    reading = F.col("reading") if "reading" in lexicon.columns else F.lit(None).cast("string")
+    hit = F.struct(
+        "at", (-F.length("word")).alias("shorter"), "seq", "word", "length", reading.alias("reading")
     )
+    return hits.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("matches"))
+
+
+def segment(texts: DataFrame, lexicon: DataFrame, key: str, script: C.Script = C.CJK) -> DataFrame:
+    """Longest-match segmentation with the words known by the text's unit.
 
+    Adds ``tags`` and ``readings``: the words in order and how they are read, or
+    null if any position has no match. There is no going back: a dead end is
+    null even if another split exists.
+    """
     def walk(state: Column, hit: Column) -> Column:
+        # Of several matches at one place the first moves on, so the others are passed over.
         here = state["at"] == hit["at"]
         return F.struct(
             F.when(here, hit["at"] + hit["length"]).otherwise(state["at"]).alias("at"),
-            F.when(here, F.concat(state["tags"], F.array(hit["word"]))).otherwise(state["tags"]).alias("tags"),
+            F.when(here, F.concat(state["hits"], F.array(F.struct(hit["word"].alias("word"), hit["reading"].alias("reading"))))).otherwise(state["hits"]).alias("hits"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("tags"))
-    walked = units.join(matches, key, "left").select(
-        key,
-        F.size("units").alias("_n"),
-        F.when(F.col("matches").isNull(), start).otherwise(F.aggregate("matches", start, walk)).alias("w"),
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,reading:string>>").alias("hits"))
+    joined = texts.drop("tags", "readings").join(_matches(texts, lexicon, key, script), key, "left")
+    walked = joined.withColumn(
+        "w", F.when(F.col("matches").isNull(), start).otherwise(F.aggregate("matches", start, walk))
     )
-    result = walked.select(key, F.when(F.col("w.at") == F.col("_n"), F.col("w.tags")).alias("tags"))
-    return texts.join(result, key, "left")
+    whole = F.col("w.at") == F.size(script_units(F.col("text"), script))
+    done = walked.withColumn("hits", F.when(whole, F.col("w.hits")))
+    return done.withColumns(
+        {"tags": F.transform("hits", lambda h: h["word"]), "readings": F.transform("hits", lambda h: h["reading"])}
+    ).drop("w", "hits", "matches")
 
 
 def validate_tags(rows: DataFrame, lexicon: DataFrame, key: str, script: C.Script = C.CJK) -> DataFrame:
-    """Add ``valid``: tags are not empty, all known by the unit, and spell the text."""
-    words = lexicon.groupBy(F.col("word").alias("tag")).agg(F.min("unit").alias("_first"))
-    tags = rows.select(key, "unit", F.explode("tags").alias("tag"))
+    """Add ``valid``: tags are not empty, all known by the unit, and spell the text.
+
+    ``readings`` holds how the tags are read.
+    """
+    reading = F.col("reading") if "reading" in lexicon.columns else F.lit(None).cast("string")
+    words = lexicon.groupBy(F.col("word").alias("tag")).agg(
+        F.min("unit").alias("_first"), F.min_by(reading, F.col("seq")).alias("_reading")
+    )
+    tags = rows.select(key, "unit", F.posexplode("tags").alias("at", "tag"))
     checked = tags.join(words, "tag", "left").groupBy(key).agg(
-        F.bool_and(F.coalesce(F.col("_first") <= F.col("unit"), F.lit(False))).alias("_allowed")
+        F.bool_and(F.coalesce(F.col("_first") <= F.col("unit"), F.lit(False))).alias("_allowed"),
+        F.array_sort(F.collect_list(F.struct("at", "_reading"))).alias("_read"),
     )
+
     def spelled(text: Column) -> Column:
         return F.array_join(script_units(text, script), script.joiner)
 
     same = F.array_join(F.transform("tags", spelled), script.joiner) == spelled(F.col("text"))
     joined = rows.join(checked, key, "left")
     valid = (F.size("tags") > 0) & F.col("_allowed") & same
-    return joined.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("_allowed")
+    return joined.withColumns(
+        {"valid": F.coalesce(valid, F.lit(False)), "readings": F.transform("_read", lambda x: x["_reading"])}
+    ).drop("_allowed", "_read")
 
 
 def tag_and_romanise(
@@ -138,15 +155,24 @@ def tag_and_romanise(
     one: str = "一",
 ) -> DataFrame:
     """Given tags if valid, else the segmentation, else the row is dropped; plus the reading."""
-    given = validate_tags(rows, lexicon, key, script)
-    found = segment(given.where(~F.col("valid")).drop("tags", "valid"), lexicon, key, script)
+    found = segment(rows.select(key, "unit", "text"), lexicon, key, script).select(
+        key, F.col("tags").alias("_tags"), F.col("readings").alias("_readings")
+    )
+    if "tags" in rows.columns:
+        given = validate_tags(rows, lexicon, key, script)
+        both = given.join(found, key)
+        tagged = both.withColumns(
+            {
+                "tags": F.when(F.col("valid"), F.col("tags")).otherwise(F.col("_tags")),
+                "readings": F.when(F.col("valid"), F.col("readings")).otherwise(F.col("_readings")),
+            }
+        ).drop("valid")
+    else:
+        tagged = rows.join(found, key).withColumns({"tags": F.col("_tags"), "readings": F.col("_readings")})
     # An empty segmentation (a text without script) is no valid tagging.
-    tagged = given.where("valid").drop("valid").unionByName(found.where(F.size("tags") > 0))
-    readings = lexicon.groupBy(F.col("word").alias("tag")).agg(F.min_by("reading", "seq").alias("reading"))
-    parts = tagged.select(key, F.posexplode("tags").alias("at", "tag")).join(readings, "tag")
-    ordered = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "reading"))).alias("r"))
-    spoken = sandhi_word_tags(F.col("tags"), F.transform("r", lambda x: x["reading"]), negation, one)
-    return tagged.join(ordered, key).withColumn("romanised", F.array_join(spoken, " ")).drop("r")
+    kept = tagged.where(F.size("tags") > 0).drop("_tags", "_readings")
+    spoken = sandhi_word_tags(F.col("tags"), F.col("readings"), negation, one)
+    return kept.withColumn("romanised", F.array_join(spoken, " ")).drop("readings")
 
 
 def word_units(text: Column, tags: Column, script: C.Script = C.CJK) -> Column:

@@ -26,8 +26,6 @@ def flag_stages(
     checked = containment.flag_verbatim(sentences, docs, doc_keys)
     gated = segmentation.flag_vocab_gate(checked, lexicon, script, text)
     alive = gated.where(F.col("verbatim") & F.col("known"))
-    if "tags" not in sentences.columns:
-        alive = alive.withColumn("tags", F.array().cast("array<string>"))
     spoken = segmentation.tag_and_romanise(
         alive.withColumn("text", F.col("text") if text is None else text), lexicon, key, script, **sandhi
     )
