@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.text import sentences_of
 from lexloom.operators import questions as Q
@@ -121,17 +122,17 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return unnest(d, F.split("text", "\n"), ["doc_id", "lang", "source"], "line", at="line_no")
 
 
 def doc_sentences(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select("doc_id", "lang", "source", F.posexplode(sentences_of(F.col("text"))).alias("pos", "text"))
+    return unnest(d, sentences_of(F.col("text")), ["doc_id", "lang", "source"], "text", at="pos")
 
 
 def benchmark_sentences(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
-    return b.select("item_id", F.posexplode(sentences_of(F.col("text"))).alias("pos", "text"))
+    return unnest(b, sentences_of(F.col("text")), ["item_id"], "text", at="pos")
 
 
 def words_of(text: Column) -> Column:
@@ -142,8 +143,8 @@ def phrase_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """Words and two-word phrases of the benchmark texts, taught unit by unit."""
     b = table(spark, sf, "benchmark").select("item_id", words_of(F.col("text")).alias("w"))
     pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(0))), lambda x, y: F.concat_ws(" ", x, F.when(y.isNotNull(), y)))
-    singles = b.select("item_id", F.posexplode("w").alias("at", "word"), F.lit(0).alias("n"))
-    doubles = b.select("item_id", F.posexplode(pairs).alias("at", "word"), F.lit(1).alias("n")).where(F.col("word").contains(" "))
+    singles = unnest(b, "w", ["item_id", F.lit(0).alias("n")], "word", at="at")
+    doubles = unnest(b, pairs, ["item_id", F.lit(1).alias("n")], "word", at="at").where(F.col("word").contains(" "))
     seen = singles.unionByName(doubles)
     place = F.min(F.col("item_id") * 1_000_000 + F.col("at") * 2 + F.col("n"))
     rows = seen.groupBy("word").agg(place.alias("seq"), F.min("item_id").alias("first"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.catalog import bindings as B
 from lexloom.catalog.bindings import LEARNER, sql, sql_strip, sql_words
@@ -31,7 +32,7 @@ def candidates(spark, sf):
 
     d = B.table(spark, sf, "documents")
     flat = F.replace("text", F.lit("\n"), F.lit(" "))
-    rows = d.select("doc_id", "lang", "source", F.posexplode(sentences_of(flat)).alias("i", "text"))
+    rows = unnest(d, sentences_of(flat), ["doc_id", "lang", "source"], "text", at="i")
     moved = F.when(F.col("i") % 4 == 3, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
     return rows.select(moved.alias("doc_id"), "lang", "source", F.concat_ws(":", "doc_id", "i").alias("key"), "text")
 
@@ -148,7 +149,7 @@ _DOC_WORDS = f"doc_words AS (SELECT DISTINCT unnest({sql_words('text')}) AS word
 )
 def tag_containment(spark, sf):
     texts = B.benchmark_sentences(spark, sf).select(F.concat_ws(":", "item_id", "pos").alias("key"), "text")
-    words = B.table(spark, sf, "documents").select(F.explode(F.array_distinct(B.words_of(F.col("text")))).alias("word"))
+    words = unnest(B.table(spark, sf, "documents"), F.array_distinct(B.words_of(F.col("text"))), [], "word")
     found = K.contained_words(texts, words, "key").groupBy("key").agg(F.collect_set("word").alias("w"))
     return found.select("key", F.array_join(K.question_tags(F.col("w"), F.lit("speaking sentence"), F.lit(7)), " ").alias("tags"))
 
@@ -307,7 +308,7 @@ def audio_worklist(spark, sf):
     sql([*LEARNER, "types"], "SELECT user_id, tag, question_type, tier, priority FROM strength JOIN types ON unlock <= correct_count"),
 )
 def candidate_types(spark, sf):
-    rows = B.strength(spark, sf).select("user_id", "tag", F.explode(sessions.unlocked_types(F.col("correct_count"))).alias("t"))
+    rows = unnest(B.strength(spark, sf), sessions.unlocked_types(F.col("correct_count")), ["user_id", "tag"], "t")
     return rows.select("user_id", "tag", "t.question_type", "t.tier", "t.priority")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.catalog import bindings as B
 from lexloom.catalog.bindings import sql, sql_gapped, sql_strip, sql_words
@@ -339,7 +340,7 @@ def conv_sentences(spark, sf):
     from lexloom.functions.text import sentences_of
 
     c = B.table(spark, sf, "conversations")
-    rows = c.select("conv_id", "turn", "role", F.posexplode(sentences_of(F.col("text"))).alias("i", "text"))
+    rows = unnest(c, sentences_of(F.col("text")), ["conv_id", "turn", "role"], "text", at="i")
     return rows.select(
         F.concat_ws(":", "conv_id", "turn", "i").alias("key"), (3 + F.col("turn") % 3).cast("int").alias("unit"), F.col("role").alias("gloss"), "text"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.catalog import bindings as B
 from lexloom.catalog.bindings import sql, sql_spoken, sql_strip, sql_words
@@ -117,7 +118,7 @@ def clauses(spark, sf):
     """Pieces of documents up to a stop or comma, with a gloss that may break off too."""
     found = F.regexp_extract_all("text", F.lit(r"[^.,\n]++(?:[.,] ?)?"), F.lit(0))
     found = F.filter(found, lambda c: c.rlike("[.,] ?$"))
-    rows = B.table(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("pos", "text"))
+    rows = unnest(B.table(spark, sf, "documents"), found, ["doc_id"], "text", at="pos")
     return rows.withColumn("gloss", F.when(F.col("pos") % 5 == 0, F.lit("so, ")).when(F.col("pos") % 5 != 1, F.lit("so.")))
 
 
@@ -278,7 +279,7 @@ _VOWELS = "aeiouvü" + C.TONE_MARKED
 )
 def diacritic_to_numeric(spark, sf):
     found = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ][a-zà-ÿ1-9'-]*"), F.lit(0))
-    words = B.table(spark, sf, "documents").select(F.explode(found).alias("word")).distinct()
+    words = unnest(B.table(spark, sf, "documents"), found, [], "word").distinct()
     return words.select("word", R.diacritic_to_numeric(F.col("word")).alias("numeric"))
 
 
@@ -340,7 +341,7 @@ def variant_match(spark, sf):
     sql(["doc_lines"], "SELECT doc_id, count(*) FILTER (length(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) <= 2) AS n_short FROM (SELECT doc_id, unnest(string_split(line, ' ')) AS w FROM doc_lines) GROUP BY doc_id"),
 )
 def is_short_answer(spark, sf):
-    words = B.doc_lines(spark, sf).select("doc_id", F.explode(F.split("line", " ")).alias("w"))
+    words = unnest(B.doc_lines(spark, sf), F.split("line", " "), ["doc_id"], "w")
     return words.groupBy("doc_id").agg(F.count_if(T.is_short_answer(F.col("w"))).alias("n_short"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.text import BLANK, cloze_questions, script_units
 from lexloom.operators.containment import contained_words
@@ -14,7 +15,7 @@ def expand(items: DataFrame, blanked: str = "blanked", answers: str = "answers",
     """One single-blank question per blank."""
     keep = [c for c in items.columns if c not in (blanked, answers, gloss)]
     found = cloze_questions(F.col(blanked), F.col(answers), F.col(gloss))
-    return items.select(*keep, F.posexplode(found).alias("blank_no", "q")).select(*keep, "blank_no", "q.*")
+    return unnest(items, found, keep, "q", at="blank_no").select(*keep, "blank_no", "q.*")
 
 
 def generate(sentences: DataFrame, markers: DataFrame, key: str) -> DataFrame:
@@ -38,7 +39,7 @@ def validate_filled(filled: DataFrame, unit_text: DataFrame, key: str, script: C
     clean = filled.where(
         ~F.col("text").contains("/") & ~F.col("text").contains("……") & ~F.col("text").contains(BLANK)
     )
-    taught = unit_text.select("unit", F.explode(F.array_distinct(script_units(F.col("text"), script))).alias("tok")).distinct()
-    used = clean.select(key, "unit", F.explode(F.array_distinct(script_units(F.col("text"), script))).alias("tok"))
+    taught = unnest(unit_text, F.array_distinct(script_units(F.col("text"), script)), ["unit"], "tok").distinct()
+    used = unnest(clean, F.array_distinct(script_units(F.col("text"), script)), [key, "unit"], "tok")
     foreign = used.join(taught, ["unit", "tok"], "left_anti").select(key).distinct()
     return clean.join(foreign, key, "left_anti")

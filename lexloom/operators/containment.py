@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.text import BLANK, normalize_punct, normalize_width, quote, slug
 
@@ -67,7 +68,7 @@ def ngrams(texts: DataFrame, text: str, lengths: DataFrame, keep: list[str]) ->
         return F.transform(starts, lambda i: F.substring(F.col(text), i, n))
 
     grams = F.array_distinct(F.flatten(F.transform("_sizes", of_length)))
-    return sized.select(*keep, F.explode(grams).alias("word"))
+    return unnest(sized, grams, keep, "word")
 
 
 def contained_words(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text") -> DataFrame:

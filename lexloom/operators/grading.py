@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.romanise import with_tones_match
 from lexloom.functions.scalars import content_key
@@ -27,7 +28,7 @@ def readings_of(texts: DataFrame, readings: DataFrame, overrides: dict[str, str]
     broadcast when small; a character without a reading stands for itself.
     """
     bare = texts.select("text").distinct().withColumn("bare", F.regexp_replace("text", _PUNCT, ""))
-    chars = bare.select("text", F.posexplode(F.regexp_extract_all("bare", F.lit("(?s)."), F.lit(0))).alias("at", "char"))
+    chars = unnest(bare, F.regexp_extract_all("bare", F.lit("(?s)."), F.lit(0)), ["text"], "char", at="at")
     read = chars.join(readings.select("char", "reading"), "char", "left").select(
         "text", "at", F.coalesce(_override(F.col("char"), overrides), "reading", "char").alias("r")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.text import slug
 from lexloom.operators.containment import content_tags
@@ -30,7 +31,7 @@ def expand_items(items: DataFrame) -> DataFrame:
     plan = F.when(F.col("kind") == "vocab", questions("vocab"))
     for kind in list(C.QUESTION_PLAN)[1:]:
         plan = plan.when(F.col("kind") == kind, questions(kind))
-    rows = items.withColumn("q", F.explode(plan)).drop("question", "answer")
+    rows = unnest(items, plan, ["*"], "q").drop("question", "answer")
     return rows.select("*", "q.*").drop("q")
 
 
@@ -46,7 +47,7 @@ def add_ids(questions: DataFrame) -> DataFrame:
 
 def question_tags(questions: DataFrame) -> DataFrame:
     """One row per question and content tag."""
-    return questions.withColumn("tag", F.explode(content_tags(F.col("tags"))))
+    return unnest(questions, content_tags(F.col("tags")), ["*"], "tag")
 
 
 def posting_blocks(tagged: DataFrame, block_size: int = 1024) -> DataFrame:

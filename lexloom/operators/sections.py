@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.text import (
     BLANK,
@@ -85,7 +86,7 @@ def extract_templates(docs: DataFrame, text: str = "text", script: C.Script = C.
         ),
     )
     keep = [c for c in docs.columns if c != text]
-    return kept.select(*keep, F.posexplode("found").alias("seq", "template"))
+    return unnest(kept, "found", keep, "template", at="seq")
 
 
 def drop_sections(
@@ -107,8 +108,9 @@ def table_rows(docs: DataFrame, text: str = "text", proper: list[str] = ("Proper
     """Rows of the index tables; header, rule and letter divider rows are skipped."""
     keep = [c for c in docs.columns if c != text]
     marked = _marked_lines(docs, text, lambda line: F.when(line.rlike("^## "), contains_any(line, list(proper))))
-    parts = marked.select(*keep, F.explode(F.transform("marks", lambda m: F.struct(m["mark"].alias("proper"), m["i"].alias("first"), _line_run(m).alias("rows")))).alias("s"))
-    rows = parts.select(*keep, "s.proper", "s.first", F.posexplode("s.rows").alias("n", "line")).where(
+    runs = F.transform("marks", lambda m: F.struct(m["mark"].alias("proper"), m["i"].alias("first"), _line_run(m).alias("rows")))
+    parts = unnest(marked, runs, keep, "s")
+    rows = unnest(parts, "s.rows", [*keep, "s.proper", "s.first"], "line", at="n").where(
         F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"^[\s|:\-]+$")
     )
     # The text before the first and after the last bar is no cell.
@@ -144,13 +146,13 @@ def find_cloze(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every sentence with a printed blank, all blank shapes as ``___``."""
     keep = [c for c in docs.columns if c != text]
     found = F.filter(runs_of(normalize_blanks(F.col(text))), lambda r: r.contains(BLANK))
-    return docs.select(*keep, F.posexplode(F.transform(found, strip)).alias("seq", "blanked"))
+    return unnest(docs, F.transform(found, strip), keep, "blanked", at="seq")
 
 
 def find_sentences(docs: DataFrame, text: str = "text", script: C.Script = C.CJK) -> DataFrame:
     """Complete sentences without blanks, ellipses, slash alternatives or name hints."""
     keep = [c for c in docs.columns if c != text]
-    rows = docs.select(*keep, F.posexplode(sentences_of(F.col(text))).alias("seq", "sentence"))
+    rows = unnest(docs, sentences_of(F.col(text)), keep, "sentence", at="seq")
     s = F.col("sentence")
     slash = rf"[{script.chars}][/／][{script.chars}]"
     return rows.where(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.romanise import sandhi_word_tags
 from lexloom.functions.text import script_only, script_units
@@ -22,7 +23,7 @@ def known_word_counts(lexicon: DataFrame, units: DataFrame) -> DataFrame:
 
 def first_units(lexicon: DataFrame, script: C.Script = C.CJK) -> DataFrame:
     """Unit in which each character is first taught; no larger than the script."""
-    chars = lexicon.select("unit", F.explode(F.array_distinct(F.split(script_only(F.col("word"), script), ""))).alias("ch"))
+    chars = unnest(lexicon, F.array_distinct(F.split(script_only(F.col("word"), script), "")), ["unit"], "ch")
     return chars.where("ch <> ''").groupBy("ch").agg(F.min("unit").alias("unit"))
 
 
@@ -84,7 +85,7 @@ def _matches(texts: DataFrame, lexicon: DataFrame, key: str, script: C.Script) -
         )
 
     positions = F.transform("units", lambda _, i: i)
-    grams = units.select(key, "text_unit", F.explode(F.flatten(F.transform(positions, runs))).alias("g"))
+    grams = unnest(units, F.flatten(F.transform(positions, runs)), [key, "text_unit"], "g")
     hits = grams.select(key, "text_unit", "g.*").join(words, "phrase").where("unit <= text_unit")
     reading = F.col("reading") if "reading" in lexicon.columns else F.lit(None).cast("string")
     hit = F.struct(
@@ -129,7 +130,7 @@ def validate_tags(rows: DataFrame, lexicon: DataFrame, key: str, script: C.Scrip
     words = lexicon.groupBy(F.col("word").alias("tag")).agg(
         F.min("unit").alias("_first"), F.min_by(reading, F.col("seq")).alias("_reading")
     )
-    tags = rows.select(key, "unit", F.posexplode("tags").alias("at", "tag"))
+    tags = unnest(rows, "tags", [key, "unit"], "tag", at="at")
     checked = tags.join(words, "tag", "left").groupBy(key).agg(
         F.bool_and(F.coalesce(F.col("_first") <= F.col("unit"), F.lit(False))).alias("_allowed"),
         F.array_sort(F.collect_list(F.struct("at", "_reading"))).alias("_read"),

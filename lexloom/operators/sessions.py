@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.scalars import hash_bucket, seeded_order
 from lexloom.operators import strength as S
@@ -108,7 +109,7 @@ def learning_candidates(
     """Tags of the current unit with a strength row, times the types unlocked for them."""
     own = users.select("user_id", F.col("current_unit").alias("unit")).join(unit_tags, "unit")
     known = own.join(strength.select("user_id", "tag", "correct_count"), ["user_id", "tag"])
-    typed = known.withColumn("t", F.explode(unlocked_types(F.col("correct_count"), rules)))
+    typed = unnest(known, unlocked_types(F.col("correct_count"), rules), ["*"], "t")
     easy = (F.col("t.tier") == 1) & (F.col("correct_count") >= rules.easy_after)
     count = F.when(easy, F.greatest("correct_count", F.lit(rules.easy_count))).otherwise(F.col("correct_count"))
     return typed.select("user_id", "unit", "tag", "correct_count", "t.question_type", "t.priority", count.alias("effective_count"))

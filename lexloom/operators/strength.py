@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.scalars import retention
 from lexloom.operators.containment import content_tags
@@ -194,8 +195,8 @@ def apply_answers(answers: DataFrame, seeds: DataFrame, rules: C.Rules = C.RULES
 def batch_answers(batches: DataFrame) -> DataFrame:
     """Submitted batches (parallel arrays of questions and results) to answers per tag."""
     pairs = F.arrays_zip(F.col("list_of_question_data").alias("q"), F.col("is_correct").alias("ok"))
-    each = batches.select("user_id", "ts", F.posexplode(pairs).alias("pos", "a"))
-    tags = each.select("user_id", "ts", "pos", "a.ok", F.posexplode(content_tags(F.col("a.q.tags"))).alias("tag_no", "tag"))
+    each = unnest(batches, pairs, ["user_id", "ts"], "a", at="pos")
+    tags = unnest(each, content_tags(F.col("a.q.tags")), ["user_id", "ts", "pos", "a.ok"], "tag", at="tag_no")
     return tags.select(
         "user_id", "tag", "ts", (F.col("pos") * 4096 + F.col("tag_no")).cast("long").alias("seq"), F.col("ok").alias("is_correct")
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.functions.text import json_block
 
@@ -28,8 +29,8 @@ def unit_map(docs: DataFrame, body: str = "body", record: str = QUESTION) -> Dat
     """``{unit: [record, ...]}`` to rows of ``unit``, ``seq`` and the record's fields."""
     keep = [c for c in docs.columns if c != body]
     parsed = F.from_json(body, f"map<string,array<{record}>>")
-    units = docs.select(*keep, F.explode(parsed).alias("unit", "records"))
-    rows = units.select(*keep, F.col("unit").cast("int").alias("unit"), F.posexplode("records").alias("seq", "r"))
+    units = unnest(docs, parsed, keep, "unit", "records")
+    rows = unnest(units, "records", [*keep, F.col("unit").cast("int").alias("unit")], "r", at="seq")
     return rows.select(*keep, "unit", "seq", "r.*")
 
 
@@ -44,8 +45,8 @@ def sections(docs: DataFrame, body: str = "body") -> DataFrame:
             for rank, (name, kind) in enumerate(C.SECTIONS)
         ]
     )
-    parts = doc.select(*keep, F.explode(each).alias("s"))
-    rows = parts.select(*keep, "s.section_rank", "s.type", F.posexplode("s.rows").alias("seq", "r"))
+    parts = unnest(doc, each, keep, "s")
+    rows = unnest(parts, "s.rows", [*keep, "s.section_rank", "s.type"], "r", at="seq")
     return rows.select(
         *keep,
         "section_rank",
@@ -63,7 +64,7 @@ def dictionary(docs: DataFrame, body: str = "body", entry: str = DICTIONARY_ENTR
     """A flat ``{word: entry}`` object to rows."""
     keep = [c for c in docs.columns if c != body]
     parsed = F.from_json(body, f"map<string,{entry}>")
-    rows = docs.select(*keep, F.explode(parsed).alias("word", "e"))
+    rows = unnest(docs, parsed, keep, "word", "e")
     return rows.select(*keep, "word", "e.*") if entry.startswith("struct") else rows.withColumnRenamed("e", "value")
 
 

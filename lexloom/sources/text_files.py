@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.rows import unnest
 from lexloom.functions.text import strip
 from lexloom.operators.ordering import next_within
 
@@ -22,7 +23,7 @@ def read_course_text(spark: SparkSession, path: str) -> DataFrame:
 def lines(docs: DataFrame, text: str = "text", keep_blank: bool = False) -> DataFrame:
     """One row per line, numbered from 0 and stripped."""
     keep = [c for c in docs.columns if c != text]
-    rows = docs.select(*keep, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    rows = unnest(docs, F.split(text, "\n"), keep, "line", at="line_no")
     rows = rows.withColumn("line", strip(F.col("line")))
     return rows if keep_blank else rows.where("line <> ''")
 
