@@ -103,6 +103,11 @@ def strength(spark: SparkSession, sf: str) -> DataFrame:
     return S.apply_answers(answers(spark, sf), seeds(spark, sf))
 
 
+def stored_strength(spark: SparkSession, sf: str) -> DataFrame:
+    """Strength as a stored table, for jobs that read it more than once."""
+    return store.materialise(strength(spark, sf), "strength")
+
+
 # ------------------------------------------------------------ content
 def entries(spark: SparkSession, sf: str) -> DataFrame:
     """Lexicon entries: a word occurs many times, in several units and sections."""

@@ -243,7 +243,7 @@ _WEAK = f"""weak AS (SELECT user_id, count(*) AS n_weak FROM ({_SCORES.format(hi
 def route_session(spark, sf):
     from lexloom.operators.sessions import route
 
-    return route(B.users(spark, sf), B.unit_tags(spark, sf), B.strength(spark, sf), B.tag_units(spark, sf), B.now(spark, sf))
+    return route(B.users(spark, sf), B.unit_tags(spark, sf), B.stored_strength(spark, sf), B.tag_units(spark, sf), B.now(spark, sf))
 
 
 @query("csv_set", sql([], """SELECT c_custkey, array_to_string(list_transform(s, lambda x: CAST(x AS VARCHAR)), ',') AS units, CAST(len(s) AS INTEGER) AS n

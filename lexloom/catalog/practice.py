@@ -12,6 +12,7 @@ from lexloom.operators import progress as P
 from lexloom.operators import sessions as S
 from lexloom.operators import strength as M
 from lexloom.operators.ordering import top_per_key
+from lexloom.sources.store import materialise
 
 SEED = "s1"
 _CANDIDATES = """candidates AS (SELECT u.user_id, u.current_unit AS unit, x.tag, s.correct_count, t.question_type, t.priority,
@@ -47,8 +48,13 @@ def _shuffled(rows: str, kind: str) -> str:
     return f"""SELECT user_id, '{kind}' AS session_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY md5('{SEED}:' || user_id || ':' || id)) - 1 AS INTEGER) AS pos, question_type, id, {{more}} FROM {rows}"""
 
 
-def _learner(spark, sf):
-    return B.users(spark, sf), B.unit_tags(spark, sf), B.strength(spark, sf)
+def _learner(spark, sf, stored=False):
+    strength = B.stored_strength(spark, sf) if stored else B.strength(spark, sf)
+    return B.users(spark, sf), B.unit_tags(spark, sf), strength
+
+
+def _pool(spark, sf):
+    return materialise(S.question_pool(B.tagged_bank(spark, sf)), "pool")
 
 
 @query(
@@ -87,14 +93,14 @@ def cap_per_group(spark, sf):
 
 @query("learning_session", sql([*LEARNER, "types"], _shuffled("learning", "practice_session").format(more="tag, unit"), _CANDIDATES, _POOL, _LEARNING))
 def learning_session(spark, sf):
-    return S.learning_session(*_learner(spark, sf), S.question_pool(B.tagged_bank(spark, sf)), SEED)
+    return S.learning_session(*_learner(spark, sf), _pool(spark, sf), SEED)
 
 
 @query("srs_review", sql([*LEARNER, "types"], _shuffled("review", "practice_session").format(more="tag, unit"), _POOL, _REVIEW))
 def srs_review(spark, sf):
     users, _, strength = _learner(spark, sf)
     scored = M.scores(strength, users, B.tag_units(spark, sf), B.now(spark, sf), F.lit(3), F.lit(99))
-    return S.review_session(scored, S.question_pool(B.tagged_bank(spark, sf)), S.question_types(spark), SEED)
+    return S.review_session(scored, _pool(spark, sf), S.question_types(spark), SEED)
 
 
 _ROUTES = """routes AS (SELECT u.user_id, u.current_unit, CASE WHEN len(graduated_units) > 0 AND coalesce(n_weak, 0) > 0 THEN 'review' WHEN ready THEN 'unit_test' ELSE 'learning' END AS route
@@ -110,7 +116,7 @@ _ALL = (
 
 @query("shuffle", sql([*LEARNER, "types"], _ALL, _CANDIDATES, _POOL, _LEARNING, _REVIEW, _TESTS, _WORDS, _READY, _WEAK, _ROUTES))
 def shuffle(spark, sf):
-    users, unit_tags, strength = _learner(spark, sf)
+    users, unit_tags, strength = _learner(spark, sf, stored=True)
     return S.build_sessions(
         users, B.tagged_bank(spark, sf), unit_tags, strength, B.tag_units(spark, sf), S.question_types(spark), B.now(spark, sf), SEED
     )
@@ -126,8 +132,8 @@ def shuffle(spark, sf):
     ),
 )
 def session_debug(spark, sf):
-    users, unit_tags, strength = _learner(spark, sf)
-    session = S.learning_session(users, unit_tags, strength, S.question_pool(B.tagged_bank(spark, sf)), SEED)
+    users, unit_tags, strength = _learner(spark, sf, stored=True)
+    session = S.learning_session(users, unit_tags, strength, _pool(spark, sf), SEED)
     found = session.groupBy("user_id").agg(F.count("*").alias("n"), F.collect_set("question_type").alias("types"))
     ready = P.unit_ready(users, unit_tags, strength)
     return ready.join(found, "user_id", "left").select(

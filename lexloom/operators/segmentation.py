@@ -45,13 +45,19 @@ def flag_vocab_gate(
 ) -> DataFrame:
     """Add ``known``: all characters of the text are taught by the row's unit.
 
-    One string per unit is joined instead of one row per character, so the
-    texts are neither exploded nor shuffled.
+    The known characters of each unit of the lexicon are one value, no larger
+    than units times script, that every row looks into. The texts are neither
+    exploded nor joined nor shuffled.
     """
     content = F.col("text") if text is None else text
-    chars = known_chars(lexicon, rows, script).withColumnRenamed("known", "_chars")
-    joined = rows.join(chars, "unit", "left")
-    return joined.withColumn("known", passes_gate(content, F.coalesce("_chars", F.lit("")), script)).drop("_chars")
+    per_unit = known_chars(lexicon, lexicon, script)
+    taught = per_unit.agg(F.array_sort(F.collect_list(F.struct("unit", "known")))).scalar()
+    looked = rows.withColumn("_taught", taught)
+    upto = F.filter("_taught", lambda t: t["unit"] <= F.col("unit"))
+    mine = F.coalesce(F.get(upto, F.size(upto) - 1)["known"], F.lit(""))
+    return looked.withColumn("_mine", mine).withColumn("known", passes_gate(content, F.col("_mine"), script)).drop(
+        "_taught", "_mine"
+    )
 
 
 def phrase_lexicon(lexicon: DataFrame, script: C.Script = C.CJK) -> DataFrame:
@@ -94,13 +100,25 @@ def _matches(texts: DataFrame, lexicon: DataFrame, key: str, script: C.Script) -
     return hits.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("matches"))
 
 
-def segment(texts: DataFrame, lexicon: DataFrame, key: str, script: C.Script = C.CJK) -> DataFrame:
+def segment(
+    texts: DataFrame,
+    lexicon: DataFrame,
+    key: str,
+    script: C.Script = C.CJK,
+    text: Column | None = None,
+    only: Column | None = None,
+) -> DataFrame:
     """Longest-match segmentation with the words known by the text's unit.
 
     Adds ``tags`` and ``readings``: the words in order and how they are read, or
     null if any position has no match. There is no going back: a dead end is
-    null even if another split exists.
+    null even if another split exists. Rows that are not ``only`` are kept
+    without looking for words in them.
     """
+    content = F.col("text") if text is None else text
+    wanted = texts if only is None else texts.where(only)
+    searched = wanted.select(key, "unit", content.alias("text"))
+
     def walk(state: Column, hit: Column) -> Column:
         # Of several matches at one place the first moves on, so the others are passed over.
         here = state["at"] == hit["at"]
@@ -110,11 +128,11 @@ def segment(texts: DataFrame, lexicon: DataFrame, key: str, script: C.Script = C
         )
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,reading:string>>").alias("hits"))
-    joined = texts.drop("tags", "readings").join(_matches(texts, lexicon, key, script), key, "left")
+    joined = texts.drop("tags", "readings").join(_matches(searched, lexicon, key, script), key, "left")
     walked = joined.withColumn(
         "w", F.when(F.col("matches").isNull(), start).otherwise(F.aggregate("matches", start, walk))
     )
-    whole = F.col("w.at") == F.size(script_units(F.col("text"), script))
+    whole = F.col("w.at") == F.size(script_units(content, script))
     done = walked.withColumn("hits", F.when(whole, F.col("w.hits")))
     return done.withColumns(
         {"tags": F.transform("hits", lambda h: h["word"]), "readings": F.transform("hits", lambda h: h["reading"])}

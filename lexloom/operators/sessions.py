@@ -12,6 +12,7 @@ from lexloom.operators import strength as S
 from lexloom.operators.ordering import number_within, top_per_key
 from lexloom.operators.progress import unit_ready
 from lexloom.operators.questions import ID_BLOCK
+from lexloom.sources.store import materialise
 
 _TYPE_FIELDS = "question_type string, tier int, unlock int, priority int, speaking boolean, sentence boolean, source_type string, slug string"
 
@@ -178,9 +179,13 @@ def build_sessions(
     seed: str,
     rules: C.Rules = C.RULES,
 ) -> DataFrame:
-    """The next session of every user, one row per question."""
-    routed = users.join(route(users, unit_tags, strength, tag_units, now, rules).select("user_id", "route"), "user_id")
-    pool = question_pool(questions, rules)
+    """The next session of every user, one row per question.
+
+    The routes and the pool are read by several branches, so each is written once.
+    """
+    routes = route(users, unit_tags, strength, tag_units, now, rules).select("user_id", "route")
+    routed = materialise(users.join(routes, "user_id"), "routes")
+    pool = materialise(question_pool(questions, rules), "pool")
     scored = S.scores(strength, routed.where("route = 'review'"), tag_units, now, F.lit(rules.first_unit), F.lit(rules.last_unit))
     fields = ["user_id", "session_type", "pos", "question_type", "id"]
     review = review_session(scored, pool, types, seed, rules).select(*fields)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom import config as C
+from lexloom.functions.romanise import sandhi_word_tags
 from lexloom.operators import containment, dedup, segmentation
 
 
@@ -21,16 +22,24 @@ def flag_stages(
 ) -> DataFrame:
     """Add the outcome of each stage: ``verbatim``, ``known`` and ``tagged``, and the tags and reading.
 
-    Only survivors of a stage go through the next one.
+    Only survivors of a stage go through the next one. Tags given by an extractor
+    are used where they are valid.
     """
     checked = containment.flag_verbatim(sentences, docs, doc_keys)
     gated = segmentation.flag_vocab_gate(checked, lexicon, script, text)
-    alive = gated.where(F.col("verbatim") & F.col("known"))
-    spoken = segmentation.tag_and_romanise(
-        alive.withColumn("text", F.col("text") if text is None else text), lexicon, key, script, **sandhi
-    )
-    found = spoken.select(key, F.col("tags").alias("found_tags"), "romanised")
-    return gated.drop("tags").join(found, key, "left").withColumn("tagged", F.col("found_tags").isNotNull())
+    alive = F.col("verbatim") & F.col("known")
+    if "tags" in sentences.columns:
+        content = F.col("text") if text is None else text
+        spoken = segmentation.tag_and_romanise(gated.where(alive).withColumn("text", content), lexicon, key, script, **sandhi)
+        found = spoken.select(key, F.col("tags").alias("found_tags"), "romanised")
+        joined = gated.drop("tags").join(found, key, "left")
+        return joined.withColumn("tagged", F.col("found_tags").isNotNull())
+    found = segmentation.segment(gated, lexicon, key, script, text, only=alive)
+    tagged = F.coalesce(alive & (F.size("tags") > 0), F.lit(False))
+    spoken = F.array_join(sandhi_word_tags(F.col("tags"), F.col("readings"), **sandhi), " ")
+    return found.withColumns(
+        {"tagged": tagged, "romanised": F.when(tagged, spoken), "found_tags": F.when(tagged, F.col("tags"))}
+    ).drop("tags", "readings")
 
 
 def build(flagged: DataFrame, script: C.Script = C.CJK, text: Column | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import shared_dir
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a table stored in fewer splits than there are cores.
@@ -17,6 +19,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that several parts of a job read, and read it back.
+
+    The written table cuts the lineage and outlives lost executors.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def strength_of(strength: DataFrame, users: DataFrame) -> DataFrame:
     """Strength rows of the given users."""
     return strength.join(users.select("user_id").distinct(), "user_id", "left_semi")
