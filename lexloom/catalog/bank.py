@@ -128,7 +128,7 @@ def set_algebra(spark, sf):
     def named(op, df):
         return df.select(F.lit(op).alias("op"), "tag")
 
-    return named("union", third.union(unit3).distinct()).union(named("except", every.exceptAll(unit3).distinct().join(unit3, "tag", "left_anti"))).union(
+    return named("union", third.union(unit3).distinct()).union(named("except", every.subtract(unit3))).union(
         named("intersect", third.intersect(unit3))
     )
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.functions.rows import unnest
 from lexloom import config as C
 from lexloom.catalog import bindings as B
 from lexloom.catalog.bindings import sql, sql_gapped, sql_strip, sql_words
 from lexloom.catalog.registry import query
 from lexloom.catalog.wording import _CLAUSES, SQL_ROMAN, SQL_TEMPLATE, SQL_TRUNCATED, clauses
-from lexloom.functions.text import is_truncated
+from lexloom.functions.rows import unnest
+from lexloom.functions.text import is_truncated, sentences_of
 from lexloom.operators import cloze, grading, sections, segmentation
-
 from lexloom.operators import questions as Q
 from lexloom.operators.containment import content_tags
 from lexloom.plans import lexicon
@@ -337,8 +336,6 @@ MARKERS = [(3, "the"), (3, "de"), (3, "und"), (4, "and"), (4, "la"), (5, "of"),
 
 
 def conv_sentences(spark, sf):
-    from lexloom.functions.text import sentences_of
-
     c = B.table(spark, sf, "conversations")
     rows = unnest(c, sentences_of(F.col("text")), ["conv_id", "turn", "role"], "text", at="i")
     return rows.select(
@@ -407,6 +404,3 @@ def ocr_quality(spark, sf):
     line = F.replace("line", F.lit(" the "), F.lit(" [unclear] "))
     line = F.replace(F.replace(line, F.lit(" de "), F.lit(" [illustration: left] ")), F.lit("und"), F.lit("[blank page]"))
     return sections.quality_markers(B.doc_lines(spark, sf).withColumn("line", line), ["source", "lang"])
-
-
-

@@ -94,6 +94,12 @@ def graduate(users: DataFrame, passed: DataFrame) -> DataFrame:
     )
 
 
+def set_unit(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """Move users to the unit given for them (user_id, new_unit), others stay."""
+    moved = users.join(changes.select("user_id", "new_unit"), "user_id", "left")
+    return moved.withColumn("current_unit", F.coalesce("new_unit", "current_unit")).drop("new_unit")
+
+
 def session_score(answers: DataFrame, session: list[str]) -> DataFrame:
     """Right answers out of all asked; a question asked again counts again."""
     return answers.groupBy(*session).agg(

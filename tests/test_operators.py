@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexloom import config as C
-from lexloom.operators import cloze, containment, dedup, grading, sections, segmentation, sessions
+from lexloom.operators import cloze, containment, dedup, grading, progress, sections, segmentation, sessions
 from lexloom.operators import questions as Q
 from lexloom.operators.ordering import next_within, number_within
 from lexloom.plans import lexicon, question_bank, sentence_bank
@@ -195,3 +195,17 @@ def test_replace_cycle(spark):
     splits = spark.createDataFrame([("ab", ["a", "b", "c"])], "combined string, parts array<string>")
     got = Q.replace_cycle(rows, splits).orderBy("seq").collect()
     assert [r.replacement for r in got] == ["a", "b", "c", "a"]
+
+
+def test_readiness_and_moves(spark):
+    users = spark.createDataFrame([(1, 3, []), (2, 9, [3])], "user_id long, current_unit int, graduated_units array<int>")
+    unit_tags = spark.createDataFrame([(3, "a"), (3, "b")], "unit int, tag string")
+    strength = spark.createDataFrame([(1, "a", 5)], "user_id long, tag string, correct_count int")
+    got = {r.user_id: (r.unit_tags, r.ready) for r in progress.unit_ready(users, unit_tags, strength).collect()}
+    assert got == {1: (2, False), 2: (0, True)}
+    report = progress.unit_progress(users, unit_tags, strength).where("user_id = 1").first()
+    assert (report.total_tags, report.graduated_tags, report.progress_pct, report.avg_correct_count) == (2, 1, 50, 2.5)
+    moved = progress.graduate(users, users.where("user_id = 2"))
+    assert {r.user_id: (r.current_unit, r.graduated_units) for r in moved.collect()} == {1: (3, ""), 2: (10, "3,9")}
+    changed = progress.set_unit(users, spark.createDataFrame([(1, 7)], "user_id long, new_unit int"))
+    assert {r.user_id: r.current_unit for r in changed.collect()} == {1: 7, 2: 9}
