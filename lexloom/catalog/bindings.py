@@ -18,9 +18,14 @@ from lexloom.sources import store
 SPACES = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def use_utc(spark: SparkSession) -> None:
+    """Zone-less times of the tables are UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A test table; its zone-less times are read as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    use_utc(spark)
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     times = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"}
     df = df.withColumns(times) if times else df

@@ -258,6 +258,7 @@ def csv_set(spark, sf):
 # ------------------------------------------------------------ streams
 @query("stream_strength", sql(LEARNER, _FLAT))
 def stream_strength(spark, sf):
+    B.use_utc(spark)
     source = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(sf)
     k = F.get_json_object("props", "$.k").cast("int")
