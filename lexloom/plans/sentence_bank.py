@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom import config as C
 from lexloom.functions.romanise import sandhi_word_tags
 from lexloom.operators import containment, dedup, segmentation
+from lexloom.sources.store import materialise
 
 
 def flag_stages(
@@ -26,7 +27,8 @@ def flag_stages(
     are used where they are valid.
     """
     checked = containment.flag_verbatim(sentences, docs, doc_keys)
-    gated = segmentation.flag_vocab_gate(checked, lexicon, script, text)
+    # Read twice below, once to search for words and once for the result.
+    gated = materialise(segmentation.flag_vocab_gate(checked, lexicon, script, text), "gated")
     alive = F.col("verbatim") & F.col("known")
     if "tags" in sentences.columns:
         content = F.col("text") if text is None else text
