@@ -6,6 +6,7 @@ import pytest
 from check import oracle_tables, rows_of
 
 import __spark_entry__ as entry
+from lexloom import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -17,16 +18,20 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, con, name):
-    got = entry.queries()[name](spark, SF).toArrow()
-    want = con.execute(entry.oracle_sql()[name]).to_arrow_table()
+    got = catalog.queries()[name](spark, SF).toArrow()
+    want = con.execute(catalog.oracle_sql()[name]).to_arrow_table()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows_of(got) == rows_of(want)
 
 
+def test_entry_has_every_query():
+    assert set(catalog.queries()) <= set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
