@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexloom.llm.registry import ORACLE, QUERIES, Query
 
-_MODULES = ["quality"]
+_MODULES = ["mixing", "quality"]
 
 
 def _load() -> None:
