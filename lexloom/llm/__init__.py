@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexloom.llm.registry import ORACLE, QUERIES, Query
 
-_MODULES = ["mixing", "quality"]
+_MODULES = ["mixing", "quality", "packing"]
 
 
 def _load() -> None:
