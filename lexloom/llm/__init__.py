@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexloom.llm.registry import ORACLE, QUERIES, Query
 
-_MODULES = ["mixing", "quality", "packing"]
+_MODULES = ["mixing", "quality", "packing", "near_vectors"]
 
 
 def _load() -> None:
