@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexloom.llm.registry import ORACLE, QUERIES, Query
 
-_MODULES = ["mixing", "quality", "ngram_join", "packing", "near_vectors"]
+_MODULES = ["mixing", "substring", "quality", "ngram_join", "packing", "near_vectors"]
 
 
 def _load() -> None:
