@@ -203,10 +203,18 @@ def repeated_words(s: Suffixes, asked: dict[int, Asked], loads: dict[int, bytes]
     return covered(s.at[hit], how.width, len(s.words.ids))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", how: Repeats = Repeats()) -> DataFrame:  # noqa: B008
-    """All columns of ``docs`` with ``kept_text`` (the words that stay, joined by blanks), ``n_words`` and ``n_removed``."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.col("text").cast("string").alias("text"))
-    rows = rows if len(docs.columns) > 2 else rows.drop("row")
+def without_repeats(
+    docs: DataFrame, key: str = "doc_id", how: Repeats = Repeats(), leave_whole: bool = False  # noqa: B008
+) -> DataFrame:
+    """All columns of ``docs``, and ``kept_text`` (the words that stay, joined by blanks), ``n_words``, ``n_removed``.
+
+    With ``leave_whole`` a text that loses nothing is returned as it came.
+    """
+    others = [c for c in docs.columns if c not in (key, "text")]
+    rows = docs.select(
+        F.col(key).alias("id"), F.col("text").cast("string").alias("text"),
+        *[F.col(f"`{c}`").alias(f"other{i}") for i, c in enumerate(others)],
+    )
     rows, groups = X.in_groups(rows, "id", how.docs_per_group)
     counts = X.Counts(X.range_bits(groups))
     far = 1 << counts.bits  # the second answers have their buckets above the first
@@ -239,8 +247,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", how: Repeats = Repeats
         removed = sums[s.words.starts[1:]] - sums[s.words.starts[:-1]]
         vocab, ids = s.words.vocab, s.words.ids
         kept = []
-        for a, b in zip(s.words.starts[:-1].tolist(), s.words.starts[1:].tolist(), strict=True):
-            kept.append(b" ".join([vocab[i] for i in ids[a:b][~gone[a:b]].tolist()]))
+        for k, (a, b) in enumerate(zip(s.words.starts[:-1].tolist(), s.words.starts[1:].tolist(), strict=True)):
+            left = ids[a:b][~gone[a:b]].tolist()
+            kept.append(texts[k] if leave_whole and not removed[k] else b" ".join([vocab[i] for i in left]))
         out = group.drop_columns(["g", "text"])
         out = out.append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))
         out = out.append_column("n_words", pa.array(np.diff(s.words.starts), pa.int64()))
@@ -250,23 +259,21 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", how: Repeats = Repeats
     letter = "bucket int, g bigint, load binary"
     sent = X.with_answers(rows, first, about_suffixes, letter)
     second = sent.groupBy("bucket").applyInArrow(reply, letter)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("g", "text").schema)
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.drop("g", "text").schema)
     found = X.with_answers(rows, first.unionByName(second), result, schema + "kept_text string, n_words bigint, n_removed bigint")
-    if "row" not in found.columns:
-        return found.withColumnRenamed("id", key)
-    return found.select("row.*", "kept_text", "n_words", "n_removed")
+    return found.select(
+        F.col("id").alias(key), *[F.col(f"other{i}").alias(c) for i, c in enumerate(others)], "kept_text", "n_words", "n_removed"
+    )
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", how: Repeats = Repeats()) -> DataFrame:  # noqa: B008
     """The documents with repeated passages taken out of their texts; texts without one stay as they are."""
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key), F.col("text"))
-    found = without_repeats(held, key, how)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_row.text"))
-    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
-    return found.select(*[
-        F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(f"_row.{c}")).alias(c) if c in new else F.col(f"_row.{c}").alias(c)
-        for c in docs.columns
-    ])
+    clash = [c for c in docs.columns if c in ("kept_text", "n_words", "n_removed")]
+    found = without_repeats(docs.withColumnsRenamed({c: f"own_{c}" for c in clash}), key, how, leave_whole=True)
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint"))
+    new = {"text": F.col("kept_text")} | {c: F.col(f"own_{c}") for c in clash}
+    new |= {"n_chars": F.coalesce(length, F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 @query("op3_substring_repeats")
