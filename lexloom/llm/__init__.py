@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexloom.llm.registry import ORACLE, QUERIES, Query
 
-_MODULES = ["mixing", "substring", "warc", "quality", "ngram_join", "packing", "near_vectors"]
+_MODULES = ["mixing", "substring", "warc", "quality", "ngram_join", "packing", "near_vectors", "fm_quality"]
 
 
 def _load() -> None:

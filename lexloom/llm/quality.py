@@ -36,7 +36,8 @@ MEASURES = [
 GOOD, BAD, ABSTAIN = 2, 1, 0
 
 
-def _measure(texts: Sequence[bytes | None]) -> dict[str, np.ndarray]:
+def measure_texts(texts: Sequence[bytes | None]) -> dict[str, np.ndarray]:
+    """The measures of whole texts, one array for each."""
     n = len(texts)
     whole = np.frombuffer(b"".join(t or b"" for t in texts), np.uint8)
     ends = np.cumsum([len(t or b"") for t in texts], dtype=np.int64)
@@ -78,7 +79,7 @@ def _measure(texts: Sequence[bytes | None]) -> dict[str, np.ndarray]:
 def measures(text: pa.Array) -> pa.Array:
     """Counts of a whole text; null counts as empty."""
     texts = utf8(text)
-    parts = [_measure(texts[i:j]) for i, j in chunks(texts)] or [_measure([])]
+    parts = [measure_texts(texts[i:j]) for i, j in chunks(texts)] or [measure_texts([])]
     columns = [pa.array(np.concatenate([p[m] for p in parts]).astype(np.int64)) for m in MEASURES]
     return pa.StructArray.from_arrays(columns, MEASURES)
 
