@@ -6,7 +6,9 @@ from importlib import import_module
 
 from lexloom.llm.registry import ORACLE, QUERIES, Query
 
-_MODULES = ["url_trust", "mixing", "substring", "warc", "quality", "ngram_join", "packing", "near_vectors", "fm_quality"]
+_MODULES = [
+    "url_trust", "mixing", "substring", "warc", "quality", "materialise", "ngram_join", "packing", "near_vectors", "fm_quality",
+]
 
 
 def _load() -> None:
