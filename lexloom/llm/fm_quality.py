@@ -38,6 +38,7 @@ class Machine:
     rank: int = 8
     sample: int = 10_000
     epochs: int = 8
+    least_steps: int = 2000
     batch: int = 64
     rate: float = 0.1
     decay: float = 1e-5
@@ -128,7 +129,10 @@ def rows_of(x: Inputs, rows: np.ndarray) -> Inputs:
 
 
 def train(x: Inputs, label: np.ndarray, how: Machine) -> Weights:
-    """Log loss by small batches, with a step for each weight that shrinks with its gradients so far."""
+    """Log loss by small batches, with a step for each weight that shrinks with its gradients so far.
+
+    Both labels weigh the same as a whole, so a rare one is learned too. Small samples are gone through more often.
+    """
     draw = np.random.Generator(np.random.PCG64(how.seed))
     n = n_inputs(how)
     share = float(label.mean()) if len(label) else 0.5
@@ -137,15 +141,15 @@ def train(x: Inputs, label: np.ndarray, how: Machine) -> Weights:
         w.bias = 30.0 * (2 * share - 1) if len(label) else 0.0
         w.factors[:] = 0
         return w
-    w.bias = float(np.log(share / (1 - share)))
+    weight = np.where(label > 0.5, 0.5 / share, 0.5 / (1 - share))
     seen_linear, seen_factors = np.full(n, 1e-2), np.full((n, how.rank), 1e-2)
-    for _ in range(how.epochs):
+    for _ in range(max(how.epochs, -(-how.least_steps * how.batch // len(label)))):
         order = draw.permutation(len(label))
         for k in range(0, len(order), how.batch):
             rows = order[k:k + how.batch]
             part = rows_of(x, rows)
             z, total = raw_scores(part, w)
-            error = (_logistic(z) - label[rows]) / len(rows)
+            error = weight[rows] * (_logistic(z) - label[rows]) / len(rows)
             w.bias -= how.rate * 0.1 * float(error.sum())
             each = np.repeat(error, np.diff(part.starts)) * part.value
             held, back = np.unique(part.index, return_inverse=True)
