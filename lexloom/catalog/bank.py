@@ -116,9 +116,9 @@ def dedup_exact(spark, sf):
 
 @query(
     "set_algebra",
-    sql(["bank", "types"], """SELECT 'union' AS op, tag FROM (SELECT tag FROM bank JOIN types USING (question_type) WHERE tier = 3 UNION SELECT tag FROM bank WHERE unit = 3)
-        UNION ALL SELECT 'except', tag FROM (SELECT tag FROM bank EXCEPT SELECT tag FROM bank WHERE unit = 3)
-        UNION ALL SELECT 'intersect', tag FROM (SELECT tag FROM bank JOIN types USING (question_type) WHERE tier = 3 INTERSECT SELECT tag FROM bank WHERE unit = 3)"""),
+    sql(["bank", "tagged", "types"], """SELECT 'union' AS op, tag FROM (SELECT tag FROM tagged JOIN types USING (question_type) WHERE tier = 3 UNION SELECT tag FROM tagged WHERE unit = 3)
+        UNION ALL SELECT 'except', tag FROM (SELECT tag FROM tagged EXCEPT SELECT tag FROM tagged WHERE unit = 3)
+        UNION ALL SELECT 'intersect', tag FROM (SELECT tag FROM tagged JOIN types USING (question_type) WHERE tier = 3 INTERSECT SELECT tag FROM tagged WHERE unit = 3)"""),
 )
 def set_algebra(spark, sf):
     tagged = B.tagged_bank(spark, sf)
@@ -136,20 +136,20 @@ def set_algebra(spark, sf):
 # ------------------------------------------------------------ indexes
 @query(
     "inverted_index",
-    sql(["bank"], "SELECT tag, seq // 1024 AS block, string_agg(id, ',' ORDER BY seq) AS ids FROM bank GROUP BY ALL"),
+    sql(["bank", "tagged"], "SELECT tag, seq // 1024 AS block, string_agg(id, ',' ORDER BY seq) AS ids FROM tagged GROUP BY ALL"),
 )
 def inverted_index(spark, sf):
     blocks = Q.posting_blocks(B.tagged_bank(spark, sf))
     return blocks.select("tag", "block", F.array_join("ids", ",").alias("ids"))
 
 
-@query("tag_first_unit", sql(["bank"], "SELECT tag, min(unit) AS unit FROM bank GROUP BY tag"))
+@query("tag_first_unit", sql(["bank", "tagged"], "SELECT tag, min(unit) AS unit FROM tagged GROUP BY tag"))
 def tag_first_unit(spark, sf):
     return Q.first_unit_of_tag(B.tagged_bank(spark, sf))
 
 
 # Questions of units 3 and 4 lose their content tags, so two units have none.
-@query("unit_tag_set", sql(["bank"], "SELECT DISTINCT unit, CASE WHEN unit <= 4 THEN NULL ELSE tag END AS tag FROM bank"))
+@query("unit_tag_set", sql(["bank", "tagged"], "SELECT DISTINCT unit, CASE WHEN unit <= 4 THEN NULL ELSE tag END AS tag FROM tagged"))
 def unit_tag_set(spark, sf):
     bank = B.bank(spark, sf)
     bare = F.when(F.col("unit") <= 4, F.filter("tags", lambda t: ~t.startswith("tag_"))).otherwise(F.col("tags"))

@@ -61,20 +61,21 @@ def _type_at(i: Column) -> Column:
 
 
 def bank(spark: SparkSession, sf: str) -> DataFrame:
-    """A question bank over the tags of the learner log."""
+    """A question bank over the tags of the learner log; some questions hold a second word, of the unit before."""
     p = table(spark, sf, "part")
     slot = F.col("p_partkey") % 10
     rows = p.select(
         F.col("p_partkey").alias("seq"),
         F.concat(F.lit("q"), F.col("p_partkey")).alias("id"),
         F.concat(F.lit("tag_"), slot).alias("word"),
+        F.when((slot % 5 > 0) & (F.floor(F.col("p_partkey") / 10) % 2 == 0), F.concat(F.lit("tag_"), (slot + 4) % 10)).alias("second"),
         (3 + slot % 5).cast("int").alias("unit"),
         _type_at(F.col("p_size") % 10).alias("question_type"),
         F.col("p_name").alias("question"),
         F.col("p_type").alias("answer"),
     )
-    tags = F.array("word", F.replace("question_type", F.lit(" "), F.lit("_")), F.concat(F.lit("unit_"), "unit"))
-    return rows.withColumn("tags", tags).drop("word")
+    tags = F.array("word", "second", F.replace("question_type", F.lit(" "), F.lit("_")), F.concat(F.lit("unit_"), "unit"))
+    return rows.withColumn("tags", F.array_compact(tags)).drop("word", "second")
 
 
 def tagged_bank(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,12 +106,18 @@ def seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def strength(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored table: a row for every user and tag."""
     return S.apply_answers(answers(spark, sf), seeds(spark, sf))
 
 
-def stored_strength(spark: SparkSession, sf: str) -> DataFrame:
-    """Strength as a stored table, for jobs that read it more than once."""
-    return store.materialise(strength(spark, sf), "strength")
+def answered(spark: SparkSession, sf: str) -> DataFrame:
+    """Strength of the tags that were answered, which is all that most jobs need."""
+    return S.answered_strength(answers(spark, sf), users(spark, sf), tag_units(spark, sf), now(spark, sf))
+
+
+def stored_answered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stored table, for jobs that read it more than once."""
+    return store.materialise(answered(spark, sf), "strength")
 
 
 # ------------------------------------------------------------ content
@@ -156,7 +163,7 @@ def phrase_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     singles = unnest(b, "w", ["item_id", F.lit(0).alias("n")], "word", at="at")
     doubles = unnest(b, pairs, ["item_id", F.lit(1).alias("n")], "word", at="at").where(F.col("word").contains(" "))
     seen = singles.unionByName(doubles)
-    place = F.min(F.col("item_id") * 1_000_000 + F.col("at") * 2 + F.col("n"))
+    place = F.min(F.shiftleft(F.col("item_id").cast("long"), 32) + F.col("at") * 2 + F.col("n"))
     rows = seen.groupBy("word").agg(place.alias("seq"), F.min("item_id").alias("first"))
     letters = F.regexp_replace("word", "[^a-z]", "")
     return rows.select(
@@ -244,8 +251,12 @@ ROLES = {
                CAST(3 + (p_partkey % 10) % 5 AS INTEGER) AS unit,
                ({_TYPE_LIST})[p_size % 10 + 1] AS question_type, p_name AS question, p_type AS answer
         FROM part)""",
-    "tag_units": "tag_units AS (SELECT tag, min(unit) AS unit FROM bank GROUP BY tag)",
-    "unit_tags": "unit_tags AS (SELECT DISTINCT unit, tag FROM bank)",
+    "tagged": """tagged AS (
+        SELECT * FROM bank UNION ALL
+        SELECT seq, id, 'tag_' || ((seq % 10 + 4) % 10), unit, question_type, question, answer
+        FROM bank WHERE seq % 10 % 5 > 0 AND seq // 10 % 2 = 0)""",
+    "tag_units": "tag_units AS (SELECT tag, min(unit) AS unit FROM tagged GROUP BY tag)",
+    "unit_tags": "unit_tags AS (SELECT DISTINCT unit, tag FROM tagged)",
     "now": "clock AS (SELECT max(ts) AS now FROM events)",
     "folded": """folded AS (
         SELECT user_id, tag, count(*) FILTER (is_correct) AS gained, max(ts) AS last_ts,
@@ -282,7 +293,7 @@ ROLES = {
           ON a.item_id = b.item_id AND b.idx = a.idx + 1),
       phrases AS (
         SELECT word, regexp_replace(word, '[^a-z]', '', 'g') || (length(word) % 5 + 1) AS reading,
-               CAST(3 + min(item_id) % 13 AS INTEGER) AS unit, min(item_id * 1000000 + place) AS seq,
+               CAST(3 + min(item_id) % 13 AS INTEGER) AS unit, min(item_id * 4294967296 + place) AS seq,
                len(string_split(word, ' ')) AS n
         FROM seen GROUP BY word)""",
     "letters": """letters AS (
@@ -290,7 +301,7 @@ ROLES = {
                substr('bpmfdtnlgkhjqxrzcsyw', n_nationkey // 2 + 1, 1) || 'a' || (n_regionkey + 1) AS reading
         FROM nation)""",
 }
-LEARNER = ["answers", "users", "bank", "tag_units", "unit_tags", "now", "folded", "strength"]
+LEARNER = ["answers", "users", "bank", "tagged", "tag_units", "unit_tags", "now", "folded", "strength"]
 
 
 def sql(roles: list[str], body: str, *more: str) -> str:

@@ -10,6 +10,7 @@ from lexloom.catalog.registry import query
 from lexloom.functions import scalars
 from lexloom.operators import progress as P
 from lexloom.operators import strength as S
+from lexloom.operators.ordering import number_within
 from lexloom.operators.sessions import route
 from lexloom.session import shared_dir
 from lexloom.sources import store
@@ -118,13 +119,16 @@ def strength_join_unit(spark, sf):
 
 @query("weak_tags", sql(LEARNER, f"SELECT * FROM ({_SCORES.format(high='u.current_unit - 1')}) WHERE strength < 0.70"))
 def weak_tags(spark, sf):
-    return _score_rows(S.weak_tags(B.strength(spark, sf), B.users(spark, sf), B.tag_units(spark, sf), B.now(spark, sf)))
+    strength, users, tag_units = B.stored_answered(spark, sf), B.users(spark, sf), B.tag_units(spark, sf)
+    known = S.weak_tags(strength, users, tag_units, B.now(spark, sf))
+    never = S.default_scores(strength, users, tag_units, F.col("current_unit") - 1)
+    return _score_rows(known.unionByName(never))
 
 
 _PROGRESS = """progress AS (
     SELECT u.user_id, t.unit, t.total_tags, CAST(coalesce(g, 0) AS INTEGER) AS graduated_tags,
            CAST(round_even(CAST(coalesce(g, 0) AS DOUBLE) / total_tags * 100, 0) AS INTEGER) AS progress_pct,
-           CAST(round_even(CAST(coalesce(total, 0) AS DOUBLE) / total_tags, 1) AS DOUBLE) AS avg_correct_count,
+           CAST(format('{:.1f}', CAST(coalesce(total, 0) AS DOUBLE) / total_tags) AS DOUBLE) AS avg_correct_count,
            list_contains(graduated_units, t.unit) AS is_graduated, t.unit = current_unit AS is_current
     FROM users u CROSS JOIN (SELECT unit, CAST(count(*) AS INTEGER) AS total_tags FROM unit_tags GROUP BY unit) t
     LEFT JOIN (SELECT user_id, unit, count(*) FILTER (correct_count >= 3) AS g, sum(correct_count) AS total
@@ -133,7 +137,7 @@ _PROGRESS = """progress AS (
 
 
 def _progress(spark, sf):
-    return P.unit_progress(B.users(spark, sf), B.unit_tags(spark, sf), B.strength(spark, sf))
+    return P.unit_progress(B.users(spark, sf), B.unit_tags(spark, sf), B.answered(spark, sf))
 
 
 @query("unit_progress", sql(LEARNER, "SELECT * FROM progress", _PROGRESS))
@@ -151,7 +155,7 @@ def unit_progress(spark, sf):
     ),
 )
 def unit_status(spark, sf):
-    return P.unit_status(_progress(spark, sf)).orderBy("user_id", "unit")
+    return P.unit_status(_progress(spark, sf))
 
 
 _WORDS = """words AS (SELECT u.user_id, u.current_unit AS unit, t.tag, coalesce(s.correct_count, 0) AS correct_count
@@ -161,7 +165,7 @@ _WORDS = """words AS (SELECT u.user_id, u.current_unit AS unit, t.tag, coalesce(
 
 @query("unit_words", sql(LEARNER, "SELECT * FROM words", _WORDS))
 def unit_words(spark, sf):
-    return P.unit_words(B.users(spark, sf), B.unit_tags(spark, sf), B.strength(spark, sf)).orderBy("user_id", "tag")
+    return P.unit_words(B.users(spark, sf), B.unit_tags(spark, sf), B.answered(spark, sf))
 
 
 _READY = """ready AS (SELECT u.user_id, u.current_unit, coalesce(w.n, 0) AS unit_tags, coalesce(w.r, true) AS ready
@@ -171,59 +175,73 @@ _READY = """ready AS (SELECT u.user_id, u.current_unit, coalesce(w.n, 0) AS unit
 
 @query("unit_ready", sql(LEARNER, "SELECT * FROM ready", _WORDS, _READY))
 def unit_ready(spark, sf):
-    return P.unit_ready(B.users(spark, sf), B.unit_tags(spark, sf), B.strength(spark, sf))
+    return P.unit_ready(B.users(spark, sf), B.unit_tags(spark, sf), B.answered(spark, sf))
 
 
-_RESULT = """results AS (SELECT user_id, day, count(*) AS asked, count(*) FILTER (is_correct) AS correct,
+# A user's answers come in batches of 20; every other one is a unit test.
+_BATCHES = """batches AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 20 AS batch FROM events),
+  batch_answers AS (SELECT user_id, batch, value >= 9 AS is_correct, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS question_id,
+    batch % 2 = 0 AS is_unit_test FROM batches)"""
+_RESULT = """results AS (SELECT user_id, batch, count(*) AS asked, count(*) FILTER (is_correct) AS correct,
     CASE WHEN count(*) FILTER (is_correct) >= 16 THEN 'unit test passed' ELSE 'unit test failed' END AS unit_test_result
-    FROM answers GROUP BY user_id, day)"""
+    FROM batch_answers WHERE is_unit_test GROUP BY user_id, batch)"""
+
+
+def _batches(spark, sf):
+    e = B.table(spark, sf, "events")
+    numbered = number_within(e, ["user_id"], ["ts", "event_id"], F.unix_date(F.to_date("ts")))
+    batch = F.floor((F.col("n") - 1) / 20)
+    return numbered.select(
+        "user_id", batch.alias("batch"), (F.col("value") >= 9).alias("is_correct"),
+        F.get_json_object("props", "$.k").cast("int").alias("question_id"), (batch % 2 == 0).alias("is_unit_test"),
+    )
 
 
 def _results(spark, sf):
-    return P.test_result(B.answers(spark, sf), ["user_id", "day"])
+    return P.test_result(_batches(spark, sf).where("is_unit_test").drop("is_unit_test"), ["user_id", "batch"])
 
 
-@query("test_result", sql(LEARNER, "SELECT * EXCLUDE (day), CAST(day AS VARCHAR) AS day FROM results", _RESULT))
+@query("test_result", sql([], "SELECT * FROM results", _BATCHES, _RESULT))
 def test_result(spark, sf):
-    return _results(spark, sf).withColumn("day", F.col("day").cast("string"))
+    return _results(spark, sf)
 
 
-# A day's answers stand for a test, 4 right ones for a pass, as a user has few per day.
 @query(
     "graduate",
     sql(
-        LEARNER,
+        ["answers", "users"],
         """SELECT u.user_id, CASE WHEN p.user_id IS NULL THEN current_unit ELSE current_unit + 1 END AS current_unit,
              array_to_string(list_sort(CASE WHEN p.user_id IS NULL THEN graduated_units
                ELSE list_append(graduated_units, current_unit) END), ',') AS graduated_units
-           FROM users u LEFT JOIN (SELECT DISTINCT user_id FROM results WHERE correct >= 4) p ON p.user_id = u.user_id""",
-        _RESULT,
+           FROM users u LEFT JOIN (SELECT DISTINCT user_id FROM results WHERE unit_test_result = 'unit test passed') p ON p.user_id = u.user_id""",
+        _BATCHES, _RESULT,
     ),
 )
 def graduate(spark, sf):
-    return P.graduate(B.users(spark, sf), _results(spark, sf).where("correct >= 4"))
+    return P.graduate(B.users(spark, sf), _results(spark, sf).where("unit_test_result = 'unit test passed'"))
 
 
 @query(
     "session_score",
-    sql(LEARNER, "SELECT user_id, CAST(day AS VARCHAR) AS day, correct AS score, asked FROM results", _RESULT),
+    sql([], "SELECT user_id, batch, count(*) FILTER (is_correct) AS score, count(*) AS asked FROM batch_answers GROUP BY ALL", _BATCHES),
 )
 def session_score(spark, sf):
-    return P.session_score(B.answers(spark, sf), ["user_id", "day"]).withColumn("day", F.col("day").cast("string"))
+    return P.session_score(_batches(spark, sf), ["user_id", "batch"])
 
 
 @query(
     "requeue_rate",
     sql(
-        LEARNER,
+        [],
         """SELECT question_id, count(*) AS sessions, CAST(sum(t) AS BIGINT) AS attempts, CAST(sum(t - 1) AS BIGINT) AS retries,
                   CAST(sum(w) AS BIGINT) AS wrong
-           FROM (SELECT user_id, question_id, count(*) AS t, count(*) FILTER (NOT is_correct) AS w
-                 FROM answers GROUP BY user_id, question_id) GROUP BY question_id""",
+           FROM (SELECT user_id, batch, question_id, count(*) AS t, count(*) FILTER (NOT is_correct) AS w
+                 FROM batch_answers GROUP BY ALL) GROUP BY question_id""",
+        _BATCHES,
     ),
 )
 def requeue_rate(spark, sf):
-    return P.requeue_rate(B.answers(spark, sf), ["user_id"])
+    return P.requeue_rate(_batches(spark, sf), ["user_id", "batch"])
 
 
 _WEAK = f"""weak AS (SELECT user_id, count(*) AS n_weak FROM ({_SCORES.format(high='u.current_unit - 1')})
@@ -242,7 +260,7 @@ _WEAK = f"""weak AS (SELECT user_id, count(*) AS n_weak FROM ({_SCORES.format(hi
     ),
 )
 def route_session(spark, sf):
-    return route(B.users(spark, sf), B.unit_tags(spark, sf), B.stored_strength(spark, sf), B.tag_units(spark, sf), B.now(spark, sf))
+    return route(B.users(spark, sf), B.unit_tags(spark, sf), B.stored_answered(spark, sf), B.tag_units(spark, sf), B.now(spark, sf))
 
 
 @query("csv_set", sql([], """SELECT c_custkey, array_to_string(list_transform(s, lambda x: CAST(x AS VARCHAR)), ',') AS units, CAST(len(s) AS INTEGER) AS n

@@ -122,21 +122,42 @@ _BANK2 = """asked AS (SELECT doc_id, pos, question_type, sentence, text AS quest
     FROM (SELECT *, row_number() OVER (ORDER BY priority DESC) - 1 AS n FROM types) t JOIN doc_sentences s ON pos % 10 = n)"""
 
 
-@query(
-    "blocklist_apply",
-    sql(["types", "doc_sentences", "benchmark_sentences"], f"""SELECT doc_id, pos, question_type FROM asked WHERE NOT sentence OR NOT (
-          {_bare('upper(question)', '.?!,')} IN (SELECT b FROM blocked) OR {_bare('answer', '.?!,')} IN (SELECT b FROM blocked))""",
-        _BANK2, f"blocked AS (SELECT {_bare('text', '.?!,')} AS b FROM benchmark_sentences)"),
-)
-def blocklist_apply(spark, sf):
+_KEPT2 = f"""kept AS (SELECT * FROM asked WHERE NOT sentence OR NOT (
+          {_bare('upper(question)', '.?!,')} IN (SELECT b FROM blocked) OR {_bare('answer', '.?!,')} IN (SELECT b FROM blocked)))"""
+_BLOCKED2 = f"blocked AS (SELECT {_bare('text', '.?!,')} AS b FROM benchmark_sentences)"
+
+
+def _asked(spark, sf):
     rows = B.doc_sentences(spark, sf)
     types = F.array(*[F.lit(t) for t in C.TYPE_NAMES])
-    asked = rows.select(
-        "doc_id", "pos", F.element_at(types, F.col("pos") % 10 + 1).alias("question_type"),
+    return rows.select(
+        "doc_id", "pos", (3 + F.col("doc_id") % 5).alias("unit"), F.element_at(types, F.col("pos") % 10 + 1).alias("question_type"),
         F.upper("text").alias("question"), F.when(F.col("pos") % 2 == 0, F.col("text")).otherwise(F.col("lang")).alias("answer"),
     )
+
+
+@query(
+    "blocklist_apply",
+    sql(["types", "doc_sentences", "benchmark_sentences"], "SELECT doc_id, pos, question_type FROM kept", _BANK2, _BLOCKED2, _KEPT2),
+)
+def blocklist_apply(spark, sf):
+    blocked = B.benchmark_sentences(spark, sf).select(F.col("text").alias("line"))
+    return K.apply_blocklist(_asked(spark, sf), blocked).select("doc_id", "pos", "question_type")
+
+
+@query(
+    "blocklist_removed",
+    sql(
+        ["types", "doc_sentences", "benchmark_sentences"],
+        """SELECT unit, count(*) AS questions, CAST(sum(CASE WHEN k THEN 0 ELSE 1 END) AS BIGINT) AS removed FROM (
+             SELECT 3 + doc_id % 5 AS unit, (doc_id, pos) IN (SELECT (doc_id, pos) FROM kept) AS k FROM asked) GROUP BY ROLLUP (unit)""",
+        _BANK2, _BLOCKED2, _KEPT2,
+    ),
+)
+def blocklist_removed(spark, sf):
     blocked = B.benchmark_sentences(spark, sf).select(F.col("text").alias("line"))
-    return K.apply_blocklist(asked, blocked).select("doc_id", "pos", "question_type")
+    asked = _asked(spark, sf)
+    return K.removed_counts(asked, K.apply_blocklist(asked, blocked))
 
 
 # ------------------------------------------------------------ tags

@@ -10,7 +10,6 @@ from lexloom.catalog.learner import _READY, _WEAK, _WORDS
 from lexloom.catalog.registry import query
 from lexloom.operators import progress as P
 from lexloom.operators import sessions as S
-from lexloom.operators import strength as M
 from lexloom.operators.ordering import top_per_key
 from lexloom.sources.store import materialise
 
@@ -19,29 +18,48 @@ _CANDIDATES = """candidates AS (SELECT u.user_id, u.current_unit AS unit, x.tag,
       CASE WHEN t.tier = 1 AND s.correct_count >= 2 THEN greatest(s.correct_count, 10) ELSE s.correct_count END AS effective_count
     FROM users u JOIN unit_tags x ON x.unit = u.current_unit JOIN strength s ON s.user_id = u.user_id AND s.tag = x.tag
     JOIN types t ON t.unlock <= s.correct_count)"""
-# Blocks of ten questions; what is left over belongs to the last block.
-_POOL = """pool AS (SELECT tag, question_type, unit, id, seq, greatest(total // 10, 1) AS n_blocks, least((n - 1) // 10, greatest(total // 10, 1) - 1) AS block
-    FROM (SELECT *, row_number() OVER (PARTITION BY tag, question_type, unit ORDER BY seq) AS n, count(*) OVER (PARTITION BY tag, question_type, unit) AS total FROM bank)),
-  heads AS (SELECT tag, question_type, unit, n_blocks, block, arg_min(id, seq) AS id FROM pool GROUP BY ALL)"""
+# Every question of a tag, type and unit in an order by hash; a draw names a place among all that may be asked.
+_POOL = f"""pool AS (SELECT tag, question_type, unit, id, md5('{SEED}:' || id) AS o FROM tagged)"""
 
 
-def _pick(user: str, alias: str) -> str:
-    return f"CAST('0x' || substr(md5('{SEED}:' || {user} || ':' || {alias}.tag || ':' || {alias}.question_type || ':' || {alias}.unit), 1, 8) AS BIGINT)"
+def _drawn(name: str, asked: str) -> str:
+    """The questions that may be asked (user_id, tag, question_type, unit, id, o), from a place by hash on and around."""
+    return f"""{name} AS (SELECT *, (place - CAST('0x' || substr(md5('{SEED}:' || user_id || ':' || tag || ':' || question_type), 1, 8) AS BIGINT) % n_all + n_all) % n_all AS i
+      FROM (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY user_id, tag, question_type) AS n_all
+            FROM ({asked}) WINDOW w AS (PARTITION BY user_id, tag, question_type ORDER BY unit, o, id)))"""
 
 
-_LEARNING = f"""learning AS (SELECT user_id, question_type, id, unit, tag FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY effective_count, priority DESC, tag) AS r2 FROM (
-      SELECT c.*, h.id, row_number() OVER (PARTITION BY c.user_id, c.tag ORDER BY effective_count, priority DESC) AS r1
-      FROM candidates c JOIN heads h ON h.tag = c.tag AND h.question_type = c.question_type AND h.unit = c.unit AND h.block = {_pick('c.user_id', 'c')} % h.n_blocks) WHERE r1 <= 2)
-    WHERE r2 <= 10)"""
-_REVIEW = f"""graduated AS (SELECT s.user_id, s.tag, u.graduated_units, pow(0.5, (epoch_us(now) - epoch_us(last_practice)) / 86400000000.0 / stability) AS strength
+def _walked(name: str, drawn: str, order: str, per_tag: int) -> str:
+    """The candidates of each user in order; each takes its first question that is still free."""
+    listed = f"""{name}_list AS (SELECT user_id, tag, question_type, {order} AS o, list({{'id': id, 'unit': unit}} ORDER BY i) AS ids FROM {drawn} GROUP BY ALL)"""
+    item = "{'tag': tag, 'qt': question_type, 'ids': ids, 'picked': []::STRUCT(tag VARCHAR, qt VARCHAR, unit INTEGER, id VARCHAR)[]}"
+    free = "list_filter(c.ids, lambda q: NOT list_contains(list_transform(a.picked, lambda p: p.id), q.id))"
+    walk = f"""lambda a, c: CASE WHEN len(a.picked) < 10 AND len(list_filter(a.picked, lambda p: p.tag = c.tag)) < {per_tag} AND len({free}) > 0
+        THEN {{'tag': '', 'qt': '', 'ids': a.ids, 'picked': list_append(a.picked, {{'tag': c.tag, 'qt': c.qt, 'unit': ({free})[1].unit, 'id': ({free})[1].id}})}} ELSE a END"""
+    return f"""{listed},
+  {name} AS (SELECT user_id, p.qt AS question_type, p.id AS id, p.unit AS unit, p.tag AS tag FROM (
+    SELECT user_id, unnest(list_reduce(list_prepend({{'tag': '', 'qt': '', 'ids': []::STRUCT(id VARCHAR, unit INTEGER)[], 'picked': []::STRUCT(tag VARCHAR, qt VARCHAR, unit INTEGER, id VARCHAR)[]}}, l), {walk}).picked) AS p
+    FROM (SELECT user_id, list({item} ORDER BY o) AS l FROM {name}_list GROUP BY user_id)))"""
+
+
+_LEARNING = _drawn("learning_drawn", "SELECT c.user_id, c.effective_count, c.priority, p.* FROM candidates c JOIN pool p USING (tag, question_type, unit)") + ",\n  " + _walked(
+    "learning", "learning_drawn", "(effective_count, -priority, tag)", 2
+)
+_REVIEW = (
+    """graduated AS (SELECT s.user_id, s.tag, u.graduated_units, pow(0.5, (epoch_us(now) - epoch_us(last_practice)) / 86400000000.0 / stability) AS strength
     FROM strength s JOIN tag_units t USING (tag) JOIN users u USING (user_id), clock WHERE t.unit BETWEEN 3 AND 99 AND list_contains(u.graduated_units, t.unit)),
-  review AS (SELECT user_id, question_type, id, unit, tag FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strength, tag) AS r2 FROM (
-      SELECT g.user_id, g.tag, g.strength, h.question_type, h.unit, h.id, row_number() OVER (PARTITION BY g.user_id, g.tag ORDER BY t.priority DESC, h.unit) AS r1
-      FROM graduated g JOIN heads h ON h.tag = g.tag AND list_contains(g.graduated_units, h.unit) AND h.block = {_pick('g.user_id', 'h')} % h.n_blocks
-      JOIN types t ON t.question_type = h.question_type) WHERE r1 = 1) WHERE r2 <= 10)"""
-_TESTS = f"""tests AS (SELECT unit, id, question_type FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY md5('{SEED}:' || id), id) AS n FROM bank) WHERE n <= 20)"""
+  """
+    + _drawn("review_drawn", "SELECT g.user_id, g.strength, t.priority, p.* FROM graduated g JOIN pool p ON p.tag = g.tag AND list_contains(g.graduated_units, p.unit) JOIN types t ON t.question_type = p.question_type")
+    + ",\n  "
+    + _walked("review", "review_drawn", "(strength, tag, -priority)", 1)
+)
+# A test of its own for each user and unit: places drawn by hash, then those not drawn.
+_TESTS = f"""test_pool AS (SELECT unit, id, question_type, row_number() OVER (PARTITION BY unit ORDER BY md5('{SEED}:' || id), id) - 1 AS place FROM bank),
+  test_sizes AS (SELECT unit, count(*) AS n FROM bank GROUP BY unit),
+  tries AS (SELECT user_id, unit, i, CASE WHEN i < 80 THEN CAST('0x' || substr(md5('{SEED}:' || user_id || ':' || unit || ':' || i), 1, 8) AS BIGINT) % n ELSE i - 80 END AS place
+    FROM (SELECT user_id, current_unit AS unit, n, unnest(range(80 + CASE WHEN n < 80 THEN n ELSE 0 END)) AS i FROM users JOIN test_sizes ON unit = current_unit)),
+  tests AS (SELECT user_id, unit, CAST(row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS INTEGER) AS pos, question_type, id
+    FROM (SELECT user_id, unit, place, min(i) AS i FROM tries GROUP BY ALL) JOIN test_pool USING (unit, place) QUALIFY pos < 20)"""
 
 
 def _shuffled(rows: str, kind: str) -> str:
@@ -49,12 +67,12 @@ def _shuffled(rows: str, kind: str) -> str:
 
 
 def _learner(spark, sf, stored=False):
-    strength = B.stored_strength(spark, sf) if stored else B.strength(spark, sf)
+    strength = B.stored_answered(spark, sf) if stored else B.answered(spark, sf)
     return B.users(spark, sf), B.unit_tags(spark, sf), strength
 
 
 def _pool(spark, sf):
-    return materialise(S.question_pool(B.tagged_bank(spark, sf)), "pool")
+    return materialise(S.question_pool(B.tagged_bank(spark, sf), SEED), "pool")
 
 
 @query(
@@ -67,15 +85,16 @@ def sort_multi(spark, sf):
     # A user's candidates are the tags of one unit by ten types, so the window is small.
     order = Window.partitionBy("user_id").orderBy("effective_count", F.desc("priority"), "tag")
     ranked = S.learning_candidates(*_learner(spark, sf)).withColumn("place", F.row_number().over(order))
-    return ranked.select("user_id", "tag", "question_type", "effective_count", "place").orderBy("user_id", "place")
+    return ranked.select("user_id", "tag", "question_type", "effective_count", "place")
 
 
-@query("sample_unit_test", sql(["bank"], "SELECT * FROM tests", _TESTS))
+@query("sample_unit_test", sql(["users", "bank"], "SELECT * FROM tests", _TESTS))
 def sample_unit_test(spark, sf):
-    return S.unit_tests(B.bank(spark, sf), SEED)
+    takers = B.users(spark, sf).select("user_id", F.col("current_unit").alias("unit"))
+    return S.unit_tests(takers, S.unit_pool(B.bank(spark, sf), SEED), SEED)
 
 
-@query("pick_one", sql(["bank"], f"SELECT tag, question_type, arg_min(id, md5('{SEED}:' || id) || id) AS id FROM bank GROUP BY ALL"))
+@query("pick_one", sql(["bank", "tagged"], f"SELECT tag, question_type, arg_min(id, md5('{SEED}:' || id) || id) AS id FROM tagged GROUP BY ALL"))
 def pick_one(spark, sf):
     return S.pick_one(B.tagged_bank(spark, sf), SEED)
 
@@ -98,9 +117,8 @@ def learning_session(spark, sf):
 
 @query("srs_review", sql([*LEARNER, "types"], _shuffled("review", "practice_session").format(more="tag, unit"), _POOL, _REVIEW))
 def srs_review(spark, sf):
-    users, _, strength = _learner(spark, sf)
-    scored = M.scores(strength, users, B.tag_units(spark, sf), B.now(spark, sf), F.lit(3), F.lit(99))
-    return S.review_session(scored, _pool(spark, sf), S.question_types(spark), SEED)
+    users, _, strength = _learner(spark, sf, stored=True)
+    return S.review_session(strength, users, B.tag_units(spark, sf), _pool(spark, sf), S.question_types(spark), B.now(spark, sf), SEED)
 
 
 _ROUTES = """routes AS (SELECT u.user_id, u.current_unit, CASE WHEN len(graduated_units) > 0 AND coalesce(n_weak, 0) > 0 THEN 'review' WHEN ready THEN 'unit_test' ELSE 'learning' END AS route
@@ -109,8 +127,7 @@ _ALL = (
     _shuffled("review JOIN routes USING (user_id) WHERE route = 'review'", "practice_session").replace(", {more}", "")
     + " UNION ALL "
     + _shuffled("learning JOIN routes USING (user_id) WHERE route = 'learning'", "practice_session").replace(", {more}", "")
-    + """ UNION ALL SELECT user_id, 'unit_test', CAST(row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS INTEGER), question_type, id
-          FROM routes JOIN tests ON unit = current_unit WHERE route = 'unit_test'"""
+    + """ UNION ALL SELECT user_id, 'unit_test', pos, question_type, id FROM tests JOIN routes USING (user_id) WHERE route = 'unit_test'"""
 )
 
 
@@ -126,8 +143,11 @@ def shuffle(spark, sf):
     "session_debug",
     sql(
         [*LEARNER, "types"],
-        """SELECT r.user_id, r.current_unit, r.unit_tags, r.ready, count(l.id) AS questions_found, coalesce(string_agg(DISTINCT l.question_type, ',' ORDER BY l.question_type), '') AS sample_types
-           FROM ready r LEFT JOIN learning l ON l.user_id = r.user_id GROUP BY ALL""",
+        """SELECT r.user_id, r.current_unit, array_to_string(u.graduated_units, ',') AS graduated_units, r.unit_tags, r.ready, coalesce(l.n, 0) AS questions_found,
+             coalesce(l.types, '') AS sample_types, coalesce(c.counts, '') AS sample_correct_counts
+           FROM ready r JOIN users u USING (user_id)
+           LEFT JOIN (SELECT user_id, count(*) AS n, string_agg(DISTINCT question_type, ',' ORDER BY question_type) AS types FROM learning GROUP BY user_id) l USING (user_id)
+           LEFT JOIN (SELECT user_id, string_agg(tag || '=' || correct_count, ',' ORDER BY tag) AS counts FROM words GROUP BY user_id) c USING (user_id)""",
         _CANDIDATES, _POOL, _LEARNING, _WORDS, _READY,
     ),
 )
@@ -135,10 +155,15 @@ def session_debug(spark, sf):
     users, unit_tags, strength = _learner(spark, sf, stored=True)
     session = S.learning_session(users, unit_tags, strength, _pool(spark, sf), SEED)
     found = session.groupBy("user_id").agg(F.count("*").alias("n"), F.collect_set("question_type").alias("types"))
-    ready = P.unit_ready(users, unit_tags, strength)
-    return ready.join(found, "user_id", "left").select(
-        "user_id", "current_unit", "unit_tags", "ready", F.coalesce("n", F.lit(0)).alias("questions_found"),
+    # The tags of one unit, so the list is bounded by the lexicon.
+    count = F.struct("tag", F.concat_ws("=", "tag", "correct_count").alias("c"))
+    words = P.unit_words(users, unit_tags, strength).groupBy("user_id").agg(F.array_sort(F.collect_list(count)).alias("counts"))
+    ready = P.unit_ready(users, unit_tags, strength).join(users.select("user_id", "graduated_units"), "user_id")
+    joined = ready.join(found, "user_id", "left").join(words, "user_id", "left")
+    listed = F.transform("counts", lambda c: c["c"])
+    return joined.select(
+        "user_id", "current_unit", F.array_join("graduated_units", ",").alias("graduated_units"), "unit_tags", "ready",
+        F.coalesce("n", F.lit(0)).alias("questions_found"),
         F.coalesce(F.array_join(F.array_sort("types"), ","), F.lit("")).alias("sample_types"),
+        F.coalesce(F.array_join(listed, ","), F.lit("")).alias("sample_correct_counts"),
     )
-
-

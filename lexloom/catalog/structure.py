@@ -64,12 +64,12 @@ def type_filter(spark, sf):
     return B.bank(spark, sf).where(F.col("question_type").isin(C.SENTENCE_TYPES)).select("id", "question_type")
 
 
-@query("meta_tag_filter", sql(["bank"], "SELECT id, tag AS tags FROM bank"))
+@query("meta_tag_filter", sql(["bank", "tagged"], "SELECT id, string_agg(tag, ',' ORDER BY CASE WHEN tag = 'tag_' || (seq % 10) THEN 0 ELSE 1 END) AS tags FROM tagged GROUP BY id"))
 def meta_tag_filter(spark, sf):
     return B.bank(spark, sf).select("id", F.array_join(content_tags(F.col("tags")), ",").alias("tags"))
 
 
-@query("explode_tags", sql(["bank"], "SELECT id, unit, tag FROM bank"))
+@query("explode_tags", sql(["bank", "tagged"], "SELECT id, unit, tag FROM tagged"))
 def explode_tags(spark, sf):
     return B.tagged_bank(spark, sf).select("id", "unit", "tag")
 
@@ -295,15 +295,20 @@ def word_units(spark, sf):
     "replace_cycle",
     sql(
         ["types", "bank"],
-        """SELECT id, question, (string_split(question, ' ') || [question])[(row_number() OVER (PARTITION BY question ORDER BY unit, seq) - 1) % 3 + 1] AS replacement
-           FROM bank JOIN types USING (question_type) WHERE sentence""",
+        """SELECT id, question AS old, question_type, CASE WHEN sentence AND seq % 3 > 0 THEN
+               (string_split(question, ' ') || [question])[(row_number() OVER (PARTITION BY question, sentence AND seq % 3 > 0 ORDER BY unit, seq) - 1)
+                 % (len(string_split(question, ' ')) + 1) + 1] ELSE question END AS question
+           FROM (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN question || '!' ELSE question END AS question) FROM bank) JOIN types USING (question_type)""",
     ),
 )
 def replace_cycle(spark, sf):
-    bank = B.bank(spark, sf)
+    # A third of the questions end in a way that is not among the combined sentences.
+    known = B.bank(spark, sf).select("question").distinct()
     parts = F.concat(F.split("question", " "), F.array("question"))
-    splits = bank.select(F.col("question").alias("combined"), parts.alias("parts")).distinct()
-    return Q.replace_cycle(bank, splits).select("id", "question", "replacement")
+    splits = known.select(F.col("question").alias("combined"), parts.alias("parts"))
+    other = F.when(F.col("seq") % 3 == 0, F.concat("question", F.lit("!"))).otherwise(F.col("question"))
+    bank = B.bank(spark, sf).withColumns({"question": other, "old": other})
+    return Q.replace_cycle(bank, splits).select("id", "old", "question_type", "question")
 
 
 # ------------------------------------------------------------ cloze

@@ -43,3 +43,16 @@ def seeded_order(seed: str, *parts: Column) -> Column:
 def hash_bucket(key: Column, buckets: Column) -> Column:
     """Spread a string evenly over ``buckets`` values, the same way in every engine."""
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % buckets
+
+
+def round_tenth(x: Column) -> Column:
+    """A number not below 0, rounded to one place by its exact binary value, half to even.
+
+    ``7 / 20`` is stored a little below 0.35 and goes to 0.3. With ``f`` the part after the point, the tie above tenth ``n`` is
+    ``20 f = 2 n + 1``; ``16 f - (2 n + 1)`` is exact near the tie and is held against ``4 f``.
+    """
+    f = x - F.floor(x)
+    n = F.floor(f * 10)
+    side = F.lit(16.0) * f - (2 * n + 1)
+    above = (F.lit(4.0) * f > -side) | ((F.lit(4.0) * f == -side) & (n % 2 == 1))
+    return (F.floor(x) * 10 + n + above.cast("int")) / F.lit(10.0)

@@ -58,6 +58,15 @@ def apply_blocklist(questions: DataFrame, blocklist: DataFrame, punct: str = C.P
     return questions.where(~typed).unionByName(kept)
 
 
+def removed_counts(questions: DataFrame, kept: DataFrame, unit: str = "unit") -> DataFrame:
+    """How many questions were asked about and how many went, per unit and in all (null)."""
+    before = questions.select(unit, F.lit(1).alias("_in"), F.lit(0).alias("_out"))
+    after = kept.select(unit, F.lit(0).alias("_in"), F.lit(1).alias("_out"))
+    return before.unionByName(after).rollup(unit).agg(
+        F.sum("_in").alias("questions"), (F.sum("_in") - F.sum("_out")).alias("removed")
+    )
+
+
 def ngrams(texts: DataFrame, text: str, lengths: DataFrame, keep: list[str]) -> DataFrame:
     """Distinct substrings of each text, of the lengths that occur in the lexicon."""
     sized = texts.withColumn("_sizes", lengths.agg(F.collect_set("length")).scalar())

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _add(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where null equals null; keeps the columns of ``df`` and the new ones of ``other``."""
+    renamed = other.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = reduce(Column.__and__, [df[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)])
+    return df.join(renamed, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of every key. Null keys are one key.
 
@@ -22,14 +31,14 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], block: Colum
 
     ``block`` must not decrease along the order. Rows are numbered inside
     (key, block), and the sizes of the blocks before are added, so a key
-    is shared by as many tasks as it has blocks.
+    is shared by as many tasks as it has blocks. Null keys are one key.
     """
     blocked = df.withColumn("_block", block)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_size"))
     offsets = sizes.select(*keys, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
-    numbered = blocked.withColumn("_local", local).join(offsets, [*keys, "_block"])
+    numbered = _add(blocked.withColumn("_local", local), offsets, [*keys, "_block"])
     return numbered.withColumn(out, F.col("_before") + F.col("_local")).select(*df.columns, out)
 
 
@@ -50,5 +59,5 @@ def next_within(df: DataFrame, keys: list[str], value: str, block_size: int, out
     after = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block"))
     nexts = firsts.select(*keys, "_block", after.alias("_after"))
     own = F.lead(value).over(Window.partitionBy(*keys, "_block").orderBy(value))
-    joined = blocked.withColumn("_own", own).join(nexts, [*keys, "_block"])
+    joined = _add(blocked.withColumn("_own", own), nexts, [*keys, "_block"])
     return joined.withColumn(out, F.coalesce("_own", "_after")).select(*df.columns, out)

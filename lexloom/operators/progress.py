@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom import config as C
-from lexloom.functions.scalars import units_to_csv
+from lexloom.functions.scalars import round_tenth, units_to_csv
 
 
 def unit_progress(
@@ -35,8 +35,8 @@ def unit_progress(
         "unit",
         "total_tags",
         graduated.alias("graduated_tags"),
-        F.bround(graduated / F.col("total_tags") * 100).cast("int").alias("progress_pct"),
-        F.bround(average, 1).alias("avg_correct_count"),
+        F.rint(graduated / F.col("total_tags") * 100).cast("int").alias("progress_pct"),
+        round_tenth(average).alias("avg_correct_count"),
         F.array_contains("graduated_units", F.col("unit")).alias("is_graduated"),
         (F.col("unit") == F.col("current_unit")).alias("is_current"),
     )

@@ -72,17 +72,20 @@ def tags_of_unit(questions: DataFrame) -> DataFrame:
 
 
 def replace_cycle(questions: DataFrame, splits: DataFrame) -> DataFrame:
-    """Give the questions on a combined sentence its parts in turn.
+    """The bank with its parts in turn in place of combined sentences; all other questions stay as they are.
 
     ``splits`` has ``combined`` and its ordered array ``parts``. Hits are counted
     per combined sentence in unit and question order.
     """
     hit = F.col("question_type").isin(C.SENTENCE_TYPES)
-    hits = questions.where(hit).join(splits, F.col("question") == F.col("combined"))
+    known = splits.select(F.col("combined").alias("_combined"), F.col("parts").alias("_parts"))
+    marked = questions.join(known, hit & (F.col("question") == F.col("_combined")), "left")
+    hits = marked.where("_combined IS NOT NULL")
     block = F.col("unit") * F.lit(1 << 40) + F.floor(F.col("seq") / ID_BLOCK)
-    counted = number_within(hits, ["combined"], ["unit", "seq"], block, out="_n")
-    part = F.get("parts", ((F.col("_n") - 1) % F.size("parts")).cast("int"))
-    return counted.withColumn("replacement", part).drop("combined", "parts", "_n")
+    counted = number_within(hits, ["_combined"], ["unit", "seq"], block, out="_n")
+    part = F.get("_parts", ((F.col("_n") - 1) % F.size("_parts")).cast("int"))
+    rest = marked.where("_combined IS NULL").select(*questions.columns)
+    return counted.withColumn("question", part).select(*questions.columns).unionByName(rest)
 
 
 def type_counts(questions: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def table_rows(docs: DataFrame, text: str = "text", proper: list[str] = ("Proper
     cells = rows.withColumn("cells", F.transform(F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))), strip))
     body = cells.where(
         ~F.get("cells", F.lit(0)).isin("Word", "词语")
-        & ~(F.get("cells", F.lit(0)).rlike("^[A-Z]$") & F.forall(F.slice("cells", 2, 99), lambda c: c == ""))
+        & ~(F.get("cells", F.lit(0)).rlike("^[A-Z]$") & F.forall(F.slice("cells", F.lit(2), F.greatest(F.size("cells"), F.lit(0))), lambda c: c == ""))
     )
 
     def cell(vocab: int, proper_at: int) -> Column:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom import config as C
 from lexloom.functions.rows import unnest
 from lexloom.functions.scalars import hash_bucket, seeded_order
 from lexloom.operators import strength as S
-from lexloom.operators.ordering import number_within, top_per_key
+from lexloom.operators.ordering import number_within
 from lexloom.operators.progress import unit_ready
-from lexloom.operators.questions import ID_BLOCK
 from lexloom.sources.store import materialise
 
 _TYPE_FIELDS = "question_type string, tier int, unlock int, priority int, speaking boolean, sentence boolean, source_type string, slug string"
@@ -46,32 +45,48 @@ def unlocked_types(count: Column, rules: C.Rules = C.RULES) -> Column:
     return F.filter(every, lambda t: t["unlock"] <= count)
 
 
-def question_pool(questions: DataFrame, rules: C.Rules = C.RULES) -> DataFrame:
-    """Questions per (tag, question_type, unit) in blocks, with ``n_blocks``.
+POOL_KEY = ["tag", "question_type", "unit"]
 
-    A session uses fewer ids than a block holds, so one block per candidate is
-    always enough to find a free question if there is one. A short rest is part
-    of the last block.
+
+def _numbered(rows: DataFrame, key: list[str], seed: str) -> DataFrame:
+    """Number the rows of each key from 0 in an order given by the seed and the id."""
+    keyed = rows.withColumn("_o", seeded_order(seed, F.col("id")))
+    block = F.conv(F.substring("_o", 1, 4), 16, 10).cast("long")
+    numbered = number_within(keyed, key, ["_o", "id"], block)
+    return numbered.withColumn("place", F.col("n") - 1).drop("_o", "n")
+
+
+def question_pool(questions: DataFrame, seed: str) -> DataFrame:
+    """Every question of a (tag, question_type, unit) with its ``place`` from 0 on, in an order given by the seed."""
+    rows = questions.select(*POOL_KEY, "id").distinct()
+    return _numbered(rows, POOL_KEY, seed)
+
+
+def _attach_pool(candidates: DataFrame, pool: DataFrame, seed: str, rules: C.Rules = C.RULES) -> DataFrame:
+    """Give each candidate as many questions as a session has, drawn from all it may be asked.
+
+    ``candidates`` has a row for each unit the question may come from. The questions of the units stand one after the
+    other; the seed names a place among all of them, and that place and the ones after it (from the end on to the
+    start) are looked up. The first that the session does not hold yet is asked: others hold fewer than a
+    session's size, so there is always one if there is any. Candidates without questions go.
     """
     size = rules.session_size
-    key = ["tag", "question_type", "unit"]
-    rows = questions.select(*key, "seq", "id")
-    numbered = number_within(rows, key, ["seq"], F.floor(F.col("seq") / ID_BLOCK))
-    totals = rows.groupBy(*key).agg(F.count("*").alias("total"))
-    n_blocks = F.greatest(F.floor(F.col("total") / size), F.lit(1))
-    block = F.least(F.floor((F.col("n") - 1) / size), n_blocks - 1)
-    placed = numbered.join(totals, key).select(*key, "seq", "id", block.alias("block"), n_blocks.alias("n_blocks"))
-    blocks = placed.groupBy(*key, "block", "n_blocks").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("q"))
-    return blocks.select(*key, "block", "n_blocks", F.transform("q", lambda q: q["id"]).alias("ids"))
-
-
-def _attach_pool(candidates: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
-    """Give each candidate one block of its pool; candidates without questions go."""
-    key = ["tag", "question_type", "unit"]
-    sizes = pool.where("block = 0").select(*key, "n_blocks")
-    pick = hash_bucket(F.concat_ws(":", F.lit(seed), "user_id", *key), F.col("n_blocks"))
-    sized = candidates.join(sizes, key).withColumn("block", pick).drop("n_blocks")
-    return sized.join(pool.drop("n_blocks"), [*key, "block"]).drop("block")
+    totals = pool.groupBy(*POOL_KEY).agg(F.count("*").alias("_n"))
+    sized = candidates.join(totals, POOL_KEY)
+    who = Window.partitionBy("user_id", "tag", "question_type")
+    until = F.sum("_n").over(who.orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = sized.withColumns({"_all": F.sum("_n").over(who), "_from": until - F.col("_n")})
+    start = hash_bucket(F.concat_ws(":", F.lit(seed), "user_id", "tag", "question_type"), F.col("_all"))
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.lit(size), F.col("_all")) - 1)
+    drawn = F.transform(steps, lambda i: F.struct(i.alias("i"), ((start + i) % F.col("_all") - F.col("_from")).alias("place")))
+    mine = F.filter(drawn, lambda d: (d["place"] >= 0) & (d["place"] < F.col("_n")))
+    others = [c for c in candidates.columns if c not in POOL_KEY]
+    each = unnest(placed, mine, [*POOL_KEY, *others], "_d").select(*POOL_KEY, *others, F.col("_d.i").alias("_i"), F.col("_d.place").alias("place"))
+    found = each.join(pool, [*POOL_KEY, "place"])
+    group = ["user_id", "tag", "question_type"]
+    rest = [F.first(c).alias(c) for c in others if c not in group]
+    ids = F.array_sort(F.collect_list(F.struct("_i", "id", "unit"))).alias("ids")
+    return found.groupBy(*group).agg(ids, *rest)
 
 
 def _greedy(candidates: DataFrame, order: list[Column], per_tag: int, size: int) -> DataFrame:
@@ -80,15 +95,16 @@ def _greedy(candidates: DataFrame, order: list[Column], per_tag: int, size: int)
     A user's candidates are the types of the tags of some units; their number
     does not grow with the answer log.
     """
-    fields = ["tag", "question_type", "unit", "ids"]
+    fields = ["tag", "question_type", "ids"]
     ranked = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *fields)))
     pick_type = "array<struct<tag:string,question_type:string,unit:int,id:string>>"
 
     def take(picked: Column, c: Column) -> Column:
-        free = F.filter(c["ids"], lambda i: ~F.exists(picked, lambda p: p["id"] == i))
+        free = F.filter(c["ids"], lambda i: ~F.exists(picked, lambda p: p["id"] == i["id"]))
         same_tag = F.size(F.filter(picked, lambda p: p["tag"] == c["tag"]))
         fits = (F.size(picked) < size) & (same_tag < per_tag) & (F.size(free) > 0)
-        pick = F.struct(c["tag"].alias("tag"), c["question_type"].alias("question_type"), c["unit"].alias("unit"), F.get(free, F.lit(0)).alias("id"))
+        first = F.get(free, F.lit(0))
+        pick = F.struct(c["tag"].alias("tag"), c["question_type"].alias("question_type"), first["unit"].alias("unit"), first["id"].alias("id"))
         return F.when(fits, F.concat(picked, F.array(pick))).otherwise(picked)
 
     chosen = F.aggregate("ranked", F.array().cast(pick_type), take)
@@ -107,9 +123,10 @@ def _shuffled(sessions: DataFrame, seed: str, session_type: str) -> DataFrame:
 def learning_candidates(
     users: DataFrame, unit_tags: DataFrame, strength: DataFrame, rules: C.Rules = C.RULES
 ) -> DataFrame:
-    """Tags of the current unit with a strength row, times the types unlocked for them."""
+    """Tags of the current unit, times the types unlocked for them; a tag without a row was never answered."""
     own = users.select("user_id", F.col("current_unit").alias("unit")).join(unit_tags, "unit")
-    known = own.join(strength.select("user_id", "tag", "correct_count"), ["user_id", "tag"])
+    known = own.join(strength.select("user_id", "tag", "correct_count"), ["user_id", "tag"], "left")
+    known = known.withColumn("correct_count", F.coalesce("correct_count", F.lit(0)))
     typed = unnest(known, unlocked_types(F.col("correct_count"), rules), ["*"], "t")
     easy = (F.col("t.tier") == 1) & (F.col("correct_count") >= rules.easy_after)
     count = F.when(easy, F.greatest("correct_count", F.lit(rules.easy_count))).otherwise(F.col("correct_count"))
@@ -120,29 +137,71 @@ def learning_session(
     users: DataFrame, unit_tags: DataFrame, strength: DataFrame, pool: DataFrame, seed: str, rules: C.Rules = C.RULES
 ) -> DataFrame:
     """Least practised tags of the current unit first, at most two questions per tag."""
-    candidates = _attach_pool(learning_candidates(users, unit_tags, strength, rules), pool, seed)
+    candidates = _attach_pool(learning_candidates(users, unit_tags, strength, rules), pool, seed, rules)
     order = [F.col("effective_count"), -F.col("priority"), F.col("tag")]
     picked = _greedy(candidates, order, rules.max_per_tag, rules.session_size)
     return _shuffled(picked, seed, "practice_session")
 
 
-def review_session(
-    scored: DataFrame, pool: DataFrame, types: DataFrame, seed: str, rules: C.Rules = C.RULES
+def review_scores(
+    strength: DataFrame, users: DataFrame, tag_units: DataFrame, now: Column, most: int | None = None, rules: C.Rules = C.RULES
 ) -> DataFrame:
-    """Most forgotten graduated tags first, each with its best type that has a question."""
+    """Graduated tags with their strength: those answered, and of the others ``most`` for each user (None: all)."""
+    low, high = F.lit(rules.first_unit), F.lit(rules.last_unit)
+    answered = S.scores(strength, users, tag_units, now, low, high)
+    return answered.unionByName(S.default_scores(strength, users, tag_units, high, most, rules))
+
+
+def _review_picks(scored: DataFrame, pool: DataFrame, types: DataFrame, seed: str, rules: C.Rules) -> DataFrame:
     # A question may belong to any graduated unit, not only to the first one of its tag.
-    keys = pool.where("block = 0").select("tag", "question_type", "unit").join(types.select("question_type", "priority"), "question_type")
+    keys = pool.where("place = 0").select(*POOL_KEY).join(types.select("question_type", "priority"), "question_type")
     open_to = scored.drop("unit").join(keys, "tag").where(F.array_contains("graduated_units", F.col("unit")))
-    candidates = _attach_pool(open_to, pool, seed)
-    order = [F.col("strength"), F.col("tag"), -F.col("priority"), F.col("unit")]
-    return _shuffled(_greedy(candidates, order, 1, rules.session_size), seed, "practice_session")
+    candidates = _attach_pool(open_to, pool, seed, rules)
+    return _greedy(candidates, [F.col("strength"), F.col("tag"), -F.col("priority")], 1, rules.session_size)
+
 
+def review_session(
+    strength: DataFrame, users: DataFrame, tag_units: DataFrame, pool: DataFrame, types: DataFrame, now: Column, seed: str,
+    rules: C.Rules = C.RULES,
+) -> DataFrame:
+    """Most forgotten graduated tags first, each with its best type that has a question.
 
-def unit_tests(questions: DataFrame, seed: str, rules: C.Rules = C.RULES) -> DataFrame:
-    """A reproducible random test per unit, without repeats."""
-    eligible = questions.where(F.col("question_type").isin(C.TYPE_NAMES)).select("unit", "id", "question_type")
-    keyed = eligible.withColumn("_o", seeded_order(seed, F.col("id")))
-    return top_per_key(keyed, ["unit"], ["_o", "id"], rules.test_size).drop("_o")
+    ``strength`` holds the answered tags; those never answered come in with the default. The first few tags of a user
+    fill the session unless they have no questions; only users left short are gone through with all their tags.
+    """
+    enough = 2 * rules.session_size
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("strength", "tag"))
+    some = review_scores(strength, users, tag_units, now, enough + 1, rules)
+    first = some.withColumn("_place", place).where(F.col("_place") <= enough + 1)
+    first = materialise(first, "review-tags")
+    picked = materialise(_review_picks(first.where(F.col("_place") <= enough).drop("_place"), pool, types, seed, rules), "review-picks")
+    full = picked.where(F.size("picked") >= rules.session_size).select("user_id")
+    short = first.where(F.col("_place") > enough).select("user_id").join(full, "user_id", "left_anti")
+    scored = review_scores(strength, users.join(short, "user_id", "left_semi"), tag_units, now, None, rules)
+    rest = _review_picks(scored, pool, types, seed, rules)
+    kept = picked.join(short, "user_id", "left_anti")
+    return _shuffled(kept.unionByName(rest), seed, "practice_session")
+
+
+def unit_pool(questions: DataFrame, seed: str) -> DataFrame:
+    """Every question of a unit that a test may ask, with its ``place`` from 0 on."""
+    eligible = questions.where(F.col("question_type").isin(C.TYPE_NAMES)).select("unit", "id", "question_type").distinct()
+    return _numbered(eligible, ["unit"], seed)
+
+
+def unit_tests(takers: DataFrame, pool: DataFrame, seed: str, rules: C.Rules = C.RULES) -> DataFrame:
+    """A random test of its own for every ``user_id`` and ``unit``, without repeats, from all questions of the unit.
+
+    Places are drawn by hash; where the unit has few questions, those not drawn follow.
+    """
+    size = rules.test_size
+    totals = pool.groupBy("unit").agg(F.count("*").alias("_n"))
+    n = F.col("_n")
+    tries = F.transform(F.sequence(F.lit(0), F.lit(4 * size - 1)), lambda i: hash_bucket(F.concat_ws(":", F.lit(seed), "user_id", "unit", i), n))
+    rest = F.when(n < 4 * size, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    places = F.slice(F.array_distinct(F.concat(tries, rest)), 1, size)
+    each = unnest(takers.select("user_id", "unit").join(totals, "unit"), places, ["user_id", "unit"], "place", at="pos")
+    return each.join(pool, ["unit", "place"]).select("user_id", "unit", "pos", "question_type", "id")
 
 
 def pick_one(questions: DataFrame, seed: str) -> DataFrame:
@@ -159,11 +218,11 @@ def route(
     now: Column,
     rules: C.Rules = C.RULES,
 ) -> DataFrame:
-    """Which session each user gets: review, unit test or learning."""
-    weak = S.weak_tags(strength, users, tag_units, now, rules).groupBy("user_id").agg(F.count("*").alias("n_weak"))
+    """Which session each user gets: review, unit test or learning; ``strength`` holds the answered tags."""
+    weak = S.count_weak(strength, users, tag_units, now, rules)
     ready = unit_ready(users, unit_tags, strength, rules).select("user_id", "ready")
-    rows = users.join(weak, "user_id", "left").join(ready, "user_id")
-    n_weak = F.coalesce("n_weak", F.lit(0))
+    rows = users.join(weak, "user_id").join(ready, "user_id")
+    n_weak = F.col("n_weak")
     kind = F.when((F.size("graduated_units") > 0) & (n_weak > 0), "review").when(F.col("ready"), "unit_test").otherwise("learning")
     return rows.select("user_id", "current_unit", n_weak.alias("n_weak"), "ready", kind.alias("route"))
 
@@ -185,16 +244,10 @@ def build_sessions(
     """
     routes = route(users, unit_tags, strength, tag_units, now, rules).select("user_id", "route")
     routed = materialise(users.join(routes, "user_id"), "routes")
-    pool = materialise(question_pool(questions, rules), "pool")
-    scored = S.scores(strength, routed.where("route = 'review'"), tag_units, now, F.lit(rules.first_unit), F.lit(rules.last_unit))
+    pool = materialise(question_pool(questions, seed), "pool")
     fields = ["user_id", "session_type", "pos", "question_type", "id"]
-    review = review_session(scored, pool, types, seed, rules).select(*fields)
+    review = review_session(strength, routed.where("route = 'review'"), tag_units, pool, types, now, seed, rules).select(*fields)
     learning = learning_session(routed.where("route = 'learning'"), unit_tags, strength, pool, seed, rules).select(*fields)
-    forms = unit_tests(questions, seed, rules)
-    numbered = number_within(forms, ["unit"], ["id"], F.lit(0))
-    tests = (
-        routed.where("route = 'unit_test'")
-        .join(numbered, F.col("current_unit") == F.col("unit"))
-        .select("user_id", F.lit("unit_test").alias("session_type"), (F.col("n") - 1).cast("int").alias("pos"), "question_type", "id")
-    )
-    return review.unionByName(learning).unionByName(tests)
+    takers = routed.where("route = 'unit_test'").select("user_id", F.col("current_unit").alias("unit"))
+    tests = unit_tests(takers, unit_pool(questions, seed), seed, rules).withColumn("session_type", F.lit("unit_test"))
+    return review.unionByName(learning).unionByName(tests.select(*fields))

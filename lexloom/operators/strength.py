@@ -11,6 +11,7 @@ A key that holds a third of the log is spread over a third of the tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +28,26 @@ STEP_SCHEMA = (
     "user_id long, tag string, first_ts timestamp, first_seq long, first_ok boolean, last_ts timestamp, "
     "n long, n_correct long, expo int, lo double, hi double"
 )
-_FIELDS = [f.split()[0] for f in STEP_SCHEMA.split(", ")]
-# Beyond this exponent a step is constant whatever it is applied to.
-_MAX_EXPO = 20
 
 
-def _then(first: tuple, second: tuple) -> tuple:
+def _most_expo(floor: float, cap: float) -> int:
+    """Beyond this exponent a step is constant whatever it is applied to."""
+    return math.ceil(math.log2(cap / floor)) + 1
+
+
+def _then(first: tuple, second: tuple, most: int) -> tuple:
     """The step that does ``first`` and then ``second`` (arrays of expo, lo, hi)."""
     e1, lo1, hi1 = first
     e2, lo2, hi2 = second
     scale = np.exp2(e2.astype(np.float64))
     return (
-        np.clip(e1 + e2, -_MAX_EXPO, _MAX_EXPO),
+        np.clip(e1 + e2, -most, most),
         np.minimum(np.maximum(scale * lo1, lo2), hi2),
         np.minimum(np.maximum(scale * hi1, lo2), hi2),
     )
 
 
-def _reduce_runs(run: np.ndarray, steps: tuple) -> tuple:
+def _reduce_runs(run: np.ndarray, steps: tuple, most: int) -> tuple:
     """Combine neighbours of the same run pairwise until each run is one step."""
     while True:
         n = len(run)
@@ -57,79 +60,11 @@ def _reduce_runs(run: np.ndarray, steps: tuple) -> tuple:
         left = index[offset % 2 == 0]
         right = np.minimum(left + 1, n - 1)
         paired = (left + 1 < n) & (run[right] == run[left])
-        both = _then(tuple(s[left] for s in steps), tuple(s[right] for s in steps))
+        both = _then(tuple(s[left] for s in steps), tuple(s[right] for s in steps), most)
         steps = tuple(np.where(paired, b, s[left]) for b, s in zip(both, steps))
         run = run[left]
 
 
-def _fold_sorted(batches: Iterator[pa.RecordBatch], floor: float, cap: float) -> Iterator[pa.RecordBatch]:
-    """Reduce batches sorted by user, tag and time to one row per key."""
-    open_row = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        user = batch.column("user_id").to_numpy(zero_copy_only=False)
-        tags = batch.column("tag").dictionary_encode()
-        code = tags.indices.to_numpy(zero_copy_only=False)
-        ts = batch.column("ts").cast(pa.int64()).to_numpy(zero_copy_only=False)
-        seq = batch.column("seq").to_numpy(zero_copy_only=False)
-        right = batch.column("is_correct").to_numpy(zero_copy_only=False).astype(bool)
-
-        head = np.ones(len(user), dtype=bool)
-        head[1:] = (user[1:] != user[:-1]) | (code[1:] != code[:-1])
-        starts = np.flatnonzero(head)
-        ends = np.append(starts[1:], len(user)) - 1
-        expo, lo, hi = _reduce_runs(
-            np.cumsum(head),
-            (
-                np.where(right, 1, -1),
-                np.where(right, min(2 * floor, cap), floor),
-                np.where(right, cap, max(cap / 2, floor)),
-            ),
-        )
-        rows = [
-            dict(zip(_FIELDS, r))
-            for r in zip(
-                user[starts].tolist(),
-                [tags.dictionary[i].as_py() for i in code[starts].tolist()],
-                ts[starts].tolist(),
-                seq[starts].tolist(),
-                right[starts].tolist(),
-                ts[ends].tolist(),
-                (ends - starts + 1).tolist(),
-                np.add.reduceat(right.astype(np.int64), starts).tolist(),
-                expo.tolist(),
-                lo.tolist(),
-                hi.tolist(),
-            )
-        ]
-        if open_row is not None:
-            if (open_row["user_id"], open_row["tag"]) == (rows[0]["user_id"], rows[0]["tag"]):
-                rows[0] = _join_rows(open_row, rows[0])
-            else:
-                rows.insert(0, open_row)
-        open_row = rows.pop()
-        if rows:
-            yield _as_batch(rows)
-    if open_row is not None:
-        yield _as_batch([open_row])
-
-
-def _join_rows(a: dict, b: dict) -> dict:
-    expo, lo, hi = _then(
-        *(tuple(np.array([r[k]]) for k in ("expo", "lo", "hi")) for r in (a, b))
-    )
-    return {
-        **a,
-        "last_ts": b["last_ts"],
-        "n": a["n"] + b["n"],
-        "n_correct": a["n_correct"] + b["n_correct"],
-        "expo": int(expo[0]),
-        "lo": float(lo[0]),
-        "hi": float(hi[0]),
-    }
-
-
 _ARROW = pa.schema(
     [
         ("user_id", pa.int64()),
@@ -147,38 +82,93 @@ _ARROW = pa.schema(
 )
 
 
-def _as_batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+def _fold_sorted(batches: Iterator[pa.RecordBatch], floor: float, cap: float) -> Iterator[pa.RecordBatch]:
+    """Reduce batches sorted by user, tag and time to one row per key.
+
+    The last key of a batch may go on in the next one, so it waits for it.
+    """
+    most, held = _most_expo(floor, cap), None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = _fold_batch(batch, floor, cap, most)
+        if held is not None:
+            same = all(held[c][0].as_py() == rows[c][0].as_py() for c in ("user_id", "tag"))
+            if same:
+                rows = pa.concat_tables([_join_rows(held, rows.slice(0, 1), most), rows.slice(1)])
+            else:
+                rows = pa.concat_tables([held, rows])
+        held = rows.slice(len(rows) - 1)
+        yield from rows.slice(0, len(rows) - 1).to_batches()
+    if held is not None:
+        yield from held.to_batches()
+
+
+def _fold_batch(batch: pa.RecordBatch, floor: float, cap: float, most: int) -> pa.Table:
+    user = batch.column("user_id").to_numpy(zero_copy_only=False)
+    tags = batch.column("tag").dictionary_encode()
+    code = tags.indices.to_numpy(zero_copy_only=False)
+    right = batch.column("is_correct").to_numpy(zero_copy_only=False).astype(bool)
+    head = np.ones(len(user), dtype=bool)
+    head[1:] = (user[1:] != user[:-1]) | (code[1:] != code[:-1])
+    starts = np.flatnonzero(head)
+    ends = np.append(starts[1:], len(user)) - 1
+    expo, lo, hi = _reduce_runs(
+        np.cumsum(head),
+        (
+            np.where(right, 1, -1),
+            np.where(right, min(2 * floor, cap), floor),
+            np.where(right, cap, max(cap / 2, floor)),
+        ),
+        most,
+    )
+    first, last = pa.array(starts), pa.array(ends)
+    counts = np.add.reduceat(right.astype(np.int64), starts)
+    columns = [
+        batch.column("user_id").take(first), batch.column("tag").take(first), batch.column("ts").take(first),
+        batch.column("seq").take(first), pa.array(right[starts]), batch.column("ts").take(last),
+        pa.array(ends - starts + 1), pa.array(counts), pa.array(expo), pa.array(lo), pa.array(hi),
+    ]
+    return pa.table([c.cast(f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
+def _join_rows(a: pa.Table, b: pa.Table, most: int) -> pa.Table:
+    """Two rows of one key as one."""
+    x, y = a.to_pylist()[0], b.to_pylist()[0]
+    expo, lo, hi = _then(*(tuple(np.array([r[k]]) for k in ("expo", "lo", "hi")) for r in (x, y)), most)
+    both = {"n": x["n"] + y["n"], "n_correct": x["n_correct"] + y["n_correct"], "last_ts": y["last_ts"]}
+    return pa.Table.from_pylist([x | both | {"expo": int(expo[0]), "lo": float(lo[0]), "hi": float(hi[0])}], schema=_ARROW)
 
 
 def answer_steps(answers: DataFrame, rules: C.Rules = C.RULES) -> DataFrame:
     """Answers (user_id, tag, ts, seq, is_correct) reduced to steps, a few per key.
 
     Answers with the same time and sequence number count wrong ones first, so
-    the result does not depend on how the log is stored.
+    the result does not depend on how the log is stored. Answers without user, tag
+    or time are ignored, those without a result count as wrong.
     """
     floor, cap = rules.stability_floor, rules.stability_cap
     order = ["user_id", "tag", "ts", "seq", "is_correct"]
-    ordered = answers.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    known = answers.where("user_id IS NOT NULL AND tag IS NOT NULL AND ts IS NOT NULL").select(
+        "user_id", "tag", "ts", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"),
+        F.coalesce("is_correct", F.lit(False)).alias("is_correct"),
+    )
+    ordered = known.repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.mapInArrow(lambda batches: _fold_sorted(batches, floor, cap), STEP_SCHEMA)
 
 
-def apply_steps(steps: DataFrame, seeds: DataFrame, order: tuple[str, ...] = ("first_ts", "first_seq", "first_ok")) -> DataFrame:
-    """Strength rows after the steps. Answers to tags without a strength row are ignored.
-
-    A key has at most one step per range partition it was spread over.
-    """
+def _chains(steps: DataFrame, order: tuple[str, ...]) -> DataFrame:
     chain = F.array_sort(F.collect_list(F.struct(*order, "expo", "lo", "hi"))).alias("chain")
-    per_key = steps.groupBy("user_id", "tag").agg(
-        chain, F.sum("n_correct").alias("gained"), F.max("last_ts").alias("last_ts")
-    )
-    joined = seeds.join(per_key, ["user_id", "tag"], "left")
+    return steps.groupBy("user_id", "tag").agg(chain, F.sum("n_correct").alias("gained"), F.max("last_ts").alias("last_ts"))
+
+
+def _moved(rows: DataFrame) -> DataFrame:
     moved = F.aggregate(
         "chain",
         F.col("stability"),
         lambda s, step: F.least(F.greatest(s * F.pow(F.lit(2.0), step["expo"]), step["lo"]), step["hi"]),
     )
-    return joined.select(
+    return rows.select(
         "user_id",
         "tag",
         (F.col("correct_count") + F.coalesce("gained", F.lit(0))).cast("int").alias("correct_count"),
@@ -187,18 +177,50 @@ def apply_steps(steps: DataFrame, seeds: DataFrame, order: tuple[str, ...] = ("f
     )
 
 
+STEP_ORDER = ("first_ts", "first_seq", "first_ok")
+
+
+def apply_steps(steps: DataFrame, seeds: DataFrame, order: tuple[str, ...] = STEP_ORDER) -> DataFrame:
+    """Strength rows after the steps. Answers to tags without a strength row are ignored.
+
+    A key has at most one step per range partition it was spread over.
+    """
+    return _moved(seeds.join(_chains(steps, order), ["user_id", "tag"], "left"))
+
+
 def apply_answers(answers: DataFrame, seeds: DataFrame, rules: C.Rules = C.RULES) -> DataFrame:
     """Replay an answer log over the given strength rows."""
     return apply_steps(answer_steps(answers, rules), seeds)
 
 
+def answered_strength(
+    answers: DataFrame, users: DataFrame, tag_units: DataFrame, now: Column, rules: C.Rules = C.RULES
+) -> DataFrame:
+    """Strength of the tags a user has answered, started from the default row.
+
+    A tag that was never answered has the default row in a store that holds all; here it has none, and
+    readers put the default in its place. So the table grows with the answers, not with users times tags.
+    """
+    steps = answer_steps(answers, rules).join(users.select("user_id"), "user_id", "left_semi")
+    steps = steps.join(tag_units.select("tag"), "tag", "left_semi")
+    return _moved(_chains(steps, STEP_ORDER).select("*", *_default_row(now, rules)))
+
+
+def _default_row(now: Column, rules: C.Rules) -> list[Column]:
+    return [
+        F.lit(0).alias("correct_count"),
+        F.lit(rules.seed_stability).alias("stability"),
+        (now - F.expr(f"INTERVAL {rules.seed_age_days} DAYS")).alias("last_practice"),
+    ]
+
+
 def batch_answers(batches: DataFrame) -> DataFrame:
     """Submitted batches (parallel arrays of questions and results) to answers per tag."""
     pairs = F.arrays_zip(F.col("list_of_question_data").alias("q"), F.col("is_correct").alias("ok"))
     each = unnest(batches, pairs, ["user_id", "ts"], "a", at="pos")
     tags = unnest(each, content_tags(F.col("a.q.tags")), ["user_id", "ts", "pos", "a.ok"], "tag", at="tag_no")
     return tags.select(
-        "user_id", "tag", "ts", (F.col("pos") * 4096 + F.col("tag_no")).cast("long").alias("seq"), F.col("ok").alias("is_correct")
+        "user_id", "tag", "ts", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("tag_no")).alias("seq"), F.col("ok").alias("is_correct")
     )
 
 
@@ -207,19 +229,13 @@ def seed_missing(
 ) -> DataFrame:
     """A default row for every tag a user has none of.
 
-    Users are expanded by unit and joined to the tags of the unit, so every pair
-    is made once and only because it may be a row of the result.
+    The result is users times tags less the stored rows; only a store that must hold every row needs it.
+    Other jobs read ``answered_strength``.
     """
     units = tag_units.agg(F.collect_set("unit")).scalar()
     wanted = users.select("user_id", F.explode(units).alias("unit")).join(tag_units, "unit").select("user_id", "tag")
     missing = wanted.join(strength, ["user_id", "tag"], "left_anti")
-    return missing.select(
-        "user_id",
-        "tag",
-        F.lit(0).alias("correct_count"),
-        F.lit(rules.seed_stability).alias("stability"),
-        (now - F.expr(f"INTERVAL {rules.seed_age_days} DAYS")).alias("last_practice"),
-    )
+    return missing.select("user_id", "tag", *_default_row(now, rules))
 
 
 def scores(
@@ -237,6 +253,50 @@ def scores(
 def weak_tags(
     strength: DataFrame, users: DataFrame, tag_units: DataFrame, now: Column, rules: C.Rules = C.RULES
 ) -> DataFrame:
-    """Graduated tags of earlier units that are mostly forgotten."""
+    """Graduated tags of earlier units that are mostly forgotten, of the stored rows."""
     rows = scores(strength, users, tag_units, now, F.lit(rules.first_unit), F.col("current_unit") - 1)
     return rows.where(F.col("strength") < rules.weak_below)
+
+
+def default_scores(
+    strength: DataFrame, users: DataFrame, tag_units: DataFrame, high: Column, most: int | None = None, rules: C.Rules = C.RULES
+) -> DataFrame:
+    """The graduated tags up to unit ``high`` that a user never answered, with the default's strength.
+
+    ``most`` keeps that many for each user, by tag. The tags of a unit are one value, bounded by the
+    lexicon; only the tags that are wanted become rows.
+    """
+    listed = tag_units.groupBy("unit").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    by_unit = listed.agg(F.map_from_entries(F.collect_list(F.struct("unit", "tags")))).scalar()
+    units = F.filter("graduated_units", lambda u: (u >= rules.first_unit) & (u <= high))
+    none = F.array().cast("array<struct<tag:string,unit:int>>")
+    wanted = F.flatten(F.transform(units, lambda u: F.coalesce(
+        F.transform(F.try_element_at("_tags", u), lambda t: F.struct(t.alias("tag"), u.alias("unit"))), none
+    )))
+    seen = strength.groupBy("user_id").agg(F.collect_set("tag").alias("_seen"))
+    rows = users.join(seen, "user_id", "left").withColumn("_tags", by_unit).withColumn("_open", F.array_sort(F.filter(
+        wanted, lambda t: ~F.coalesce(F.array_contains("_seen", t["tag"]), F.lit(False))
+    )))
+    open_tags = F.slice("_open", F.lit(1), F.lit(most)) if most else F.col("_open")
+    days = rules.seed_age_days
+    value = F.pow(F.lit(0.5), F.lit(float(days)) / F.lit(rules.seed_stability))
+    each = unnest(rows, open_tags, ["user_id", "current_unit", "graduated_units"], "t")
+    return each.select(
+        "user_id", "t.tag", "t.unit", "current_unit", "graduated_units", F.lit(rules.seed_stability).alias("stability"), value.alias("strength")
+    )
+
+
+def count_weak(
+    answered: DataFrame, users: DataFrame, tag_units: DataFrame, now: Column, rules: C.Rules = C.RULES
+) -> DataFrame:
+    """``user_id``, ``n_weak``: graduated tags of earlier units, less those answered and still strong.
+
+    Tags that were never answered are weak; they are counted by unit and never listed.
+    """
+    sizes = tag_units.groupBy("unit").agg(F.count("*").alias("n"))
+    by_unit = sizes.agg(F.map_from_entries(F.collect_list(F.struct("unit", "n")))).scalar()
+    earlier = F.filter("graduated_units", lambda u: (u >= rules.first_unit) & (u < F.col("current_unit")))
+    every = F.aggregate(earlier, F.lit(0).cast("long"), lambda n, u: n + F.coalesce(F.try_element_at("_sizes", u), F.lit(0)))
+    strong = scores(answered, users, tag_units, now, F.lit(rules.first_unit), F.col("current_unit") - 1)
+    strong = strong.where(F.col("strength") >= rules.weak_below).groupBy("user_id").agg(F.count("*").alias("_strong"))
+    return users.join(strong, "user_id", "left").withColumn("_sizes", by_unit).select("user_id", (every - F.coalesce("_strong", F.lit(0))).alias("n_weak"))

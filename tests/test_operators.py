@@ -1,11 +1,13 @@
 """Content operators on literal course text, and skewed keys against brute force."""
 
 import random
+from hashlib import md5
 
 from pyspark.sql import functions as F
 
 from lexloom import config as C
-from lexloom.operators import cloze, containment, dedup, grading, progress, sections, segmentation, sessions
+from lexloom.functions.scalars import round_tenth
+from lexloom.operators import cloze, containment, dedup, grading, progress, sections, segmentation, sessions, strength
 from lexloom.operators import questions as Q
 from lexloom.operators.ordering import next_within, number_within
 from lexloom.plans import lexicon, question_bank, sentence_bank
@@ -155,12 +157,15 @@ def test_learning_session_with_shared_questions(spark):
     rows = [(i, f"q{i}", tag, 3, types[i % 2]) for i in range(6) for tag in (("a", "b") if i < 4 else ("c",))]
     bank = spark.createDataFrame(rows, "seq long, id string, tag string, unit int, question_type string")
     counts = {"a": 0, "b": 0, "c": 1}
-    strength = spark.createDataFrame([(1, t, c) for t, c in counts.items()], "user_id long, tag string, correct_count int")
-    got = sessions.learning_session(users, bank.select("unit", "tag").distinct(), strength, sessions.question_pool(bank), "s").collect()
+    strength = spark.createDataFrame([(1, "c", 1)], "user_id long, tag string, correct_count int")
+    got = sessions.learning_session(users, bank.select("unit", "tag").distinct(), strength, sessions.question_pool(bank, "s"), "s").collect()
+    digest = lambda *x: md5(":".join(map(str, ("s", *x))).encode()).hexdigest()
     used, want = [], []
     order = sorted(((counts[t], 0 if q == "speaking vocab" else 1, t, q) for t in counts for q in types))
     for _, _, tag, qtype in order:
-        free = [r[1] for r in rows if r[2] == tag and r[4] == qtype and r[1] not in used]
+        all_ids = sorted((r[1] for r in rows if r[2] == tag and r[4] == qtype), key=lambda i: (digest(i), i))
+        start = int(digest(1, tag, qtype)[:8], 16) % len(all_ids)
+        free = [i for i in all_ids[start:] + all_ids[:start] if i not in used]
         if free and sum(t == tag for t, _ in want) < 2:
             used.append(free[0])
             want.append((tag, free[0]))
@@ -168,6 +173,60 @@ def test_learning_session_with_shared_questions(spark):
     assert sorted(r.pos for r in got) == list(range(len(want)))
 
 
+def test_every_question_can_be_asked(spark):
+    users = spark.range(2000).select(F.col("id").alias("user_id"), F.lit(3).alias("current_unit"), F.array(F.lit(2)).alias("graduated_units"))
+    rows = [(i, f"q{i}", "a", 3, "speaking vocab") for i in range(100)] + [(i, f"r{i}", "b", 3, "speaking vocab") for i in range(19)]
+    bank = spark.createDataFrame(rows, "seq long, id string, tag string, unit int, question_type string")
+    none = spark.createDataFrame([], "user_id long, tag string, correct_count int")
+    pool = sessions.question_pool(bank, "s")
+    got = sessions.learning_session(users, bank.select("unit", "tag").distinct(), none, pool, "s")
+    assert got.groupBy("user_id").count().where("count <> 2").isEmpty()
+    assert {r.id for r in got.select("id").distinct().collect()} == {r[1] for r in rows}
+    takers = users.select("user_id", F.lit(3).alias("unit"))
+    tests = sessions.unit_tests(takers, sessions.unit_pool(bank, "s"), "s")
+    each = tests.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"))
+    assert [tuple(r) for r in each.select("n", "d").distinct().collect()] == [(20, 20)]
+    assert tests.select("id").distinct().count() == 119
+
+
+def test_review_falls_back_to_all_tags(spark):
+    """Tags without questions come first; the session is still filled from the ones behind them."""
+    users = spark.createDataFrame([(1, 5, [3, 4])], "user_id long, current_unit int, graduated_units array<int>")
+    tag_units = spark.createDataFrame([(f"t{i:03d}", 3 + i % 2) for i in range(60)], "tag string, unit int")
+    rows = [(i, f"q{i}", f"t{i:03d}", u, "speaking vocab") for i in range(40, 60) for u in (3, 4, 9)]
+    bank = spark.createDataFrame(rows, "seq long, id string, tag string, unit int, question_type string")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    strength = spark.createDataFrame([(1, "t041", 5, 200.0)], "user_id long, tag string, correct_count int, stability double")
+    strength = strength.withColumn("last_practice", now)
+    got = sessions.review_session(strength, users, tag_units, sessions.question_pool(bank, "s"), sessions.question_types(spark), now, "s").collect()
+    assert sorted(r.tag for r in got) == [f"t{i:03d}" for i in (40, *range(42, 51))]
+    assert {r.unit for r in got} <= {3, 4}
+
+
+def test_weak_count_holds_tags_never_answered(spark):
+    users = spark.createDataFrame([(1, 5, [3, 4]), (2, 3, [])], "user_id long, current_unit int, graduated_units array<int>")
+    tag_units = spark.createDataFrame([("a", 3), ("b", 3), ("c", 4), ("d", 5)], "tag string, unit int")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    answered = spark.createDataFrame([(1, "a", 4, 100.0), (1, "d", 4, 100.0)], "user_id long, tag string, correct_count int, stability double").withColumn("last_practice", now)
+    assert {r.user_id: r.n_weak for r in strength.count_weak(answered, users, tag_units, now).collect()} == {1: 2, 2: 0}
+    never = strength.default_scores(answered, users, tag_units, F.lit(99)).collect()
+    assert sorted((r.user_id, r.tag) for r in never) == [(1, "b"), (1, "c")]
+
+
+def test_null_keys_are_one_key(spark):
+    df = spark.createDataFrame([(None, 1), (1, 2), (None, 5)], "k long, v long")
+    got = {(r.k, r.v): r.n for r in number_within(df, ["k"], ["v"], F.floor(F.col("v") / 2)).collect()}
+    nexts = {(r.k, r.v): r.nx for r in next_within(df, ["k"], "v", 2, "nx").collect()}
+    assert got == {(None, 1): 1, (None, 5): 2, (1, 2): 1}
+    assert nexts == {(None, 1): 5, (None, 5): None, (1, 2): None}
+
+
+def test_averages_are_rounded_as_python_does(spark):
+    pairs = [(s, t) for t in (1, 3, 4, 7, 8, 20, 40, 60) for s in range(0, 130)]
+    df = spark.createDataFrame(pairs, "s long, t long").select("s", "t", round_tenth(F.col("s") / F.col("t")).alias("r"))
+    assert {(r.s, r.t): r.r for r in df.collect()} == {(s, t): round(s / t, 1) for s, t in pairs}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "bank.json").write_text('{"3": [{"id": "a", "tags": ["你"]}, {"id": "b"}], "12": []}', encoding="utf-8")
     rows = json_docs.unit_map(json_docs.read_documents(spark, str(tmp_path / "bank.json"))).collect()
@@ -194,7 +253,7 @@ def test_replace_cycle(spark):
     rows = spark.createDataFrame([(3, i, "ab", "listening sentence") for i in range(4)] + [(3, 9, "ab", "listening vocab")], "unit int, seq long, question string, question_type string")
     splits = spark.createDataFrame([("ab", ["a", "b", "c"])], "combined string, parts array<string>")
     got = Q.replace_cycle(rows, splits).orderBy("seq").collect()
-    assert [r.replacement for r in got] == ["a", "b", "c", "a"]
+    assert [r.question for r in got] == ["a", "b", "c", "a", "ab"]
 
 
 def test_readiness_and_moves(spark):

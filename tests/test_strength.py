@@ -1,5 +1,6 @@
 """The answer fold: brute force, hot keys, streams."""
 
+import dataclasses
 import datetime as dt
 import random
 
@@ -95,3 +96,33 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark, tmp_path):
     small = stream.compact(stream.read_steps(spark, str(home)))
     assert small.count() == seeds.count()
     assert as_dict(S.apply_steps(small, seeds)) == plain(brute(rows))
+
+
+def test_answers_without_a_key_or_time_are_ignored(spark):
+    rows = [(1, "a", START, 1, True), (1, None, START, 2, True), (None, "a", START, 3, True), (1, "a", None, 4, True), (1, "a", START, None, None)]
+    got = as_dict(S.apply_steps(S.answer_steps(spark.createDataFrame(rows, SCHEMA)), seeds_for(spark, [(1, "a")])))
+    assert got == {(1, "a"): (1, 2.0, START.replace(tzinfo=None))}
+
+
+def test_other_caps_than_the_usual(spark):
+    rules = dataclasses.replace(S.C.RULES, stability_cap=2.0**60)
+    rows = [(1, "a", START + dt.timedelta(minutes=i), i, i < 50 or i >= 70) for i in range(90)]
+    steps = S.answer_steps(spark.createDataFrame(rows, SCHEMA).repartition(5), rules)
+    assert as_dict(S.apply_steps(steps, seeds_for(spark, rows)))[1, "a"][1] == 2.0**50
+
+
+def test_more_tags_than_a_block_in_a_question(spark):
+    tags = [f"t{i}" for i in range(5000)]
+    schema = "user_id long, ts timestamp, list_of_question_data array<struct<tags:array<string>>>, is_correct array<boolean>"
+    batches = spark.createDataFrame([(1, START, [(tags,), (["x"],)], [True, False])], schema)
+    got = S.batch_answers(batches).select("seq").distinct().count()
+    assert got == 5001
+
+
+def test_answered_strength_holds_answered_tags_only(spark):
+    rows = log(500, seed=5)
+    users = spark.createDataFrame([(u, 3, []) for u in range(4)], "user_id long, current_unit int, graduated_units array<int>")
+    tag_units = spark.createDataFrame([("hot", 3), ("t1", 4), ("never", 5)], "tag string, unit int")
+    now = F.lit(START).cast("timestamp")
+    got = as_dict(S.answered_strength(spark.createDataFrame(rows, SCHEMA), users, tag_units, now))
+    assert got == {k: v for k, v in plain(brute(rows)).items() if k[0] < 4 and k[1] in ("hot", "t1")}
