@@ -69,12 +69,13 @@ def removed_counts(questions: DataFrame, kept: DataFrame, unit: str = "unit") ->
 
 def ngrams(texts: DataFrame, text: str, lengths: DataFrame, keep: list[str]) -> DataFrame:
     """Distinct substrings of each text, of the lengths that occur in the lexicon."""
-    sized = texts.withColumn("_sizes", lengths.agg(F.collect_set("length")).scalar())
+    # Pieces are cut from an array of characters: a place in a string is found from its start only.
+    sized = texts.withColumn("_sizes", lengths.agg(F.collect_set("length")).scalar()).withColumn("_chars", F.split(text, ""))
 
     def of_length(n: Column) -> Column:
         last = F.length(text) - n + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(F.col(text), i, n))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_chars", i, n), ""))
 
     grams = F.array_distinct(F.flatten(F.transform("_sizes", of_length)))
     return unnest(sized, grams, keep, "word")

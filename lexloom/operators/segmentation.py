@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom import config as C
 from lexloom.functions.romanise import sandhi_word_tags
@@ -119,24 +121,35 @@ def segment(
     wanted = texts if only is None else texts.where(only)
     searched = wanted.select(key, "unit", content.alias("text"))
 
-    def walk(state: Column, hit: Column) -> Column:
-        # Of several matches at one place the first moves on, so the others are passed over.
-        here = state["at"] == hit["at"]
-        return F.struct(
-            F.when(here, hit["at"] + hit["length"]).otherwise(state["at"]).alias("at"),
-            F.when(here, F.concat(state["hits"], F.array(F.struct(hit["word"].alias("word"), hit["reading"].alias("reading"))))).otherwise(state["hits"]).alias("hits"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,reading:string>>").alias("hits"))
     joined = texts.drop("tags", "readings").join(_matches(searched, lexicon, key, script), key, "left")
-    walked = joined.withColumn(
-        "w", F.when(F.col("matches").isNull(), start).otherwise(F.aggregate("matches", start, walk))
+    size = F.size(script_units(content, script))
+    at, length = (F.transform("matches", lambda m: m[f]) for f in ("at", "length"))
+    nothing = F.array().cast("array<struct<word:string,reading:string>>")
+    walked = F.transform(
+        _path(at, length, size), lambda i: F.struct(F.get("matches", i)["word"].alias("word"), F.get("matches", i)["reading"].alias("reading"))
     )
-    whole = F.col("w.at") == F.size(script_units(content, script))
-    done = walked.withColumn("hits", F.when(whole, F.col("w.hits")))
+    hits = F.when(F.col("matches").isNotNull(), walked).when(size == 0, nothing)
+    done = joined.withColumn("hits", hits)
     return done.withColumns(
         {"tags": F.transform("hits", lambda h: h["word"]), "readings": F.transform("hits", lambda h: h["reading"])}
-    ).drop("w", "hits", "matches")
+    ).drop("hits", "matches")
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _path(at: pa.Array, length: pa.Array, size: pa.Array) -> pa.Array:
+    """Which matches are taken from place 0 on, or null if they end before ``size``.
+
+    Matches come by place, the preferred one first; each row is gone through once.
+    """
+    out = []
+    for places, lengths, n in zip(at.to_pylist(), length.to_pylist(), size.to_pylist()):
+        here, taken = 0, []
+        for i, place in enumerate(places or ()):
+            if place == here:
+                taken.append(i)
+                here += lengths[i]
+        out.append(taken if here == n else None)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def validate_tags(rows: DataFrame, lexicon: DataFrame, key: str, script: C.Script = C.CJK) -> DataFrame:
@@ -174,22 +187,19 @@ def tag_and_romanise(
     one: str = "一",
 ) -> DataFrame:
     """Given tags if valid, else the segmentation, else the row is dropped; plus the reading."""
-    found = segment(rows.select(key, "unit", "text"), lexicon, key, script).select(
-        key, F.col("tags").alias("_tags"), F.col("readings").alias("_readings")
-    )
     if "tags" in rows.columns:
-        given = validate_tags(rows, lexicon, key, script)
-        both = given.join(found, key)
-        tagged = both.withColumns(
+        given = validate_tags(rows, lexicon, key, script).withColumnsRenamed({"tags": "_given", "readings": "_read"})
+        found = segment(given, lexicon, key, script, only=~F.col("valid"))
+        tagged = found.withColumns(
             {
-                "tags": F.when(F.col("valid"), F.col("tags")).otherwise(F.col("_tags")),
-                "readings": F.when(F.col("valid"), F.col("readings")).otherwise(F.col("_readings")),
+                "tags": F.when(F.col("valid"), F.col("_given")).otherwise(F.col("tags")),
+                "readings": F.when(F.col("valid"), F.col("_read")).otherwise(F.col("readings")),
             }
-        ).drop("valid")
+        ).drop("valid", "_given", "_read")
     else:
-        tagged = rows.join(found, key).withColumns({"tags": F.col("_tags"), "readings": F.col("_readings")})
+        tagged = segment(rows, lexicon, key, script)
     # An empty segmentation (a text without script) is no valid tagging.
-    kept = tagged.where(F.size("tags") > 0).drop("_tags", "_readings")
+    kept = tagged.where(F.size("tags") > 0)
     spoken = sandhi_word_tags(F.col("tags"), F.col("readings"), negation, one)
     return kept.withColumn("romanised", F.array_join(spoken, " ")).drop("readings")
 

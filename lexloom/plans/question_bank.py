@@ -43,14 +43,15 @@ def items(lexicon: DataFrame, sentences: DataFrame, cloze: DataFrame, blocklist:
 
 
 def build(lexicon: DataFrame, sentences: DataFrame, cloze: DataFrame, blocklist: DataFrame) -> DataFrame:
-    """Questions with id, tags and unit. Each distinct text is searched for words once."""
-    rows = items(lexicon, sentences, cloze, blocklist)
-    texts = rows.select(F.col("source_text").alias("text")).distinct()
-    found = containment.contained_words(texts, lexicon, "text").groupBy(F.col("text").alias("source_text")).agg(
-        F.collect_set("word").alias("words")
-    )
+    """Questions with id, tags and unit.
+
+    Each distinct text is searched for words once. A text's pieces carry its digest, not the text.
+    """
+    rows = items(lexicon, sentences, cloze, blocklist).withColumn("text_id", F.md5("source_text"))
+    texts = rows.groupBy("text_id").agg(F.first("source_text").alias("text"))
+    found = containment.contained_words(texts, lexicon, "text_id").groupBy("text_id").agg(F.collect_set("word").alias("words"))
     asked = questions.add_ids(questions.expand_items(rows))
-    tagged = asked.join(found, "source_text", "left").withColumn(
+    tagged = asked.join(found, "text_id", "left").withColumn(
         "tags",
         containment.question_tags(
             F.coalesce("words", F.array().cast("array<string>")), F.col("question_type"), F.col("unit")
