@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Folders made below the shared one, by application; ``clear_shared`` deletes them.
+_made: dict[str, list[str]] = {}
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "lexloom", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings every job relies on."""
@@ -17,12 +23,30 @@ def build_session(app: str = "lexloom", master: str | None = None, **extra: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Text work is bound by the processor: small tables are read in as many splits as there are cores.
+        .config("spark.sql.files.openCostInBytes", "256k")
     )
     if master:
         builder = builder.master(master)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, which may not find it where the driver did."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='lexloom-')}/lexloom.zip"  # Spark serves it from the driver
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -36,4 +60,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete what this application wrote below the shared folder; call it when its results are stored.
+
+    Results that are still read lazily from there are lost. Returns the number of folders.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -10,15 +10,6 @@ from pyspark.sql import functions as F
 from lexloom.session import shared_dir
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table stored in fewer splits than there are cores.
-
-    Text work is bound by the processor; large tables have splits enough and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several parts of a job read, and read it back.
 
@@ -71,11 +62,11 @@ def unit_documents(rows: DataFrame, order: str, record: Column, block_size: int
 def write_units(rows: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """Write one folder per unit; only the units present are replaced.
 
-    Rows are spread over several files per unit, so a large unit is not one task.
+    Units are rebalanced at run time by their size, so a large unit is written by many tasks and
+    small ones share a task.
     """
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(8))
     (
-        rows.repartition("unit", spread)
+        rows.hint("rebalance", "unit")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", 5_000_000)
