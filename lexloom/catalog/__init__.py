@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexloom.catalog.registry import ORACLE, QUERIES, Query
 
-_MODULES = ["learner", "documents", "wording", "structure", "matching", "bank", "practice"]
+_MODULES = ["learner", "documents", "wording", "structure", "matching", "bank", "content", "practice"]
 
 
 def _load() -> None:
