@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.registry import query, table
 from lexloom.llm.words import words_of
+from lexloom.sources.store import materialise
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -248,4 +249,4 @@ FROM l LEFT JOIN t ON l.size > 0 AND l.doc_id IS NOT DISTINCT FROM t.doc_id AND
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
-    return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(materialise(rows, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
