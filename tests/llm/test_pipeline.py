@@ -53,7 +53,7 @@ def _written(spark, df, name):
 
 
 def test_run_is_registered(spark):
-    assert entry.queries()["pipeline"] is C.run
+    assert entry.queries()["pipeline"].__wrapped__ is C.run
     assert C.run(spark, SF).columns[:2] == ["doc_id", "start"]
 
 
