@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.catalog import bindings as B
 from lexloom.catalog.bindings import LEARNER, sql
-from lexloom.catalog.registry import query
+from lexloom.catalog.registry import ORACLE, query
 from lexloom.functions import scalars
 from lexloom.operators import progress as P
 from lexloom.operators import strength as S
@@ -274,17 +274,27 @@ def csv_set(spark, sf):
 
 
 # ------------------------------------------------------------ streams
+N_FILES = 6
+
+
+def _event_stream(spark, sf):
+    """The answers as a stream of several micro-batches: files by time, one for each batch."""
+    folder = shared_dir(spark, "events")
+    answers = B.answers(spark, sf).drop("unit", "question_id", "day")
+    numbered = answers.withColumn("part", F.unix_date(F.to_date("ts")))
+    days = numbered.agg(F.min("part").alias("a"), F.max("part").alias("b")).first()
+    step = (days["b"] - days["a"]) // N_FILES + 1
+    for i in range(N_FILES):
+        low = days["a"] + i * step
+        mine = numbered.where((F.col("part") >= low) & (F.col("part") < low + step)).drop("part")
+        mine.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query("stream_strength", sql(LEARNER, _FLAT))
 def stream_strength(spark, sf):
-    B.use_utc(spark)
-    source = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(sf)
-    k = F.get_json_object("props", "$.k").cast("int")
-    answers = events.select(
-        "user_id", F.concat(F.lit("tag_"), k % 10).alias("tag"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("value") >= 30).alias("is_correct")
-    )
     home = shared_dir(spark, "strength")
-    stream.append_steps(answers, f"{home}/log", f"{home}/progress").awaitTermination()
+    stream.append_steps(_event_stream(spark, sf), f"{home}/log", f"{home}/progress", fold_every=4).awaitTermination()
     return _flat(stream.current_strength(spark, f"{home}/log", B.seeds(spark, sf)))
 
 
@@ -307,6 +317,14 @@ def practice_windows(spark, sf):
     return _window_rows(windows.per_interval(B.answers(spark, sf), "6 hours"))
 
 
+@query("stream_windows", ORACLE["practice_windows"])
+def stream_windows(spark, sf):
+    home = shared_dir(spark, "windows")
+    stream_of = _event_stream(spark, sf)
+    windows.append_intervals(stream_of, "6 hours", f"{home}/log", f"{home}/progress", fold_every=4).awaitTermination()
+    return _window_rows(windows.current_intervals(spark, f"{home}/log"))
+
+
 @query(
     "practice_sittings",
     sql(

@@ -30,7 +30,7 @@ STEP_SCHEMA = (
 )
 
 
-def _most_expo(floor: float, cap: float) -> int:
+def most_expo(floor: float, cap: float) -> int:
     """Beyond this exponent a step is constant whatever it is applied to."""
     return math.ceil(math.log2(cap / floor)) + 1
 
@@ -87,7 +87,7 @@ def _fold_sorted(batches: Iterator[pa.RecordBatch], floor: float, cap: float) ->
 
     The last key of a batch may go on in the next one, so it waits for it.
     """
-    most, held = _most_expo(floor, cap), None
+    most, held = most_expo(floor, cap), None
     for batch in batches:
         if batch.num_rows == 0:
             continue

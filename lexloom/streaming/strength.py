@@ -1,8 +1,9 @@
 """The learner model over a stream of answers.
 
-Each micro-batch is reduced to steps (see ``operators.strength``) and written as
-one folder of a log, so a repeated batch overwrites itself and the model after
-any batch is a short aggregation over the log. Batch and stream share the maths.
+Each micro-batch is reduced to steps (see ``operators.strength``), and every few batches the steps of a key become one, so
+the store holds about one row for each key that was answered, however long the stream runs. Batch and stream share the
+maths. Answers count in the order in which their batches arrive; how many came later than allowed is counted per
+batch, and none is dropped.
 """
 
 from __future__ import annotations
@@ -12,29 +13,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexloom import config as C
-from lexloom.operators.strength import STEP_SCHEMA, answer_steps, apply_steps
+from lexloom.operators.strength import STEP_ORDER, STEP_SCHEMA, answer_steps, apply_steps, most_expo
+from lexloom.streaming import store
 
+SEEN_SCHEMA = "last_ts timestamp, answers long, late long"
 
-def append_steps(answers: DataFrame, log: str, checkpoint: str, rules: C.Rules = C.RULES, **trigger) -> StreamingQuery:
-    """Start writing the steps of every micro-batch below ``log``."""
+
+def append_steps(
+    answers: DataFrame, log: str, checkpoint: str, rules: C.Rules = C.RULES, fold_every: int = 8, late: str = "1 hour", **trigger
+) -> StreamingQuery:
+    """Start writing the steps of every micro-batch below ``log``.
+
+    An answer is late if it is older than the newest one of the batches before by more than ``late``.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        answer_steps(batch, rules).write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        batch = batch.persist()
+        store.write_tail(answer_steps(batch, rules), f"{log}/steps", batch_id)
+        newest = read_seen(spark, log, batch_id - 1).agg(F.max("last_ts")).first()[0]
+        limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {late}")
+        seen = batch.agg(F.max("ts").alias("last_ts"), F.count("*").alias("answers"), F.count_if(F.col("ts") < limit).alias("late"))
+        store.write_tail(seen, f"{log}/seen", batch_id)
+        if (batch_id + 1) % fold_every == 0:
+            store.fold(spark, f"{log}/steps", STEP_SCHEMA, batch_id, lambda steps: compact(steps, rules))
+            store.fold(spark, f"{log}/seen", SEEN_SCHEMA, batch_id, lambda rows: rows.coalesce(1))
+        batch.unpersist()
 
     writer = answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_steps(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.schema(f"{STEP_SCHEMA}, batch_id long").parquet(log)
+    return store.read(spark, f"{log}/steps", STEP_SCHEMA)
+
+
+def read_seen(spark: SparkSession, log: str, upto: int | None = None) -> DataFrame:
+    """A row for each micro-batch: its newest answer, how many it had, and how many of them came late."""
+    return store.read(spark, f"{log}/seen", SEEN_SCHEMA, upto)
 
 
 def current_strength(spark: SparkSession, log: str, seeds: DataFrame) -> DataFrame:
     """Strength after all batches; answers count in the order their batches arrived."""
-    return apply_steps(read_steps(spark, log), seeds, order=("batch_id", "first_ts", "first_seq", "first_ok"))
+    return apply_steps(read_steps(spark, log), seeds, order=("batch_id", *STEP_ORDER))
 
 
 def compact(steps: DataFrame, rules: C.Rules = C.RULES) -> DataFrame:
     """All steps of a key as one, to replace old batches of the log."""
+    most = most_expo(rules.stability_floor, rules.stability_cap)
     chain = F.array_sort(F.collect_list(F.struct("batch_id", "first_ts", "first_seq", "first_ok", "expo", "lo", "hi")))
     start = F.struct(
         F.lit(0).alias("expo"), F.lit(rules.stability_floor).alias("lo"), F.lit(rules.stability_cap).alias("hi")
@@ -43,7 +68,7 @@ def compact(steps: DataFrame, rules: C.Rules = C.RULES) -> DataFrame:
     def then(a: Column, b: Column) -> Column:
         scale = F.pow(F.lit(2.0), b["expo"])
         return F.struct(
-            F.greatest(F.least(a["expo"] + b["expo"], F.lit(20)), F.lit(-20)).alias("expo"),
+            F.greatest(F.least(a["expo"] + b["expo"], F.lit(most)), F.lit(-most)).alias("expo"),
             F.least(F.greatest(scale * a["lo"], b["lo"]), b["hi"]).alias("lo"),
             F.least(F.greatest(scale * a["hi"], b["lo"]), b["hi"]).alias("hi"),
         )

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from lexloom.streaming import store
+
+ACTIVITY_SCHEMA = "user_id long, start timestamp, end timestamp, answers long, correct long"
 
 
 def _measures() -> list:
@@ -22,3 +27,32 @@ def per_sitting(answers: DataFrame, gap: str, late: str = "1 hour") -> DataFrame
     rows = answers.withWatermark("ts", late) if answers.isStreaming else answers
     out = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(*_measures())
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "answers", "correct")
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    key = ["user_id", "start", "end"]
+    last = F.max_by(F.struct("answers", "correct"), "batch_id").alias("v")
+    return rows.groupBy(*key).agg(last, F.max("batch_id").alias("batch_id")).select(*key, "v.*", "batch_id")
+
+
+def append_intervals(
+    answers: DataFrame, every: str, log: str, checkpoint: str, late: str = "1 hour", fold_every: int = 8, **trigger
+) -> StreamingQuery:
+    """Start writing what each micro-batch of a stream changes in the counts per interval.
+
+    The counts of open intervals are Spark's keyed state; an interval is closed, and answers to it are dropped, when the
+    newest answer is ``late`` past its end.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.write_tail(batch, log, batch_id)
+        if (batch_id + 1) % fold_every == 0:
+            store.fold(batch.sparkSession, log, ACTIVITY_SCHEMA, batch_id, _latest)
+
+    counts = per_interval(answers, every, late)
+    writer = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_intervals(spark: SparkSession, log: str) -> DataFrame:
+    """The counts after all batches."""
+    return _latest(store.read(spark, log, ACTIVITY_SCHEMA)).drop("batch_id")

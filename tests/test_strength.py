@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexloom.operators import strength as S
+from lexloom.streaming import store, windows
 from lexloom.streaming import strength as stream
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -83,19 +84,60 @@ def test_batches_are_unpacked(spark):
     assert [(r.tag, r.is_correct) for r in got] == [("你", True), ("好", False), ("你", False)]
 
 
-def test_stream_equals_batch_and_repeats_are_harmless(spark, tmp_path):
+def test_stream_equals_batch_and_its_store_stays_small(spark, tmp_path):
     rows = sorted(log(900, seed=11), key=lambda r: (r[2], r[3]))
     source, home = tmp_path / "in", tmp_path / "log"
-    for i in range(3):
-        part = spark.createDataFrame(rows[i * 300:(i + 1) * 300], SCHEMA)
+    source.mkdir()
+    answers = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
+    for i in range(9):
+        part = spark.createDataFrame(rows[i * 100:(i + 1) * 100], SCHEMA)
         part.coalesce(1).write.mode("append").parquet(str(source))
-        answers = spark.readStream.schema(SCHEMA).parquet(str(source))
-        stream.append_steps(answers, str(home), str(tmp_path / "cp")).awaitTermination()
+        if i % 4 == 3 or i == 8:
+            stream.append_steps(answers, str(home), str(tmp_path / "cp"), fold_every=3).awaitTermination()
+            assert store.n_folders(spark, f"{home}/steps") <= 3
     seeds = seeds_for(spark, rows)
     assert as_dict(stream.current_strength(spark, str(home), seeds)) == plain(brute(rows))
     small = stream.compact(stream.read_steps(spark, str(home)))
     assert small.count() == seeds.count()
     assert as_dict(S.apply_steps(small, seeds)) == plain(brute(rows))
+    seen = stream.read_seen(spark, str(home)).collect()
+    assert sum(r.answers for r in seen) == 900 and len(seen) == 9
+
+
+def test_a_repeated_batch_and_a_broken_fold_are_harmless(spark, tmp_path):
+    rows = sorted(log(300, seed=12), key=lambda r: (r[2], r[3]))
+    root = str(tmp_path / "steps")
+    for batch_id in (0, 1, 1, 2):
+        part = spark.createDataFrame(rows[batch_id * 100:(batch_id + 1) * 100], SCHEMA)
+        store.write_tail(S.answer_steps(part), root, batch_id)
+    (tmp_path / "steps/base/upto=1").mkdir(parents=True)  # a base that was never finished
+    steps = store.read(spark, root, S.STEP_SCHEMA)
+    assert as_dict(S.apply_steps(steps, seeds_for(spark, rows), ("batch_id", *S.STEP_ORDER))) == plain(brute(rows))
+
+
+def test_late_answers_are_counted_and_kept(spark, tmp_path):
+    old = (1, "a", START - dt.timedelta(days=9), 9, False)
+    rows = [[(1, "a", START, 1, True)], [(1, "a", START + dt.timedelta(minutes=5), 2, True), old]]
+    (tmp_path / "in").mkdir()
+    answers = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for part in rows:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.append_steps(answers, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r.answers, r.late) for r in stream.read_seen(spark, str(tmp_path / "log")).collect()) == [(1, 0), (2, 1)]
+    got = stream.current_strength(spark, str(tmp_path / "log"), seeds_for(spark, rows[0]))
+    assert [r.correct_count for r in got.collect()] == [2]
+
+
+def test_intervals_of_a_stream_drop_late_answers(spark, tmp_path):
+    at = lambda *hours: [(1, "a", START + dt.timedelta(hours=h), i, True) for i, h in enumerate(hours)]
+    (tmp_path / "in").mkdir()
+    answers = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for part in (at(1, 2, 30), at(31, 3), at(40)):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        windows.append_intervals(answers, "6 hours", str(tmp_path / "log"), str(tmp_path / "cp"), "2 hours", 2).awaitTermination()
+    got = {r.start.replace(tzinfo=None): r.answers for r in windows.current_intervals(spark, str(tmp_path / "log")).collect()}
+    start = START.replace(tzinfo=None)
+    assert got == {start: 2, start + dt.timedelta(hours=30): 2, start + dt.timedelta(hours=36): 1}
 
 
 def test_answers_without_a_key_or_time_are_ignored(spark):
