@@ -74,13 +74,11 @@ def known_words(spark, sf):
 
 
 # The lexicon of the gate: part names teach letters unit by unit.
-_CHARS = """chars AS (SELECT ch, min(unit) AS unit FROM (SELECT 3 + p_size % 13 AS unit, unnest(string_split(regexp_replace(p_name, '[^a-zà-ÿ]', '', 'g'), '')) AS ch FROM part
-      WHERE p_name LIKE '%' || lower(p_type) || '%' OR p_size >= 40) GROUP BY ch)"""
+_CHARS = """chars AS (SELECT ch, min(unit) AS unit FROM (SELECT 3 + length(p_name) % 13 AS unit, unnest(string_split(regexp_replace(p_name, '[^a-zà-ÿ]', '', 'g'), '')) AS ch FROM part) GROUP BY ch)"""
 
 
 def gate_lexicon(spark, sf):
-    p = B.table(spark, sf, "part").where(F.col("p_name").contains(F.lower("p_type")) | (F.col("p_size") >= 40))
-    return p.select(F.col("p_name").alias("word"), (3 + F.col("p_size") % 13).alias("unit"))
+    return B.table(spark, sf, "part").select(F.col("p_name").alias("word"), (3 + F.length("p_name") % 13).alias("unit"))
 
 
 @query(
@@ -254,7 +252,7 @@ def tag_and_romanise(spark, sf):
 # Given answers: exact, noisy, alike in sound (b and p share a base), and wrong.
 SQL_ATTEMPTS = """attempts AS (SELECT p_partkey AS id, question_type, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'The ' || upper(p_name) || '!'
       WHEN 2 THEN translate(p_name, 'abegim', 'bafhjn') ELSE p_type END AS given, p_name AS expected
-      FROM part JOIN (SELECT *, row_number() OVER (ORDER BY priority DESC) - 1 AS n FROM types) ON n = p_size % 2)"""
+      FROM part JOIN (SELECT *, row_number() OVER (ORDER BY priority DESC) - 1 AS n FROM types) ON n = p_size % 10)"""
 SQL_SOUND = f"""sounds AS (SELECT id, expected, given, gr, er, len(x) = len(y) AND len(list_filter(range(1, len(x) + 1), lambda i: left(x[i], length(x[i]) - 1) = left(y[i], length(y[i]) - 1)
       AND (right(y[i], 1) = '5' OR right(x[i], 1) = right(y[i], 1)))) = len(x) AND given <> '' AND expected <> '' AS same_sound
     FROM (SELECT id, given, expected, gr, er, {sql_sandhi('x0')} AS x, {sql_sandhi('y0')} AS y FROM
@@ -269,7 +267,7 @@ def attempts(spark, sf):
         F.when(case == 0, name).when(case == 1, F.concat(F.lit("The "), F.upper(name), F.lit("!")))
         .when(case == 2, F.translate(name, "abegim", "bafhjn")).otherwise(F.col("p_type"))
     )
-    kind = F.element_at(F.array(*[F.lit(t) for t in C.TYPE_NAMES[:2]]), F.col("p_size") % 2 + 1)
+    kind = F.element_at(F.array(*[F.lit(t) for t in C.TYPE_NAMES]), F.col("p_size") % 10 + 1)
     return B.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), kind.alias("question_type"), given.alias("given"), name.alias("expected"))
 
 
@@ -279,9 +277,16 @@ def homophone_match(spark, sf):
     return rows.select("id", "given_reading", "expected_reading", "same_sound")
 
 
+def _cleaned(x: str) -> str:
+    bare = "translate(lower(%s), '%s', '')" % (x, C.PUNCT_ANSWER.replace("'", "''"))
+    for short, full in (("im", "i am"), ("youre", "you are"), ("hes", "he is"), ("shes", "she is"), ("(an|a|the)", "")):
+        bare = f"regexp_replace({bare}, '\\b{short}\\b', '{full}', 'g')"
+    return sql_strip(f"regexp_replace({bare}, '\\s+', ' ', 'g')")
+
+
 @query(
     "grade_answers",
-    sql(["types", "letters"], """SELECT a.id, CASE WHEN a.id % 4 IN (0, 1) OR lower(replace(a.given, '!', '')) = a.expected THEN 'exact'
+    sql(["types", "letters"], f"""SELECT a.id, CASE WHEN list_contains(list_transform(string_split(a.expected, ','), lambda v: {_cleaned('v')}), {_cleaned('a.given')}) THEN 'exact'
         WHEN a.question_type = 'listening sentence' AND same_sound THEN 'homophone' ELSE 'wrong' END AS verdict FROM attempts a JOIN sounds s ON s.id = a.id""",
         SQL_ATTEMPTS, _WANTED, SQL_ROMAN, SQL_SOUND),
 )

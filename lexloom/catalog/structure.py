@@ -368,14 +368,19 @@ def cloze_generate(spark, sf):
     "pair_gloss",
     sql(
         [],
-        """SELECT s.conv_id, s.n, md5(s.text) AS source_line, md5(g.text) AS gloss_line FROM numbered s JOIN numbered g
-           ON s.conv_id = g.conv_id AND s.n = g.n AND s.role <> 'assistant' AND g.role = 'assistant'""",
-        "numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn) AS n FROM conversations)",
+        """SELECT s.conv_id, s.block, s.n, md5(s.text) AS source_line, md5(g.text) AS gloss_line FROM numbered s JOIN numbered g
+           ON s.conv_id = g.conv_id AND s.block = g.block AND s.n = g.n AND NOT s.gloss AND g.gloss""",
+        # Every fourth turn changes sides, so blocks have several lines and some have no partner.
+        """said AS (SELECT *, (role = 'assistant') <> (turn % 4 = 3) AS gloss FROM conversations),
+        blocks AS (SELECT *, CAST(sum(o) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS block FROM
+          (SELECT *, CASE WHEN NOT gloss AND coalesce(lag(gloss) OVER (PARTITION BY conv_id ORDER BY turn), false) THEN 1 ELSE 0 END AS o FROM said)),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block, gloss ORDER BY turn) AS n FROM blocks)""",
     ),
 )
 def pair_gloss(spark, sf):
-    pairs = sections.pair_gloss(B.table(spark, sf, "conversations"), "conv_id", "turn", F.col("role") == "assistant")
-    return pairs.select("conv_id", "n", F.md5("source_line").alias("source_line"), F.md5("gloss_line").alias("gloss_line"))
+    gloss = (F.col("role") == "assistant") != (F.col("turn") % 4 == 3)
+    pairs = sections.pair_gloss(B.table(spark, sf, "conversations"), "conv_id", "turn", gloss)
+    return pairs.select("conv_id", "block", "n", F.md5("source_line").alias("source_line"), F.md5("gloss_line").alias("gloss_line"))
 
 
 @query(

@@ -6,7 +6,7 @@ what is found is exploded, and nothing is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom import config as C
@@ -164,12 +164,20 @@ def find_sentences(docs: DataFrame, text: str = "text", script: C.Script = C.CJK
 
 
 def pair_gloss(lines: DataFrame, doc: str, order: str, is_gloss: Column, text: str = "text") -> DataFrame:
-    """Pair the n-th source line of a document with its n-th gloss line."""
+    """Pair the n-th source line of a block with its n-th gloss line.
+
+    A block is a run of source lines and the run of gloss lines after it, so a line without a gloss shifts
+    no pair of another block. ``n`` counts within the block.
+    """
     flagged = lines.select(doc, F.col(order).alias("at"), F.col(text).alias("line"), is_gloss.alias("gloss"))
-    numbered = number_within(flagged, [doc, "gloss"], ["at"], F.floor(F.col("at") / 4096))
-    source = numbered.where(~F.col("gloss")).select(doc, "n", F.col("line").alias("source_line"))
-    gloss = numbered.where("gloss").select(doc, "n", F.col("line").alias("gloss_line"))
-    return source.join(gloss, [doc, "n"])
+    along = Window.partitionBy(doc).orderBy("at")
+    opens = ~F.col("gloss") & F.coalesce(F.lag("gloss").over(along), F.lit(False))
+    blocked = flagged.withColumn("_opens", opens.cast("int")).withColumn("block", F.sum("_opens").over(along)).drop("_opens")
+    numbered = number_within(blocked, [doc, "block", "gloss"], ["at"], F.floor(F.col("at") / 4096))
+    key = [doc, "block", "n"]
+    source = numbered.where(~F.col("gloss")).select(*key, F.col("line").alias("source_line"))
+    gloss = numbered.where("gloss").select(*key, F.col("line").alias("gloss_line"))
+    return source.join(gloss, key)
 
 
 def quality_markers(lines: DataFrame, group: list[str], line: str = "line") -> DataFrame:

@@ -268,3 +268,17 @@ def test_readiness_and_moves(spark):
     assert {r.user_id: (r.current_unit, r.graduated_units) for r in moved.collect()} == {1: (3, ""), 2: (10, "3,9")}
     changed = progress.set_unit(users, spark.createDataFrame([(1, 7)], "user_id long, new_unit int"))
     assert {r.user_id: r.current_unit for r in changed.collect()} == {1: 7, 2: 9}
+
+
+def test_gloss_is_paired_by_block(spark):
+    lines = ["a", "b", "A", "B", "c", "d", "e", "C", "f", "F"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc int, at int, text string")
+    got = sections.pair_gloss(df, "doc", "at", F.upper("text") == F.col("text"))
+    assert sorted((r.source_line, r.gloss_line) for r in got.collect()) == [("a", "A"), ("b", "B"), ("c", "C"), ("f", "F")]
+
+
+def test_long_texts_are_walked_in_one_pass(spark):
+    words = spark.createDataFrame([("a b", "x", 3, 0), ("a", "y", 3, 1), ("b", "z", 3, 2)], "word string, reading string, unit int, seq long")
+    texts = spark.createDataFrame([("k", 3, "a b a " * 2000), ("d", 3, "a b q")], "key string, unit int, text string")
+    got = {r.key: r.tags for r in segmentation.segment(texts, words, "key", C.LATIN).collect()}
+    assert got == {"k": ["a b", "a"] * 2000, "d": None}
