@@ -7,7 +7,7 @@ inside a document or inside a sentence. With ``cost(j) = min over i (cost(i) + p
 all cuts ``i`` at most ``length`` back, the minimum is kept in a monotone queue, so every cut enters and leaves it once;
 exact powers of two are looked up.
 
-Each task packs the documents it reads, a few megabytes of text at a time, without any shuffle; the order is that of the
+Each task packs the documents it reads, ``block_bytes`` of text at a time, without any shuffle; the order is that of the
 table. A task that is run again reads the same rows in the same order, as long as ``docs`` is read from files; write other
 tables first. Null text is empty: its only id is the end id. Repeated rows are packed as often as they come. Other
 columns are not carried. An empty table gives an empty result.
@@ -42,6 +42,7 @@ class Packing:
     inside_document: int = 2
     inside_sentence: int = 8
     longest_gap: int = 32
+    block_bytes: int = 2 << 20
     path: str | None = None
 
 
@@ -136,7 +137,7 @@ def pack(docs: DataFrame, how: Packing = Packing(), key: str = "doc_id", with_id
         sequence = TaskContext.get().partitionId() << 40
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, how.block_bytes):
                 p = _pack(texts[i:j], how)
                 columns = {
                     "start": p["start"], "length": p["length"], "ids_crc32": [zlib.crc32(x) for x in p["pieces"]],

@@ -37,15 +37,19 @@ class Encoder:
     """Ids equal to ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``."""
 
     def __init__(self, path: str | None = None) -> None:
-        from tokenizers import Tokenizer
-
-        place = vocabulary(path)
-        self.tokenizer = Tokenizer.from_file(place)
-        with open(place, encoding="utf-8") as file:
+        self.place = vocabulary(path)
+        with open(self.place, encoding="utf-8") as file:
             spec = json.load(file)
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.fast = self._ranks(spec)
 
+    @cached_property
+    def tokenizer(self) -> object:
+        """Loaded for the texts that need it only; it takes much more memory than the ranks."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.place)
+
     def _ranks(self, spec: dict) -> object | None:
         first = spec["pre_tokenizer"] or {}
         plain = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
@@ -73,8 +77,11 @@ class Encoder:
     @cached_property
     def ends_of_sentences(self) -> np.ndarray:
         """For each id, whether a sentence or line may end with it."""
-        out = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        with open(self.place, encoding="utf-8") as file:
+            spec = json.load(file)
+        known = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        out = np.zeros(max(known.values()) + 1, bool)
+        for token, i in known.items():
             out[i] = token.endswith((".", "!", "?", "Ċ"))  # the last is the line feed in byte-level letters
         return out
 

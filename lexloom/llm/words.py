@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text handled at once inside a task; bounds the arrays, not the texts.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def words_of(text: Column) -> Column:
