@@ -1,11 +1,12 @@
 """Token ids in training order: a keyed permutation gives every sequence its slot, shards of equal stride hold the slots in order.
 
 1. The ids of the documents, each closed by an end id, are cut into sequences of ``length`` ids; the last one of a task may be shorter and
-   is padded. The sequences are written once, as a table, and numbered from 0 without gaps by the counts of the tasks.
+   is padded. The sequences are written once, as a table of packed blocks, and numbered from 0 without gaps by the counts of
+   the tasks.
 2. The slot of a sequence is its number under a Feistel permutation of the next even power of two; numbers that land beyond the
    last sequence are permuted again until they do not (cycle-walking). So each slot is taken once, the order depends on the
    key alone, and the number can be found from the slot.
-3. A shard is a range of slots. One task writes it as records of equal size in the order of slots: number of ids,
+3. A shard is a range of slots. Every task sends each shard its sequences packed together. One task writes it as records of equal size in the order of slots: number of ids,
    check sum, ids. Slot ``s`` begins at ``(s mod per_shard) * stride`` of shard ``s div per_shard``, so a reader can stop
    and go on anywhere. A shard is written beside its place and moved there when whole; a repeated task writes the same bytes.
 
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexloom.llm import files
 from lexloom.llm.registry import query, table
@@ -35,7 +36,10 @@ from lexloom.sources.store import materialise
 
 @dataclass(frozen=True)
 class Layout:
-    """Ids in a sequence, sequences in a shard, the key of the order, and how ids are stored."""
+    """Ids in a sequence, sequences in a shard, the key of the order, how ids are stored.
+
+    ``per_block`` sequences are packed together for the table; a task that deals them out holds ``held_bytes`` at most.
+    """
 
     length: int = 1024
     per_shard: int = 4096
@@ -43,11 +47,17 @@ class Layout:
     rounds: int = 6
     end_id: int = 0
     id_type: str = "<u2"
+    per_block: int = 128
+    held_bytes: int = 48 << 20
     path: str | None = None
 
+    @property
+    def id_bytes(self) -> int:
+        return self.length * np.dtype(self.id_type).itemsize
+
     @property
     def stride(self) -> int:
-        return 8 + self.length * np.dtype(self.id_type).itemsize
+        return 8 + self.id_bytes
 
 
 @dataclass(frozen=True)
@@ -87,67 +97,100 @@ class Permutation:
 
 
 def sequences(docs: DataFrame, how: Layout) -> DataFrame:
-    """``task``, ``no``, ``n_tokens`` and ``ids`` of every sequence, in the order in which tasks read the documents."""
+    """Blocks of sequences in the order in which tasks read the documents.
+
+    ``task``, ``no`` (of the first sequence in its task), ``n``, ``sizes`` (ids in each, 32 bits) and ``load`` (the ids, packed).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, no = TaskContext.get().partitionId(), 0
-        coder, rest = encoder(how.path), np.zeros(0, np.uint32)
+        coder, rest, packer = encoder(how.path), np.zeros(0, np.uint32), zstandard.ZstdCompressor()
 
-        def emit(ids: np.ndarray, n: int) -> pa.RecordBatch:
-            data = ids.astype(how.id_type).tobytes()
-            size = how.length * np.dtype(how.id_type).itemsize
-            parts = [data[k:k + size] for k in range(0, len(data), size)]
-            counts = [min(how.length, n - k * how.length) for k in range(len(parts))]
+        def emit(ids: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
-                "task": pa.array([task] * len(parts), pa.int32()), "no": pa.array(range(no, no + len(parts)), pa.int64()),
-                "n_tokens": pa.array(counts, pa.int32()), "ids": pa.array(parts, pa.binary()),
+                "task": pa.array([task], pa.int32()), "no": pa.array([no], pa.int64()), "n": pa.array([len(sizes)], pa.int64()),
+                "sizes": [np.array(sizes, "<u4").tobytes()], "load": [packer.compress(ids.astype(how.id_type).tobytes())],
             })
 
+        whole = how.length * how.per_block
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i, j in chunks(texts):
                 ids, starts = coder.encode(texts[i:j])
                 rest = np.concatenate([rest, np.insert(ids, starts[1:], np.uint32(how.end_id))])
-                whole = len(rest) // how.length * how.length
-                yield emit(rest[:whole], whole)
-                no += whole // how.length
-                rest = rest[whole:]
+                while len(rest) >= whole:
+                    yield emit(rest[:whole], [how.length] * how.per_block)
+                    no += how.per_block
+                    rest = rest[whole:]
         if len(rest):
-            yield emit(np.pad(rest, (0, how.length - len(rest)), constant_values=how.end_id), len(rest))
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "task int, no bigint, n_tokens int, ids binary")
+            n = -(-len(rest) // how.length)
+            sizes = [min(how.length, len(rest) - k * how.length) for k in range(n)]
+            yield emit(np.pad(rest, (0, n * how.length - len(rest)), constant_values=how.end_id), sizes)
 
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "task int, no bigint, n bigint, sizes binary, load binary")
 
-def with_slots(cut: DataFrame, how: Layout) -> tuple[DataFrame, int]:
-    """Add ``number`` and ``slot``; also the number of sequences. The tasks, not the sequences, are summed up in one place."""
-    counts = cut.groupBy("task").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    begins = counts.select("task", F.coalesce(before, F.lit(0)).alias("begin"))
-    order = Permutation(cut.count(), how.key, how.rounds)
 
-    @F.arrow_udf(T.LongType())
-    def slot(number: pa.Array) -> pa.Array:
-        return pa.array(order.slots(number.to_numpy(zero_copy_only=False)))
+def deal(cut: DataFrame, how: Layout) -> tuple[DataFrame, int]:
+    """The sequences by ``shard``, packed, with their ``slots``; also the number of sequences.
 
-    numbered = cut.join(begins, "task").withColumn("number", F.col("begin") + F.col("no"))
-    return numbered.select("number", slot("number").alias("slot"), "n_tokens", "ids"), order.n
+    The tasks, not the sequences, are summed up in one place.
+    """
+    counts = cut.groupBy("task").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    # Written, so that Spark knows it to be a row for each task and sends it to the blocks, not the blocks to it.
+    begins = materialise(counts.select("task", F.coalesce(before, F.lit(0)).alias("begin")), "begins")
+    total = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    order = Permutation(total, how.key, how.rounds)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, opener = zstandard.ZstdCompressor(), zstandard.ZstdDecompressor()
+        slots: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        loads: list[np.ndarray] = []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            slot, size, load = np.concatenate(slots), np.concatenate(sizes), np.concatenate(loads)
+            by = np.argsort(slot)
+            shard = slot[by] // how.per_shard
+            for part in np.split(by, np.flatnonzero(np.diff(shard)) + 1):
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array([int(slot[part[0]]) // how.per_shard], pa.int64()), "slots": [slot[part].astype("<i8").tobytes()],
+                    "sizes": [size[part].tobytes()], "load": [packer.compress(load[part].tobytes())],
+                })
 
-def write_shards(placed: DataFrame, root: str, how: Layout) -> DataFrame:
+        for batch in batches:
+            for row in batch.to_pylist():
+                number = row["begin"] + row["no"] + np.arange(row["n"])
+                slots.append(order.slots(number))
+                sizes.append(np.frombuffer(row["sizes"], "<u4"))
+                loads.append(np.frombuffer(opener.decompress(row["load"]), np.uint8).reshape(row["n"], how.id_bytes))
+                if sum(x.size for x in loads) >= how.held_bytes:
+                    yield from emit()
+                    slots, sizes, loads = [], [], []
+        if loads:
+            yield from emit()
+
+    placed = cut.join(begins, "task").select("no", "n", "sizes", "load", "begin")
+    return placed.mapInArrow(run, "shard bigint, slots binary, sizes binary, load binary"), order.n
+
+
+def write_shards(dealt: DataFrame, root: str, how: Layout) -> DataFrame:
     """Write the shards below ``root``; returns ``shard``, ``records`` of each."""
     def write(group: pa.Table) -> pa.Table:
-        group = group.sort_by("slot")
-        shard = group["shard"][0].as_py()
+        shard, opener = group["shard"][0].as_py(), zstandard.ZstdDecompressor()
+        slot = np.concatenate([np.frombuffer(x, "<i8") for x in group["slots"].to_pylist()])
+        size = np.concatenate([np.frombuffer(x, "<u4") for x in group["sizes"].to_pylist()])
+        load = b"".join(opener.decompress(x) for x in group["load"].to_pylist())
         system, base = files.store(root)
         system.create_dir(base, recursive=True)
         part = f"{base}/{files.fresh_name('part', '.tmp')}"
         with system.open_output_stream(part, compression=None) as out:
-            for n, ids in zip(group["n_tokens"].to_pylist(), group["ids"].to_pylist(), strict=True):
-                out.write(np.array([n, zlib.crc32(ids)], "<u4").tobytes() + ids)
+            for k in np.argsort(slot).tolist():
+                ids = load[k * how.id_bytes:(k + 1) * how.id_bytes]
+                out.write(np.array([size[k], zlib.crc32(ids)], "<u4").tobytes() + ids)
         system.move(part, f"{base}/{shard_name(shard)}")
-        return pa.table({"shard": pa.array([shard], pa.int64()), "records": pa.array([len(group)], pa.int64())})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "records": pa.array([len(slot)], pa.int64())})
 
-    sharded = placed.select(F.floor(F.col("slot") / how.per_shard).cast("bigint").alias("shard"), "slot", "n_tokens", "ids")
-    return materialise(sharded.groupBy("shard").applyInArrow(write, "shard bigint, records bigint"), "shards")
+    return materialise(dealt.groupBy("shard").applyInArrow(write, "shard bigint, records bigint"), "shards")
 
 
 def shard_name(shard: int) -> str:
@@ -195,5 +238,5 @@ def read_back(shards: DataFrame, root: str, total: int, how: Layout) -> DataFram
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     how, root = Layout(), shared_dir(spark, "training")
     cut = materialise(sequences(table(spark, sf_dir, "documents"), how), "sequences")
-    placed, total = with_slots(cut, how)
-    return read_back(write_shards(placed, root, how), root, total, how)
+    dealt, total = deal(cut, how)
+    return read_back(write_shards(dealt, root, how), root, total, how)

@@ -27,10 +27,10 @@ def test_order_depends_on_the_key():
 def test_round_trip(spark, parts):
     texts = ["one two", None, "", "x " * 900, "né"] * 9
     docs = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, ids long").coalesce(parts)
-    how, root = M.Layout(length=64, per_shard=7), shared_dir(spark, "training")
+    how, root = M.Layout(length=64, per_shard=7, per_block=3, held_bytes=2000), shared_dir(spark, "training")
     cut = M.materialise(M.sequences(docs, how), "sequences")
-    placed, total = M.with_slots(cut, how)
-    rows = M.read_back(M.write_shards(placed, root, how), root, total, how).toPandas().sort_values("sequence")
+    dealt, total = M.deal(cut, how)
+    rows = M.read_back(M.write_shards(dealt, root, how), root, total, how).toPandas().sort_values("sequence")
     assert rows.sequence.tolist() == list(range(total)) and sorted(rows.slot) == list(range(total))
     assert (rows.byte_offset == rows.slot % 7 * how.stride).all() and (rows.shard == rows.slot // 7).all()
     by_slot = dict(M.read_slots(root, how, 0, total))
@@ -44,8 +44,8 @@ def test_round_trip(spark, parts):
 
 def test_damage_is_seen(spark):
     how, root = M.Layout(length=8, per_shard=4), shared_dir(spark, "training")
-    placed, _ = M.with_slots(M.materialise(M.sequences(spark.createDataFrame([("a b c",)], "text string"), how), "sequences"), how)
-    M.write_shards(placed, root, how).count()
+    dealt, _ = M.deal(M.materialise(M.sequences(spark.createDataFrame([("a b c",)], "text string"), how), "sequences"), how)
+    M.write_shards(dealt, root, how).count()
     system, base = M.files.store(root)
     with system.open_output_stream(f"{base}/{M.shard_name(0)}", compression=None) as out:
         out.write(b"\x01" * how.stride)
@@ -56,5 +56,5 @@ def test_damage_is_seen(spark):
 def test_empty_table(spark):
     how, root = M.Layout(), shared_dir(spark, "training")
     cut = M.materialise(M.sequences(spark.createDataFrame([], "text string"), how), "sequences")
-    placed, total = M.with_slots(cut, how)
-    assert total == 0 and M.read_back(M.write_shards(placed, root, how), root, total, how).count() == 0
+    dealt, total = M.deal(cut, how)
+    assert total == 0 and M.read_back(M.write_shards(dealt, root, how), root, total, how).count() == 0
