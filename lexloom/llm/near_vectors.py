@@ -16,6 +16,7 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,10 @@ from lexloom.sources.store import materialise
 
 @dataclass(frozen=True)
 class Hashing:
-    """At cosine 0.95 a plane gives equal signs with probability 0.899: 24 tables of 12 miss a pair in 2,500."""
+    """How vectors are hashed and compared.
+
+    At cosine 0.95 a plane gives equal signs with probability 0.899, so 24 tables of 12 miss a pair in 2,500.
+    """
 
     threshold: float = 0.95
     tables: int = 24
@@ -40,6 +44,16 @@ class Hashing:
     slot: int = 32
     seed: int = 20
 
+    @classmethod
+    def for_rows(cls, n: int, threshold: float = 0.95, miss: float = 4e-4) -> Hashing:
+        """Bits that leave a bucket some sixteen of ``n`` unrelated vectors, and tables for the chance to miss a pair.
+
+        So the vectors that are compared for each one do not grow with the table, the tables do a little.
+        """
+        bits = max(12, math.ceil(math.log2(max(n, 1) / 16)))
+        meet = (1 - math.acos(threshold) / math.pi) ** bits
+        return cls(threshold=threshold, bits=bits, tables=math.ceil(math.log(miss) / math.log1p(-meet)))
+
 
 def planes(how: Hashing, size: int) -> np.ndarray:
     """The hyperplanes for vectors of one length: a row for each bit of each table."""
@@ -115,11 +129,12 @@ def _links(how: Hashing):
     return run
 
 
-def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", how: Hashing = Hashing()) -> DataFrame:  # noqa: B008
+def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", how: Hashing | None = None) -> DataFrame:
     """``key``, ``n_links``, ``component_id``, ``kept`` for every row.
 
     ``n_links`` is the number of other rows linked directly; ``component_id`` the smallest key that can be reached.
     """
+    how = how or Hashing.for_rows(rows.count())
     held = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.col("id").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))

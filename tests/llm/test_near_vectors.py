@@ -63,6 +63,12 @@ def test_recall_at_the_threshold():
     assert (signs[0] == signs[1]).all(axis=2).any(axis=1).mean() > 0.99
 
 
+def test_hashing_grows_with_the_table():
+    assert V.Hashing.for_rows(500) == V.Hashing.for_rows(60_000) == V.Hashing()
+    large = V.Hashing.for_rows(10**9)
+    assert large.bits == 26 and 100 < large.tables < 150
+
+
 def test_components_of_long_chains(spark):
     n = 300
     pairs = [(i, i + 1) for i in range(n)] + [(1000 + i, 1000) for i in range(1, 80)] + [(5000, 5000), (7, 3)]
