@@ -31,6 +31,8 @@ MOST = 2
 BLOCK_WORDS = 2048
 LEAST_BLOCKS = 1024
 SEED = "mix-1"
+#: Parts of a source that are joined to its target on their own.
+SALTS = 64
 
 
 def source_targets(sources: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -119,7 +121,10 @@ def mix(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         "key", "total", "target", "block", F.ceil(F.sqrt("n")).alias("n_shards"), F.col("quota").alias("seats")
     )
     id_text = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    placed = held.join(sources, "key").select(
+    # A source may hold a third of all rows: its row is copied for every salt, so its documents meet it in many tasks.
+    salts = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("id", "size"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(salts, ["key", "salt"]).select(
         "row", "id", "size", "key", "total", "target", "block", "seats",
         F.pmod(_number(F.lit("shard"), id_text), F.col("n_shards")).alias("shard"),
         F.md5(F.concat_ws("|", F.lit(SEED), F.lit("order"), id_text)).alias("place"),
