@@ -14,6 +14,8 @@ from lexloom.functions.rows import unnest
 from lexloom.functions.text import sentences_of
 from lexloom.operators import dedup
 from lexloom.plans import content, lexicon, sentence_bank
+from lexloom.session import shared_dir
+from lexloom.sources import store
 from lexloom.sources.store import materialise
 
 
@@ -100,7 +102,11 @@ def build_content(spark, sf):
     words = materialise(_lexicon(spark, sf), "lexicon")
     sentences, exercises = _flagged(spark, sf, words)
     blocklist = spark.createDataFrame([("no such line",)], "line string")
-    docs = content.documents(content.build(words, sentences, exercises, blocklist, C.LATIN, F.lower("text")), 1000)
+    bank = content.build(words, sentences, exercises, blocklist, C.LATIN, F.lower("text"))
+    path = shared_dir(spark, "content")
+    store.write_units(content.documents(bank, 1000), path, "json")
+    record = "struct<id:string,question_type:string,question:string,answer:string,tags:array<string>>"
+    docs = spark.read.schema(f"block long, records array<{record}>, unit int").json(path)
     line = F.transform("records", lambda r: F.concat_ws("|", r["id"], r["question"], F.coalesce(r["answer"], F.lit("")), F.array_join(r["tags"], " ")))
     return docs.select("unit", "block", F.size("records").cast("long").alias("questions"), F.md5(F.array_join(line, "\n")).alias("digest"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.catalog import bindings as B
 from lexloom.catalog.bindings import sql
 from lexloom.catalog.registry import query
+from lexloom.functions.rows import unnest
 from lexloom.functions.text import json_block
 from lexloom.session import shared_dir
 from lexloom.sources import json_docs, store, text_files
@@ -114,8 +115,11 @@ def scan_text_lines(spark, sf):
 @query("sink_unit_json", sql(["entries"], "SELECT unit, seq, word, gloss, type FROM entries"))
 def sink_unit_json(spark, sf):
     path = shared_dir(spark, "units")
-    store.write_units(B.entries(spark, sf).select("unit", "seq", "word", "gloss", "type"), path, "json")
-    return spark.read.schema("seq long, word string, gloss string, type string, unit int").json(path)
+    docs = store.unit_documents(B.entries(spark, sf), "seq", F.struct("seq", "word", "gloss", "type"), block_size=500)
+    store.write_units(docs, path, "json")
+    record = "struct<seq:long,word:string,gloss:string,type:string>"
+    back = spark.read.schema(f"block long, records array<{record}>, unit int").json(path)
+    return unnest(back, "records", ["unit"], "r").select("unit", "r.*")
 
 
 @query(
