@@ -184,17 +184,19 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     A document taken whole keeps its text; of one that is cut by the border of a block, the taken words are joined by
     spaces. Documents taken twice come twice, those not taken do not come.
     """
-    words = words_of(F.col("text"))
-    mixed = mix(docs.withColumn("size", F.size(words)))
+    words = words_of(F.col("own.text"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")).select(
+        "own", F.col("own.doc_id").alias("doc_id"), F.col("own.source").alias("source"), F.size(words).alias("size")
+    )
+    mixed = mix(held)
     for_pass = lambda p: F.filter("spans", lambda s: s["times"] >= p)
     passes = F.filter(F.array(F.lit(1), F.lit(2)), lambda p: F.exists("spans", lambda s: s["times"] >= p))
     each = mixed.withColumn("pass", F.explode(passes)).withColumn("mine", for_pass(F.col("pass")))
     n_taken = F.aggregate("mine", F.lit(0).cast("long"), lambda n, s: n + s["length"])
     piece = F.flatten(F.transform("mine", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["length"].cast("int"))))
-    text = F.when(n_taken == F.col("size"), F.col("text")).otherwise(F.array_join(piece, " "))
-    columns = [F.length("mixed_text").cast("long").alias(c) if c == "n_chars" else F.col("mixed_text").alias(c)
-               if c == "text" else F.col(c) for c in docs.columns]
-    return each.withColumn("mixed_text", text).select(*columns)
+    text = F.when(n_taken == F.col("size"), F.col("own.text")).otherwise(F.array_join(piece, " "))
+    new = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text").cast("bigint")}
+    return each.withColumn("mixed_text", text).select(*[new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
 
 
 _NAME = "coalesce('s' || source, 'null')"

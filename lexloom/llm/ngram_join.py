@@ -210,7 +210,6 @@ def _link(how: Join):
 
 def near_copies(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> DataFrame:  # noqa: B008
     """``key``, ``n_shingles``, ``component_id`` (smallest key reachable by links) for every row."""
-    spark = docs.sparkSession
     all_heads = materialise(heads(docs, key, how), "heads")
     classes = all_heads.where("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("set_hash").agg(F.min("id").alias("cls"))
     classes = materialise(classes, "classes")
@@ -241,7 +240,6 @@ def near_copies(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> Dat
     out = named.join(of_class, "set_hash", "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component")
     ).unionByName(nameless)
-    assert out.sparkSession is spark
     return out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.col("component").alias("component_id"))
 
 
@@ -249,8 +247,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> Data
     """One document of each component (the one that names it), with the columns it came with."""
     found = near_copies(docs, key, how).where(F.col(key).isNull() | (F.col(key) == F.col("component_id")))
     found = found.select(F.col(key).alias("_kept")).dropDuplicates(["_kept"])
-    kept = docs.join(found, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
-    return kept
+    return docs.join(found, docs[key].eqNullSafe(found["_kept"]), "left_semi")
 
 
 @query("op7_ngram_join")

@@ -64,3 +64,11 @@ def test_repeated_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert M.mixed_texts(docs(spark).where("false")).count() == 0
+
+
+def test_texts_keep_columns_of_any_name(spark):
+    own = docs(spark).selectExpr("*", "doc_id AS size", "'t' AS target", "'p' AS pass", "'o' AS own", "'s' AS spans", "doc_id AS salt")
+    out = M.mixed_texts(own)
+    assert out.columns == own.columns
+    rows = out.collect()
+    assert rows and all(r.size == r.salt == r.doc_id and (r.target, r["pass"], r.own, r.spans) == ("t", "p", "o", "s") for r in rows)

@@ -57,7 +57,7 @@ def test_prefix_length():
 def test_stage_keeps_one_of_each_group(spark):
     text = " ".join(f"x{i}" for i in range(40))
     rows = [(5, text, "a"), (3, text + " y", "b"), (3, text + " y", "c"), (None, text, "d"), (9, None, "e"), (8, None, "f")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, cls string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cls string").selectExpr("*", "1 AS _kept", "2 AS id", "3 AS g")
     kept = N.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted(r.cls for r in kept.collect()) == ["b", "c", "d", "e", "f"]
