@@ -28,7 +28,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     use_utc(spark)
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     times = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"}
-    return df.withColumns(times) if times else df
+    df = df.withColumns(times) if times else df
+    return store.deal_out(df) if name in ("documents", "conversations", "pages") else df
 
 
 # ------------------------------------------------------------ learner log

@@ -40,9 +40,14 @@ def seeded_order(seed: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *parts))
 
 
+def hash_number(key: Column) -> Column:
+    """A number of 32 bits for a string, the same in every engine."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
 def hash_bucket(key: Column, buckets: Column) -> Column:
     """Spread a string evenly over ``buckets`` values, the same way in every engine."""
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % buckets
+    return hash_number(key) % buckets
 
 
 def round_tenth(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom import config as C
 from lexloom.functions.rows import unnest
-from lexloom.functions.scalars import hash_bucket, seeded_order
+from lexloom.functions.scalars import hash_bucket, hash_number, seeded_order
 from lexloom.operators import strength as S
 from lexloom.operators.ordering import number_within
 from lexloom.operators.progress import unit_ready
@@ -51,7 +51,7 @@ POOL_KEY = ["tag", "question_type", "unit"]
 def _numbered(rows: DataFrame, key: list[str], seed: str) -> DataFrame:
     """Number the rows of each key from 0 in an order given by the seed and the id."""
     keyed = rows.withColumn("_o", seeded_order(seed, F.col("id")))
-    block = F.conv(F.substring("_o", 1, 4), 16, 10).cast("long")
+    block = F.conv(F.substring("_o", 1, 2), 16, 10).cast("long")
     numbered = number_within(keyed, key, ["_o", "id"], block)
     return numbered.withColumn("place", F.col("n") - 1).drop("_o", "n")
 
@@ -72,11 +72,13 @@ def _attach_pool(candidates: DataFrame, pool: DataFrame, seed: str, rules: C.Rul
     """
     size = rules.session_size
     totals = pool.groupBy(*POOL_KEY).agg(F.count("*").alias("_n"))
-    sized = candidates.join(totals, POOL_KEY)
+    # The number is made below the windows, else it would be made again for every step.
+    number = hash_number(F.concat_ws(":", F.lit(seed), "user_id", "tag", "question_type"))
+    sized = candidates.join(totals, POOL_KEY).withColumn("_h", number)
     who = Window.partitionBy("user_id", "tag", "question_type")
     until = F.sum("_n").over(who.orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = sized.withColumns({"_all": F.sum("_n").over(who), "_from": until - F.col("_n")})
-    start = hash_bucket(F.concat_ws(":", F.lit(seed), "user_id", "tag", "question_type"), F.col("_all"))
+    start = F.col("_h") % F.col("_all")
     steps = F.sequence(F.lit(0).cast("long"), F.least(F.lit(size), F.col("_all")) - 1)
     drawn = F.transform(steps, lambda i: F.struct(i.alias("i"), ((start + i) % F.col("_all") - F.col("_from")).alias("place")))
     mine = F.filter(drawn, lambda d: (d["place"] >= 0) & (d["place"] < F.col("_n")))

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from lexloom.session import shared_dir
 
 
+def deal_out(df: DataFrame) -> DataFrame:
+    """A table kept in fewer files than there are cores, spread over all of them.
+
+    Text work is bound by the processor, and a file of one row group is read by one task. Tables of
+    many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several parts of a job read, and read it back.
 
