@@ -23,18 +23,29 @@ from lexloom.llm.quality import keep_good
 from lexloom.llm.substring import cut_repeats
 from lexloom.session import shared_dir
 
+#: Rows that go to a Python worker at once. Documents are long; the usual 10,000 would be tens of megabytes on both sides.
+BATCH_ROWS = "2000"
+
+
+def lean(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return keep_good(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return cut_repeats(docs)
 
 
@@ -43,6 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return pack(docs)
 
 
