@@ -6,6 +6,11 @@ one line of words cut into blocks of equal length. Blocks are handed out by Sain
 ``q`` out of ``n`` blocks takes every block ``q div n`` times and ``q mod n`` blocks, chosen by the seed,
 once more. No block is taken more than twice, so no document is taken more than twice its size.
 
+Blocks of a shard are its words over a whole number, so where a shard holds few blocks (many short documents) they are
+longer or shorter than meant, in most shards alike. A source whose target would be missed for that by more than
+``ASTRAY`` is cut as one line instead: its shards follow each other, blocks begin at multiples of the block's length and
+may run into the next shard, and each belongs to the shard it begins in.
+
 Everything is done in Spark's own functions. A source of ``d`` documents has about ``sqrt(d)`` shards of
 ``sqrt(d)`` documents, so neither the order inside a shard nor the shards of a source are a large group, however
 large one source is. Only the table of sources (a row each) is numbered as a whole.
@@ -30,6 +35,8 @@ MOST = 2
 #: Words in a block of a large source, and the least number of blocks for a target, which makes them shorter.
 BLOCK_WORDS = 2048
 LEAST_BLOCKS = 1024
+#: The part of a target by which blocks cut shard by shard may miss it.
+ASTRAY = 0.005
 SEED = "mix-1"
 #: Parts of a source that are joined to its target on their own.
 SALTS = 64
@@ -135,37 +142,63 @@ def mix(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
     shards = placed.groupBy("key", "shard").agg(
-        F.sum("size").alias("words"), F.first("block").alias("block"), F.first("seats").alias("seats")
+        F.sum("size").alias("words"), F.first("block").alias("block"), F.first("seats").alias("seats"),
+        F.first("target").alias("target"),
     ).where("words > 0")
     shards = shards.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long"))
     shards = sainte_lague(
         shards.withColumns({"votes": F.col("words").cast("double"), "limit": F.col("n_blocks") * MOST}),
         ["key"], "shard", "votes", "seats", "limit",
-    ).select("key", "shard", "words", "n_blocks", "quota")
-    blocks = shards.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block_no"))
-    drawn = Window.partitionBy("key", "shard").orderBy(
-        F.md5(F.concat_ws("|", F.lit(SEED), "key", "shard", "block_no")), "block_no"
     )
+    source = Window.partitionBy("key")
+    missed = F.abs(F.sum(F.col("quota") * F.col("words") / F.col("n_blocks")).over(source) - F.col("target"))
+    behind = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begun = lambda word: F.floor((word + F.col("block") - 1) / F.col("block"))
+    shards = shards.withColumns({
+        "as_one": missed > F.col("target") * ASTRAY + F.col("block"),
+        "before": F.sum("words").over(behind) - F.col("words"), "all_words": F.sum("words").over(source),
+    }).drop("quota")
+    # Blocks of a line are numbered from ``block_from``; ``line`` is the shard, or -1 where all shards are one line.
+    shards = shards.withColumn("block_from", F.when(F.col("as_one"), begun(F.col("before"))).otherwise(F.lit(0)))
+    shards = shards.withColumns({
+        "n_blocks": F.when(F.col("as_one"), begun(F.col("before") + F.col("words")) - F.col("block_from")).otherwise(F.col("n_blocks")),
+        "line": F.when(F.col("as_one"), F.lit(-1)).otherwise(F.col("shard")).cast("long"),
+    })
+    shards = sainte_lague(
+        shards.withColumns({
+            "votes": F.when(F.col("as_one"), F.col("n_blocks")).otherwise(F.col("words")).cast("double"),
+            "limit": F.col("n_blocks") * MOST,
+        }),
+        ["key"], "shard", "votes", "seats", "limit",
+    ).select("key", "shard", "words", "block", "as_one", "before", "all_words", "block_from", "n_blocks", "line", "quota")
+    blocks = shards.where("n_blocks > 0").select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("nth")
+    )
+    drawn = Window.partitionBy("key", "shard").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), "key", "shard", "nth")), "nth")
     extra = (F.row_number().over(drawn) <= F.col("quota") % F.col("n_blocks")).cast("long")
-    at = F.col("block_no")
+    at = F.col("block_from") + F.col("nth")
+    cut = lambda no: F.when(F.col("as_one"), F.least(no * F.col("block"), F.col("all_words"))).otherwise(
+        F.floor(no * F.col("words") / F.col("n_blocks"))
+    )
     blocks = blocks.select(
-        "key", "shard", "block_no",
-        F.floor(at * F.col("words") / F.col("n_blocks")).alias("from_word"),
-        F.floor((at + 1) * F.col("words") / F.col("n_blocks")).alias("to_word"),
+        "key", "line", at.alias("block_no"), cut(at).alias("from_word"), cut(at + 1).alias("to_word"),
         (F.floor(F.col("quota") / F.col("n_blocks")) + extra).alias("times"),
     ).where("times > 0")
 
-    sized = shards.select("key", "shard", "words", "n_blocks")
-    in_block = lambda word: F.floor(((word + 1) * F.col("n_blocks") - 1) / F.col("words"))
-    spans = placed.where("size > 0").join(sized, ["key", "shard"]).select(
-        "key", "shard", "no", "first", "size",
-        F.explode(F.sequence(in_block(F.col("first")), in_block(F.col("first") + F.col("size") - 1))).alias("block_no"),
+    sized = shards.select("key", "shard", "line", "words", "n_blocks", F.col("block").alias("length"), "as_one", "before")
+    in_block = lambda word: F.when(F.col("as_one"), F.floor(word / F.col("length"))).otherwise(
+        F.floor(((word + 1) * F.col("n_blocks") - 1) / F.col("words"))
+    )
+    starts = F.when(F.col("as_one"), F.col("before")).otherwise(F.lit(0)) + F.col("first")
+    spans = placed.where("size > 0").join(sized, ["key", "shard"]).withColumn("start", starts).select(
+        "key", "shard", "line", "no", "start", "size",
+        F.explode(F.sequence(in_block(F.col("start")), in_block(F.col("start") + F.col("size") - 1))).alias("block_no"),
     )
-    begin = F.greatest(F.col("first"), F.col("from_word"))
-    length = F.least(F.col("first") + F.col("size"), F.col("to_word")) - begin
-    spans = spans.join(blocks, ["key", "shard", "block_no"]).select(
+    begin = F.greatest(F.col("start"), F.col("from_word"))
+    length = F.least(F.col("start") + F.col("size"), F.col("to_word")) - begin
+    spans = spans.join(blocks, ["key", "line", "block_no"]).select(
         "key", "shard", "no",
-        F.struct((begin - F.col("first")).alias("first"), length.alias("length"), "times").alias("span"),
+        F.struct((begin - F.col("start")).alias("first"), length.alias("length"), "times").alias("span"),
     )
     taken = spans.groupBy("key", "shard", "no").agg(
         F.sum(F.col("span.length") * F.col("span.times")).alias("taken"),

@@ -72,3 +72,15 @@ def test_texts_keep_columns_of_any_name(spark):
     assert out.columns == own.columns
     rows = out.collect()
     assert rows and all(r.size == r.salt == r.doc_id and (r.target, r["pass"], r.own, r.spans) == ("t", "p", "o", "s") for r in rows)
+
+
+def test_many_short_documents_meet_their_targets(spark):
+    parts = {"a": (100_000, 10), "b": (40_000, 4), "c": (30_000, 3)}
+    rows = spark.createDataFrame([(s, n, w) for s, (n, w) in parts.items()], "source string, n long, size long")
+    rows = rows.selectExpr("explode(sequence(1L, n)) AS i", "source", "size").selectExpr("concat(source, i) AS doc_id", "source", "size")
+    got = M.mix(rows).selectExpr("*", "aggregate(spans, 0L, (n, s) -> n + s.length * s.times) AS spanned").cache()
+    by = got.groupBy("source").agg({"taken": "sum", "target": "max"}).toPandas()
+    assert len(by) == 3 and (abs(by["sum(taken)"] - by["max(target)"]) <= 0.01 * by["max(target)"]).all()
+    assert got.where("taken <> spanned OR taken > 2 * size OR exists(spans, s -> s.first < 0 OR s.first + s.length > size)").isEmpty()
+    apart = "size(spans) < 2 OR forall(sequence(1, size(spans) - 1), i -> spans[i].first >= spans[i - 1].first + spans[i - 1].length)"
+    assert got.count() == 170_000 and got.where(f"NOT ({apart})").isEmpty()
