@@ -11,9 +11,10 @@ A text's set is that of its distinct lower-cased five-word shingles, as 64-bit h
    in as many rows as there are postings, never in pairs.
 4. Connected chains make blocks. In a block, pairs pass the length filter, the suffix filter (bitmaps whose
    differing bits cannot outnumber the differing shingles), the prefix join and the positional filter, and are then verified on
-   whole sets, each at most once, the likeliest first; a pair already connected needs no verification. A block with more than
-   ``tile`` classes is cut into parts, and each two parts are compared in a task of their own.
-5. The links found join to components.
+   whole sets, each once. A block with more than ``tile`` classes is cut into parts, and each two parts are compared in a task
+   of their own.
+5. Every task adds up the links of each class, so links never become rows; of the links themselves it gives those that
+   span its trees, which join to components.
 
 Null and empty texts have no shingles and link with nothing; texts of fewer words than ``width`` have their whole sequence
 as the only one. Rows without an id are returned unlinked. Hashes stand for shingles: two shingles share one with
@@ -155,23 +156,55 @@ def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(bool).reshape(len(sets), BITMAP), axis=1).view(np.uint64)
 
 
-def _similar(a: int, b: int, sets: list, prefixes: list, skips: list, how: Join) -> bool:
-    """Prefix join, positional filter, then the whole sets."""
-    x, y = sets[a], sets[b]
-    least = -(-how.percent * (len(x) + len(y)) // (100 + how.percent))
-    common, i, j = np.intersect1d(prefixes[a], prefixes[b], assume_unique=True, return_indices=True)
-    if not len(common):
-        return False
-    first = i.argmin()  # both prefixes are in one order
-    if min(len(x) - skips[a] - i[first], len(y) - skips[b] - j[first]) < least:
-        return False
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum()) >= least
+@dataclass
+class Held:
+    """Classes of a block: shingles by number, prefixes (rare first), and how many shingles of each come before its prefix."""
+
+    sets: list[np.ndarray]
+    prefixes: list[np.ndarray]
+    skips: np.ndarray
+    n: np.ndarray
+    n_grams: int
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray], prefixes: list[np.ndarray], skips: list[int]) -> Held:
+        every = np.unique(np.concatenate(sets))
+        number = lambda x: np.searchsorted(every, x.view(np.uint64)).astype(np.int32)
+        return cls([number(x) for x in sets], [number(x) for x in prefixes], np.array(skips), np.array([len(x) for x in sets]), len(every))
+
+
+def _joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All in a row, where each begins, and the place of every value in its own."""
+    sizes = np.array([len(x) for x in arrays])
+    starts = np.cumsum(sizes) - sizes
+    return np.concatenate(arrays), starts, np.arange(sizes.sum()) - np.repeat(starts, sizes)
+
+
+def _similar(a: int, others: np.ndarray, held: Held, place: np.ndarray, how: Join) -> np.ndarray:
+    """Which of the others link with ``a``: prefix join, positional filter, then the whole sets. ``place`` is all -1."""
+    least = -(-how.percent * (held.n[a] + held.n[others]) // (100 + how.percent))
+    mine = held.prefixes[a]
+    place[mine] = np.arange(len(mine))
+    grams, starts, at = _joined([held.prefixes[b] for b in others.tolist()])
+    own = place[grams]
+    place[mine] = -1
+    never = held.n_grams
+    i = np.minimum.reduceat(np.where(own >= 0, own, never), starts)
+    j = np.minimum.reduceat(np.where(own >= 0, at, never), starts)  # both prefixes are in one order
+    left = np.minimum(held.n[a] - held.skips[a] - i, held.n[others] - held.skips[others] - j)
+    able = (i < never) & (left >= least)
+    others, least = others[able], least[able]
+    if not len(others):
+        return others
+    place[held.sets[a]] = 0
+    grams, starts, _ = _joined([held.sets[b] for b in others.tolist()])
+    common = np.add.reduceat((place[grams] >= 0).astype(np.int64), starts)
+    place[held.sets[a]] = -1
+    return others[common >= least]
 
 
 def _pairs(maps: np.ndarray, n: np.ndarray, rows: np.ndarray, other: np.ndarray, how: Join) -> Iterator[np.ndarray]:
-    """Pairs that pass the length and the bitmap filter, with the differing bits of each."""
+    """Pairs that pass the length and the bitmap filter, in the order of ``rows``."""
     for k in range(0, len(rows), 64):
         mine = rows[k:k + 64]
         apart = np.bitwise_count(maps[mine][:, None, :] ^ maps[other][None, :, :]).sum(axis=2, dtype=np.int64)
@@ -179,43 +212,64 @@ def _pairs(maps: np.ndarray, n: np.ndarray, rows: np.ndarray, other: np.ndarray,
         able = (100 + how.percent) * apart <= (100 - how.percent) * total
         able &= _passes(n[mine][:, None], n[other][None, :], how.percent)
         i, j = np.nonzero(able)
-        yield np.stack([mine[i], other[j], apart[i, j] * 4096 // np.maximum(total[i, j], 1)], axis=1)
+        yield np.stack([mine[i], other[j]], axis=1)
+
+
+#: Values of sets that are looked up at once.
+LOOKED_UP = 1 << 20
 
 
 def _link(how: Join):
+    """Links that span trees as ``a``, ``b``; for each class ``a`` without ``b``, the documents it links with in this tile."""
+
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("block", "ascending"), ("cls", "ascending")])
-        cls, block, own = (group[c].to_numpy() for c in ("cls", "block", "part"))
+        cls, block, own, copies = (group[c].to_numpy() for c in ("cls", "block", "part", "copies"))
         i, j = group["part_a"][0].as_py(), group["part_b"][0].as_py()
         edges = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
         found: list[tuple[int, int]] = []
+        links = np.zeros(len(cls), np.int64)
         for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             part = group.slice(begin, end - begin)
             sets = [np.frombuffer(x, "<u8") for x in part["whole"].to_pylist()]
-            prefixes = [np.array(x, np.int64) for x in part["prefix"].to_pylist()]
-            skips, n = part["skip"].to_pylist(), np.array([len(s) for s in sets])
+            held = Held.of(sets, [np.array(x, np.int64) for x in part["prefix"].to_pylist()], part["skip"].to_pylist())
             mine = own[begin:end]
             rows, other = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
             forest, maps = Forest(end - begin), _bitmaps(sets)
-            pairs = np.concatenate([np.zeros((0, 3), np.int64), *_pairs(maps, n, rows, other, how)])
-            pairs = pairs[pairs[:, 0] < pairs[:, 1]] if i == j else pairs
-            for a, b, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
-                if forest.root(a) != forest.root(b) and _similar(a, b, sets, prefixes, skips, how):
-                    forest.join(a, b)
-                    found.append((int(cls[begin + a]), int(cls[begin + b])))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+            del sets
+            place = np.full(held.n_grams, -1, np.int32)
+            at_once = max(1, LOOKED_UP // int(held.n.max()))
+            for pairs in _pairs(maps, held.n, rows, other, how):
+                pairs = pairs[pairs[:, 0] < pairs[:, 1]] if i == j else pairs
+                firsts, starts = np.unique(pairs[:, 0], return_index=True)
+                ends = [*starts[1:].tolist(), len(pairs)]
+                for a, first, last in zip(firsts.tolist(), starts.tolist(), ends if len(firsts) else [], strict=True):
+                    all_b = pairs[first:last, 1]
+                    for k in range(0, len(all_b), at_once):
+                        linked = _similar(a, all_b[k:k + at_once], held, place, how)
+                        links[begin + a] += copies[begin + linked].sum()
+                        links[begin + linked] += copies[begin + a]
+                        found += [(int(cls[begin + a]), int(cls[begin + b])) for b in linked.tolist() if forest.join(a, b)]
+        has = np.flatnonzero(links)
+        return pa.table({
+            "a": pa.array([*(x for x, _ in found), *cls[has].tolist()], pa.int64()),
+            "b": pa.array([*(y for _, y in found), *[None] * len(has)], pa.int64()),
+            "links": pa.array([*[None] * len(found), *links[has].tolist()], pa.int64()),
+        })
 
     return run
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> DataFrame:  # noqa: B008
-    """``key``, ``n_shingles``, ``component_id`` (smallest key reachable by links) for every row."""
+    """``key``, ``n_shingles``, ``component_id`` (smallest key reachable by links), ``n_links`` (other rows linked directly)."""
     all_heads = materialise(heads(docs, key, how), "heads")
-    classes = all_heads.where("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("set_hash").agg(F.min("id").alias("cls"))
+    classes = all_heads.where("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("set_hash").agg(
+        F.min("id").alias("cls"), F.count("*").alias("copies")
+    )
     classes = materialise(classes, "classes")
     able = all_heads.where("prefix IS NOT NULL AND id IS NOT NULL")
-    lead = able.join(classes.withColumnRenamed("cls", "id"), ["set_hash", "id"], "left_semi").dropDuplicates(["id"])
-    lead = materialise(lead.select(F.col("id").alias("cls"), "n_shingles", "skip", "prefix", "whole"), "leaders")
+    lead = able.join(classes.withColumnRenamed("cls", "id"), ["set_hash", "id"]).dropDuplicates(["id"])
+    lead = materialise(lead.select(F.col("id").alias("cls"), "copies", "n_shingles", "skip", "prefix", "whole"), "leaders")
 
     postings = lead.select("cls", "n_shingles", F.explode("prefix").alias("gram"))
     slots = max(1, lead.count() // 1000)
@@ -230,17 +284,22 @@ def near_copies(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> Dat
         "cls", "block", "slot", "part", F.least("part", "with").alias("part_a"), F.greatest("part", "with").alias("part_b")
     )
     tiles = tiles.join(lead, "cls")
-    links = tiles.groupBy("slot", "part_a", "part_b").applyInArrow(_link(how), "a bigint, b bigint")
-    joined = components(links).withColumnRenamed("id", "cls")
-
-    of_class = classes.join(joined, "cls", "left").select("set_hash", F.coalesce("component_id", "cls").alias("component"))
+    found = tiles.groupBy("slot", "part_a", "part_b").applyInArrow(_link(how), "a bigint, b bigint, links bigint")
+    found = materialise(found, "links")
+    joined = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "cls")
+    linked = found.where("links IS NOT NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+
+    of_class = classes.join(joined, "cls", "left").join(linked, "cls", "left").select(
+        "set_hash", F.coalesce("component_id", "cls").alias("component"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+    )
     kind = docs.schema[key].dataType
     named = all_heads.where("id IS NOT NULL").select("id", "n_shingles", "set_hash")
-    nameless = all_heads.where("id IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
+    nameless = all_heads.where("id IS NULL").select("id", "n_shingles", F.col("id").alias("component"), F.lit(0).cast("bigint").alias("links"))
     out = named.join(of_class, "set_hash", "left").select(
-        "id", "n_shingles", F.coalesce("component", "id").alias("component")
+        "id", "n_shingles", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links")
     ).unionByName(nameless)
-    return out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.col("component").alias("component_id"))
+    return out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> DataFrame:  # noqa: B008

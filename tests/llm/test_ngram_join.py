@@ -66,3 +66,22 @@ def test_stage_keeps_one_of_each_group(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, id long")
     assert N.near_copies(docs).count() == 0
+
+
+def links_of(texts: dict[int, str | None]) -> dict[int, int]:
+    """The number of other texts that link with each, by all pairs."""
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in words.items()}
+    return {i: sum(j != i and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_every_link_counts(spark, tile):
+    draw = random.Random(3)
+    base = [f"v{k}" for k in range(200)]
+    texts = corpus() | {3000 + k: " ".join(base[:k * 3] + [f"own{k}"] + base[k * 3:]) for k in range(20)}
+    texts |= {3100 + k: texts[3000 + draw.randrange(20)] for k in range(10)}
+    docs = spark.createDataFrame([*texts.items(), (None, texts[3000])], "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in N.near_copies(docs, how=N.Join(tile=tile, docs_per_group=8)).collect()}
+    want = links_of(texts)
+    assert got == want | {None: 0} and min(want[3000 + k] for k in range(20)) == 29
