@@ -83,3 +83,15 @@ def test_empty_table_and_other_columns(spark):
     (r,) = U.judge_urls(rows).collect()
     assert (r.page_id, r.host, r.rule, r.verdict) == (None, "x.com", None, "allow")
     assert U.judge_urls(rows.where("false")).count() == 0
+
+
+def test_a_host_of_very_many_links_passes_its_rank_on(spark):
+    n = U.SHARES + 10
+    links = spark.range(n).selectExpr("concat('h', id, '.com') AS source", "'bad.net' AS target", "1L AS weight")
+    links = links.unionByName(spark.createDataFrame([("a.org", "x.com", 3 * n), ("a.org", "y.com", 1)], links.schema))
+    hosts = spark.createDataFrame([("bad.net", 0, 1), ("a.org", 1, 0)], "host string, allowed long, blocked long")
+    ranks = U._spread(hosts, links, U.Flow(rounds=1, written_every=1)).where("rank > 0")
+    got = {(r["kind"], r["rank"]): r["count"] for r in ranks.where("startswith(host, 'h')").groupBy("kind", "rank").count().collect()}
+    assert got == {("distrust", U.MASS // n * 17 // 20): n}
+    trust = {r.host: r["rank"] for r in ranks.where("kind = 'trust'").collect()}
+    assert trust == {"a.org": U.MASS * 3 // 20, "x.com": U.MASS * 3 * n // (3 * n + 1) * 17 // 20, "y.com": U.MASS // (3 * n + 1) * 17 // 20}
