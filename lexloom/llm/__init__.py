@@ -8,7 +8,7 @@ from lexloom.llm.registry import ORACLE, QUERIES, Query
 
 _MODULES = [
     "url_trust", "mixing", "substring", "warc", "quality", "materialise", "ngram_join", "packing", "near_vectors", "fm_quality",
-    "repair", "prefix_trie",
+    "repair", "lattice", "prefix_trie",
 ]
 
 
