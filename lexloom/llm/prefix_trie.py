@@ -40,6 +40,8 @@ from lexloom.sources.store import materialise
 ROOT = bytes(16)
 #: Members of a family take their first turns from its first conversation, up to ``HEADS - 1`` of them.
 FAMILY, HEADS = 20, 4
+#: A node with more than one in so many of all nodes as children is joined to them on its own; there are fewer such nodes.
+BROAD = 1024
 #: Ids in one packed piece.
 PIECE = 4096
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -323,6 +325,16 @@ def _end_of(turns: Column) -> Column:
     return F.aggregate(turns, F.lit(ROOT), lambda d, t: F.unhex(F.md5(F.concat(d, t["d"]))))
 
 
+def _with_parents(nodes: DataFrame, kids: DataFrame) -> DataFrame:
+    """Add ``parent_conv_id``. Parents of very many children are fewer than ``BROAD`` and go to where their children are."""
+    above = nodes.join(kids, "node").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"), "n_children")
+    is_broad = F.col("n_children") * BROAD > nodes.count()
+    broad = materialise(above.where(is_broad).drop("n_children"), "broad")
+    few = nodes.join(F.broadcast(broad), "parent")
+    rest = nodes.join(F.broadcast(broad.select("parent")), "parent", "left_anti").join(above.where(~is_broad).drop("n_children"), "parent", "left")
+    return few.unionByName(rest)
+
+
 def prefix_trie(convs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """All nodes of the trie of conversations (``conv_id``, ``turns``), one row each; ids are distinct.
 
@@ -348,9 +360,8 @@ def prefix_trie(convs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # no
     sums = _dealt(told).mapInArrow(_through_tries(_sum_rows, limits), "node binary, saved bigint, leaves bigint")
     sums = sums.groupBy("node").agg(F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"))
     ends = ends_digests(members.select("end", "conv_id"), classes.select("end", "conv_id", "copies"))
-    above = nodes.join(kids, "node", "left_semi").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     return (
-        nodes.join(kids, "node", "left").join(sums, "node").join(ends.withColumnRenamed("end", "node"), "node", "left").join(above, "parent", "left")
+        _with_parents(nodes, kids).join(kids, "node", "left").join(sums, "node").join(ends.withColumnRenamed("end", "node"), "node", "left")
         .select("conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "n_leaves",
                 "saved_tokens", F.coalesce("ends_sha256", F.lit(_EMPTY)).alias("ends_sha256"))
     )
