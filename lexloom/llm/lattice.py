@@ -111,93 +111,114 @@ def read_pieces(path: str | None = None) -> Pieces:
 
 @dataclass
 class Lattice:
-    """Lattices of several words. Slots are places between characters; an edge leads from one to a later one."""
+    """Lattices of several words, the longest first. A slot is a place between characters of a word; slots stand level by level.
 
-    first: np.ndarray  # first and last slot of each word
-    last: np.ndarray
-    begin: np.ndarray  # slots of each edge
-    end: np.ndarray
-    offset: np.ndarray  # characters before a slot in its word
-    piece: np.ndarray  # of each edge, or -1 for a character that goes by its bytes
-    spelt: np.ndarray  # the bytes of such edges, by number of the edge
-    spelling: np.ndarray
+    All pieces of one length that begin at one level are a group. They lead to slots that differ, so a group is one step on arrays.
+    """
+
+    order: np.ndarray  # the place of each word among those given
+    sizes: np.ndarray  # characters, with the mark
+    first: np.ndarray  # first slot of each level
+    groups: list[tuple[int, int, np.ndarray, np.ndarray]]  # level, length, words, pieces; by the level they lead to
+    lone: np.ndarray  # characters that go by their bytes; they are numbered behind the pieces
 
     @classmethod
     def of(cls, words: list[str], pieces: Pieces) -> Lattice:
-        text = "".join([" " + w for w in words])
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        sizes = lengths[order] + 1
+        text = "".join([" " + words[i] for i in order.tolist()])
         codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-        sizes = np.array([len(w) + 1 for w in words], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        word_of = np.repeat(np.arange(len(words)), sizes)
-        offset = np.arange(len(codes)) - starts[word_of]
-        found = [(np.zeros(0, np.int64),) * 3]
-        at = np.arange(len(codes))
-        node = np.zeros(len(codes), np.int64)
-        alone = np.ones(len(codes), bool)
+        word = np.repeat(np.arange(len(words)), sizes)
+        level = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        top = int(sizes.max(initial=0))
+        by_level = np.argsort(level.astype(np.uint16) if top < 1 << 16 else level, kind="stable")
+        codes, word, level = codes[by_level], word[by_level], level[by_level]
+        in_level = np.bincount(level, minlength=top)  # characters of a level; the next level has as many slots
+        chars = np.append(0, np.cumsum(in_level))
+        first = np.append(0, len(words) + chars)[:top + 1]
+        groups: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+        def add(length: int, level: np.ndarray, word: np.ndarray, number: np.ndarray) -> None:
+            cuts = np.flatnonzero(np.diff(level, prepend=-1, append=top + 1))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                groups.append((int(level[i]), length, word[i:j], number[i:j]))
+
+        alone, lone = np.zeros(0, bool), codes
+        at_level, at_word, node = level, word, np.zeros(len(codes), np.int64)
         for length in range(1, pieces.longest + 1):
-            # A blank is no later character of any piece, so none goes beyond its word.
-            inside = at + length <= len(codes)
-            at, node = at[inside], node[inside]
-            key = node * _SHIFT + codes[at + length - 1]
+            inside = at_level + length <= sizes[at_word]
+            at_level, at_word, node = at_level[inside], at_word[inside], node[inside]
+            key = node * _SHIFT + codes[chars[at_level + length - 1] + at_word]
             place = np.minimum(np.searchsorted(pieces.keys, key), max(len(pieces.keys) - 1, 0))
             hit = pieces.keys[place] == key if len(pieces.keys) else np.zeros(len(key), bool)
-            at, node = at[hit], pieces.child[place[hit]]
+            if length == 1:
+                alone = ~hit
+                alone[hit] = pieces.piece[pieces.child[place[hit]]] < 0
+            at_level, at_word, node = at_level[hit], at_word[hit], pieces.child[place[hit]]
             number = pieces.piece[node]
             whole = number >= 0
-            found.append((at[whole], np.full(int(whole.sum()), length), number[whole]))
-            if length == 1:
-                alone[at[whole]] = False
-        lone = np.flatnonzero(alone)
-        found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), -1)))
-        at, length, number = (np.concatenate(x) for x in zip(*found, strict=True))
-        raw = [chr(c).encode() for c in codes[lone].tolist()]
-        edge = len(at) - len(lone) + np.arange(len(lone))
-        slot = at + word_of[at]
-        slots = np.append(offset, 0) if not len(words) else np.concatenate([np.r_[offset[a:a + n], n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
-        return cls(
-            starts + np.arange(len(words)), starts + np.arange(len(words)) + sizes, slot, slot + length, slots, number,
-            np.repeat(edge, [len(x) for x in raw]), np.frombuffer(b"".join(raw), np.uint8).astype(np.int64),
-        )
+            add(length, at_level[whole], at_word[whole], number[whole])
+        if not pieces.longest:
+            alone = np.ones(len(codes), bool)
+        lone, kind = np.unique(codes[alone], return_inverse=True)
+        add(1, level[alone], word[alone], pieces.size + kind)
+        return cls(order, sizes, first, sorted(groups, key=lambda g: g[0] + g[1]), lone)
+
+    def _spelling(self) -> tuple[np.ndarray, np.ndarray]:
+        """The lone characters and their bytes."""
+        raw = [chr(c).encode() for c in self.lone.tolist()]
+        return np.repeat(np.arange(len(raw)), [len(x) for x in raw]), np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
 
     def weights(self, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
-        """The log probability of each edge."""
-        w = np.where(self.piece >= 0, logp[np.maximum(self.piece, 0)], 0.0)
-        np.add.at(w, self.spelt, logp[pieces.n + self.spelling])
-        return w
-
-    def _sweep(self, w: np.ndarray, source: np.ndarray, target: np.ndarray, origin: np.ndarray, step: int) -> np.ndarray:
-        """Log sums of all paths from the origin slots to each slot, one distance from the word's start after another."""
-        total = np.full(len(self.offset), -np.inf)
-        total[origin] = 0.0
-        order = np.lexsort((target, step * self.offset[target]))
-        source, target, w = source[order], target[order], w[order]
-        new = np.flatnonzero(np.diff(target, prepend=-1))
-        level = self.offset[target[new]] if len(new) else np.zeros(0, np.int64)
-        cuts = [*np.flatnonzero(np.diff(level, prepend=-1)).tolist(), len(new)]
-        bounds = np.append(new, len(target))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            lo, hi = bounds[a], bounds[b]
-            value = total[source[lo:hi]] + w[lo:hi]
-            heads = bounds[a:b] - lo
-            most = np.maximum.reduceat(value, heads)
-            size = np.diff(np.append(heads, hi - lo))
-            total[target[bounds[a:b]]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, size)), heads))
-        return total
+        """Log probabilities of the pieces and of the lone characters."""
+        who, byte = self._spelling()
+        return np.append(logp, np.bincount(who, logp[pieces.n + byte], len(self.lone)))
+
+    @property
+    def ends(self) -> np.ndarray:
+        """The last slot of each word."""
+        return self.first[self.sizes] + np.arange(len(self.sizes))
+
+    def _slots(self) -> np.ndarray:
+        return np.full(int(self.first[-1] + (self.sizes == len(self.first) - 1).sum()), -np.inf)
 
     def forward(self, w: np.ndarray) -> np.ndarray:
-        return self._sweep(w, self.begin, self.end, self.first, 1)
+        """The log sum of all paths from the beginning of its word to each slot."""
+        total = self._slots()
+        total[:len(self.sizes)] = 0.0
+        for level, length, word, piece in self.groups:
+            to = self.first[level + length] + word
+            total[to] = np.logaddexp(total[to], total[self.first[level] + word] + w[piece])
+        return total
 
     def backward(self, w: np.ndarray) -> np.ndarray:
-        return self._sweep(w, self.end, self.begin, self.last, -1)
+        """The log sum of all paths from each slot to the end of its word."""
+        total = self._slots()
+        total[self.ends] = 0.0
+        for level, length, word, piece in sorted(self.groups, key=lambda g: -g[0]):
+            here = self.first[level] + word
+            total[here] = np.logaddexp(total[here], total[self.first[level + length] + word] + w[piece])
+        return total
+
+    def marginals(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.sizes))
+        out[self.order] = self.forward(w)[self.ends]
+        return out
 
     def expected(self, pieces: Pieces, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each piece is used in all words, a word counted ``counts`` times."""
         w = self.weights(pieces, logp)
         ahead, behind = self.forward(w), self.backward(w)
-        word_of = np.repeat(np.arange(len(self.first)), self.last - self.first + 1)[self.begin]
-        used = np.exp(ahead[self.begin] + w + behind[self.end] - ahead[self.last][word_of]) * counts[word_of]
-        out = np.bincount(np.maximum(self.piece, 0), np.where(self.piece >= 0, used, 0.0), pieces.size)
-        return out + np.bincount(pieces.n + self.spelling, used[self.spelt], pieces.size)
+        whole, counts = ahead[self.ends], counts[self.order]
+        paths = [np.zeros(0)]
+        for level, length, word, piece in self.groups:
+            here, there = self.first[level] + word, self.first[level + length] + word
+            paths.append(np.exp(ahead[here] + w[piece] + behind[there] - whole[word]) * counts[word])
+        every = np.concatenate([np.zeros(0, np.int64), *(piece for *_, piece in self.groups)])
+        used = np.bincount(every, np.concatenate(paths), len(w))
+        who, byte = self._spelling()
+        return used[:pieces.size] + np.bincount(pieces.n + byte, used[pieces.size:][who], pieces.size)
 
 
 def _parts(words: list[str]) -> Iterator[np.ndarray]:
@@ -212,7 +233,7 @@ def marginals(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     out = np.zeros(len(words))
     for part in _parts(words):
         lattice = Lattice.of([words[i] for i in part.tolist()], pieces)
-        out[part] = lattice.forward(lattice.weights(pieces, logp))[lattice.last]
+        out[part] = lattice.marginals(lattice.weights(pieces, logp))
     return out
 
 
