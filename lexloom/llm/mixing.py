@@ -1,15 +1,11 @@
 """Mixing sources to target weights by blocks of equal length and highest quotients.
 
-Every source has a target in words. Its documents are dealt to shards in an order given by a seed; a shard is
-one line of words cut into blocks of equal length. Blocks are handed out by Sainte-Lague quotients
-``votes / (2 k + 1)``: first to the sources, then each source's blocks to its shards. A shard with a quota of
-``q`` out of ``n`` blocks takes every block ``q div n`` times and ``q mod n`` blocks, chosen by the seed,
-once more. No block is taken more than twice, so no document is taken more than twice its size.
-
-Blocks of a shard are its words over a whole number, so where a shard holds few blocks (many short documents) they are
-longer or shorter than meant, in most shards alike. A source whose target would be missed for that by more than
-``ASTRAY`` is cut as one line instead: its shards follow each other, blocks begin at multiples of the block's length and
-may run into the next shard, and each belongs to the shard it begins in.
+Every source has a target in words. Its documents are dealt to shards in an order given by a seed; the shards of a source follow
+each other in one line of words, which is cut into blocks of equal length (the last one is what remains). A block belongs
+to the shard it begins in. Blocks are handed out by Sainte-Lague quotients ``votes / (2 k + 1)``: first to the sources,
+then each source's blocks to its shards. A shard with a quota of ``q`` out of ``n`` blocks takes every block ``q div n``
+times and ``q mod n`` blocks, chosen by the seed, once more. No block is taken more than twice, so no document is taken
+more than twice its size, and a source misses its target by about a block.
 
 Everything is done in Spark's own functions. A source of ``d`` documents has about ``sqrt(d)`` shards of
 ``sqrt(d)`` documents, so neither the order inside a shard nor the shards of a source are a large group, however
@@ -35,8 +31,6 @@ MOST = 2
 #: Words in a block of a large source, and the least number of blocks for a target, which makes them shorter.
 BLOCK_WORDS = 2048
 LEAST_BLOCKS = 1024
-#: The part of a target by which blocks cut shard by shard may miss it.
-ASTRAY = 0.005
 SEED = "mix-1"
 #: Parts of a source that are joined to its target on their own.
 SALTS = 64
@@ -112,91 +106,35 @@ def mix(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
     held = rows.select(
-        F.struct(*rows.columns).alias("row"), F.col(key).alias("id"), F.col("size").cast("long").alias("size"),
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(key).alias("id"), F.col("size").cast("long").alias("size"),
         name.alias("key"), "source",
     )
     sources = held.groupBy("key", "source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.col("target") / LEAST_BLOCKS)))
-    sources = source_targets(sources).withColumn("block", block.cast("long"))
-    sources = sources.withColumns({
-        "all_of": F.lit("mix"), "votes": F.col("target") / F.col("block"),
-        "limit": F.ceil(F.col("total") / F.col("block")) * MOST,
-    })
-    every = Window.partitionBy("all_of")
-    sources = sources.withColumn("seats", F.round(F.sum("votes").over(every)).cast("long"))
-    sources = sainte_lague(sources, ["all_of"], "key", "votes", "seats", "limit").select(
-        "key", "total", "target", "block", F.ceil(F.sqrt("n")).alias("n_shards"), F.col("quota").alias("seats")
-    )
-    id_text = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    # A source may hold a third of all rows: its row is copied for every salt, so its documents meet it in many tasks.
-    salts = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = held.withColumn("salt", F.pmod(F.xxhash64("id", "size"), F.lit(SALTS)).cast("int"))
-    placed = salted.join(salts, ["key", "salt"]).select(
-        "row", "id", "size", "key", "total", "target", "block", "seats",
-        F.pmod(_number(F.lit("shard"), id_text), F.col("n_shards")).alias("shard"),
-        F.md5(F.concat_ws("|", F.lit(SEED), F.lit("order"), id_text)).alias("place"),
-    )
-    line = Window.partitionBy("key", "shard").orderBy("place", "id", "size")
-    placed = placed.withColumn("no", F.row_number().over(line)).withColumn(
-        "first", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    )
-
-    shards = placed.groupBy("key", "shard").agg(
-        F.sum("size").alias("words"), F.first("block").alias("block"), F.first("seats").alias("seats"),
-        F.first("target").alias("target"),
-    ).where("words > 0")
-    shards = shards.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long"))
-    shards = sainte_lague(
-        shards.withColumns({"votes": F.col("words").cast("double"), "limit": F.col("n_blocks") * MOST}),
-        ["key"], "shard", "votes", "seats", "limit",
-    )
-    source = Window.partitionBy("key")
-    missed = F.abs(F.sum(F.col("quota") * F.col("words") / F.col("n_blocks")).over(source) - F.col("target"))
-    behind = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begun = lambda word: F.floor((word + F.col("block") - 1) / F.col("block"))
-    shards = shards.withColumns({
-        "as_one": missed > F.col("target") * ASTRAY + F.col("block"),
-        "before": F.sum("words").over(behind) - F.col("words"), "all_words": F.sum("words").over(source),
-    }).drop("quota")
-    # Blocks of a line are numbered from ``block_from``; ``line`` is the shard, or -1 where all shards are one line.
-    shards = shards.withColumn("block_from", F.when(F.col("as_one"), begun(F.col("before"))).otherwise(F.lit(0)))
-    shards = shards.withColumns({
-        "n_blocks": F.when(F.col("as_one"), begun(F.col("before") + F.col("words")) - F.col("block_from")).otherwise(F.col("n_blocks")),
-        "line": F.when(F.col("as_one"), F.lit(-1)).otherwise(F.col("shard")).cast("long"),
-    })
-    shards = sainte_lague(
-        shards.withColumns({
-            "votes": F.when(F.col("as_one"), F.col("n_blocks")).otherwise(F.col("words")).cast("double"),
-            "limit": F.col("n_blocks") * MOST,
-        }),
-        ["key"], "shard", "votes", "seats", "limit",
-    ).select("key", "shard", "words", "block", "as_one", "before", "all_words", "block_from", "n_blocks", "line", "quota")
+    # A row for each source; written, as every later step names it and its plan is long.
+    sources = materialise(_source_seats(materialise(sources, "sources")), "seats")
+    placed = materialise(_in_lines(held, sources), "lines")
+    shards = materialise(_shard_blocks(placed), "shards")
     blocks = shards.where("n_blocks > 0").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("nth")
     )
     drawn = Window.partitionBy("key", "shard").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), "key", "shard", "nth")), "nth")
     extra = (F.row_number().over(drawn) <= F.col("quota") % F.col("n_blocks")).cast("long")
     at = F.col("block_from") + F.col("nth")
-    cut = lambda no: F.when(F.col("as_one"), F.least(no * F.col("block"), F.col("all_words"))).otherwise(
-        F.floor(no * F.col("words") / F.col("n_blocks"))
-    )
+    cut = lambda no: F.least(no * F.col("block"), F.col("all_words"))
     blocks = blocks.select(
-        "key", "line", at.alias("block_no"), cut(at).alias("from_word"), cut(at + 1).alias("to_word"),
+        "key", at.alias("block_no"), cut(at).alias("from_word"), cut(at + 1).alias("to_word"),
         (F.floor(F.col("quota") / F.col("n_blocks")) + extra).alias("times"),
     ).where("times > 0")
 
-    sized = shards.select("key", "shard", "line", "words", "n_blocks", F.col("block").alias("length"), "as_one", "before")
-    in_block = lambda word: F.when(F.col("as_one"), F.floor(word / F.col("length"))).otherwise(
-        F.floor(((word + 1) * F.col("n_blocks") - 1) / F.col("words"))
-    )
-    starts = F.when(F.col("as_one"), F.col("before")).otherwise(F.lit(0)) + F.col("first")
-    spans = placed.where("size > 0").join(sized, ["key", "shard"]).withColumn("start", starts).select(
-        "key", "shard", "line", "no", "start", "size",
+    in_block = lambda word: F.floor(word / F.col("block"))
+    begun = shards.select("key", "shard", "block", "before")
+    spans = placed.where("size > 0").drop("block").join(begun, ["key", "shard"]).withColumn("start", F.col("before") + F.col("first")).select(
+        "key", "shard", "no", "start", "size",
         F.explode(F.sequence(in_block(F.col("start")), in_block(F.col("start") + F.col("size") - 1))).alias("block_no"),
     )
     begin = F.greatest(F.col("start"), F.col("from_word"))
     length = F.least(F.col("start") + F.col("size"), F.col("to_word")) - begin
-    spans = spans.join(blocks, ["key", "line", "block_no"]).select(
+    spans = spans.join(blocks, ["key", "block_no"]).select(
         "key", "shard", "no",
         F.struct((begin - F.col("start")).alias("first"), length.alias("length"), "times").alias("span"),
     )
@@ -211,6 +149,56 @@ def mix(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def _source_seats(sources: DataFrame) -> DataFrame:
+    """Targets, the length of blocks, the number of shards and the blocks to take of each source."""
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.col("target") / LEAST_BLOCKS)))
+    sources = source_targets(sources).withColumn("block", block.cast("long"))
+    sources = sources.withColumns({
+        "all_of": F.lit("mix"), "votes": F.col("target") / F.col("block"),
+        "limit": F.ceil(F.col("total") / F.col("block")) * MOST,
+    })
+    every = Window.partitionBy("all_of")
+    sources = sources.withColumn("seats", F.round(F.sum("votes").over(every)).cast("long"))
+    return sainte_lague(sources, ["all_of"], "key", "votes", "seats", "limit").select(
+        "key", "total", "target", "block", F.ceil(F.sqrt("n")).alias("n_shards"), F.col("quota").alias("seats")
+    )
+
+
+def _in_lines(held: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every row with its shard, its number there and the words before it there."""
+    own = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), "size")
+    # A source may hold a third of all rows: its row is copied for every salt, so its documents meet it in many tasks.
+    salts = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("id", "size"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(salts, ["key", "salt"]).select(
+        "row", "id", "size", "key", "total", "target", "block", "seats",
+        F.pmod(_number(F.lit("shard"), own), F.col("n_shards")).alias("shard"),
+        F.md5(F.concat_ws("|", F.lit(SEED), F.lit("order"), own)).alias("place"),
+    )
+    line = Window.partitionBy("key", "shard").orderBy("place", "id", "size")
+    sofar = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("no", F.row_number().over(line)).withColumn("first", F.sum("size").over(sofar) - F.col("size")).drop("place")
+
+
+def _shard_blocks(placed: DataFrame) -> DataFrame:
+    """Every shard with its place in the line of its source, the blocks that begin in it, and how many of them are taken."""
+    shards = placed.groupBy("key", "shard").agg(
+        F.sum("size").alias("words"), F.first("block").alias("block"), F.first("seats").alias("seats"),
+    ).where("words > 0")
+    source = Window.partitionBy("key")
+    behind = source.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shards = shards.withColumns({
+        "before": F.sum("words").over(behind) - F.col("words"), "all_words": F.sum("words").over(source),
+    })
+    begun = lambda word: F.floor((word + F.col("block") - 1) / F.col("block"))
+    shards = shards.withColumn("block_from", begun(F.col("before")))
+    shards = shards.withColumn("n_blocks", begun(F.col("before") + F.col("words")) - F.col("block_from"))
+    shards = shards.withColumns({"votes": F.col("n_blocks").cast("double"), "limit": F.col("n_blocks") * MOST})
+    return sainte_lague(shards, ["key"], "shard", "votes", "seats", "limit").select(
+        "key", "shard", "words", "block", "before", "all_words", "block_from", "n_blocks", "quota"
+    )
+
+
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """The mix itself: a row for each time that words of a document are taken.
 
@@ -218,10 +206,11 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     spaces. Documents taken twice come twice, those not taken do not come.
     """
     words = words_of(F.col("own.text"))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")).select(
-        "own", F.col("own.doc_id").alias("doc_id"), F.col("own.source").alias("source"), F.size(words).alias("size")
-    )
-    mixed = mix(held)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    held = materialise(held.select("own", F.size(words).cast("long").alias("size"), F.monotonically_increasing_id().alias("at")), "held")
+    sizes = held.select(F.col("own.doc_id").alias("doc_id"), F.col("own.source").alias("source"), "size", "at")
+    spans = mix(sizes).where(F.size("spans") > 0).select("at", "spans")
+    mixed = held.join(spans, "at")
     for_pass = lambda p: F.filter("spans", lambda s: s["times"] >= p)
     passes = F.filter(F.array(F.lit(1), F.lit(2)), lambda p: F.exists("spans", lambda s: s["times"] >= p))
     each = mixed.withColumn("pass", F.explode(passes)).withColumn("mine", for_pass(F.col("pass")))
@@ -233,6 +222,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
 
 
 _NAME = "coalesce('s' || source, 'null')"
+_OWN = "coalesce(doc_id::VARCHAR, 'null') || '|' || size"
 _SQL = f"""
 WITH d AS (
   SELECT doc_id, source, {_NAME} AS key,
@@ -256,29 +246,31 @@ sw AS (SELECT key, count(*) AS seats FROM (
          SELECT key, row_number() OVER (ORDER BY q DESC, k, key) AS r FROM sq)
        WHERE r <= (SELECT round(sum(votes)) FROM s4) GROUP BY key),
 p AS (SELECT d.*, s4.total, s4.target, s4.block, coalesce(sw.seats, 0) AS seats,
-        ('0x' || substr(md5('{SEED}|shard|' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT
-          % ceil(sqrt(n))::BIGINT AS shard,
-        md5('{SEED}|order|' || coalesce(doc_id::VARCHAR, 'null')) AS place
+        ('0x' || substr(md5('{SEED}|shard|' || {_OWN}), 1, 8))::BIGINT % ceil(sqrt(n))::BIGINT AS shard,
+        md5('{SEED}|order|' || {_OWN}) AS place
       FROM d JOIN s4 USING (key) LEFT JOIN sw USING (key)),
 l AS (SELECT *, (sum(size) OVER (PARTITION BY key, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT
         AS first FROM p),
 h AS (SELECT key, shard, sum(size)::BIGINT AS words, any_value(block) AS block, any_value(seats) AS seats
       FROM l GROUP BY key, shard HAVING sum(size) > 0),
-h1 AS (SELECT *, greatest(1, round(words / block))::BIGINT AS nb FROM h),
-hq AS (SELECT key, shard, seats, words::DOUBLE / (2 * k + 1) AS q, k
+-- the shards of a source in one line, and the blocks that begin in each
+h0 AS (SELECT *, (sum(words) OVER (PARTITION BY key ORDER BY shard ROWS UNBOUNDED PRECEDING) - words)::BIGINT AS before,
+         (sum(words) OVER (PARTITION BY key))::BIGINT AS line FROM h),
+h1 AS (SELECT *, (before + block - 1) // block AS bf, (before + words + block - 1) // block - (before + block - 1) // block AS nb FROM h0),
+hq AS (SELECT key, shard, seats, nb::DOUBLE / (2 * k + 1) AS q, k
        FROM (SELECT *, unnest(range(2 * nb)) AS k FROM h1)),
 hw AS (SELECT key, shard, count(*) AS quota FROM (
          SELECT *, row_number() OVER (PARTITION BY key ORDER BY q DESC, k, shard) AS r FROM hq)
        WHERE r <= seats GROUP BY key, shard),
 h2 AS (SELECT h1.*, coalesce(quota, 0) AS quota FROM h1 LEFT JOIN hw USING (key, shard)),
-b AS (SELECT key, shard, j, (j * words // nb) AS b0, ((j + 1) * words // nb) AS b1,
+b AS (SELECT key, (bf + j) * block AS b0, least((bf + j + 1) * block, line) AS b1,
         quota // nb + CASE WHEN row_number() OVER (PARTITION BY key, shard
           ORDER BY md5('{SEED}|' || key || '|' || shard || '|' || j), j) <= quota % nb THEN 1 ELSE 0 END AS times
       FROM (SELECT *, unnest(range(nb)) AS j FROM h2)),
-t AS (SELECT l.doc_id, l.key, l.shard, l.first,
-        sum(greatest(0, least(l.first + l.size, b.b1) - greatest(l.first, b.b0)) * b.times)::BIGINT AS taken
-      FROM l JOIN b ON l.key = b.key AND l.shard = b.shard AND b.b0 < l.first + l.size AND b.b1 > l.first
-      WHERE l.size > 0 GROUP BY ALL)
+ls AS (SELECT l.*, h0.before + l.first AS start FROM l JOIN h0 USING (key, shard) WHERE l.size > 0),
+t AS (SELECT ls.doc_id, ls.key, ls.shard, ls.first,
+        sum((least(ls.start + ls.size, b.b1) - greatest(ls.start, b.b0)) * b.times)::BIGINT AS taken
+      FROM ls JOIN b ON ls.key = b.key AND b.b0 < ls.start + ls.size AND b.b1 > ls.start GROUP BY ALL)
 SELECT l.doc_id, l.size, l.total AS source_size, l.target, coalesce(t.taken, 0)::BIGINT AS taken
 FROM l LEFT JOIN t ON l.size > 0 AND l.doc_id IS NOT DISTINCT FROM t.doc_id AND l.key = t.key AND l.shard = t.shard
   AND l.first = t.first
