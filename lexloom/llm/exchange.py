@@ -23,10 +23,10 @@ DOCS_PER_GROUP = 512
 _LETTER = "bucket int, g bigint, load binary"
 
 
-def in_groups(docs: DataFrame, key: str, per_group: int = DOCS_PER_GROUP) -> tuple[DataFrame, int]:
-    """Add ``g``, the group of each row, and tell how many groups there are."""
+def in_groups(docs: DataFrame, *keys: str, per_group: int = DOCS_PER_GROUP) -> tuple[DataFrame, int]:
+    """Add ``g``, the group of each row by its keys, and tell how many groups there are."""
     groups = max(1, -(-docs.count() // per_group))
-    return docs.withColumn("g", F.pmod(F.xxhash64(key), F.lit(groups))), groups
+    return docs.withColumn("g", F.pmod(F.xxhash64(*keys), F.lit(groups))), groups
 
 
 def range_bits(groups: int) -> int:

@@ -6,7 +6,7 @@ A text's set is that of its distinct lower-cased five-word shingles, as 64-bit h
 2. Shingles of a set are ordered rare first. Of two sets that are similar enough, the first ``n - ceil(t n) + 1`` of
    each (its prefix) have one in common; shingles that occur once cannot be it. A document whose prefix has
    only those is done, which is most of them.
-3. Equal sets are one class from here on. The prefix shingles of a class are its postings; the classes of a posting,
+3. Equal sets are one class from here on, with a number of its own, as an id may stand before several texts. The prefix shingles of a class are its postings; the classes of a posting,
    in the order of size, are chained where the length filter lets neighbours pass. Chains connect all pairs that may link,
    in as many rows as there are postings, never in pairs.
 4. Connected chains make blocks. In a block, pairs pass the length filter, the suffix filter (bitmaps whose
@@ -17,7 +17,8 @@ A text's set is that of its distinct lower-cased five-word shingles, as 64-bit h
    span its trees, which join to components.
 
 Null and empty texts have no shingles and link with nothing; texts of fewer words than ``width`` have their whole sequence
-as the only one. Rows without an id are returned unlinked. Hashes stand for shingles: two shingles share one with
+as the only one. Rows without an id are returned unlinked. Rows that share an id are rows of their own: each has the links and the
+component of its own text. Ids are integers; others end with an error. An empty table gives an empty result. Hashes stand for shingles: two shingles share one with
 probability 2^-64.
 """
 
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import exchange as X
@@ -87,7 +88,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-_HEADS = "id bigint, n_shingles bigint, set_hash binary, skip int, prefix array<bigint>, whole binary"
+_HEADS = "id bigint, digest binary, n_shingles bigint, set_hash binary, skip int, prefix array<bigint>, whole binary"
 
 
 def _heads(how: Join, counts: X.Counts):
@@ -112,15 +113,19 @@ def _heads(how: Join, counts: X.Counts):
             out["whole"].append(whole if shared else None)
         kinds = {"n_shingles": pa.int64(), "set_hash": pa.binary(), "skip": pa.int32(),
                  "prefix": pa.list_(pa.int64()), "whole": pa.binary()}
-        return pa.table({"id": group["id"].cast(pa.int64())} | {c: pa.array(out[c], t) for c, t in kinds.items()})
+        return pa.table({"id": group["id"].cast(pa.int64()), "digest": group["digest"]} | {c: pa.array(out[c], t) for c, t in kinds.items()})
 
     return use
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def heads(docs: DataFrame, key: str, how: Join) -> DataFrame:
     """For each document its set's size and hash, and, where a partner is possible, the shared prefix and the whole set."""
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    rows, groups = X.in_groups(rows, "id", how.docs_per_group)
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
+    rows, groups = X.in_groups(rows, "id", "digest", per_group=how.docs_per_group)
     counts = X.Counts(X.range_bits(groups))
 
     def question(group: pa.Table) -> list[tuple[int, bytes]]:
@@ -260,16 +265,19 @@ def _link(how: Join):
     return run
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> DataFrame:  # noqa: B008
-    """``key``, ``n_shingles``, ``component_id`` (smallest key reachable by links), ``n_links`` (other rows linked directly)."""
-    all_heads = materialise(heads(docs, key, how), "heads")
-    classes = all_heads.where("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("set_hash").agg(
-        F.min("id").alias("cls"), F.count("*").alias("copies")
+def classes_of(all_heads: DataFrame) -> DataFrame:
+    """A row for each set that some text has: its number, smallest id and how many rows have it."""
+    found = all_heads.where("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("set_hash").agg(
+        F.min("id").alias("least"), F.count("*").alias("copies")
     )
-    classes = materialise(classes, "classes")
-    able = all_heads.where("prefix IS NOT NULL AND id IS NOT NULL")
-    lead = able.join(classes.withColumnRenamed("cls", "id"), ["set_hash", "id"]).dropDuplicates(["id"])
-    lead = materialise(lead.select(F.col("id").alias("cls"), "copies", "n_shingles", "skip", "prefix", "whole"), "leaders")
+    return materialise(found.withColumn("cls", F.monotonically_increasing_id()), "classes")
+
+
+def linked_classes(all_heads: DataFrame, classes: DataFrame, how: Join) -> DataFrame:
+    """``set_hash``, ``tree`` (number of its component), ``component`` (smallest id there), ``links`` (other rows linked) of every class."""
+    able = all_heads.where("prefix IS NOT NULL AND id IS NOT NULL").withColumnRenamed("id", "least")
+    lead = able.join(classes, ["set_hash", "least"]).dropDuplicates(["cls"])
+    lead = materialise(lead.select("cls", "copies", "n_shingles", "skip", "prefix", "whole"), "leaders")
 
     postings = lead.select("cls", "n_shingles", F.explode("prefix").alias("gram"))
     slots = max(1, lead.count() // 1000)
@@ -286,27 +294,50 @@ def near_copies(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> Dat
     tiles = tiles.join(lead, "cls")
     found = tiles.groupBy("slot", "part_a", "part_b").applyInArrow(_link(how), "a bigint, b bigint, links bigint")
     found = materialise(found, "links")
-    joined = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "cls")
+    trees = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("id").alias("cls"), F.col("component_id").alias("tree"))
     linked = found.where("links IS NOT NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
 
-    of_class = classes.join(joined, "cls", "left").join(linked, "cls", "left").select(
-        "set_hash", F.coalesce("component_id", "cls").alias("component"),
+    in_tree = classes.join(trees, "cls")
+    least = in_tree.groupBy("tree").agg(F.min("least").alias("component"))
+    named = trees.join(least, "tree")
+    return classes.join(named, "cls", "left").join(linked, "cls", "left").select(
+        "set_hash", "least", F.coalesce("tree", "cls").alias("tree"), F.coalesce("component", "least").alias("component"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
     )
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> DataFrame:  # noqa: B008
+    """``key``, ``n_shingles``, ``component_id`` (smallest key reachable by links), ``n_links`` (other rows linked directly)."""
+    all_heads = materialise(heads(docs, key, how), "heads")
+    of_class = linked_classes(all_heads, classes_of(all_heads), how)
     kind = docs.schema[key].dataType
     named = all_heads.where("id IS NOT NULL").select("id", "n_shingles", "set_hash")
     nameless = all_heads.where("id IS NULL").select("id", "n_shingles", F.col("id").alias("component"), F.lit(0).cast("bigint").alias("links"))
     out = named.join(of_class, "set_hash", "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links")
     ).unionByName(nameless)
-    return out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.col("component").alias("component_id"), F.col("links").alias("n_links"))
+    return out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.col("component").cast(kind).alias("component_id"), F.col("links").alias("n_links"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> DataFrame:  # noqa: B008
-    """One document of each component (the one that names it), with the columns it came with."""
-    found = near_copies(docs, key, how).where(F.col(key).isNull() | (F.col(key) == F.col("component_id")))
-    found = found.select(F.col(key).alias("_kept")).dropDuplicates(["_kept"])
-    return docs.join(found, docs[key].eqNullSafe(found["_kept"]), "left_semi")
+    """One document of each component, with the columns it came with.
+
+    It is the one with the smallest id, and of rows that share that id the one whose text has the smallest digest. Of rows equal
+    in id and text one stays, also where the text is empty; rows without an id all stay.
+    """
+    all_heads = materialise(heads(docs, key, how), "heads")
+    of_class = linked_classes(all_heads, classes_of(all_heads), how)
+    first = of_class.where("least = component").select("set_hash", "tree", F.col("least").alias("id"))
+    rows = all_heads.where("id IS NOT NULL").groupBy("id", "digest", "set_hash").agg(F.count("*").alias("n"))
+    leads = rows.join(first, ["set_hash", "id"]).groupBy("tree").agg(F.min(F.struct("id", "digest", "n")).alias("lead")).select("lead.*")
+    alone = rows.where("set_hash IS NULL").select("id", "digest", "n")
+    kept = materialise(leads.unionByName(alone), "kept").withColumnsRenamed({"id": "_kept_id", "digest": "_kept_digest", "n": "_kept_n"})
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    own = own.select("own", F.col(f"own.`{key}`").cast("bigint").alias("_id"), F.unhex(F.md5(F.coalesce(F.col("own.text").cast("string"), F.lit("")))).alias("_digest"))
+    met = own.join(kept, (F.col("_id") == F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")))
+    once = met.where("_kept_n = 1").select("own")
+    repeated = met.where("_kept_n > 1").groupBy("_id", "_digest").agg(F.first("own").alias("own")).select("own")
+    return once.unionByName(repeated).unionByName(own.where("_id IS NULL").select("own")).select("own.*")
 
 
 @query("op7_ngram_join")
