@@ -140,8 +140,10 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     sound = F.col("id").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     plain = F.transform("vector", lambda x: x + F.lit(0.0))  # -0.0 and 0.0 are one value
     held = held.withColumn("vector", F.when(sound, plain))
-    classes = held.where("vector IS NOT NULL").groupBy("vector").agg(F.min("id").alias("cls"), F.count("*").alias("copies"))
-    classes = materialise(classes.withColumn("hashes", _hashes(how)("vector")), "classes")
+    # A class has a number of its own, as an id may stand before several vectors.
+    classes = held.where("vector IS NOT NULL").groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = classes.select("*", F.monotonically_increasing_id().alias("cls"), _hashes(how)("vector").alias("hashes"))
+    classes = materialise(classes, "classes")
 
     placed = classes.select(
         "*", F.size("vector").alias("width"), F.posexplode("hashes").alias("table", "code")
@@ -160,12 +162,14 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     )
     found = materialise(found, "links")
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    groups = components(found.where("to IS NOT NULL").select(F.col("cls").alias("a"), F.col("to").alias("b")))
+    trees = components(found.where("to IS NOT NULL").select(F.col("cls").alias("a"), F.col("to").alias("b")))
+    trees = trees.select(F.col("id").alias("cls"), F.col("component_id").alias("tree"))
+    least = classes.select("cls", "least").join(trees, "cls").groupBy("tree").agg(F.min("least").alias("component"))
     verdict = (
-        classes.select("cls", "copies", "vector").join(counts, "cls", "left")
-        .join(groups.withColumnRenamed("id", "cls"), "cls", "left")
+        classes.select("cls", "least", "copies", "vector").join(counts, "cls", "left")
+        .join(trees.join(least, "tree"), "cls", "left")
         .select("vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-                F.coalesce("component_id", "cls").alias("component"))
+                F.coalesce("component", "least").alias("component"))
     )
     component = F.coalesce("component", "id")
     return held.join(verdict, "vector", "left").select(

@@ -76,3 +76,11 @@ def test_components_of_long_chains(spark):
     got = {r.id: r.component_id for r in components(df).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(80)}
     assert components(df.where("false")).count() == 0
+
+
+def test_ids_that_repeat(spark):
+    """Rows that share an id are vectors of their own."""
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [1.0, 0.01]), (9, [0.01, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in V.near_vectors(df).collect())
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 1, 5, False)]
