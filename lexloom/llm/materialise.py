@@ -34,6 +34,10 @@ from lexloom.session import shared_dir
 from lexloom.sources.store import materialise
 
 
+#: Shards that a task reads back.
+SHARDS_READ = 4
+
+
 @dataclass(frozen=True)
 class Layout:
     """Ids in a sequence, sequences in a shard, the key of the order, how ids are stored.
@@ -106,6 +110,8 @@ def sequences(docs: DataFrame, how: Layout) -> DataFrame:
         coder, rest, packer = encoder(how.path), np.zeros(0, np.uint32), zstandard.ZstdCompressor()
 
         def emit(ids: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
+            if ids.size and int(ids.max()) > np.iinfo(how.id_type).max:
+                raise ValueError(f"id {int(ids.max())} does not fit {how.id_type}")
             return pa.RecordBatch.from_pydict({
                 "task": pa.array([task], pa.int32()), "no": pa.array([no], pa.int64()), "n": pa.array([len(sizes)], pa.int64()),
                 "sizes": [np.array(sizes, "<u4").tobytes()], "load": [packer.compress(ids.astype(how.id_type).tobytes())],
@@ -231,7 +237,9 @@ def read_back(shards: DataFrame, root: str, total: int, how: Layout) -> DataFram
                 columns = [slot, order.numbers(slot), np.full(len(slot), shard), (slot - begin) * how.stride, size, check]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return shards.repartition("shard").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    # The rows only name the shards, so their bytes would put all of them into one task: a few shards make a task.
+    tasks = -(-shards.count() // SHARDS_READ) or 1
+    return shards.repartition(tasks, "shard").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 @query("op6_training_order")

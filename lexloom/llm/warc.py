@@ -35,6 +35,9 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 LENGTH_HEADER = "X-Payload-Length"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Frames that a task reads back.
+FRAMES_READ = 16
+
 
 @dataclass(frozen=True)
 class Bundles:
@@ -238,7 +241,9 @@ def read_bundles(bundles: DataFrame, root: str) -> DataFrame:
                 yield _batch([_described(*x, row["bundle"], row["frame"]) for x in parse(data)], _FOUND)
 
     frames = bundles.select("bundle").distinct().mapInArrow(tables, "bundle string, frame int, at bigint, packed bigint, full bigint")
-    spread = frames.repartition("bundle", "frame")
+    frames = materialise(frames, "frames")
+    # The rows only name the frames, so their bytes would put all of them into one task: some frames make a task.
+    spread = frames.repartition(-(-frames.count() // FRAMES_READ) or 1, "bundle", "frame")
     return spread.mapInArrow(
         records, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
         "bundle string, frame int, record_offset bigint"

@@ -58,3 +58,13 @@ def test_empty_table(spark):
     cut = M.materialise(M.sequences(spark.createDataFrame([], "text string"), how), "sequences")
     dealt, total = M.deal(cut, how)
     assert total == 0 and M.read_back(M.write_shards(dealt, root, how), root, total, how).count() == 0
+
+
+def test_reading_back_is_spread_and_wide_ids_are_refused(spark):
+    how, root = M.Layout(length=8, per_shard=2, per_block=4), shared_dir(spark, "training")
+    docs = spark.range(300).selectExpr("concat('some words ', id, ' and more of them') AS text")
+    dealt, total = M.deal(M.materialise(M.sequences(docs, how), "sequences"), how)
+    found = M.read_back(M.write_shards(dealt, root, how), root, total, how)
+    assert total > 200 and found.rdd.getNumPartitions() >= total // 2 // M.SHARDS_READ
+    with pytest.raises(Exception, match="does not fit"):
+        M.sequences(docs, M.Layout(id_type="<u1")).count()

@@ -61,3 +61,13 @@ def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     root = shared_dir(spark, "warc")
     assert W.read_bundles(W.write_bundles(W.with_types(pages, 100), root), root).count() == 0
+
+
+def test_reading_back_is_spread(spark):
+    """Tasks in proportion to frames, however few bytes name them."""
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id as string), 200) AS html")
+    how = W.Bundles(frame_bytes=1000)
+    root = shared_dir(spark, "warc")
+    found = W.read_bundles(W.write_bundles(W.with_types(pages, 100), root, how), root)
+    frames = found.select("bundle", "frame").distinct().count()
+    assert frames > 100 and found.rdd.getNumPartitions() >= frames // W.FRAMES_READ
