@@ -196,7 +196,7 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     rules = default_rules()
     found = fit(docs.select(measures("text").alias("m")).select("m.*"), rules)
-    held = docs.select(F.struct(*docs.columns).alias("row"), measures("text").alias("m"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measures("text").alias("m"))
     return judge(held.select("row", "m.*"), found, rules, threshold).where("kept").select("row.*")
 
 

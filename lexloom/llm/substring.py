@@ -215,7 +215,7 @@ def without_repeats(
         F.col(key).alias("id"), F.col("text").cast("string").alias("text"),
         *[F.col(f"`{c}`").alias(f"other{i}") for i, c in enumerate(others)],
     )
-    rows, groups = X.in_groups(rows, "id", how.docs_per_group)
+    rows, groups = X.in_groups(rows, "id", "text", per_group=how.docs_per_group)
     counts = X.Counts(X.range_bits(groups))
     far = 1 << counts.bits  # the second answers have their buckets above the first
 
@@ -268,12 +268,13 @@ def without_repeats(
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", how: Repeats = Repeats()) -> DataFrame:  # noqa: B008
     """The documents with repeated passages taken out of their texts; texts without one stay as they are."""
-    clash = [c for c in docs.columns if c in ("kept_text", "n_words", "n_removed")]
-    found = without_repeats(docs.withColumnsRenamed({c: f"own_{c}" for c in clash}), key, how, leave_whole=True)
-    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint"))
-    new = {"text": F.col("kept_text")} | {c: F.col(f"own_{c}") for c in clash}
-    new |= {"n_chars": F.coalesce(length, F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    names = {c: f"column{i}" for i, c in enumerate(docs.columns) if c not in (key, "text")}
+    own = docs.select(F.col(f"`{key}`"), "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    found = without_repeats(own, key, how, leave_whole=True)
+    new = {key: F.col(f"`{key}`"), "text": F.col("kept_text")} | {c: F.col(n) for c, n in names.items()}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(new["n_chars"])
+    return found.select(*[new[c].alias(c) for c in docs.columns])
 
 
 @query("op3_substring_repeats")

@@ -66,3 +66,8 @@ def test_stage_keeps_columns_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert Q.keep_good(rows(spark).where("false")).count() == 0
+
+
+def test_stage_takes_columns_of_any_name(spark):
+    docs = rows(spark).withColumn("a.b", Q.F.lit(1))
+    assert Q.keep_good(docs).columns == docs.columns

@@ -69,3 +69,9 @@ def test_stage_keeps_columns_and_whole_texts(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, g long")
     assert S.cut_repeats(docs).count() == 0
+
+
+def test_stage_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", 3)], ["doc_id", "text", "kept_text", "own_kept_text", "a.b"])
+    assert [tuple(r) for r in S.cut_repeats(docs).collect()] == [(1, "a b", "x", "y", 3)]
+    assert S.cut_repeats(docs).columns == docs.columns
