@@ -25,10 +25,11 @@ from lexloom.session import shared_dir
 
 #: Rows that go to a Python worker at once. Documents are long; the usual 10,000 would be tens of megabytes on both sides.
 BATCH_ROWS = "2000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def lean(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set(_BATCH, BATCH_ROWS)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -72,9 +73,13 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    before = spark.conf.get(_BATCH)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    try:
+        for name, stage in STAGES:
+            path = shared_dir(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return docs
