@@ -14,8 +14,7 @@ from lexloom.operators.ordering import number_within
 from lexloom.operators.sessions import route
 from lexloom.session import shared_dir
 from lexloom.sources import store
-from lexloom.streaming import strength as stream
-from lexloom.streaming import windows
+from lexloom.streaming import keyed, requeue, windows
 
 
 def _flat(strength):
@@ -187,16 +186,24 @@ _RESULT = """results AS (SELECT user_id, batch, count(*) AS asked, count(*) FILT
     FROM batch_answers WHERE is_unit_test GROUP BY user_id, batch)"""
 
 
-def _batches(spark, sf):
+#: No batch of 20 answers takes longer.
+_SESSION = "60 days"
+
+
+def _batch_log(spark, sf):
     e = B.table(spark, sf, "events")
     numbered = number_within(e, ["user_id"], ["ts", "event_id"], F.unix_date(F.to_date("ts")))
-    batch = F.floor((F.col("n") - 1) / 20)
     return numbered.select(
-        "user_id", batch.alias("batch"), (F.col("value") >= 9).alias("is_correct"),
-        F.get_json_object("props", "$.k").cast("int").alias("question_id"), (batch % 2 == 0).alias("is_unit_test"),
+        "user_id", F.floor((F.col("n") - 1) / 20).alias("session"), (F.col("value") >= 9).alias("is_correct"),
+        F.get_json_object("props", "$.k").cast("int").alias("question_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
     )
 
 
+def _batches(spark, sf):
+    rows = _batch_log(spark, sf)
+    return rows.select("user_id", F.col("session").alias("batch"), "is_correct", "question_id", (F.col("session") % 2 == 0).alias("is_unit_test"))
+
+
 def _results(spark, sf):
     return P.test_result(_batches(spark, sf).where("is_unit_test").drop("is_unit_test"), ["user_id", "batch"])
 
@@ -274,28 +281,39 @@ def csv_set(spark, sf):
 
 
 # ------------------------------------------------------------ streams
-N_FILES = 6
+N_SLICES = 6
+
+
+def _as_stream(spark, rows, end=None):
+    """Rows with ``ts`` as a stream in slices of time, and the delay within which a slice's files come in any order.
 
+    With ``end``, a row of no one (its numbers are -1) comes last, so much later that all windows close.
+    """
+    days = rows.agg(F.min(F.unix_date(F.to_date("ts"))).alias("a"), F.max(F.unix_date(F.to_date("ts"))).alias("b")).first()
+    step = (days["b"] - days["a"]) // N_SLICES + 1
+    # One pass over the log, in order of time; a slice is written by as many tasks as it needs.
+    staged, folder = shared_dir(spark, "slices"), shared_dir(spark, "events")
+    sliced = rows.withColumn("slice", F.floor((F.unix_date(F.to_date("ts")) - days["a"]) / step).cast("int"))
+    sliced.repartitionByRange("slice", "ts").write.partitionBy("slice").parquet(staged)
+    written = spark.read.schema(sliced.schema).parquet(staged)
+    for i in range(N_SLICES):
+        written.where(F.col("slice") == i).drop("slice").write.mode("append").parquet(folder)
+    if end:
+        after = rows.agg((F.max("ts") + F.expr(f"INTERVAL {end}") + F.expr(f"INTERVAL {2 * step + 2} DAYS")).alias("ts"))
+        after.select(*[F.col(c) if c == "ts" else F.lit(-1 if t in ("int", "bigint") else None).cast(t).alias(c) for c, t in rows.dtypes]).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(folder), f"{step + 1} days"
 
-def _event_stream(spark, sf):
-    """The answers as a stream of several micro-batches: files by time, one for each batch."""
-    folder = shared_dir(spark, "events")
-    answers = B.answers(spark, sf).drop("unit", "question_id", "day")
-    numbered = answers.withColumn("part", F.unix_date(F.to_date("ts")))
-    days = numbered.agg(F.min("part").alias("a"), F.max("part").alias("b")).first()
-    step = (days["b"] - days["a"]) // N_FILES + 1
-    for i in range(N_FILES):
-        low = days["a"] + i * step
-        mine = numbered.where((F.col("part") >= low) & (F.col("part") < low + step)).drop("part")
-        mine.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+def _event_stream(spark, sf, end=None):
+    return _as_stream(spark, B.answers(spark, sf).drop("unit", "question_id", "day"), end)
 
 
 @query("stream_strength", sql(LEARNER, _FLAT))
 def stream_strength(spark, sf):
     home = shared_dir(spark, "strength")
-    stream.append_steps(_event_stream(spark, sf), f"{home}/log", f"{home}/progress", fold_every=4).awaitTermination()
-    return _flat(stream.current_strength(spark, f"{home}/log", B.seeds(spark, sf)))
+    answers, late = _event_stream(spark, sf)
+    keyed.keep_strength(answers, f"{home}/log", f"{home}/progress", late=late, fold_every=4).awaitTermination()
+    return _flat(keyed.kept_strength(spark, f"{home}/log", B.seeds(spark, sf)))
 
 
 def _window_rows(rows):
@@ -320,8 +338,8 @@ def practice_windows(spark, sf):
 @query("stream_windows", ORACLE["practice_windows"])
 def stream_windows(spark, sf):
     home = shared_dir(spark, "windows")
-    stream_of = _event_stream(spark, sf)
-    windows.append_intervals(stream_of, "6 hours", f"{home}/log", f"{home}/progress", fold_every=4).awaitTermination()
+    answers, late = _event_stream(spark, sf)
+    windows.append_intervals(answers, "6 hours", f"{home}/log", f"{home}/progress", late, fold_every=4).awaitTermination()
     return _window_rows(windows.current_intervals(spark, f"{home}/log"))
 
 
@@ -339,3 +357,32 @@ def stream_windows(spark, sf):
 )
 def practice_sittings(spark, sf):
     return _window_rows(windows.per_sitting(B.answers(spark, sf), "12 hours"))
+
+
+@query("stream_sittings", ORACLE["practice_sittings"])
+def stream_sittings(spark, sf):
+    home = shared_dir(spark, "sittings")
+    answers, late = _event_stream(spark, sf, end="12 hours")
+    windows.append_sittings(answers, "12 hours", f"{home}/log", f"{home}/progress", late, fold_every=4).awaitTermination()
+    return _window_rows(windows.closed_sittings(spark, f"{home}/log").where("user_id >= 0"))
+
+
+@query(
+    "stream_requeue",
+    sql(
+        [],
+        """SELECT question_id, count(DISTINCT (user_id, batch)) AS sessions, count(*) AS attempts,
+                  count(*) - count(DISTINCT (user_id, batch)) AS retries, count(*) FILTER (NOT is_correct) AS wrong,
+                  count(*) FILTER (after_wrong) AS requeued
+           FROM (SELECT *, bool_or(NOT is_correct) OVER (PARTITION BY user_id, batch, question_id ORDER BY ts, event_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_wrong
+                 FROM (SELECT *, value >= 9 AS is_correct, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS question_id FROM batches))
+           GROUP BY question_id""",
+        _BATCHES,
+    ),
+)
+def stream_requeue(spark, sf):
+    home = shared_dir(spark, "requeue")
+    answers, late = _as_stream(spark, _batch_log(spark, sf), end=_SESSION)
+    requeue.append_pairs(answers, f"{home}/log", f"{home}/progress", _SESSION, late, fold_every=4).awaitTermination()
+    return requeue.requeue_counts(requeue.read_pairs(spark, f"{home}/log").where("user_id >= 0")).withColumn("question_id", F.col("question_id").cast("int"))

@@ -177,6 +177,22 @@ def _moved(rows: DataFrame) -> DataFrame:
     )
 
 
+def compose(chain: Column, rules: C.Rules = C.RULES) -> Column:
+    """A chain of steps, in order, as one: ``expo``, ``lo``, ``hi``."""
+    most = most_expo(rules.stability_floor, rules.stability_cap)
+    start = F.struct(F.lit(0).alias("expo"), F.lit(rules.stability_floor).alias("lo"), F.lit(rules.stability_cap).alias("hi"))
+
+    def then(a: Column, b: Column) -> Column:
+        scale = F.pow(F.lit(2.0), b["expo"])
+        return F.struct(
+            F.greatest(F.least(a["expo"] + b["expo"], F.lit(most)), F.lit(-most)).alias("expo"),
+            F.least(F.greatest(scale * a["lo"], b["lo"]), b["hi"]).alias("lo"),
+            F.least(F.greatest(scale * a["hi"], b["lo"]), b["hi"]).alias("hi"),
+        )
+
+    return F.aggregate(chain, start, then)
+
+
 STEP_ORDER = ("first_ts", "first_seq", "first_ok")
 
 

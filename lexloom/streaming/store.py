@@ -45,10 +45,11 @@ def read(spark: SparkSession, root: str, schema: str, upto: int | None = None) -
 
 
 def fold(spark: SparkSession, root: str, schema: str, batch_id: int, together: Fold) -> None:
-    """Put everything up to a batch into one base and delete what it replaces."""
+    """Put everything up to a batch into one base, and delete what the base before it had replaced."""
+    before = max((b for b in _folders(spark, f"{root}/base") if b < batch_id), default=-1)
     together(read(spark, root, schema, batch_id)).write.mode("overwrite").parquet(f"{root}/base/upto={batch_id}")
-    old = [f"{root}/tail/batch_id={b}" for b in _folders(spark, f"{root}/tail") if b <= batch_id]
-    old += [f"{root}/base/upto={b}" for b in _folders(spark, f"{root}/base") if b < batch_id]
+    old = [f"{root}/tail/batch_id={b}" for b in _folders(spark, f"{root}/tail") if b <= before]
+    old += [f"{root}/base/upto={b}" for b in _folders(spark, f"{root}/base") if b < before]
     for path in old:
         fs, at = _path(spark, path)
         fs.delete(at, True)

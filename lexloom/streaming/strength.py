@@ -1,4 +1,4 @@
-"""The learner model over a stream of answers.
+"""The learner model over a stream of answers, for logs in which single keys are very hot (see ``keyed`` for the usual way).
 
 Each micro-batch is reduced to steps (see ``operators.strength``), and every few batches the steps of a key become one, so
 the store holds about one row for each key that was answered, however long the stream runs. Batch and stream share the
@@ -8,12 +8,12 @@ batch, and none is dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexloom import config as C
-from lexloom.operators.strength import STEP_ORDER, STEP_SCHEMA, answer_steps, apply_steps, most_expo
+from lexloom.operators.strength import STEP_ORDER, STEP_SCHEMA, answer_steps, apply_steps, compose
 from lexloom.streaming import store
 
 SEEN_SCHEMA = "last_ts timestamp, answers long, late long"
@@ -59,20 +59,7 @@ def current_strength(spark: SparkSession, log: str, seeds: DataFrame) -> DataFra
 
 def compact(steps: DataFrame, rules: C.Rules = C.RULES) -> DataFrame:
     """All steps of a key as one, to replace old batches of the log."""
-    most = most_expo(rules.stability_floor, rules.stability_cap)
     chain = F.array_sort(F.collect_list(F.struct("batch_id", "first_ts", "first_seq", "first_ok", "expo", "lo", "hi")))
-    start = F.struct(
-        F.lit(0).alias("expo"), F.lit(rules.stability_floor).alias("lo"), F.lit(rules.stability_cap).alias("hi")
-    )
-
-    def then(a: Column, b: Column) -> Column:
-        scale = F.pow(F.lit(2.0), b["expo"])
-        return F.struct(
-            F.greatest(F.least(a["expo"] + b["expo"], F.lit(most)), F.lit(-most)).alias("expo"),
-            F.least(F.greatest(scale * a["lo"], b["lo"]), b["hi"]).alias("lo"),
-            F.least(F.greatest(scale * a["hi"], b["lo"]), b["hi"]).alias("hi"),
-        )
-
     merged = steps.groupBy("user_id", "tag").agg(
         chain.alias("chain"),
         F.min("batch_id").alias("batch_id"),
@@ -83,6 +70,6 @@ def compact(steps: DataFrame, rules: C.Rules = C.RULES) -> DataFrame:
         F.sum("n").alias("n"),
         F.sum("n_correct").alias("n_correct"),
     )
-    return merged.withColumn("s", F.aggregate("chain", start, then)).select(
+    return merged.withColumn("s", compose(F.col("chain"), rules)).select(
         "user_id", "tag", "first_ts", "first_seq", "first_ok", "last_ts", "n", "n_correct", "s.expo", "s.lo", "s.hi", "batch_id"
     )

@@ -56,3 +56,25 @@ def append_intervals(
 def current_intervals(spark: SparkSession, log: str) -> DataFrame:
     """The counts after all batches."""
     return _latest(store.read(spark, log, ACTIVITY_SCHEMA)).drop("batch_id")
+
+
+def append_sittings(
+    answers: DataFrame, gap: str, log: str, checkpoint: str, late: str = "1 hour", fold_every: int = 8, **trigger
+) -> StreamingQuery:
+    """Start writing the sittings of a stream, each once it is closed.
+
+    Open sittings are Spark's keyed state: an answer between two of them makes them one. A sitting is closed, and leaves the state,
+    when the newest answer is ``late`` past its end; answers that come later than that are dropped.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.write_tail(batch, log, batch_id)
+        if (batch_id + 1) % fold_every == 0:
+            store.fold(batch.sparkSession, log, ACTIVITY_SCHEMA, batch_id, lambda rows: rows)
+
+    writer = per_sitting(answers, gap, late).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def closed_sittings(spark: SparkSession, log: str) -> DataFrame:
+    """All sittings that are closed after all batches."""
+    return store.read(spark, log, ACTIVITY_SCHEMA).drop("batch_id")
