@@ -258,6 +258,31 @@ def romanise(spark, sf):
     return table.select("text", F.md5("reading").alias("reading"))
 
 
+@query(
+    "homophone_classes",
+    sql(
+        ["letters"],
+        """SELECT e.sound, e.tones, e.n_texts, e.n_rows, e.first_text, CAST(sum(t.n_rows) AS BIGINT) AS n_accepted
+           FROM forms e JOIN forms t ON t.sound = e.sound
+             AND len(list_filter(range(1, length(e.tones) + 1), lambda i: e.tones[i] = '5' OR e.tones[i] = t.tones[i])) = length(e.tones)
+           GROUP BY ALL""",
+        """spoken_words AS (SELECT p_name AS text FROM part UNION ALL
+             SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) FROM conversations)""",
+        "wanted AS (SELECT DISTINCT text FROM spoken_words)",
+        SQL_ROMAN,
+        f"""forms AS (SELECT array_to_string(list_transform(s, lambda x: left(x, length(x) - 1)), ' ') AS sound,
+             array_to_string(list_transform(s, lambda x: right(x, 1)), '') AS tones,
+             count(*) AS n_texts, CAST(sum(n) AS BIGINT) AS n_rows, min(text) AS first_text
+           FROM (SELECT text, {sql_sandhi('s0')} AS s FROM (SELECT text, {sql_syllables('reading')} AS s0 FROM romanised))
+             JOIN (SELECT text, count(*) AS n FROM spoken_words GROUP BY text) USING (text) GROUP BY ALL)""",
+    ),
+)
+def homophone_classes(spark, sf):
+    names = B.table(spark, sf, "part").select(F.col("p_name").alias("text"))
+    words = unnest(B.table(spark, sf, "conversations"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), [], "text")
+    return grading.homophone_classes(names.unionByName(words), B.letter_readings(spark, sf), overrides=OVERRIDES)
+
+
 _VOWELS = "aeiouvü" + C.TONE_MARKED
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom import config as C
-from lexloom.functions.romanise import with_tones_match
+from lexloom.functions.romanise import sandhi_syllables, split_syllables, with_tones_match
 from lexloom.functions.rows import unnest
 from lexloom.functions.scalars import content_key
 from lexloom.functions.text import hallucination_flag, has_script, strip, variant_match
@@ -27,15 +27,17 @@ def readings_of(texts: DataFrame, readings: DataFrame, overrides: dict[str, str]
     ``readings`` (char, reading) is no larger than the script, so it is
     broadcast when small; a character without a reading stands for itself.
     """
-    bare = texts.select("text").distinct().withColumn("bare", F.regexp_replace("text", _PUNCT, ""))
-    chars = unnest(bare, F.regexp_extract_all("bare", F.lit("(?s)."), F.lit(0)), ["text"], "char", at="at")
+    # A text is named by its digest where its characters are rows.
+    named = texts.select("text", F.md5("text").alias("_id")).where("text IS NOT NULL")
+    bare = named.groupBy("_id").agg(F.first("text").alias("text")).withColumn("bare", F.regexp_replace("text", _PUNCT, ""))
+    chars = unnest(bare, F.regexp_extract_all("bare", F.lit("(?s)."), F.lit(0)), ["_id"], "char", at="at")
     read = chars.join(readings.select("char", "reading"), "char", "left").select(
-        "text", "at", F.coalesce(_override(F.col("char"), overrides), "reading", "char").alias("r")
+        "_id", "at", F.coalesce(_override(F.col("char"), overrides), "reading", "char").alias("r")
     )
-    joined = read.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("at", "r"))).alias("rs"))
+    joined = read.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("at", "r"))).alias("rs"))
     spelled = F.array_join(F.transform("rs", lambda x: x["r"]), "")
     whole = _override(F.col("bare"), overrides)
-    return bare.join(joined, "text", "left").select(
+    return bare.join(joined, "_id", "left").select(
         "text", F.when(whole.isNotNull(), whole).otherwise(F.lower(F.coalesce(spelled, F.lit("")))).alias("reading")
     )
 
@@ -58,6 +60,38 @@ def homophone_match(rows: DataFrame, readings: DataFrame, given: str = "given",
     return heard.withColumn("same_sound", F.coalesce(some & F.col("same_sound"), F.lit(False)))
 
 
+def sound_forms(texts: DataFrame, readings: DataFrame, **kw) -> DataFrame:
+    """How texts sound: ``sound`` (the syllables, tones aside) and ``tones`` as spoken, with the texts that sound so.
+
+    A row for each form, with ``n_texts``, ``n_rows`` and ``first_text``. Blank texts have no sound.
+    """
+    counted = texts.where(strip(F.col("text")) != "").groupBy("text").agg(F.count("*").alias("n"))
+    read = readings_of(counted, readings, **kw).withColumn("_s", split_syllables(F.col("reading")))
+    heard = read.withColumn("_s", sandhi_syllables(F.col("_s"))).select(
+        "text", F.array_join(F.transform("_s", lambda x: x["base"]), " ").alias("sound"), F.array_join(F.transform("_s", lambda x: x["tone"]), "").alias("tones")
+    )
+    return heard.join(counted, "text").groupBy("sound", "tones").agg(
+        F.count("*").alias("n_texts"), F.sum("n").alias("n_rows"), F.min("text").alias("first_text")
+    )
+
+
+def homophone_classes(texts: DataFrame, readings: DataFrame, **kw) -> DataFrame:
+    """All texts against each other: for each form, ``n_accepted`` rows that are right where a text of this form is expected.
+
+    Texts are compared by their sound, never in pairs: they are reduced to forms first, so a sound that very many rows share is a
+    few rows from then on. A neutral tone in what is expected accepts any, so the forms of a sound are also counted
+    with the tones struck out that some form of it leaves open, and a form looks up the count that leaves open what it does.
+    """
+    forms = sound_forms(texts, readings, **kw)
+    opened = F.translate("tones", "1234", "----")
+    masks = forms.where(F.contains("tones", F.lit("5"))).select("sound", opened.alias("mask")).distinct()
+    struck = F.zip_with(F.split("tones", ""), F.split("mask", ""), lambda t, m: F.when(m == "5", m).otherwise(t))
+    counts = forms.join(masks, "sound").select("sound", "mask", F.array_join(struck, "").alias("tones"), "n_rows")
+    counts = counts.groupBy("sound", "mask", "tones").agg(F.sum("n_rows").alias("n_accepted"))
+    told = forms.withColumn("mask", opened).join(counts, ["sound", "mask", "tones"], "left")
+    return told.select("sound", "tones", "n_texts", "n_rows", "first_text", F.coalesce("n_accepted", "n_rows").alias("n_accepted"))
+
+
 def grade_answers(attempts: DataFrame, readings: DataFrame, **kw) -> DataFrame:
     """Add ``verdict``: exact, homophone (listening sentences only) or wrong."""
     matched = attempts.withColumn("_exact", variant_match(F.col("given"), F.col("expected")))
