@@ -264,25 +264,34 @@ def question_id(spark, sf):
     return Q.add_ids(Q.expand_items(_items(spark, sf))).select("seq", "question_type", "id")
 
 
-_TAGS = ["that", "the", "and", "und", "of", "de"]
-
-
 @query(
     "word_units",
     sql(
         ["doc_sentences"],
-        """SELECT doc_id, CAST(sum(len(u)) AS BIGINT) AS n_units, CAST(sum(len(list_filter(u, lambda x: x IN ('that','the','and','und','of','de')))) AS BIGINT) AS n_tags,
-             round(sum(list_sum(list_transform(u, lambda x: CASE WHEN x IN ('that','the','and','und','of','de') THEN length(x) ELSE 0 END)))
-               / sum(length(regexp_replace(lower(text), '[^a-zà-ÿ]', '', 'g'))), 6) AS covered
-           FROM (SELECT doc_id, text, regexp_extract_all(lower(text), 'that|and|the|und|de|of|[a-zà-ÿ]|[^a-zà-ÿ]+') AS u FROM doc_sentences)
-           GROUP BY doc_id""",
+        # A tag never goes beyond a run of letters, so every distinct run is walked once.
+        """SELECT doc_id, CAST(n_other + coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_tags, 0) AS BIGINT) AS n_tags,
+                  round(tagged / letters, 6) AS covered
+           FROM (SELECT doc_id, sum(len(regexp_extract_all(low, '[^a-zà-ÿ]+'))) AS n_other FROM sentences GROUP BY doc_id)
+           LEFT JOIN (SELECT doc_id, sum(steps) AS n_units, sum(tags) AS n_tags, sum(letters) AS tagged, sum(length(run)) AS letters
+             FROM runs JOIN (
+               WITH RECURSIVE walk AS (
+                 SELECT DISTINCT run, 1 AS p, 0 AS l FROM runs
+                 UNION ALL
+                 SELECT w.run, w.p + coalesce(h.l, 1), coalesce(h.l, 0) FROM walk w LEFT JOIN hits h ON h.run = w.run AND h.p = w.p WHERE w.p <= length(w.run))
+               SELECT run, count(*) - 1 AS steps, count(*) FILTER (l > 0) AS tags, sum(l) AS letters FROM walk GROUP BY run) USING (run) GROUP BY doc_id) USING (doc_id)""",
+        "sentences AS (SELECT doc_id, lower(text) AS low FROM doc_sentences)",
+        "runs AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(low, '[a-zà-ÿ]+')) AS run FROM sentences)",
+        "tags AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS tag FROM benchmark)",
+        """hits AS MATERIALIZED (SELECT run, p, max(n) AS l FROM (SELECT run, unnest(range(1, length(run) + 1)) AS p FROM (SELECT DISTINCT run FROM runs))
+             CROSS JOIN (SELECT DISTINCT length(tag) AS n FROM tags) JOIN tags ON tag = substr(run, p, n) AND length(tag) = n GROUP BY run, p)""",
     ),
 )
 def word_units(spark, sf):
+    taught = unnest(B.table(spark, sf, "benchmark"), B.words_of(F.lower("text")), [], "tag")
+    words = segmentation.usable_words(taught, C.LATIN)
     rows = B.doc_sentences(spark, sf).withColumn("low", F.lower("text"))
-    own = F.filter(F.array(*[F.lit(t) for t in _TAGS]), lambda t: F.col("low").contains(t))
-    split = rows.withColumn("tags", own).withColumn("u", segmentation.word_units(F.col("low"), F.col("tags"), C.LATIN))
-    hits = F.filter("u", lambda x: F.array_contains("tags", x))
+    split = rows.withColumn("u", segmentation.word_units(F.col("low"), words, C.LATIN))
+    hits = F.transform(F.filter("u", lambda x: x["tag"]), lambda x: x["unit"])
     letters = F.length(F.regexp_replace("low", "[^a-zà-ÿ]", ""))
     return split.groupBy("doc_id").agg(
         F.sum(F.size("u")).alias("n_units"),

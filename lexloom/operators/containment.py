@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom import config as C
 from lexloom.functions.rows import unnest
 from lexloom.functions.text import BLANK, normalize_punct, normalize_width, quote, slug
+from lexloom.operators import automaton
 
 
 def flag_verbatim(sentences: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,15 +82,25 @@ def ngrams(texts: DataFrame, text: str, lengths: DataFrame, keep: list[str]) ->
     return unnest(sized, grams, keep, "word")
 
 
-def contained_words(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Rows (key, word) for every lexicon word that is a substring of the text.
+def with_contained(
+    texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text", out: str = "words", limit: automaton.Limit = automaton.LIMIT
+) -> DataFrame:
+    """Add ``out``: every lexicon word that is a substring of the text, once.
 
-    Substrings are looked up by equality. The distinct lengths of words are a
-    handful of numbers whatever the size of the lexicon.
+    A lexicon within ``limit`` goes with the tasks, and nothing is shuffled. Of a larger one substrings are looked up by equality;
+    the distinct lengths of its words are a handful of numbers.
     """
     words = lexicon.select("word").where("word <> ''").distinct()
+    if automaton.fits(words, F.length("word"), limit):
+        return texts.withColumn(out, automaton.contained(F.col(text), words.toArrow()["word"].to_pylist()))
     lengths = words.select(F.length("word").alias("length")).distinct()
-    return ngrams(texts, text, lengths, [key]).join(words, "word").select(key, "word")
+    found = ngrams(texts, text, lengths, [key]).join(words, "word").groupBy(key).agg(F.collect_set("word").alias(out))
+    return texts.join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
+def contained_words(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text", **kw) -> DataFrame:
+    """Rows (key, word) for every lexicon word that is a substring of the text."""
+    return unnest(with_contained(texts.select(key, text), lexicon, key, text, "_words", **kw), "_words", [key], "word")
 
 
 def question_tags(words: Column, question_type: Column, unit: Column) -> Column:

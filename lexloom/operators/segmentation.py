@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lexloom import config as C
 from lexloom.functions.romanise import sandhi_word_tags
 from lexloom.functions.rows import unnest
 from lexloom.functions.text import script_only, script_units
+from lexloom.operators import automaton
 
 
 def known_word_counts(lexicon: DataFrame, units: DataFrame) -> DataFrame:
@@ -109,18 +111,29 @@ def segment(
     script: C.Script = C.CJK,
     text: Column | None = None,
     only: Column | None = None,
+    limit: automaton.Limit = automaton.LIMIT,
 ) -> DataFrame:
     """Longest-match segmentation with the words known by the text's unit.
 
+    A lexicon within ``limit`` goes with the tasks and nothing is shuffled; a larger one is joined to all runs of units.
+
     Adds ``tags`` and ``readings``: the words in order and how they are read, or
     null if any position has no match. There is no going back: a dead end is
     null even if another split exists. Rows that are not ``only`` are kept
     without looking for words in them.
     """
     content = F.col("text") if text is None else text
+    words = phrase_lexicon(lexicon, script)
+    if automaton.fits(words, F.col("length"), limit):
+        reading = F.col("reading") if "reading" in lexicon.columns else F.lit(None).cast("string")
+        entries = words.select(script_units(F.col("word"), script).alias("phrase"), "word", "unit", "seq", reading.alias("reading")).toArrow()
+        units = script_units(content, script)
+        looked = automaton.segmented(units if only is None else F.when(only, units), F.col("unit"), entries)
+        rows = texts.drop("tags", "readings").withColumn("_found", looked)
+        return rows.withColumns({"tags": F.col("_found.tags"), "readings": F.col("_found.readings")}).drop("_found")
+
     wanted = texts if only is None else texts.where(only)
     searched = wanted.select(key, "unit", content.alias("text"))
-
     joined = texts.drop("tags", "readings").join(_matches(searched, lexicon, key, script), key, "left")
     size = F.size(script_units(content, script))
     at, length = (F.transform("matches", lambda m: m[f]) for f in ("at", "length"))
@@ -129,7 +142,7 @@ def segment(
         _path(at, length, size), lambda i: F.struct(F.get("matches", i)["word"].alias("word"), F.get("matches", i)["reading"].alias("reading"))
     )
     hits = F.when(F.col("matches").isNotNull(), walked).when(size == 0, nothing)
-    done = joined.withColumn("hits", hits)
+    done = joined.withColumn("hits", hits if only is None else F.when(only, hits))
     return done.withColumns(
         {"tags": F.transform("hits", lambda h: h["word"]), "readings": F.transform("hits", lambda h: h["reading"])}
     ).drop("hits", "matches")
@@ -139,17 +152,20 @@ def segment(
 def _path(at: pa.Array, length: pa.Array, size: pa.Array) -> pa.Array:
     """Which matches are taken from place 0 on, or null if they end before ``size``.
 
-    Matches come by place, the preferred one first; each row is gone through once.
+    Matches come by place, the preferred one first; all rows are walked in step.
     """
-    out = []
-    for places, lengths, n in zip(at.to_pylist(), length.to_pylist(), size.to_pylist()):
-        here, taken = 0, []
-        for i, place in enumerate(places or ()):
-            if place == here:
-                taken.append(i)
-                here += lengths[i]
-        out.append(taken if here == n else None)
-    return pa.array(out, pa.list_(pa.int32()))
+    sizes = np.maximum(size.fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    starts = np.append(0, np.cumsum(sizes))
+    many = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, number = np.repeat(np.arange(len(sizes)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    place = starts[row] + at.flatten().to_numpy(zero_copy_only=False)
+    ahead, kept = np.unique(place, return_index=True)
+    first, step = np.full(int(starts[-1]), -1, np.int64), np.zeros(int(starts[-1]), np.int64)
+    first[ahead], step[ahead] = number[kept], length.flatten().to_numpy(zero_copy_only=False)[kept]
+    who, what, done = automaton.follow(first, step, starts)
+    valid = done & np.asarray(at.is_valid())
+    keep = valid[who]
+    return automaton.lists(who[keep], len(sizes), pa.array(what[keep].astype(np.int32)), valid)
 
 
 def validate_tags(rows: DataFrame, lexicon: DataFrame, key: str, script: C.Script = C.CJK) -> DataFrame:
@@ -204,12 +220,15 @@ def tag_and_romanise(
     return kept.withColumn("romanised", F.array_join(spoken, " ")).drop("readings")
 
 
-def word_units(text: Column, tags: Column, script: C.Script = C.CJK) -> Column:
-    """Split a text into runs outside the script, the longest tag, or one character."""
-    usable = F.filter(tags, lambda t: t.rlike(f"[{script.chars}]"))
-    longest = F.transform(
-        F.array_sort(F.transform(usable, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))),
-        lambda x: F.regexp_replace(x["t"], r"([\\.\[\]{}()*+?^$|])", r"\\$1"),
-    )
-    choices = F.concat(longest, F.array(F.lit(f"[{script.chars}]"), F.lit(f"[^{script.chars}]+")))
-    return F.regexp_extract_all(text, F.array_join(choices, "|"), F.lit(0))
+def word_units(text: Column, words: list[str], script: C.Script = C.CJK) -> Column:
+    """Split a text into runs outside the script, the longest word, or one character. The words have been found to fit a task."""
+    inside = F.regexp_replace(text, f"[{script.chars}]", "\x01")
+    return automaton.split(text, inside, words)
+
+
+def usable_words(tags: DataFrame, script: C.Script = C.CJK, limit: automaton.Limit = automaton.LIMIT) -> list[str]:
+    """The distinct tags (a column ``tag``) that have a character of the script, if they are few enough to go with the tasks."""
+    words = tags.select("tag").where(F.col("tag").rlike(f"[{script.chars}]")).distinct()
+    if not automaton.fits(words, F.length("tag"), limit):
+        raise ValueError(f"more than {limit.words} words or {limit.symbols} characters")
+    return sorted(words.toArrow()["tag"].to_pylist())

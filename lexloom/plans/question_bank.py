@@ -49,7 +49,7 @@ def build(lexicon: DataFrame, sentences: DataFrame, cloze: DataFrame, blocklist:
     """
     rows = items(lexicon, sentences, cloze, blocklist).withColumn("text_id", F.md5("source_text"))
     texts = rows.groupBy("text_id").agg(F.first("source_text").alias("text"))
-    found = containment.contained_words(texts, lexicon, "text_id").groupBy("text_id").agg(F.collect_set("word").alias("words"))
+    found = containment.with_contained(texts, lexicon, "text_id").select("text_id", "words")
     asked = questions.add_ids(questions.expand_items(rows))
     tagged = asked.join(found, "text_id", "left").withColumn(
         "tags",
