@@ -7,34 +7,26 @@ from pyspark.sql import functions as F
 
 from lexloom import config as C
 from lexloom.functions.rows import unnest
-from lexloom.functions.text import BLANK, normalize_punct, normalize_width, quote, slug
-from lexloom.operators import automaton
+from lexloom.functions.text import BLANK, normalize_punct, normalize_width, slug
+from lexloom.operators import automaton, verbatim
 
 
-def flag_verbatim(sentences: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
+def _lines(docs: DataFrame, keys: list[str]) -> DataFrame:
+    return docs.select(*keys, normalize_width(F.col("doc_text")).alias("_doc"))
+
+
+def flag_verbatim(sentences: DataFrame, docs: DataFrame, keys: list[str], **sizes: int) -> DataFrame:
     """Add ``verbatim``: the sentence stands inside one line of its own document.
 
-    Every sentence meets the one text of its document, not that document's lines.
     Line breaks survive normalisation, so a match without one stays in a line.
     """
-    texts = docs.select(*keys, normalize_width(F.col("doc_text")).alias("_doc"))
-    wanted = normalize_width(F.col("text"))
-    hit = F.col("_doc").contains(wanted) & ~wanted.contains("\n")
-    joined = sentences.join(texts, keys, "left")
-    return joined.withColumn("verbatim", F.coalesce(hit, F.lit(False))).drop("_doc")
+    return verbatim.flag_contained(sentences, _lines(docs, keys), keys, normalize_width(F.col("text")), **sizes)
 
 
-def flag_verbatim_cloze(items: DataFrame, docs: DataFrame, keys: list[str], blanked: str = "question") -> DataFrame:
+def flag_verbatim_cloze(items: DataFrame, docs: DataFrame, keys: list[str], blanked: str = "question", **sizes: int) -> DataFrame:
     """Add ``verbatim``: the text around the blanks stands, in order, in one line."""
-    texts = docs.select(*keys, normalize_width(F.col("doc_text")).alias("_doc"))
     parts = F.filter(F.transform(F.split(blanked, BLANK), normalize_width), lambda p: p != "")
-    # Each gap is settled once, on the nearest occurrence, and never tried again.
-    gaps = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(0))), lambda p: F.concat(F.lit(r"(?>[^\n]*?"), quote(p), F.lit(")")))
-    pattern = F.concat(F.coalesce(quote(F.get(parts, F.lit(0))), F.lit("")), F.array_join(gaps, ""))
-    whole = ~F.exists(parts, lambda p: p.contains("\n"))
-    hit = F.rlike("_doc", pattern) & whole
-    joined = items.join(texts, keys, "left")
-    return joined.withColumn("verbatim", F.coalesce(hit, F.lit(False))).drop("_doc")
+    return verbatim.flag_in_order(items, _lines(docs, keys), keys, parts, **sizes)
 
 
 def block_key(text: Column, punct: str = C.PUNCT_BANK) -> Column:
