@@ -10,6 +10,7 @@ from lexloom.catalog.registry import ORACLE, query
 from lexloom.functions import scalars
 from lexloom.operators import progress as P
 from lexloom.operators import strength as S
+from lexloom.operators import submissions
 from lexloom.operators.ordering import number_within
 from lexloom.operators.sessions import route
 from lexloom.session import shared_dir
@@ -228,6 +229,74 @@ def graduate(spark, sf):
     return P.graduate(B.users(spark, sf), _results(spark, sf).where("unit_test_result = 'unit test passed'"))
 
 
+# The same batches as sessions that learners hand in, with all their answers and the tags of their questions.
+_SUBMITTED = """submitted AS (SELECT user_id, batch, max(ts) AS ts, count(*) FILTER (is_correct) AS n_correct, batch % 2 = 0 AS is_unit_test
+    FROM (SELECT *, value >= 9 AS is_correct FROM batches) GROUP BY user_id, batch),
+  judged AS (SELECT *, CASE WHEN NOT is_unit_test THEN 'unit test not taken' WHEN n_correct >= 16 THEN 'unit test passed' ELSE 'unit test failed' END AS result FROM submitted),
+  counted AS (SELECT j.*, u.current_unit, u.graduated_units,
+      coalesce(count(*) FILTER (result = 'unit test passed') OVER (PARTITION BY user_id ORDER BY ts, batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM judged j JOIN users u USING (user_id))"""
+
+
+def _submissions(spark, sf):
+    k = F.col("question_id")
+    unit = F.concat(F.lit("unit_"), (3 + (k % 10) % 5).cast("string"))
+    question = F.struct(F.array(F.concat(F.lit("tag_"), k % 10), F.lit("listening_vocab"), unit).alias("tags"))
+    rows = _batch_log(spark, sf).select("user_id", "session", F.struct("ts", "seq", question.alias("q"), F.col("is_correct").alias("ok")).alias("a"))
+    handed = rows.groupBy("user_id", "session").agg(F.array_sort(F.collect_list("a")).alias("a"))
+    return handed.select(
+        "user_id", F.array_max(F.transform("a", lambda x: x["ts"])).alias("ts"), F.col("session").alias("seq"),
+        F.transform("a", lambda x: x["q"]).alias("list_of_question_data"), F.transform("a", lambda x: x["ok"]).alias("is_correct"),
+        (F.col("session") % 2 == 0).alias("is_unit_test"),
+    )
+
+
+@query(
+    "replay_submissions",
+    sql(
+        ["users"],
+        """SELECT user_id, batch, CAST(n_correct AS INTEGER) AS n_correct, result AS unit_test_result, CAST(current_unit + before AS INTEGER) AS unit_before,
+             CAST(current_unit + before + CASE WHEN result = 'unit test passed' THEN 1 ELSE 0 END AS INTEGER) AS unit_after FROM counted""",
+        _BATCHES, _SUBMITTED,
+    ),
+)
+def replay_submissions(spark, sf):
+    rows = submissions.judged(_submissions(spark, sf), B.users(spark, sf))
+    return rows.select("user_id", F.col("seq").alias("batch"), "n_correct", "unit_test_result", "unit_before", "unit_after")
+
+
+@query(
+    "replay_users",
+    sql(
+        ["users"],
+        """SELECT user_id, CAST(any_value(current_unit) + count(*) FILTER (result = 'unit test passed') AS INTEGER) AS current_unit,
+             array_to_string(list_sort(list_concat(any_value(graduated_units),
+               range(any_value(current_unit), any_value(current_unit) + count(*) FILTER (result = 'unit test passed')))), ',') AS graduated_units
+           FROM counted GROUP BY user_id""",
+        _BATCHES, _SUBMITTED,
+    ),
+)
+def replay_users(spark, sf):
+    users = B.users(spark, sf)
+    return submissions.users_after(submissions.judged(_submissions(spark, sf), users), users)
+
+
+@query(
+    "replay_strength",
+    sql(
+        LEARNER,
+        """SELECT user_id, tag, CAST(count(*) FILTER (ok) AS INTEGER) AS correct_count,
+             list_reduce(list(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY ts, seq),
+               lambda s, x: CASE WHEN x = 1 THEN least(s * 2, 365) ELSE greatest(s * 0.5, 1) END, 1.0::DOUBLE) AS stability
+           FROM (SELECT a.*, e.value >= 9 AS ok FROM answers a JOIN events e ON e.event_id = a.seq) WHERE tag IN (SELECT tag FROM tag_units)
+           GROUP BY user_id, tag""",
+    ),
+)
+def replay_strength(spark, sf):
+    found = submissions.answered_after(_submissions(spark, sf), B.users(spark, sf), B.tag_units(spark, sf), B.now(spark, sf))
+    return found.select("user_id", "tag", "correct_count", "stability")
+
+
 @query(
     "session_score",
     sql([], "SELECT user_id, batch, count(*) FILTER (is_correct) AS score, count(*) AS asked FROM batch_answers GROUP BY ALL", _BATCHES),

@@ -42,6 +42,21 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], block: Colum
     return numbered.withColumn(out, F.col("_before") + F.col("_local")).select(*df.columns, out)
 
 
+def count_before(df: DataFrame, keys: list[str], order: list[str], block: Column, flag: Column, out: str) -> DataFrame:
+    """Add how many earlier rows of a key have the flag, in the given total order.
+
+    ``block`` must not decrease along the order. Rows are counted inside (key, block), and the counts of the blocks before are
+    added, so a key is shared by as many tasks as it has blocks. Null keys are one key.
+    """
+    blocked = df.withColumn("_block", block).withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(*keys, "_block").agg(F.sum("_flag").alias("_sum"))
+    offsets = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = _add(blocked.withColumn("_local", F.coalesce(F.sum("_flag").over(inside), F.lit(0))), offsets, [*keys, "_block"])
+    return counted.withColumn(out, F.col("_before") + F.col("_local")).select(*df.columns, out)
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """At most ``n`` rows per key; each task cuts to ``n`` before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
