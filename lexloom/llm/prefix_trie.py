@@ -367,7 +367,41 @@ def prefix_trie(convs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # no
     )
 
 
-@query("op13_prefix_trie")
+_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, md5(length(r) || ':' || r || x) AS d, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list({'d': d, 'w': w} ORDER BY turn NULLS FIRST, d) AS s FROM t GROUP BY conv_id),
+-- crc32 of the decimal id, by its table of 256 steps
+step AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+sums AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(steps[xor(c & 255, b) + 1], c >> 8)), 4294967295) % 4 AS h
+  FROM (SELECT conv_id, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT) AS bytes FROM own), step),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(f.s, [])[1:h], a.s[h + 1:]) AS s
+  FROM own a JOIN sums USING (conv_id) LEFT JOIN own f ON f.conv_id = a.conv_id - a.conv_id % 20),
+path AS (
+  SELECT conv_id, len(s) AS n, depth, array_to_string(list_transform(s[1:depth], lambda x: x.d), ',') AS k,
+         CASE WHEN depth > 0 THEN array_to_string(list_transform(s[1:depth - 1], lambda x: x.d), ',') END AS above, s[depth].w AS w
+  FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS depth FROM rebuilt)),
+node AS (
+  SELECT k, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(w), 0) AS w FROM path GROUP BY k, depth),
+kids AS (SELECT above AS k, count(*) AS n FROM node WHERE above IS NOT NULL GROUP BY above),
+ends AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM path WHERE depth = n GROUP BY k),
+-- every node counts for all prefixes of its smallest member up to its own depth
+below AS (
+  SELECT p.k, count(*) FILTER (kids.n IS NULL) AS leaves, sum((v.n_convs - 1) * v.w) AS saved
+  FROM node v JOIN path p ON p.conv_id = v.conv_id AND p.depth <= v.depth LEFT JOIN kids ON kids.k = v.k GROUP BY p.k)
+SELECT node.conv_id, node.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children,
+       leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN below USING (k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (k) LEFT JOIN node up ON up.k = node.above
+"""
+
+
+@query("op13_prefix_trie", _SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = materialise(own_turns(table(spark, sf_dir, "conversations")), "conversations")
     return prefix_trie(rebuilt(convs))

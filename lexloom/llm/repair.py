@@ -276,6 +276,73 @@ def damaged(rows: DataFrame) -> DataFrame:
     )
 
 
-@query("op11_repair_roles")
+def _sql() -> str:
+    """The program as a recursion over the rows of all conversations, with whole audits and texts in each state."""
+    def best(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    def edit(way: str, cost: str, letter: str, line: str | None = None, when: str = "true") -> str:
+        left = f"list_append({way}.t, {line})" if line else f"{way}.t"
+        return f"CASE WHEN {way} IS NOT NULL AND {when} THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 't': {left}}} END"
+
+    def keep(way: str, initial: str) -> str:
+        return edit(way, "extra", KEEP, "role || ':' || text", f"stays AND left(role, 1) = '{initial}'")
+
+    def rerole(way: str, name: str) -> str:
+        return edit(way, f"{COST[REROLE]} + extra", REROLE, f"'{name}:' || text", "stays")
+
+    def gone(way: str) -> str:
+        return edit(way, str(COST[DELETE]), DELETE)
+
+    def insert(way: str, name: str) -> str:
+        return edit(way, str(COST[INSERT]), INSERT, f"'{name}:'")
+
+    users = [f(f"s{i}", x) for i in (0, 1, 3) for f, x in ((keep, "u"), (rerole, "user"))]
+    word = r"[^\x20\x09-\x0D]"
+    return f"""
+WITH RECURSIVE step AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+marked AS (
+  SELECT * EXCLUDE (bytes, steps), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(steps[xor(c & 255, b) + 1], c >> 8)), 4294967295) % 20 AS k
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS bytes
+        FROM conversations), step),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{word}') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN regexp_extract(text, '({word})[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+edited AS (SELECT conv_id, i, role, text, fault NOT IN ('blank', 'duplicate') AS stays, (fault = 'truncated')::BIGINT AS extra FROM faults),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS s1,
+         {{'c': 2::BIGINT, 'a': 'I', 't': ['user:']}} AS s2, {{'c': 4::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, {best("s3", insert("s2", "assistant"))} FROM (
+    SELECT conv_id, i, s0, s1, s3, {best("s2", *(insert(f"s{i}", "user") for i in (0, 1, 3)))} AS s2 FROM (
+      SELECT w.conv_id, e.i, {best(gone("s0"), keep("s0", ""))} AS s0, {best(gone("s1"), keep("s1", ""), keep("s0", "s"))} AS s1,
+             {best(gone("s2"), keep("s2", ""), *users)} AS s2,
+             {best(gone("s3"), keep("s3", ""), keep("s2", "a"), rerole("s2", "assistant"))} AS s3
+      FROM walk w JOIN edited e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1))),
+ended AS (SELECT conv_id, {best("s0", "s3")} AS s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS z FROM walk) WHERE z = 1),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT ended.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, s.c AS cost, s.a AS audit, sha256(array_to_string(s.t, chr(10))) AS repaired_sha256
+FROM ended LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ended.conv_id
+"""
+
+
+@query("op11_repair_roles", _sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
