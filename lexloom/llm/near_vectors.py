@@ -178,6 +178,20 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     )
 
 
-@query("op9_near_vectors")
+_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+sound AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.r AS x, b.r AS y FROM sound a JOIN sound b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r AS x, r AS y FROM v UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+part AS (SELECT x, min(vec_id) AS component_id FROM reach JOIN v ON v.r = y GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM link WHERE link.x = v.r) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v JOIN part ON part.x = v.r
+"""
+
+
+@query("op9_near_vectors", _SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))

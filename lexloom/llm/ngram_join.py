@@ -340,6 +340,25 @@ def keep_first(docs: DataFrame, key: str = "doc_id", how: Join = Join()) -> Data
     return once.unionByName(repeated).unionByName(own.where("_id IS NULL").select("own")).select("own.*")
 
 
-@query("op7_ngram_join")
+_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+gram AS (
+  SELECT DISTINCT r, hash(g) AS g FROM (
+    SELECT r, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) > 0)),
+size AS (SELECT r, count(*) AS n FROM gram GROUP BY r),
+link AS (
+  SELECT x, y FROM (SELECT a.r AS x, b.r AS y, count(*) AS common FROM gram a JOIN gram b ON a.g = b.g AND a.r <> b.r GROUP BY ALL)
+  JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE 100 * common >= 75 * (p.n + q.n - common)),
+named AS (SELECT x, y FROM link JOIN d a ON a.r = x JOIN d b ON b.r = y WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, named.y FROM reach JOIN named ON named.x = reach.y),
+part AS (SELECT x, min(doc_id) AS component_id FROM reach JOIN d ON d.r = y GROUP BY x)
+SELECT doc_id, coalesce(size.n, 0) AS n_shingles, component_id, (SELECT count(*) FROM named WHERE named.x = d.r) AS n_links
+FROM d JOIN part ON part.x = d.r LEFT JOIN size ON size.r = d.r
+"""
+
+
+@query("op7_ngram_join", _SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))

@@ -277,7 +277,22 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", how: Repeats = Repeats())
     return found.select(*[new[c].alias(c) for c in docs.columns])
 
 
-@query("op3_substring_repeats")
+_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM d),
+win AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h FROM d WHERE len(w) >= 35),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+gone AS (
+  SELECT word.r, word.i, word.word,
+         count(again.i) OVER (PARTITION BY word.r ORDER BY word.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS out
+  FROM word LEFT JOIN again ON again.r = word.r AND again.i = word.i),
+kept AS (SELECT r, count(*) FILTER (out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT out) AS text FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r
+"""
+
+
+@query("op3_substring_repeats", _SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
