@@ -12,7 +12,8 @@ from lexloom.operators import automaton, verbatim
 
 
 def _lines(docs: DataFrame, keys: list[str]) -> DataFrame:
-    return docs.select(*keys, normalize_width(F.col("doc_text")).alias("_doc"))
+    """Documents as they are searched, and their size as they came, which is no smaller."""
+    return docs.select(*keys, normalize_width(F.col("doc_text")).alias("_doc"), F.length("doc_text").alias("_size"))
 
 
 def flag_verbatim(sentences: DataFrame, docs: DataFrame, keys: list[str], **sizes: int) -> DataFrame:

@@ -150,7 +150,7 @@ def _flagged(
 ) -> DataFrame:
     """``rows`` with ``verbatim``: whether what is wanted stands in the row's document."""
     columns = [F.col(c) for c in rows.columns if c != "verbatim"]
-    is_long = F.length("_doc") > long
+    is_long = F.col("_size") > long
     texts = docs.select(*keys, F.when(~is_long, F.col("_doc")).alias("_doc"), is_long.alias("_long"))
     met = rows.withColumn("_wanted", wanted).join(texts, keys, "left")
     able = F.coalesce(able, F.lit(False))
@@ -167,7 +167,7 @@ def _flagged(
 def flag_contained(
     rows: DataFrame, docs: DataFrame, keys: list[str], wanted: Column, long: int = LONG, block: int = BLOCK, part: int = PART
 ) -> DataFrame:
-    """Add ``verbatim``: ``wanted`` stands in one line of ``_doc``. ``docs`` has the keys and ``_doc``, one row for each document."""
+    """Add ``verbatim``: ``wanted`` stands in one line of ``_doc``. ``docs`` has the keys, ``_doc`` and its ``_size``, a row for each."""
     able = ~F.col("_wanted").contains("\n")
     beside = F.col("_doc").contains(F.col("_wanted"))
     return _flagged(rows, docs, keys, wanted, able, beside, F.md5("_wanted"), _contained, long, block, part)

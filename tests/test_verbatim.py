@@ -64,7 +64,7 @@ def test_cloze(spark):
 
 
 def test_a_document_of_a_million_sentences(spark):
-    n = 1_000_000
+    n = 1_000_000  # one document, some 40 MB
     text = "concat('sentence ', id, ' of the one long document.')"
     book = spark.range(n).selectExpr("1 AS doc", f"{text} AS s", "id DIV 1000 AS b").groupBy("doc", "b").agg(V.F.array_join(V.F.collect_list("s"), "\n").alias("t"))
     book = book.groupBy("doc").agg(V.F.array_join(V.F.collect_list("t"), "\n").alias("doc_text"))
