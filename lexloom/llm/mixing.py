@@ -57,7 +57,9 @@ def source_targets(sources: DataFrame, share: float = SHARE, most: int = MOST) -
         "stops": limit * F.sum("weight").over(after)
         <= F.col("weight") * (share * F.sum("total").over(everyone) - F.coalesce(F.sum(limit).over(before), F.lit(0))),
     })
-    level = F.min(F.when(~F.col("stops"), F.struct((limit / F.col("weight")).alias("o"), "left_words", "left_weight")))
+    # The first one that does not stop; of those with equal limits by weight the first has the most words left.
+    first = F.struct((limit / F.col("weight")).alias("o"), (-F.col("left_words")).alias("fewest"), "left_words", "left_weight")
+    level = F.min(F.when(~F.col("stops"), first))
     rows = rows.withColumn("free", level.over(everyone))
     shared = F.col("free.left_words") * F.col("weight") / F.col("free.left_weight")
     return rows.withColumn("target", F.when(F.col("stops"), limit.cast("double")).otherwise(shared)).drop(

@@ -84,3 +84,15 @@ def test_many_short_documents_meet_their_targets(spark):
     assert got.where("taken <> spanned OR taken > 2 * size OR exists(spans, s -> s.first < 0 OR s.first + s.length > size)").isEmpty()
     apart = "size(spans) < 2 OR forall(sequence(1, size(spans) - 1), i -> spans[i].first >= spans[i - 1].first + spans[i - 1].length)"
     assert got.count() == 170_000 and got.where(f"NOT ({apart})").isEmpty()
+
+
+def test_sources_with_equal_limits_by_weight(spark):
+    """Totals in proportion to the weights: all limits are met at one level."""
+    rows = [(i, "w " * 120, "en", s, 1) for i, s in enumerate("aaabc")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = M.mix(documents.selectExpr("doc_id", "source", "120L AS size")).toPandas().sort_values("doc_id")
+    by = dict(zip(got.source, got.target.round(6)))
+    assert by == {"a": 495, "b": 165, "c": 240}
+    documents = documents.toPandas()
+    want = duckdb.connect().execute(M._SQL).df().sort_values("doc_id")
+    assert got.taken.tolist() == want.taken.tolist() and abs(got.target.to_numpy() - want.target.to_numpy()).max() < 1e-6
