@@ -68,3 +68,24 @@ def test_query_equals_sql(spark, name):
     want = con.execute(llm.oracle_sql()[name]).to_arrow_table()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows_of(got) == rows_of(want)
+
+
+def test_stages_on_repeated_ids_and_on_nothing(spark):
+    base = [" ".join(f"w{d}x{i} of" for i in range(60)) for d in range(6)]
+    rows = [(5, base[0], "en", "a", 1), (5, base[1], "en", "a", 1), (7, f"{base[0]} more", "en", None, 1), (9, base[2], "en", "b", 1), (9, base[2], "en", "b", 1),
+            (None, base[3], "en", "a", 1), (11, None, "en", "a", None), (12, "", "en", "c", 0), (13, base[4], None, "c", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    seen = {}
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in C.STAGES:
+        docs = _written(spark, stage(spark, docs, SF), name)
+        seen[name] = docs.collect()
+    texts = lambda name: sorted((str(r.doc_id), r.text) for r in seen[name])
+    want = sorted([("5", base[0]), ("5", base[1]), ("9", base[2]), ("None", base[3]), ("13", base[4])])
+    assert texts("ngram_join") == texts("substring_dedup") == want
+    assert abs(sum(count(r.text) for r in seen["mixing"]) - 900) <= 3
+    assert seen["packing"]
+    docs = spark.createDataFrame([], schema)
+    for name, stage in C.STAGES:
+        docs = _written(spark, stage(spark, docs, SF), name)
+        assert docs.count() == 0
