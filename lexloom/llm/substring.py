@@ -203,6 +203,16 @@ def repeated_words(s: Suffixes, asked: dict[int, Asked], loads: dict[int, bytes]
     return covered(s.at[hit], how.width, len(s.words.ids))
 
 
+def in_fixed_order(texts: list[bytes | None]) -> tuple[list[bytes | None], np.ndarray]:
+    """The texts sorted, and where each row stands among them.
+
+    The parts of a shuffle arrive in any order, so a group may have its rows in another one at its next visit. Answers go by
+    the numbers of windows, which are then those of other windows; sorted texts have the same numbers each time.
+    """
+    order = np.array(sorted(range(len(texts)), key=lambda i: texts[i] or b""), np.int64)
+    return [texts[i] for i in order.tolist()], np.argsort(order)
+
+
 def without_repeats(
     docs: DataFrame, key: str = "doc_id", how: Repeats = Repeats(), leave_whole: bool = False  # noqa: B008
 ) -> DataFrame:
@@ -220,12 +230,12 @@ def without_repeats(
     far = 1 << counts.bits  # the second answers have their buckets above the first
 
     def about_anchors(group: pa.Table) -> list[tuple[int, bytes]]:
-        s = suffixes(utf8(group["text"]), how)
+        s = suffixes(in_fixed_order(utf8(group["text"]))[0], how)
         _, first = np.unique(s.anchor, return_index=True)
         return counts.ask(*_count(s.anchor_hash[first]))
 
     def about_suffixes(group: pa.Table, loads: dict[int, bytes]) -> pa.Table:
-        s = suffixes(utf8(group["text"]), how)
+        s = suffixes(in_fixed_order(utf8(group["text"]))[0], how)
         asked = to_ask(s, how, counts, loads)
         letters = [pack_letter(s, x, how) for x in asked.values()]
         g = group["g"][0].as_py() if len(group) else 0
@@ -239,7 +249,7 @@ def without_repeats(
         return pa.table({"bucket": pa.array([b + far for b in bucket["bucket"].to_pylist()], pa.int32()), "g": bucket["g"], "load": loads})
 
     def result(group: pa.Table, loads: dict[int, bytes]) -> pa.Table:
-        texts = utf8(group["text"])
+        texts, place = in_fixed_order(utf8(group["text"]))
         s = suffixes(texts, how)
         asked = to_ask(s, how, counts, loads)
         gone = repeated_words(s, asked, {b - far: x for b, x in loads.items() if b >= far}, how)
@@ -251,9 +261,9 @@ def without_repeats(
             left = ids[a:b][~gone[a:b]].tolist()
             kept.append(texts[k] if leave_whole and not removed[k] else b" ".join([vocab[i] for i in left]))
         out = group.drop_columns(["g", "text"])
-        out = out.append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))
-        out = out.append_column("n_words", pa.array(np.diff(s.words.starts), pa.int64()))
-        return out.append_column("n_removed", pa.array(removed, pa.int64()))
+        out = out.append_column("kept_text", pa.array([kept[i] for i in place.tolist()], pa.binary()).cast(pa.string()))
+        out = out.append_column("n_words", pa.array(np.diff(s.words.starts)[place], pa.int64()))
+        return out.append_column("n_removed", pa.array(removed[place], pa.int64()))
 
     first = X.ask(rows, about_anchors, counts.answer)
     letter = "bucket int, g bigint, load binary"

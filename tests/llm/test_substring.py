@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from lexloom.llm import substring as S
 
@@ -75,3 +76,22 @@ def test_stage_takes_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b", "x", "y", 3)], ["doc_id", "text", "kept_text", "own_kept_text", "a.b"])
     assert [tuple(r) for r in S.cut_repeats(docs).collect()] == [(1, "a b", "x", "y", 3)]
     assert S.cut_repeats(docs).columns == docs.columns
+
+
+def test_rows_may_come_in_another_order_each_time(spark):
+    """Parts of a shuffle arrive in any order on a cluster, so the two visits to a group may see its rows in different ones."""
+    texts = corpus()
+
+    def stir(tables):
+        rows = [r for t in tables for r in t.to_pylist()]
+        random.shuffle(rows)
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).mapInArrow(stir, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.exchange.reuse", "true")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.doc_id: (r.n_removed, r.kept_text) for r in S.without_repeats(docs, how=S.Repeats(docs_per_group=64)).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+    assert got == plain(texts, 35)
