@@ -288,15 +288,14 @@ def question_id(spark, sf):
 )
 def word_units(spark, sf):
     taught = unnest(B.table(spark, sf, "benchmark"), B.words_of(F.lower("text")), [], "tag")
-    words = segmentation.usable_words(taught, C.LATIN)
     rows = B.doc_sentences(spark, sf).withColumn("low", F.lower("text"))
-    split = rows.withColumn("u", segmentation.word_units(F.col("low"), words, C.LATIN))
+    split = segmentation.with_word_units(rows, taught, "low", "u", C.LATIN)
     hits = F.transform(F.filter("u", lambda x: x["tag"]), lambda x: x["unit"])
     letters = F.length(F.regexp_replace("low", "[^a-zà-ÿ]", ""))
     return split.groupBy("doc_id").agg(
         F.sum(F.size("u")).alias("n_units"),
         F.sum(F.size(hits)).alias("n_tags"),
-        F.round(F.sum(F.length(F.array_join(hits, ""))) / F.sum(letters), 6).alias("covered"),
+        F.round(F.try_divide(F.sum(F.length(F.array_join(hits, ""))), F.sum(letters)), 6).alias("covered"),
     )
 
 

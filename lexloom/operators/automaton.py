@@ -7,7 +7,7 @@ is shuffled. A larger lexicon stays a table; its callers then look substrings up
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -225,36 +225,59 @@ def segmented(units: Column, unit: Column, entries: pa.Table) -> Column:
     return segment(units, unit)
 
 
+_UNITS = T.ArrayType(T.StructType([T.StructField("unit", T.StringType()), T.StructField("tag", T.BooleanType())]))
+_Find = Callable[[int, int, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _cut(texts: pa.Array, marked: pa.Array, find: _Find) -> pa.Array:
+    """Units of the texts; ``find`` tells place and length of the words in a range of rows, by its codes and the starts and ends of texts."""
+    kind = pa.list_(pa.struct([("unit", pa.string()), ("tag", pa.bool_())]))
+    out = []
+    for i, j in parts(_sizes(texts)):
+        here = texts.slice(i, j - i)
+        codes, starts = characters(here)
+        script = (characters(marked.slice(i, j - i))[0] == 1) & (codes != 1)
+        ends = np.repeat(starts[1:], np.diff(starts))
+        at, length = find(i, j, codes, starts, ends)
+        # Where nothing fits: one character of the script, or all up to the next one.
+        places = np.arange(len(codes))
+        border = np.where(script, places, len(codes))
+        following = np.minimum.accumulate(border[::-1])[::-1] if len(codes) else border
+        step = np.where(script, 1, np.minimum(following, ends) - places)
+        best = np.zeros(len(codes), np.int64)
+        np.maximum.at(best, at, length)
+        step = np.where(best > 0, best, step)
+        who, place, _ = follow(places, step, starts)
+        whole = "".join(t or "" for t in here.to_pylist())
+        pieces = [whole[a:b] for a, b in zip(place.tolist(), (place + step[place]).tolist(), strict=True)]
+        units = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(best[place] > 0)], ["unit", "tag"])
+        out.append(lists(who, j - i, units, np.asarray(here.is_valid())))
+    return pa.chunked_array(out, kind).combine_chunks()
+
+
 def split(text: Column, inside: Column, words: list[str]) -> Column:
     """A text as runs outside the script, the longest word at a place, or one character of the script: ``unit``, ``tag`` (if it is a word).
 
     ``inside`` is the text with every character of the script replaced by U+0001.
     """
     machine = Automaton.of(words)
-    kind = pa.list_(pa.struct([("unit", pa.string()), ("tag", pa.bool_())]))
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("unit", T.StringType()), T.StructField("tag", T.BooleanType())])))
+    @F.arrow_udf(_UNITS)
     def cut(texts: pa.Array, marked: pa.Array) -> pa.Array:
-        out = []
-        for i, j in parts(_sizes(texts)):
-            here = texts.slice(i, j - i)
-            codes, starts = characters(here)
-            script = (characters(marked.slice(i, j - i))[0] == 1) & (codes != 1)
-            ends = np.repeat(starts[1:], np.diff(starts))
-            at, length, _ = machine.find(_of_codes(machine, codes), ends)
-            # Where nothing fits: one character of the script, or all up to the next one.
-            places = np.arange(len(codes))
-            border = np.where(script, places, len(codes))
-            following = np.minimum.accumulate(border[::-1])[::-1] if len(codes) else border
-            step = np.where(script, 1, np.minimum(following, ends) - places)
-            best = np.zeros(len(codes), np.int64)
-            np.maximum.at(best, at, length)
-            step = np.where(best > 0, best, step)
-            who, place, _ = follow(places, step, starts)
-            whole = "".join(t or "" for t in here.to_pylist())
-            pieces = [whole[a:b] for a, b in zip(place.tolist(), (place + step[place]).tolist(), strict=True)]
-            units = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(best[place] > 0)], ["unit", "tag"])
-            out.append(lists(who, j - i, units, np.asarray(here.is_valid())))
-        return pa.chunked_array(out, kind).combine_chunks()
+        return _cut(texts, marked, lambda i, j, codes, starts, ends: machine.find(_of_codes(machine, codes), ends)[:2])
 
     return cut(text, inside)
+
+
+def split_at(text: Column, inside: Column, at: Column, length: Column) -> Column:
+    """The same with words found before: arrays of their places in the text and their lengths."""
+    @F.arrow_udf(_UNITS)
+    def cut(texts: pa.Array, marked: pa.Array, at: pa.Array, length: pa.Array) -> pa.Array:
+        def found(i: int, j: int, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            some, sizes = at.slice(i, j - i), length.slice(i, j - i)
+            first = np.repeat(starts[:-1], some.value_lengths().to_numpy(zero_copy_only=False))
+            return first + some.flatten().to_numpy(zero_copy_only=False), sizes.flatten().to_numpy(zero_copy_only=False)
+
+        return _cut(texts, marked, found)
+
+    return cut(text, inside, at, length)

@@ -226,9 +226,42 @@ def word_units(text: Column, words: list[str], script: C.Script = C.CJK) -> Colu
     return automaton.split(text, inside, words)
 
 
+def _of_script(tags: DataFrame, script: C.Script) -> DataFrame:
+    """The distinct tags (a column ``tag``) that have a character of the script."""
+    return tags.select("tag").where(F.col("tag").rlike(f"[{script.chars}]")).distinct()
+
+
 def usable_words(tags: DataFrame, script: C.Script = C.CJK, limit: automaton.Limit = automaton.LIMIT) -> list[str]:
-    """The distinct tags (a column ``tag``) that have a character of the script, if they are few enough to go with the tasks."""
-    words = tags.select("tag").where(F.col("tag").rlike(f"[{script.chars}]")).distinct()
+    """The distinct tags that have a character of the script, if they are few enough to go with the tasks."""
+    words = _of_script(tags, script)
     if not automaton.fits(words, F.length("tag"), limit):
         raise ValueError(f"more than {limit.words} words or {limit.symbols} characters")
     return sorted(words.toArrow()["tag"].to_pylist())
+
+
+def with_word_units(
+    rows: DataFrame, tags: DataFrame, text: str, out: str = "units", script: C.Script = C.CJK, limit: automaton.Limit = automaton.LIMIT
+) -> DataFrame:
+    """Add ``out``: the text split by ``word_units`` at the tags.
+
+    Tags within ``limit`` go with the tasks. More of them are joined to the substrings of the distinct texts, and the longest at each
+    place goes back to its text.
+    """
+    words = _of_script(tags, script)
+    if automaton.fits(words, F.length("tag"), limit):
+        return rows.withColumn(out, word_units(F.col(text), sorted(words.toArrow()["tag"].to_pylist()), script))
+    sizes = words.agg(F.array_sort(F.collect_set(F.length("tag")))).scalar()
+    texts = rows.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct()
+    cut = texts.select("_text", F.split("_text", "").alias("_chars"), sizes.alias("_sizes"))
+
+    def starting(at: Column) -> Column:
+        fitting = F.filter("_sizes", lambda n: at + n <= F.size("_chars"))
+        return F.transform(fitting, lambda n: F.struct(at.alias("at"), n.alias("n"), F.array_join(F.slice("_chars", at + 1, n), "").alias("tag")))
+
+    grams = unnest(cut, F.flatten(F.transform("_chars", lambda _, i: starting(i))), ["_text"], "_g").select("_text", "_g.*")
+    longest = grams.join(words, "tag").groupBy("_text", "at").agg(F.max("n").alias("n"))
+    hits = longest.groupBy("_text").agg(F.collect_list(F.struct("at", "n")).alias("_hits"))
+    joined = rows.join(hits, F.col(text) == F.col("_text"), "left").drop("_text")
+    inside = F.regexp_replace(text, f"[{script.chars}]", "\x01")
+    at, size = (F.coalesce(F.transform("_hits", lambda h: h[c]), F.array().cast("array<int>")) for c in ("at", "n"))
+    return joined.withColumn(out, automaton.split_at(F.col(text), inside, at, size)).drop("_hits")

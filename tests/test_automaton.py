@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lexloom import config as C
+from lexloom.catalog import structure
 from lexloom.operators import automaton as A
 from lexloom.operators import containment, segmentation
 
@@ -93,6 +94,21 @@ def test_word_units(spark):
         segmentation.usable_words(lexicon, C.CJK, NONE)
 
 
+def test_word_units_of_a_large_lexicon(spark):
+    texts = ["我是中国人!", "x中国 a1,学", "", None, "!!", "是", "我是中国人!", "😀中国人x中"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key int, text string")
+    tags = spark.createDataFrame([("中国",), ("中国人",), ("我",), ("x中",), ("中国",), ("abc",), (None,)], "tag string")
+    got = [{r.key: r.u for r in segmentation.with_word_units(rows, tags, "text", "u", limit=n).collect()} for n in (A.LIMIT, NONE)]
+    assert got[0] == got[1] and [x.unit for x in got[1][1]] == ["x中", "国", " a1,", "学"]
+
+
+def test_word_units_of_documents_without_letters(spark, tmp_path):
+    spark.createDataFrame([(1, "12 3. 4!", "en", "s"), (2, "a cat.", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "cat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_tags, r.covered) for r in structure.word_units(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, None), 2: (1, 0.75)}
+
+
 def test_long_texts_go_through_in_parts():
     sizes = A.np.array([5, 5, 50, 1, 1])
     assert list(A.parts(sizes, 10)) == [(0, 2), (2, 3), (3, 5)]
