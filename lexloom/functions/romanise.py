@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from lexloom import config as C
 from lexloom.functions.text import strip
 
-_SYLLABLE = f"({C.SYLLABLE_INITIALS}|)({C.SYLLABLE_FINALS})([1-5]?)"
+# The initials, finals and tones of ``config`` with common beginnings taken together, so that no place is tried for one after the other.
+_FINALS = (
+    "i(?:a(?:ng?+|o)?+|ong|ng?+|e|u)?+|u(?:a(?:ng?+|i)?+|eng?+|o|i|n)?+|a(?:ng?+|o|i)?+|e(?:ng?+|i|r)?+|o(?:ng|u)?+|v[en]?+|ng"
+)
+_SYLLABLE = f"(?:(?:[zcs]h?+|[bpmfdtnlgkhjqxrwy])?+(?:{_FINALS})|ng)[1-5]?+"
 
 
 def _with_next(array: Column, fn) -> Column:
@@ -51,13 +55,13 @@ def sandhi_word_tags(tags: Column, readings: Column, negation: str = "不", one:
 def split_syllables(reading: Column) -> Column:
     """Syllables as ``(base, tone)``; the tone is 5 where none is written."""
     found = F.regexp_extract_all(F.lower(reading), F.lit(_SYLLABLE), F.lit(0))
-    return F.transform(
-        found,
-        lambda s: F.struct(
-            F.regexp_replace(s, "[1-5]$", "").alias("base"),
-            F.when(s.rlike("[1-5]$"), F.right(s, F.lit(1))).otherwise("5").alias("tone"),
-        ),
-    )
+
+    def apart(s: Column) -> Column:
+        # Only the end of a syllable can be a digit.
+        last = F.right(s, F.lit(1))
+        return F.struct(F.rtrim(s, F.lit("12345")).alias("base"), F.when(last.between("1", "5"), last).otherwise("5").alias("tone"))
+
+    return F.transform(found, apart)
 
 
 def sandhi_syllables(syllables: Column) -> Column:

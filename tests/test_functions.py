@@ -1,5 +1,8 @@
 """Literal rows for the rules that are easy to get wrong."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +139,14 @@ def test_scalars(spark):
 def test_long_line_without_stops_is_linear(spark):
     text = F.concat(F.repeat(F.col("x"), F.lit(40_000)), F.lit("\nEnd."))
     assert value(spark, T.sentences_of(text), x="word ") == ["End."]
+
+
+def test_syllables_are_those_of_the_written_out_pattern(spark):
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("iuaoevngrhzcsbx14 ü") for _ in range(draw.randint(0, 14))) for _ in range(3000)] + ["zhuang1ngnang", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", R.split_syllables(F.col("text")).alias("s"))
+    plain = re.compile(f"((?:{C.SYLLABLE_INITIALS}|)(?:{C.SYLLABLE_FINALS}))([1-5]?)")
+    for r in rows.collect():
+        assert [tuple(x) for x in r.s] == [(base, tone or "5") for base, tone in plain.findall(r.text)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp") == 1 and "rlike" not in plan.lower()
