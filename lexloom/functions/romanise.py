@@ -85,15 +85,18 @@ def sandhi_syllables(syllables: Column) -> Column:
 def with_tones_match(df: DataFrame, given: Column, expected: Column, out: str) -> DataFrame:
     """Add ``out``: same syllables and tones as spoken; an expected neutral tone accepts any.
 
-    The syllables are columns of their own, so each reading is taken apart once.
+    The syllables are columns of their own, so each reading is taken apart once. Equal readings match without being taken apart,
+    and those of different lengths never do, so the spoken tones are not worked out for them.
     """
-    both = df.withColumns({"_g": split_syllables(given), "_e": split_syllables(expected)})
-    both = both.withColumns({"_g": sandhi_syllables(F.col("_g")), "_e": sandhi_syllables(F.col("_e"))})
+    equal = given == expected
+    both = df.withColumns({c: F.when(equal, F.lit(None)).otherwise(split_syllables(x)) for c, x in (("_g", given), ("_e", expected))})
+    as_long = F.size("_g") == F.size("_e")
+    both = both.withColumns({c: F.when(as_long, sandhi_syllables(F.col(c))) for c in ("_g", "_e")} | {"_as_long": as_long})
     same = F.zip_with(
         "_g", "_e", lambda g, e: (g["base"] == e["base"]) & ((e["tone"] == "5") | (g["tone"] == e["tone"]))
     )
-    alike = (F.size("_g") == F.size("_e")) & F.forall(same, lambda ok: F.coalesce(ok, F.lit(False)))
-    return both.withColumn(out, alike).drop("_g", "_e")
+    alike = F.col("_as_long") & F.forall(same, lambda ok: F.coalesce(ok, F.lit(False)))
+    return both.withColumn(out, F.when(equal, F.lit(True)).otherwise(alike)).drop("_g", "_e", "_as_long")
 
 
 def render_syllables(syllables: Column) -> Column:

@@ -150,3 +150,11 @@ def test_syllables_are_those_of_the_written_out_pattern(spark):
         assert [tuple(x) for x in r.s] == [(base, tone or "5") for base, tone in plain.findall(r.text)]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("regexp") == 1 and "rlike" not in plan.lower()
+
+
+def test_readings_of_different_lengths_are_not_spoken_out(spark):
+    rows = [("ni3hao3", "ni3hao3"), ("ni2hao3", "ni3hao3"), ("ni3", "ni3hao3"), ("", ""), (None, None), (None, "ni3"), ("ni3hao3", "ni5hao5"), ("a1", "a2")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    found = R.with_tones_match(df, F.col("a"), F.col("b"), "same")
+    assert [r.same for r in found.collect()] == [True, True, False, True, None, None, True, False]
+    assert "_as_long" in found._jdf.queryExecution().analyzed().toString()
