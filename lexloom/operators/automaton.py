@@ -149,6 +149,11 @@ def _sizes(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
 
 
+def _lengths(runs: pa.Array) -> np.ndarray:
+    """Symbols of each row, without making Python's strings of them. Null is empty."""
+    return pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def follow(first: np.ndarray, step: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Walk all rows from their first place on, in step.
 
@@ -196,7 +201,7 @@ def segmented(units: Column, unit: Column, entries: pa.Table) -> Column:
     lengths = np.array([len(r["phrase"]) for r in rows], np.int64)
 
     def walk(runs: pa.Array, known: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        sizes = np.array([len(x) if x is not None else 0 for x in runs.to_pylist()], np.int64)
+        sizes = _lengths(runs)
         starts = np.append(0, np.cumsum(sizes))
         flat = runs.flatten().dictionary_encode()
         symbols = machine.numbers(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
@@ -217,7 +222,7 @@ def segmented(units: Column, unit: Column, entries: pa.Table) -> Column:
     @F.arrow_udf(_SEGMENTED)
     def segment(runs: pa.Array, of: pa.Array) -> pa.Array:
         known = np.array([-(1 << 62) if x is None else x for x in of.to_pylist()], np.int64)
-        sizes = np.array([len(x) if x is not None else 0 for x in runs.to_pylist()], np.int64)
+        sizes = _lengths(runs)
         out = [walk(runs.slice(i, j - i), known[i:j]) for i, j in parts(sizes)]
         columns = [pa.chunked_array([x[k] for x in out], pa.list_(pa.string())).combine_chunks() for k in range(2)]
         return pa.StructArray.from_arrays(columns, ["tags", "readings"])

@@ -114,3 +114,8 @@ def test_long_texts_go_through_in_parts():
     assert list(A.parts(sizes, 10)) == [(0, 2), (2, 3), (3, 5)]
     got = A.lists(A.np.array([0, 0, 2]), 3, pa.array([1, 2, 3]), A.np.array([True, False, True])).to_pylist()
     assert got == [[1, 2], None, [3]]
+
+
+def test_sizes_of_lists_are_read_from_their_offsets():
+    runs = pa.array([["a", "b"], None, [], ["c"]], pa.list_(pa.string()))
+    assert A._lengths(runs).tolist() == [2, 0, 0, 1] and A._lengths(runs.slice(2)).tolist() == [0, 1]
