@@ -1,4 +1,4 @@
-"""The learner model as Spark's keyed state: a row of state for each (user, tag), with a timer.
+"""The learner model as Spark's keyed state: groups of (user, tag) keys, a row of state and a timer for each group.
 
 Answers need not come in order. Those that are newer than the watermark wait in the state, sorted, and once the watermark has
 passed them they are folded into one clamped step (``operators.strength``). What a key says after each micro-batch is its step and
@@ -6,8 +6,11 @@ the waiting answers, so the model is always up to date; and as long as no answer
 model of the log in order. Answers that come later than that count all the same, at the end of what is folded, and are
 counted as late; none is dropped.
 
-A key that was not answered for ``idle`` leaves the state by its timer: its step stands in the log already. Steps compose, so when
-the key comes back it begins a new run, and readers put its runs one after the other.
+A key that was not answered for ``idle`` leaves the state by its group's timer: its step stands in the log already. Steps compose, so
+when the key comes back it begins a new run, and readers put its runs one after the other.
+
+A call of the processor costs far more than a key's work in it, so keys are dealt over ``groups`` by hash, and a micro-batch makes at
+most that many calls. A group that was answered is written whole: its keys are all keys over ``groups``.
 
 State is kept in RocksDB, so it is bounded by disk and not by memory; a restart goes on from the checkpoint. A key's answers of one
 micro-batch are one task's. Where one key has a great part of all answers, ``streaming.strength`` spreads it over many tasks.
@@ -15,6 +18,7 @@ micro-batch are one task's. Where one key has a great part of all answers, ``str
 
 from __future__ import annotations
 
+import json
 from bisect import insort
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
@@ -30,7 +34,10 @@ from lexloom.streaming import store
 #: Set for the session before a stream with keyed state starts.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RUN_SCHEMA = "user_id long, tag string, run long, last_ts timestamp, n long, n_correct long, late long, expo int, lo double, hi double"
-_STATE = "run long, timer long, seen long, us long, n long, n_correct long, late long, expo int, lo double, hi double, open array<struct<us:long,seq:long,ok:boolean>>"
+# A group's keys are one JSON text, [[user_id, tag, run, seen, us, n, n_correct, late, expo, lo, hi, [[us, seq, ok], ..]], ..]: Spark takes
+# nested values of a state apart in Python, which took most of the time. Its numbers come back as they were.
+_STATE = "timer long, keys string"
+GROUPS = 1 << 14
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
@@ -39,7 +46,7 @@ def _learner(idle_ms: int, floor: float, cap: float) -> StatefulProcessor:
     most = most_expo(floor, cap)
 
     class LearnerState(StatefulProcessor):
-        """One key: the settled step, the answers that wait for the watermark, and the time at which the key is let go."""
+        """One group: of each key the settled step and the answers that wait for the watermark, and when keys are let go."""
 
         def init(self, handle) -> None:
             self.handle = handle
@@ -52,22 +59,20 @@ def _learner(idle_ms: int, floor: float, cap: float) -> StatefulProcessor:
             move = lambda x: min(2 * x, cap) if right else max(x / 2, floor)
             return n + 1, n_correct + right, max(-most, min(most, expo + turn)), move(lo), move(hi)
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            now = timerValues.getCurrentWatermarkInMs()
-            held = self.state.get()
+        def _answered(self, name: tuple, held: list | None, answers: list[tuple], now: int) -> tuple[tuple, Row]:
+            """The key's state after its answers of a micro-batch, and what it says."""
             if held is None:
-                run, timer, seen, us, late, waiting = now, None, now, None, 0, []
+                run, seen, us, late, waiting = now, now, None, 0, []
                 step = (0, 0, 0, floor, cap)
             else:
-                run, timer, seen, us, late = held[0], held[1], held[2], held[3], held[6]
-                step, waiting = (held[4], held[5], *held[7:10]), [tuple(x) for x in held[10]]
-            for row in rows:
-                answer = (row.us, row.seq, row.ok)
-                seen = max(seen, now, row.us // 1000)
-                if row.us // 1000 < now:
+                run, seen, us, late = held[2], held[3], held[4], held[7]
+                step, waiting = (held[5], held[6], *held[8:11]), [tuple(x) for x in held[11]]
+            for answer in answers:
+                seen = max(seen, now, answer[0] // 1000)
+                if answer[0] // 1000 < now:
                     late += 1
-                if us is not None and row.us < us:  # what comes after it is folded already
-                    step = self._then(step, row.ok)
+                if us is not None and answer[0] < us:  # what comes after it is folded already
+                    step = self._then(step, answer[2])
                 else:
                     insort(waiting, answer)
             settled = 0
@@ -75,27 +80,43 @@ def _learner(idle_ms: int, floor: float, cap: float) -> StatefulProcessor:
                 us, _, right = waiting[settled]
                 step, settled = self._then(step, right), settled + 1
             waiting = waiting[settled:]
-            if timer is None:
-                timer = seen + idle_ms
-                self.handle.registerTimer(timer)
-            self.state.update((run, timer, seen, us, step[0], step[1], late, *step[2:], waiting))
+            kept = (*name, run, seen, us, step[0], step[1], late, *step[2:], waiting)
             last = waiting[-1][0] if waiting else us
             for _, _, right in waiting:
                 step = self._then(step, right)
-            yield Row(
-                user_id=key[0], tag=key[1], run=run, last_ts=_EPOCH + timedelta(microseconds=last), n=step[0], n_correct=step[1],
+            return kept, Row(
+                user_id=name[0], tag=name[1], run=run, last_ts=_EPOCH + timedelta(microseconds=last), n=step[0], n_correct=step[1],
                 late=late, expo=step[2], lo=float(step[3]), hi=float(step[4]),
             )
 
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            now = timerValues.getCurrentWatermarkInMs()
+            held = self.state.get()
+            timer, keys = (None, {}) if held is None else (held[0], {(k[0], k[1]): k for k in json.loads(held[1])})
+            given: dict[tuple, list[tuple]] = {}
+            for row in rows:
+                user_id, tag, us, seq, ok = tuple(row)[-5:]
+                given.setdefault((user_id, tag), []).append((int(us), int(seq), bool(ok)))
+            said = []
+            for name, answers in given.items():
+                keys[name], row = self._answered((int(name[0]), name[1]), keys.get(name), answers, now)
+                said.append(row)
+            if timer is None:
+                timer = min(k[3] for k in keys.values()) + idle_ms
+                self.handle.registerTimer(timer)
+            self.state.update((timer, json.dumps(list(keys.values()))))
+            return iter(said)
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             held = self.state.get()
             if held is not None:
-                timer = held[2] + idle_ms
-                if timer <= timerValues.getCurrentWatermarkInMs():
-                    self.state.clear()
-                else:
+                keys = [k for k in json.loads(held[1]) if k[3] + idle_ms > timerValues.getCurrentWatermarkInMs()]
+                if keys:
+                    timer = min(k[3] for k in keys) + idle_ms
                     self.handle.registerTimer(timer)
-                    self.state.update((held[0], timer, *held[2:10], [tuple(x) for x in held[10]]))
+                    self.state.update((timer, json.dumps(keys)))
+                else:
+                    self.state.clear()
             return iter(())
 
         def close(self) -> None:
@@ -135,22 +156,23 @@ def _folded(rows: DataFrame, rules: C.Rules) -> DataFrame:
 
 def keep_strength(
     answers: DataFrame, log: str, checkpoint: str, rules: C.Rules = C.RULES, late: str = "1 hour", idle: str = "30 days",
-    fold_every: int = 8, **trigger,
+    fold_every: int = 8, groups: int = GROUPS, **trigger,
 ) -> StreamingQuery:
     """Start keeping the model of a stream of answers (user_id, tag, ts, seq, is_correct) below ``log``.
 
-    Answers without user, tag or time are ignored, those without a result count as wrong.
+    Answers without user, tag or time are ignored, those without a result count as wrong. ``groups`` stays what it was when the
+    checkpoint was begun.
     """
     spark = answers.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     known = answers.where("user_id IS NOT NULL AND tag IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
     # The time goes on as a number: on a column with a watermark Spark would drop late rows.
     rows = known.select(
-        "user_id", "tag", F.unix_micros("ts").alias("us"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"),
+        F.pmod(F.xxhash64("user_id", "tag"), F.lit(groups)).alias("group"), "user_id", "tag", F.unix_micros("ts").alias("us"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"),
         F.coalesce("is_correct", F.lit(False)).alias("ok"),
     )
     learner = _learner(_millis(spark, idle), rules.stability_floor, rules.stability_cap)
-    runs = rows.groupBy("user_id", "tag").transformWithState(learner, RUN_SCHEMA, "update", "EventTime")
+    runs = rows.groupBy("group").transformWithState(learner, RUN_SCHEMA, "update", "EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         store.write_tail(batch, log, batch_id)

@@ -105,3 +105,14 @@ def test_unusable_answers_and_missing_results(feed):
 def test_no_answers(feed):
     feed.put([]).run()
     assert feed.strength([(1, "a")])[1, "a"][0] == 0
+
+
+def test_keys_share_rows_of_state(feed):
+    """A micro-batch makes a call for each group and not for each key; keys that it leaves alone stay in their group."""
+    rows = sorted(log(400, seed=23), key=lambda r: (r[2], r[3]))
+    assert len({r[:2] for r in rows}) > 6
+    feed.put(rows[:250]).run(groups=3)
+    feed.put(rows[250:251], rows[251:]).run(groups=3)
+    assert feed.in_state() <= 2 * 3  # a row and a timer for each
+    assert feed.strength(rows) == plain(brute(rows))
+    assert feed.late() == 0
