@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lexloom.functions.rows import unnest
 from lexloom.functions.scalars import hash_bucket, hash_number, seeded_order
 from lexloom.operators import strength as S
 from lexloom.operators.ordering import number_within
-from lexloom.operators.progress import unit_ready
+from lexloom.operators.progress import unit_ready, unit_words
 from lexloom.sources.store import materialise
 
 _TYPE_FIELDS = "question_type string, tier int, unlock int, priority int, speaking boolean, sentence boolean, source_type string, slug string"
@@ -62,55 +64,84 @@ def question_pool(questions: DataFrame, seed: str) -> DataFrame:
     return _numbered(rows, POOL_KEY, seed)
 
 
-def _attach_pool(candidates: DataFrame, pool: DataFrame, seed: str, rules: C.Rules = C.RULES) -> DataFrame:
-    """Give each candidate as many questions as a session has, drawn from all it may be asked.
+def _offers(pool: DataFrame, types: DataFrame) -> DataFrame:
+    """For each tag its types with their fields, and in ``units`` how many questions (``n``) each unit has; bounded by types times units."""
+    totals = pool.groupBy(*POOL_KEY).agg(F.count("*").alias("n"))
+    units = F.array_sort(F.collect_list(F.struct("unit", "n"))).alias("units")
+    typed = totals.groupBy("tag", "question_type").agg(units).join(types.select("question_type", "tier", "unlock", "priority"), "question_type")
+    return typed.groupBy("tag").agg(F.collect_list(F.struct("question_type", "tier", "unlock", "priority", "units")).alias("offers"))
+
+
+def _unit_place(units: Column, place: Column) -> Column:
+    """The unit, and the place in it, of a place among the questions of all units one after the other."""
+    start = F.struct(place.alias("place"), F.lit(None).cast("int").alias("unit"))
+
+    def step(at: Column, u: Column) -> Column:
+        here = F.struct(at["place"].alias("place"), u["unit"].cast("int").alias("unit"))
+        behind = F.struct((at["place"] - u["n"]).alias("place"), F.lit(None).cast("int").alias("unit"))
+        return F.when(at["unit"].isNotNull(), at).when(at["place"] < u["n"], here).otherwise(behind)
+
+    return F.aggregate(units, start, step)
+
 
-    ``candidates`` has a row for each unit the question may come from. The questions of the units stand one after the
-    other; the seed names a place among all of them, and that place and the ones after it (from the end on to the
-    start) are looked up. The first that the session does not hold yet is asked: others hold fewer than a
-    session's size, so there is always one if there is any. Candidates without questions go.
+def _picks(
+    tags: DataFrame, pool: DataFrame, types: DataFrame, may: Callable[[Column], Column], order: Callable[[Column], list[Column]],
+    per_tag: int, seed: str, rules: C.Rules,
+) -> DataFrame:
+    """The questions of each user's session: its candidates are walked in order, and each takes its first free question.
+
+    ``tags`` has a row for each user and tag with ``units``, from which its questions may come; a candidate is a tag with one of its
+    types that ``may`` be asked and has questions. The questions of the units stand one after the other; the seed names a place
+    among all of them, and that place and the ones after it (from the end on to the start) are drawn.
+
+    A candidate with as many questions as a session has always finds a free one. So what comes behind ``per_tag`` such ones of its
+    tag, or behind a session's size of those left, is never asked and is not looked up; and the candidate at place ``r`` meets at
+    most ``r - 1`` questions that are taken, so it draws no more than ``r``.
     """
     size = rules.session_size
-    totals = pool.groupBy(*POOL_KEY).agg(F.count("*").alias("_n"))
-    # The number is made below the windows, else it would be made again for every step.
-    number = hash_number(F.concat_ws(":", F.lit(seed), "user_id", "tag", "question_type"))
-    sized = candidates.join(totals, POOL_KEY).withColumn("_h", number)
-    who = Window.partitionBy("user_id", "tag", "question_type")
-    until = F.sum("_n").over(who.orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = sized.withColumns({"_all": F.sum("_n").over(who), "_from": until - F.col("_n")})
-    start = F.col("_h") % F.col("_all")
-    steps = F.sequence(F.lit(0).cast("long"), F.least(F.lit(size), F.col("_all")) - 1)
-    drawn = F.transform(steps, lambda i: F.struct(i.alias("i"), ((start + i) % F.col("_all") - F.col("_from")).alias("place")))
-    mine = F.filter(drawn, lambda d: (d["place"] >= 0) & (d["place"] < F.col("_n")))
-    others = [c for c in candidates.columns if c not in POOL_KEY]
-    each = unnest(placed, mine, [*POOL_KEY, *others], "_d").select(*POOL_KEY, *others, F.col("_d.i").alias("_i"), F.col("_d.place").alias("place"))
-    found = each.join(pool, [*POOL_KEY, "place"])
-    group = ["user_id", "tag", "question_type"]
-    rest = [F.first(c).alias(c) for c in others if c not in group]
-    ids = F.array_sort(F.collect_list(F.struct("_i", "id", "unit"))).alias("ids")
-    return found.groupBy(*group).agg(ids, *rest)
-
-
-def _greedy(candidates: DataFrame, order: list[Column], per_tag: int, size: int) -> DataFrame:
+
+    def candidate(o: Column) -> Column:
+        units = F.filter(o["units"], lambda u: F.array_contains("units", u["unit"]))
+        n = F.aggregate(units, F.lit(0).cast("long"), lambda n, u: n + u["n"])
+        key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order(o))], F.col("tag").alias("tag"), o["question_type"].alias("question_type"))
+        return F.struct(key.alias("key"), n.alias("n"), units.alias("units"))
+
+    listed = F.array_sort(F.filter(F.transform(F.filter("offers", may), candidate), lambda c: c["n"] > 0))
+    rows = tags.join(_offers(pool, types), "tag").withColumn("_c", listed)
+    last = F.get(F.filter("_c", lambda c: c["n"] >= size), F.lit(per_tag - 1))["key"]
+    asked = F.filter("_c", lambda c: F.coalesce(c["key"] <= last, F.lit(True)))
+    each = unnest(rows, asked, ["user_id"], "_c").select("user_id", "_c.*")
+    mine = Window.partitionBy("user_id").orderBy("key")
+    sure = F.count_if(F.col("n") >= size).over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = each.withColumns({"_rank": F.row_number().over(mine), "_sure": sure}).where(F.col("_sure") < size)
+    # The number is made below the steps, else it would be made again for every step.
+    number = hash_number(F.concat_ws(":", F.lit(seed), "user_id", "key.tag", "key.question_type"))
+    started = ranked.withColumn("_start", number % F.col("n"))
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.lit(size), F.col("_rank"), F.col("n")) - 1)
+    drawn = F.transform(steps, lambda i: _unit_place(F.col("units"), (F.col("_start") + i) % F.col("n")))
+    places = unnest(started, drawn, ["user_id", "_rank", "key.tag", "key.question_type"], "_p", at="_i")
+    found = places.select("user_id", "_rank", "tag", "question_type", "_i", "_p.*").join(pool, [*POOL_KEY, "place"])
+    return _greedy(found, per_tag, size)
+
+
+def _greedy(drawn: DataFrame, per_tag: int, size: int) -> DataFrame:
     """Walk each user's candidates in order and take free questions.
 
     A user's candidates are the types of the tags of some units; their number
     does not grow with the answer log.
     """
-    fields = ["tag", "question_type", "ids"]
-    ranked = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *fields)))
+    ranked = F.array_sort(F.collect_list(F.struct("_rank", "_i", "tag", "question_type", "unit", "id")))
     pick_type = "array<struct<tag:string,question_type:string,unit:int,id:string>>"
 
     def take(picked: Column, c: Column) -> Column:
-        free = F.filter(c["ids"], lambda i: ~F.exists(picked, lambda p: p["id"] == i["id"]))
-        same_tag = F.size(F.filter(picked, lambda p: p["tag"] == c["tag"]))
-        fits = (F.size(picked) < size) & (same_tag < per_tag) & (F.size(free) > 0)
-        first = F.get(free, F.lit(0))
-        pick = F.struct(c["tag"].alias("tag"), c["question_type"].alias("question_type"), first["unit"].alias("unit"), first["id"].alias("id"))
+        same = lambda p: p["tag"] == c["tag"]
+        taken = F.exists(picked, lambda p: (p["id"] == c["id"]) | (same(p) & (p["question_type"] == c["question_type"])))
+        fits = (F.size(picked) < size) & ~taken & (F.size(F.filter(picked, same)) < per_tag)
+        pick = F.struct(c["tag"].alias("tag"), c["question_type"].alias("question_type"), c["unit"].alias("unit"), c["id"].alias("id"))
         return F.when(fits, F.concat(picked, F.array(pick))).otherwise(picked)
 
     chosen = F.aggregate("ranked", F.array().cast(pick_type), take)
-    return candidates.groupBy("user_id").agg(ranked.alias("ranked")).select("user_id", chosen.alias("picked"))
+    return drawn.groupBy("user_id").agg(ranked.alias("ranked")).select("user_id", chosen.alias("picked"))
 
 
 def _shuffled(sessions: DataFrame, seed: str, session_type: str) -> DataFrame:
@@ -126,22 +157,25 @@ def learning_candidates(
     users: DataFrame, unit_tags: DataFrame, strength: DataFrame, rules: C.Rules = C.RULES
 ) -> DataFrame:
     """Tags of the current unit, times the types unlocked for them; a tag without a row was never answered."""
-    own = users.select("user_id", F.col("current_unit").alias("unit")).join(unit_tags, "unit")
-    known = own.join(strength.select("user_id", "tag", "correct_count"), ["user_id", "tag"], "left")
-    known = known.withColumn("correct_count", F.coalesce("correct_count", F.lit(0)))
+    known = unit_words(users, unit_tags, strength)
     typed = unnest(known, unlocked_types(F.col("correct_count"), rules), ["*"], "t")
-    easy = (F.col("t.tier") == 1) & (F.col("correct_count") >= rules.easy_after)
-    count = F.when(easy, F.greatest("correct_count", F.lit(rules.easy_count))).otherwise(F.col("correct_count"))
+    count = _effective_count(F.col("t"), rules)
     return typed.select("user_id", "unit", "tag", "correct_count", "t.question_type", "t.priority", count.alias("effective_count"))
 
 
+def _effective_count(kind: Column, rules: C.Rules) -> Column:
+    easy = (kind["tier"] == 1) & (F.col("correct_count") >= rules.easy_after)
+    return F.when(easy, F.greatest("correct_count", F.lit(rules.easy_count))).otherwise(F.col("correct_count"))
+
+
 def learning_session(
     users: DataFrame, unit_tags: DataFrame, strength: DataFrame, pool: DataFrame, seed: str, rules: C.Rules = C.RULES
 ) -> DataFrame:
     """Least practised tags of the current unit first, at most two questions per tag."""
-    candidates = _attach_pool(learning_candidates(users, unit_tags, strength, rules), pool, seed, rules)
-    order = [F.col("effective_count"), -F.col("priority"), F.col("tag")]
-    picked = _greedy(candidates, order, rules.max_per_tag, rules.session_size)
+    tags = unit_words(users, unit_tags, strength).withColumn("units", F.array("unit"))
+    unlocked = lambda t: t["unlock"] <= F.col("correct_count")
+    order = lambda t: [_effective_count(t, rules), -t["priority"], F.col("tag")]
+    picked = _picks(tags, pool, question_types(tags.sparkSession, rules), unlocked, order, rules.max_per_tag, seed, rules)
     return _shuffled(picked, seed, "practice_session")
 
 
@@ -156,10 +190,9 @@ def review_scores(
 
 def _review_picks(scored: DataFrame, pool: DataFrame, types: DataFrame, seed: str, rules: C.Rules) -> DataFrame:
     # A question may belong to any graduated unit, not only to the first one of its tag.
-    keys = pool.where("place = 0").select(*POOL_KEY).join(types.select("question_type", "priority"), "question_type")
-    open_to = scored.drop("unit").join(keys, "tag").where(F.array_contains("graduated_units", F.col("unit")))
-    candidates = _attach_pool(open_to, pool, seed, rules)
-    return _greedy(candidates, [F.col("strength"), F.col("tag"), -F.col("priority")], 1, rules.session_size)
+    tags = scored.select("user_id", "tag", "strength", F.col("graduated_units").alias("units"))
+    order = lambda t: [F.col("strength"), F.col("tag"), -t["priority"]]
+    return _picks(tags, pool, types, lambda t: F.lit(True), order, 1, seed, rules)
 
 
 def review_session(

@@ -173,6 +173,39 @@ def test_learning_session_with_shared_questions(spark):
     assert sorted(r.pos for r in got) == list(range(len(want)))
 
 
+def test_learning_session_looks_up_what_it_may_ask(spark, monkeypatch):
+    """Types with many questions, with few and with shared ones: the greedy walk in plain Python, and not ten places for each of ten."""
+    users = spark.createDataFrame([(u, 3, []) for u in range(1, 6)], "user_id long, current_unit int, graduated_units array<int>")
+    types, rows = ["listening vocab", "speaking vocab"], []
+    for t, tag in enumerate("abcdefgh"):
+        for q, qtype in enumerate(types):
+            ids = [f"{tag}{q}{i}" for i in range(30)] if t > 2 else ["s0", "s1"] if t else ["s0"]
+            rows += [(0, i, tag, 3, qtype) for i in ids]
+    bank = spark.createDataFrame(rows, "seq long, id string, tag string, unit int, question_type string")
+    none = spark.createDataFrame([], "user_id long, tag string, correct_count int")
+    walk, looked_up = sessions._greedy, []
+
+    def counted(drawn, *how):
+        places = F.size("ids") if "ids" in drawn.columns else F.lit(1)
+        looked_up.extend(r.n for r in drawn.groupBy("user_id").agg(F.sum(places).alias("n")).collect())
+        return walk(drawn, *how)
+
+    monkeypatch.setattr(sessions, "_greedy", counted)
+    got = sessions.learning_session(users, bank.select("unit", "tag").distinct(), none, sessions.question_pool(bank, "s"), "s").collect()
+    digest = lambda *x: md5(":".join(map(str, ("s", *x))).encode()).hexdigest()
+    for user in range(1, 6):
+        used, want = [], []
+        for _, tag, qtype in sorted((0 if q == "speaking vocab" else 1, t, q) for t in "abcdefgh" for q in types):
+            ids = sorted((r[1] for r in rows if r[2] == tag and r[4] == qtype), key=lambda i: (digest(i), i))
+            start = int(digest(user, tag, qtype)[:8], 16) % len(ids)
+            free = [i for i in ids[start:] + ids[:start] if i not in used]
+            if free and len(want) < 10 and sum(t == tag for t, _ in want) < 2:
+                used.append(free[0])
+                want.append((tag, free[0]))
+        assert sorted((r.tag, r.id) for r in got if r.user_id == user) == sorted(want)
+    assert max(looked_up) <= 100
+
+
 def test_every_question_can_be_asked(spark):
     users = spark.range(2000).select(F.col("id").alias("user_id"), F.lit(3).alias("current_unit"), F.array(F.lit(2)).alias("graduated_units"))
     rows = [(i, f"q{i}", "a", 3, "speaking vocab") for i in range(100)] + [(i, f"r{i}", "b", 3, "speaking vocab") for i in range(19)]
