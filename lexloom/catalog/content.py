@@ -44,19 +44,18 @@ def _sentences(spark, sf):
     )
 
 
-def _flagged(spark, sf, words):
-    """Sentences and exercises (a common word blanked) with the outcome of their checks."""
+def _flagged(spark, sf, words, survivors=False):
+    """Sentences and exercises (a common word blanked) with the outcome of their checks; of the sentences all, or those that survive the first two."""
     rows, docs = _sentences(spark, sf), documents(spark, sf)
-    flagged = sentence_bank.flag_stages(rows, docs, words, ["doc_id"], "key", C.LATIN, F.lower("text"), negation="the", one="and")
+    flagged = sentence_bank.flag_stages(rows, docs, words, ["doc_id"], "key", C.LATIN, F.lower("text"), survivors, negation="the", one="and")
     # The readings of the test lexicon are made up; the words stand for them.
-    flagged = materialise(flagged.withColumn("romanised", F.array_join("found_tags", " ")), "sentences")
+    flagged = flagged.withColumn("romanised", F.array_join("found_tags", " "))
     blanked = F.replace("text", F.lit(" the "), F.lit(" ___ "))
     items = rows.where(F.col("text").contains(" the ")).select(
         "doc_id", "source", "key", "unit", "seq", "source_rank", "gloss", F.col("text").alias("full"), blanked.alias("blanked"),
         F.array_repeat(F.lit("the"), F.size(F.split(blanked, "___")) - 1).alias("answers"),
     )
-    solved = content.flag_cloze(items, docs, words, ["doc_id"], C.LATIN, F.lower("full"))
-    return flagged, materialise(solved, "cloze")
+    return flagged, content.flag_cloze(items, docs, words, ["doc_id"], C.LATIN, F.lower("full"))
 
 
 _SEQ = "CAST(split_part(key, ':', 1) AS BIGINT) * 4294967296 + CAST(split_part(key, ':', 2) AS BIGINT)"
@@ -100,11 +99,11 @@ _BANK = [
 )
 def build_content(spark, sf):
     words = materialise(_lexicon(spark, sf), "lexicon")
-    sentences, exercises = _flagged(spark, sf, words)
+    sentences, exercises = _flagged(spark, sf, words, survivors=True)
     blocklist = spark.createDataFrame([("no such line",)], "line string")
-    bank = content.build(words, sentences, exercises, blocklist, C.LATIN, F.lower("text"))
+    asked = content.build(words, sentences, exercises, blocklist, C.LATIN, F.lower("text"), tagged=False)
     path = shared_dir(spark, "content")
-    store.write_units(content.documents(bank, 1000), path, "json")
+    store.write_units(content.documents(asked, 1000, words), path, "json", dealt=True, compression="gzip")
     record = "struct<id:string,question_type:string,question:string,answer:string,tags:array<string>>"
     docs = spark.read.schema(f"block long, records array<{record}>, unit int").json(path)
     line = F.transform("records", lambda r: F.concat_ws("|", r["id"], r["question"], F.coalesce(r["answer"], F.lit("")), F.array_join(r["tags"], " ")))
@@ -127,4 +126,5 @@ def build_content(spark, sf):
 )
 def content_counts(spark, sf):
     words = materialise(_lexicon(spark, sf), "lexicon")
-    return content.counts(*_flagged(spark, sf, words), C.LATIN, F.lower("text"))
+    sentences, exercises = _flagged(spark, sf, words)
+    return content.counts(materialise(sentences, "sentences"), materialise(exercises, "cloze"), C.LATIN, F.lower("text"))

@@ -126,12 +126,11 @@ def lists(owner: np.ndarray, n: int, values: pa.Array, valid: np.ndarray | None
     return pa.ListArray.from_arrays(offsets, values)
 
 
-def contained(text: Column, words: list[str]) -> Column:
-    """The words that a text contains, each once."""
+def _looked(words: list[str]) -> Callable[[pa.Array], list[pa.Array]]:
+    """Looks for words in texts: the words of each, for ranges of texts."""
     machine, names = Automaton.of(words), pa.array(words, pa.string())
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def look(texts: pa.Array) -> pa.Array:
+    def look(texts: pa.Array) -> list[pa.Array]:
         out = []
         for i, j in parts(_sizes(texts)):
             codes, starts = characters(texts.slice(i, j - i))
@@ -139,9 +138,38 @@ def contained(text: Column, words: list[str]) -> Column:
             at, _, word = machine.find(_of_codes(machine, codes), np.repeat(starts[1:], np.diff(starts)))
             pairs = np.unique(row[at] * max(1, len(words)) + word)
             out.append(lists(pairs // max(1, len(words)), j - i, names.take(pa.array(pairs % max(1, len(words))))))
-        return pa.chunked_array(out, pa.list_(pa.string())).combine_chunks()
+        return out
+
+    return look
+
+
+def contained(text: Column, words: list[str]) -> Column:
+    """The words that a text contains, each once."""
+    look = _looked(words)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def look_all(texts: pa.Array) -> pa.Array:
+        return pa.chunked_array(look(texts), pa.list_(pa.string())).combine_chunks()
+
+    return look_all(text)
+
+
+def contained_in_each(texts: Column, words: list[str]) -> Column:
+    """The same for each text of an array. Rows leave a task a few at a time, as what is found may be far larger than the texts."""
+    look = _looked(words)
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def look_each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            flat, starts = rows.flatten(), np.append(0, np.cumsum(_lengths(rows)))
+            upto = np.append(0, np.cumsum(_sizes(flat), dtype=np.int64))
+            for i, j in parts(np.diff(upto[starts])):
+                # Questions on one item stand together, so many texts are the same.
+                some = flat.slice(starts[i], starts[j] - starts[i]).dictionary_encode(null_encoding="encode")
+                found = pa.chunked_array(look(some.dictionary), pa.list_(pa.string())).combine_chunks().take(some.indices)
+                yield pa.ListArray.from_arrays(pa.array((starts[i:j + 1] - starts[i]).astype(np.int32)), found)
 
-    return look(text)
+    return look_each(texts)
 
 
 def _sizes(texts: pa.Array) -> np.ndarray:

@@ -91,6 +91,14 @@ def with_contained(
     return texts.join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
+def with_contained_each(texts: DataFrame, lexicon: DataFrame, array: str, out: str, limit: automaton.Limit = automaton.LIMIT) -> DataFrame | None:
+    """Add ``out``: for each text of an array the lexicon words it contains, with nothing shuffled. None if the lexicon is not within ``limit``."""
+    words = lexicon.select("word").where("word <> ''").distinct()
+    if not automaton.fits(words, F.length("word"), limit):
+        return None
+    return texts.withColumn(out, automaton.contained_in_each(F.col(array), words.toArrow()["word"].to_pylist()))
+
+
 def contained_words(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text", **kw) -> DataFrame:
     """Rows (key, word) for every lexicon word that is a substring of the text."""
     return unnest(with_contained(texts.select(key, text), lexicon, key, text, "_words", **kw), "_words", [key], "word")

@@ -45,11 +45,17 @@ def append_new(existing: DataFrame, fresh: DataFrame, key: str = "text") -> Data
     return first_per_key(usable.join(existing.select(key), key, "left_anti"), [key], ["seq"])
 
 
-def merge_sentences(rows: DataFrame, script: C.Script = C.CJK, text: Column | None = None) -> DataFrame:
-    """Per unit, one sentence for each script-only content, best source first."""
+def merge_sentences(rows: DataFrame, script: C.Script = C.CJK, text: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Per unit, one sentence for each script-only content, best source first.
+
+    Contents meet by digest. With ``keep`` only those columns go along, else all of them and ``content``.
+    """
     content = script_only(F.col("text") if text is None else text, script)
-    keyed = rows.withColumn("content", content).where("content <> ''")
-    return first_per_key(keyed, ["unit", "content"], ["source_rank", "seq"])
+    keyed = rows.withColumn("_content", content).where("_content <> ''").withColumn("_content", F.unhex(F.md5("_content")))
+    if keep is not None:
+        keyed = keyed.select(*dict.fromkeys([*keep, "unit", "source_rank", "seq"]), "_content")
+    merged = first_per_key(keyed, ["unit", "_content"], ["source_rank", "seq"]).drop("_content")
+    return merged.withColumn("content", content) if keep is None else merged.select(*keep)
 
 
 def merge_cloze(rows: DataFrame) -> DataFrame:

@@ -32,13 +32,16 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], block: Colum
     ``block`` must not decrease along the order. Rows are numbered inside
     (key, block), and the sizes of the blocks before are added, so a key
     is shared by as many tasks as it has blocks. Null keys are one key.
+
+    Key and block are one value, a struct, in which null equals null: the window and the join deal rows out alike, so they move once.
     """
-    blocked = df.withColumn("_block", block)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_size"))
-    offsets = sizes.select(*keys, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
-    numbered = _add(blocked.withColumn("_local", local), offsets, [*keys, "_block"])
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], block.alias("block"))
+    blocked = df.withColumn("_place", place)
+    before = Window.partitionBy(*[f"_place.k{i}" for i in range(len(keys))]).orderBy("_place.block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocked.groupBy("_place").agg(F.count("*").alias("_size"))
+    offsets = sizes.select("_place", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_place").orderBy(*order))
+    numbered = blocked.withColumn("_local", local).join(offsets, "_place")
     return numbered.withColumn(out, F.col("_before") + F.col("_local")).select(*df.columns, out)
 
 

@@ -152,7 +152,8 @@ def _flagged(
     columns = [F.col(c) for c in rows.columns if c != "verbatim"]
     is_long = F.col("_size") > long
     texts = docs.select(*keys, F.when(~is_long, F.col("_doc")).alias("_doc"), is_long.alias("_long"))
-    met = rows.withColumn("_wanted", wanted).join(texts, keys, "left")
+    # Made from the row once it has met its document, so that the join moves each text once.
+    met = rows.join(texts, keys, "left").withColumn("_wanted", wanted)
     able = F.coalesce(able, F.lit(False))
     usual = met.where(~F.coalesce("_long", F.lit(False))).select(*columns, (able & F.coalesce(beside, F.lit(False))).alias("verbatim"))
     longer = docs.where(is_long)

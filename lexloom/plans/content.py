@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom import config as C
+from lexloom.functions.rows import unnest, where_once
+from lexloom.operators import automaton, containment, dedup, segmentation
 from lexloom.operators import cloze as cloze_items
-from lexloom.operators import containment, dedup, segmentation
 from lexloom.operators.ordering import number_within
 from lexloom.operators.progress import quality_counts
 from lexloom.operators.questions import ID_BLOCK
 from lexloom.plans import question_bank, sentence_bank
-from lexloom.sources.store import unit_documents
+from lexloom.sources.store import block_of, materialise, unit_documents
 
 
 def flag_cloze(
@@ -28,31 +29,52 @@ def flag_cloze(
 
 def cloze_questions(flagged: DataFrame) -> DataFrame:
     """The exercises that passed, one question for each blank; ``source``, ``unit``, ``source_rank`` and ``seq`` are kept."""
-    passed = flagged.where(F.col("verbatim") & F.col("known"))
+    passed = where_once(flagged, F.col("verbatim") & F.col("known"))
     fields = ["source", "unit", "source_rank", "seq", "blanked", "answers", "gloss"]
     return cloze_items.expand(passed.select(*fields))
 
 
 def build(
     lexicon: DataFrame, flagged_sentences: DataFrame, flagged_cloze: DataFrame, blocklist: DataFrame, script: C.Script = C.CJK,
-    text: Column | None = None,
+    text: Column | None = None, tagged: bool = True,
 ) -> DataFrame:
-    """The tagged questions on the lexicon, the sentences and the exercises that passed every check."""
-    sentences = sentence_bank.build(flagged_sentences, script, text)
-    merged = dedup.merge_cloze(cloze_questions(flagged_cloze))
+    """The tagged questions on the lexicon, the sentences and the exercises that passed every check.
+
+    Or, not ``tagged``, the items with the ids of their questions, for ``documents``, which tags them where they end up.
+    """
+    # Stored one after the other, so that the shuffles of one are gone when the next begins; the second is read twice below.
+    passed = sentence_bank.build(flagged_sentences, script, text, ["unit", "seq", "text", "romanised", "gloss"])
+    spoken = materialise(passed.withColumnRenamed("romanised", "reading"), "spoken")
+    merged = materialise(dedup.merge_cloze(cloze_questions(flagged_cloze).drop("source")), "merged")
     # The blanks of one exercise stand in its place, in their order.
     numbered = number_within(merged, ["unit"], ["seq", "blank_no"], F.floor(F.col("seq") / ID_BLOCK), out="place")
-    questions = numbered.drop("seq").withColumnRenamed("place", "seq")
-    spoken = sentences.select("unit", "seq", "text", F.col("romanised").alias("reading"), "gloss")
-    return question_bank.build(lexicon, spoken, questions.select("unit", "seq", "question", "answer"), blocklist)
+    questions = numbered.drop("seq").withColumnRenamed("place", "seq").select("unit", "seq", "question", "answer")
+    return (question_bank.build if tagged else question_bank.ask)(lexicon, spoken, questions, blocklist)
+
+
+def documents(bank: DataFrame, block_size: int = 10_000, lexicon: DataFrame | None = None, limit: automaton.Limit = automaton.LIMIT) -> DataFrame:
+    """The bank as nested documents, the questions of a unit in the order in which they were made.
+
+    ``bank`` has tagged questions or, with a lexicon, items that were not tagged. An item's texts then go once to the task that makes its
+    document, in ranges of units; there they become questions and get their tags, which are far larger than the texts.
+    """
+    if lexicon is None:
+        placed = number_within(bank, ["unit"], ["section_rank", "seq", "id"], question_bank.place_block(), out="place")
+        return unit_documents(placed, "place", F.struct("id", "question_type", "question", "answer", "tags"), block_size)
 
+    def block(asked: Column) -> Column:
+        return block_of(asked["place"], block_size)
 
-def documents(bank: DataFrame, block_size: int = 10_000) -> DataFrame:
-    """The bank as nested documents, the questions of a unit in the order in which they were made."""
-    block = F.col("section_rank") * F.lit(1 << 40) + F.floor(F.col("seq") / ID_BLOCK)
-    placed = number_within(bank, ["unit"], ["section_rank", "seq", "id"], block, out="place")
-    record = F.struct("id", "question_type", "question", "answer", "tags")
-    return unit_documents(placed, "place", record, block_size)
+    split = unnest(bank, F.array_distinct(F.transform("asked", block)), ["*"], "block")
+    mine = split.withColumn("asked", F.filter("asked", lambda a: block(a) == F.col("block")))
+    asked = question_bank.expand_asked(mine.repartitionByRange("unit", "block"))
+    docs = unit_documents(asked, "place", F.struct("id", "question_type", "question", "answer", "source_text"), block_size, "block")
+    tagged = question_bank.tag_records(docs, lexicon, limit)
+    if tagged is not None:
+        return tagged
+    keyed = bank.withColumn("text_id", F.md5("source_text"))
+    rows = question_bank.tag(question_bank.expand_asked(keyed), keyed, lexicon, limit)
+    return unit_documents(rows, "place", F.struct("id", "question_type", "question", "answer", "tags"), block_size).hint("rebalance", "unit")
 
 
 def counts(flagged_sentences: DataFrame, flagged_cloze: DataFrame, script: C.Script = C.CJK, text: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom import config as C
 from lexloom.functions.romanise import sandhi_word_tags
+from lexloom.functions.rows import where_once
 from lexloom.operators import containment, dedup, segmentation
 from lexloom.sources.store import materialise
 
@@ -19,17 +20,19 @@ def flag_stages(
     key: str,
     script: C.Script = C.CJK,
     text: Column | None = None,
+    survivors: bool = False,
     **sandhi: str,
 ) -> DataFrame:
     """Add the outcome of each stage: ``verbatim``, ``known`` and ``tagged``, and the tags and reading.
 
-    Only survivors of a stage go through the next one. Tags given by an extractor
+    Only survivors of a stage go through the next one; with ``survivors`` the others are left out, for who needs no counts. Tags given by an extractor
     are used where they are valid.
     """
     checked = containment.flag_verbatim(sentences, docs, doc_keys)
-    # Read twice below, once to search for words and once for the result.
-    gated = materialise(segmentation.flag_vocab_gate(checked, lexicon, script, text), "gated")
+    gated = segmentation.flag_vocab_gate(checked, lexicon, script, text)
     alive = F.col("verbatim") & F.col("known")
+    # Read twice below, once to search for words and once for the result. Not stored, each row would take its document along to the search.
+    gated = materialise(where_once(gated, alive) if survivors else gated, "gated")
     if "tags" in sentences.columns:
         content = F.col("text") if text is None else text
         spoken = segmentation.tag_and_romanise(gated.where(alive).withColumn("text", content), lexicon, key, script, **sandhi)
@@ -44,7 +47,7 @@ def flag_stages(
     ).drop("tags", "readings")
 
 
-def build(flagged: DataFrame, script: C.Script = C.CJK, text: Column | None = None) -> DataFrame:
-    """The sentences that passed every stage, one per content and unit, best source first."""
+def build(flagged: DataFrame, script: C.Script = C.CJK, text: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The sentences that passed every stage, one per content and unit, best source first; of their columns those to ``keep``."""
     passed = flagged.where(F.col("verbatim") & F.col("known") & F.col("tagged"))
-    return dedup.merge_sentences(passed, script, text)
+    return dedup.merge_sentences(passed, script, text, keep)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.session import shared_dir
@@ -20,13 +22,29 @@ def deal_out(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+#: Spark's own setting: the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is written in here leaves no shuffle files behind: the written table stands in their place."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several parts of a job read, and read it back.
 
     The written table cuts the lineage and outlives lost executors.
     """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,30 +75,37 @@ def upsert_units(base: DataFrame, fresh: DataFrame, key: str = "unit") -> DataFr
     return base.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def unit_documents(rows: DataFrame, order: str, record: Column, block_size: int = 10_000) -> DataFrame:
+def block_of(order: Column, block_size: int) -> Column:
+    return F.floor(order / block_size)
+
+
+def unit_documents(rows: DataFrame, order: str, record: Column, block_size: int = 10_000, block: str | None = None) -> DataFrame:
     """Nested documents ``unit -> ordered records``.
 
     A unit larger than ``block_size`` order values is continued in further
-    numbered blocks, so no document grows with the data.
+    numbered blocks, so no document grows with the data. ``block`` names a column that has the numbers already; rows that were
+    dealt out by unit and block stay where they are.
     """
-    block = F.floor(F.col(order) / block_size)
+    block = block_of(F.col(order), block_size) if block is None else F.col(block)
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), record.alias("r"))))
     docs = rows.groupBy("unit", block.alias("block")).agg(items.alias("items"))
     return docs.select("unit", "block", F.transform("items", lambda i: i["r"]).alias("records"))
 
 
-def write_units(rows: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
+def write_units(rows: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite", dealt: bool = False, **options: str) -> None:
     """Write one folder per unit; only the units present are replaced.
 
     Units are rebalanced at run time by their size, so a large unit is written by many tasks and
-    small ones share a task.
+    small ones share a task. Rows that are ``dealt`` come in ranges of units already.
     """
-    (
-        rows.hint("rebalance", "unit")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", 5_000_000)
-        .partitionBy("unit")
-        .format(fmt)
-        .save(path)
-    )
+    placed = rows if dealt else rows.hint("rebalance", "unit")
+    with shuffles_freed(rows.sparkSession):
+        (
+            placed.write.mode(mode)
+            .options(**options)
+            .option("partitionOverwriteMode", "dynamic")
+            .option("maxRecordsPerFile", 5_000_000)
+            .partitionBy("unit")
+            .format(fmt)
+            .save(path)
+        )
